@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, mixing, quality_mil, vector_search
 from .bpe_codec import decode, encode
-from .common import read
+from .common import crc_mod, read
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .token_counts import token_counts
@@ -20,6 +21,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_mil.fit(docs, labels, crc_mod("doc_id", 5) != 0)
+    return quality_mil.quality_score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, crc_mod("doc_id", 3) != 1)
+    return language_id.language_id(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,5 +65,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op8_bpe_codec, op9_quality_rules, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_mixing, op3_quality_mil, op4_vector_search, op7_language_id, op8_bpe_codec, op9_quality_rules, op10_secret_scan)
+}
+#: SQL twins; the others can't be said in SQL and are tested against brute force, round trips or held-out rows.
+ORACLES = {"op2_mixing": mixing.SQL, "op4_vector_search": vector_search.SQL}
