@@ -6,6 +6,7 @@ keeps the result in a bounded memo. Decoding joins the vocabulary strings of the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,12 @@ def decoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):
     return decode
 
 
+@F.pandas_udf("string")
+def sha256_utf8(texts: pd.Series) -> pd.Series:
+    """Lowercase hex digest; right behind decoder() it runs in the same worker, so decoded texts need not go to the JVM."""
+    return pd.Series([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts], dtype=object)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", packed: bool = False) -> DataFrame:
     """Add the token ids of every whole text, without added special tokens, truncation or padding.
 

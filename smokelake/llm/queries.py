@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_mil, vector_search
-from .bpe_codec import decode, encode
+from . import language_id, mixing, ngram_join, quality_mil, vector_search
+from .bpe_codec import decode, encode, sha256_utf8
 from .common import crc_mod, read
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
@@ -37,6 +37,10 @@ def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, crc_mod("doc_id", 3) != 1)
@@ -51,7 +55,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        sha256_utf8("decoded").alias("decoded_sha256"),
     )
 
 
@@ -67,7 +71,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_mixing, op3_quality_mil, op4_vector_search, op7_language_id, op8_bpe_codec, op9_quality_rules, op10_secret_scan)
+    for f in (op1_token_counts, op2_mixing, op3_quality_mil, op4_vector_search, op5_ngram_join, op7_language_id, op8_bpe_codec, op9_quality_rules, op10_secret_scan)
 }
 #: SQL twins; the others can't be said in SQL and are tested against brute force, round trips or held-out rows.
 ORACLES = {"op2_mixing": mixing.SQL, "op4_vector_search": vector_search.SQL}
