@@ -1,37 +1,38 @@
 """Operator 8, BPE encoding and decoding.
 
 Encoding merges each distinct pre-token with a priority queue over a linked symbol list (word_bpe.WordBpe.merge) and
-keeps the result in a bounded memo. Decoding joins the vocabulary strings of the ids.
+keeps the result in a bounded memo of its worker. Decoding joins the vocabulary strings of the ids. The column functions
+are plain pandas UDFs, which Spark runs in one worker where one is applied to another.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .word_bpe import Memo, WordBpe
+from .common import bound_batches
+from .word_bpe import WordBpe
 
 
 def encoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):
     """Column function text -> ids (array of int), or with packed the ids as little-endian unsigned 32-bit integers (binary)."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(WordBpe.load(tokenizer_path))
 
     @F.pandas_udf("binary" if packed else "array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(texts: pd.Series) -> pd.Series:
         bpe = shared.value
-        pieces = Memo(lambda t: np.asarray(bpe.merge(t), dtype="<u4").tobytes())
+        pieces = bpe.memo("pieces", lambda t: np.asarray(bpe.merge(t), dtype="<u4").tobytes())
 
         def one(text: str | None):
             ids = b"".join(map(pieces.__getitem__, bpe.pre_tokens(text))) if text else b""
             return ids if packed else np.frombuffer(ids, dtype="<i4")
 
-        for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=object)
+        return pd.Series([one(t) for t in texts], dtype=object)
 
     return encode
 
@@ -41,7 +42,7 @@ def decoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):
     shared = spark.sparkContext.broadcast(WordBpe.load(tokenizer_path))
 
     @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decode(batch: pd.Series) -> pd.Series:
         names = shared.value.token_names()
 
         def one(ids) -> str:
@@ -50,8 +51,7 @@ def decoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):
             ids = np.frombuffer(ids, dtype="<u4") if packed else np.asarray(ids)
             return " ".join(map(names.__getitem__, ids.tolist()))
 
-        for batch in batches:
-            yield pd.Series([one(x) for x in batch], dtype=object)
+        return pd.Series([one(x) for x in batch], dtype=object)
 
     return decode
 

@@ -15,15 +15,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor costs no more than the stage that ran.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary one is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; a temporary one is set where there is none (tests, one machine)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder, so that a lost executor costs no more than the stage that ran."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -35,3 +37,11 @@ def crc_mod(doc_id: str, n: int) -> Column:
 def unit_hash(*cols: Column | str, seed: int) -> Column:
     """A number in [0, 1) that depends on the values and the seed alone."""
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Let no Arrow batch hold much more than so many bytes: texts vary from a word to megabytes, and 10,000 long ones don't fit a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is not None and (int(now.rstrip("b")) if now.rstrip("b").lstrip("-").isdigit() else most + 1) > most:
+        spark.conf.set(name, str(most))

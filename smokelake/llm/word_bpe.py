@@ -151,6 +151,10 @@ class WordBpe:
                 proven.add(plain)
         return frozenset(proven | set(self.special))
 
+    def memo(self, name: str, make) -> Memo:
+        """A memo that lives as long as the worker's copy of this vocabulary."""
+        return self._derived().setdefault(name, Memo(make))
+
     def token_names(self) -> list[str]:
         """Vocabulary string of each id."""
         return self._derived()["names"]
