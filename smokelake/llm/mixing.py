@@ -97,6 +97,13 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), doc_id: str = "d
     return rows.select("doc_id", "size", plain.alias("source"), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def repeated(docs: DataFrame, settings: MixSettings = MixSettings(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixed corpus: each document as many times as mix() takes it, with the columns of docs. Ids are taken to be unique; rows of one id share their numbers of copies."""
+    taken = mix(docs, settings, doc_id, text, source).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    rows = docs.join(taken.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_id"))).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 #: The same rows by one running sum over each source, for comparison.
 SQL = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .graph import components
 
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -252,6 +252,7 @@ def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSetti
     gives no rows. Long texts are processed whole. Other columns are not returned.
     """
     s = settings
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ids = materialize(class_table(docs, "doc_id", "text", s))
     often = ids.select(F.explode(F.arrays_zip("h", "c")).alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.c").alias("c"))

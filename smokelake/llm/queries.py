@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, quality_mil, vector_search
+from . import language_id, line_dedup, mixing, ngram_join, quality_mil, vector_search
 from .bpe_codec import decode, encode, sha256_utf8
 from .common import crc_mod, read
 from .quality_rules import quality_rules
@@ -41,6 +41,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs, crc_mod("doc_id", 3) != 1)
@@ -71,7 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_mixing, op3_quality_mil, op4_vector_search, op5_ngram_join, op7_language_id, op8_bpe_codec, op9_quality_rules, op10_secret_scan)
+    for f in (op1_token_counts, op2_mixing, op3_quality_mil, op4_vector_search, op5_ngram_join, op6_line_dedup, op7_language_id, op8_bpe_codec, op9_quality_rules, op10_secret_scan)
 }
 #: SQL twins; the others can't be said in SQL and are tested against brute force, round trips or held-out rows.
 ORACLES = {"op2_mixing": mixing.SQL, "op4_vector_search": vector_search.SQL}
