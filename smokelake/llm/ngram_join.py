@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -27,7 +26,8 @@ from .common import bound_batches, materialize
 from .graph import components
 
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], dtype=np.uint64)
+_INSIDE = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
 
 
 @dataclass(frozen=True)
@@ -46,37 +46,49 @@ class JaccardSettings:
     hot_least: int = 16
     block: int = 1024
     salts: int = 64
-    memo: int = 500_000
 
 
-class WordHashes(dict):
-    """64-bit hash of each word; emptied when it holds too many."""
+class Powers:
+    """Powers of an odd base modulo 2**64, and of its inverse, as many as the longest text so far needs."""
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1 << 16)
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (self.base, self.inverse))
+        return self.up[:n], self.down[:n]
 
-def shingle_set(text: str | None, s: JaccardSettings, hashes: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of the whole text; with fewer words than a shingle has, of the whole sequence."""
-    words = text.encode("utf-8").translate(_LOWER).split() if text else []
-    if not words:
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX1
+    h = (h ^ (h >> np.uint64(27))) * _MIX2
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: str | None, s: JaccardSettings, powers: Powers) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of the whole text; with fewer words than a shingle has, of the whole sequence.
+
+    A word's hash is a difference of running sums over the bytes of the text, so all words are hashed at once.
+    """
+    data = np.frombuffer((text or "").encode("utf-8"), dtype=np.uint8)
+    inside = np.concatenate(([False], _INSIDE[data], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = min(s.shingle, len(words))
-    n = len(words) - k + 1
+    up, down = powers.upto(len(data))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * up)))
+    h = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    k = min(s.shingle, len(h))
+    n = len(h) - k + 1
     rolled = np.full(n, k, dtype=np.uint64)
     for j in range(k):
         rolled = rolled * _BASE + h[j : j + n]
-    rolled = (rolled ^ (rolled >> np.uint64(30))) * _MIX1
-    rolled = (rolled ^ (rolled >> np.uint64(27))) * _MIX2
-    return np.unique(rolled ^ (rolled >> np.uint64(31)))
+    return np.unique(_mixed(rolled))
 
 
 def set_id(a: np.ndarray) -> int:
@@ -107,11 +119,11 @@ def class_table(docs: DataFrame, doc_id: str, text: str, s: JaccardSettings) ->
 
     @F.pandas_udf("n long, sid long, map binary, h array<long>, c array<int>")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes(s.memo)
+        powers = Powers()
         for texts in batches:
             out, distinct = [], {}
             for t in texts:
-                a = shingle_set(t, s, hashes)
+                a = shingle_set(t, s, powers)
                 if len(a):
                     out.append((len(a), set_id(a), bitmap(a, s.bits), None, None))
                     distinct[out[-1][1]] = a
@@ -132,12 +144,12 @@ def prefix_keys(docs: DataFrame, text: str, hot: np.ndarray, s: JaccardSettings)
 
     @F.pandas_udf("n long, sid long, cold array<long>, hot array<long>")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes, seen, hot = WordHashes(s.memo), set(), shared.value
+        powers, seen, hot = Powers(), set(), shared.value
         empty = np.empty(0, np.int64)
         for texts in batches:
             out = []
             for t in texts:
-                a = shingle_set(t, s, hashes)
+                a = shingle_set(t, s, powers)
                 sid = set_id(a) if len(a) else None
                 if sid is None or sid in seen:
                     out.append((0, None, empty, empty))
@@ -196,16 +208,15 @@ def verified(pairs: DataFrame, arrays: DataFrame, s: JaccardSettings) -> DataFra
 def set_arrays(docs: DataFrame, pairs: DataFrame, members: DataFrame, doc_id: str, text: str, s: JaccardSettings) -> DataFrame:
     """sid and set (the sorted array, as bytes) of every class in the pairs, read from the text of its first document."""
 
-    @F.pandas_udf("sid long, set binary")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes(s.memo)
-        for texts in batches:
-            arrays = [shingle_set(t, s, hashes) for t in texts]
-            yield pd.DataFrame({"sid": [set_id(a) for a in arrays], "set": [a.tobytes() for a in arrays]})
+    @F.pandas_udf("binary")
+    def measure(texts: pd.Series, want: pd.Series) -> pd.Series:
+        powers = Powers()
+        arrays = [shingle_set(t, s, powers) for t in texts]
+        return pd.Series([a.tobytes() if set_id(a) == w else None for a, w in zip(arrays, want, strict=True)], dtype=object)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(members, "sid").select(F.col("doc").alias("doc_id"), F.col("sid").alias("want"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("want", measure("text").alias("m"))
-    return rows.filter("m.sid = want").select("m.*").dropDuplicates(["sid"])  # an id that repeats may come with other texts
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(members, "sid").select(F.col("doc").alias("doc_id"), "sid")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("sid", measure("text", "sid").alias("set"))
+    return materialize(rows.filter("set IS NOT NULL").dropDuplicates(["sid"]))  # an id that repeats may come with other texts
 
 
 def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
@@ -227,20 +238,38 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
     probes = rows.filter("label <> major").select("key", near.alias("band"), "blocks", "sid", "n", "label", "map")
     probes = probes.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "n", "label", "map", F.lit(True).alias("probe"))
 
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        probe, rows = tile[tile["probe"]], tile[~tile["probe"]].sort_values("n")
-        found_a, found_b = [], []
-        if len(probe) and len(rows):
-            n, label, sid, maps = (rows["n"].to_numpy(), rows["label"].to_numpy(), rows["sid"].to_numpy(), _maps(rows["map"]))
-            for p_n, p_label, p_sid, p_map in zip(probe["n"].to_numpy(), probe["label"].to_numpy(), probe["sid"].to_numpy(), _maps(probe["map"]), strict=True):
-                lo, hi = np.searchsorted(n, -(-s.percent * p_n // 100)), np.searchsorted(n, 100 * p_n // s.percent, side="right")
-                ok = may_link(p_map[None], maps[lo:hi], p_n, n[lo:hi], s.percent) & (label[lo:hi] != p_label)
-                hits = sid[lo:hi][ok]
-                found_a.append(np.minimum(hits, p_sid))
-                found_b.append(np.maximum(hits, p_sid))
-        return pd.DataFrame({"a": np.concatenate([*found_a, np.empty(0, np.int64)]), "b": np.concatenate([*found_b, np.empty(0, np.int64)])})
-
-    return own.unionByName(probes).groupBy("key", "band", "block").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tiles come one after the other; the last one of a batch may go on in the next."""
+        kept: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+            tile = pdf[["key", "band", "block"]].to_numpy()
+            edges = np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1
+            cut = edges[-1] if len(edges) else 0
+            kept = pdf.iloc[cut:]
+            if cut:
+                yield tiles(pdf.iloc[:cut], np.concatenate(([0], edges)))
+        if kept is not None and len(kept):
+            yield tiles(kept, np.array([0, len(kept)]))
+
+    def tiles(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        """Probes against the other rows of each tile; within a tile rows are ordered by probe and size."""
+        n, label, sid, probe = (pdf[c].to_numpy() for c in ("n", "label", "sid", "probe"))
+        maps, found = _maps(pdf["map"]), [np.empty((0, 2), np.int64)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            mid = lo + int(np.count_nonzero(~probe[lo:hi]))
+            for p in range(mid, hi):
+                a, b = lo + np.searchsorted(n[lo:mid], [-(-s.percent * n[p] // 100), 100 * n[p] // s.percent + 1])
+                if a < b:
+                    ok = (label[a:b] != label[p]) & may_link(maps[p][None], maps[a:b], n[p], n[a:b], s.percent)
+                    if ok.any():
+                        hits = sid[a:b][ok]
+                        found.append(np.stack([np.minimum(hits, sid[p]), np.maximum(hits, sid[p])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = own.unionByName(probes).repartition("key", "band", "block").sortWithinPartitions("key", "band", "block", "probe", "n")
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
