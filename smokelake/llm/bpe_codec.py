@@ -34,7 +34,7 @@ def encoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):
 
         return pd.Series([one(t) for t in texts], dtype=object)
 
-    return encode
+    return encode.asNondeterministic()  # else Spark evaluates it again where its result is used twice
 
 
 def decoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):

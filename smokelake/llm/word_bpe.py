@@ -57,13 +57,15 @@ class WordBpe:
 
     def _derived(self) -> dict:
         if not self._state:
-            pairs = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(self.merges)}
+            # a pair of ids is one integer, and so is a queue entry (rank, position)
+            ranks = {self.vocab[a] << 32 | self.vocab[b]: rank for rank, (a, b) in enumerate(self.merges)}
             symbols = byte_symbols()
             names: list[str] = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
             for name, i in [*self.vocab.items(), *self.special.items()]:
                 names[i] = name
             self._state |= {
-                "pairs": pairs,
+                "ranks": ranks,
+                "made": [self.vocab[a + b] for a, b in self.merges],
                 "inner": [self.vocab[s] for s in symbols],
                 "last": [self.vocab[s + self.suffix] for s in symbols],
                 "names": names,
@@ -112,28 +114,31 @@ class WordBpe:
         if pre_token in self.special:
             return [self.special[pre_token]]
         state = self._derived()
-        pairs, data = state["pairs"], pre_token.encode("utf-8")
-        ids = [state["inner"][b] for b in data]
+        rank_of, made, data = state["ranks"].get, state["made"], pre_token.encode("utf-8")
+        ids = list(map(state["inner"].__getitem__, data))
         ids[-1] = state["last"][data[-1]]
         n = len(ids)
         if n == 1:
             return ids
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(pairs[p][0], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in pairs]
+        bits, mask = n.bit_length(), (1 << n.bit_length()) - 1
+        heap = [r << bits | i for i in range(n - 1) if (r := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i, rank = entry & mask, entry >> bits
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
-                continue
-            ids[i] = pairs[left, right][1]
+            if j == n or rank_of(ids[i] << 32 | ids[j]) != rank:
+                continue  # stale: a rank belongs to one pair, and that pair is no longer here
+            ids[i] = new = made[rank]
             ids[j] = -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] >= 0 and (p := (ids[a], ids[after[a]])) in pairs:
-                    heapq.heappush(heap, (pairs[p][0], a, *p))
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of(new << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, r << bits | i)
+            if (p := before[i]) >= 0 and (r := rank_of(ids[p] << 32 | new)) is not None:
+                heapq.heappush(heap, r << bits | p)
         return [x for x in ids if x >= 0]
 
     def single_tokens(self) -> frozenset[str]:
