@@ -2,8 +2,8 @@
 
 A line is the set of its distinct words in lower case. Words are ordered by rarity (the class of their count over the
 whole corpus, then hash); two sets that reach the threshold share a word of their prefixes in that order. Equal sets are
-one class, kept at its first place. Candidates pass length and positional filters and a bit signature, and are verified on
-the words. A line goes if a line before it, by document id and place, reaches the threshold.
+one class, kept at its first place. Candidates pass length and positional filters and are verified on
+the words themselves. A line goes if a line before it, by document id and place, reaches the threshold.
 """
 
 from __future__ import annotations
@@ -22,101 +22,99 @@ _GAP = r"[\x20\x09\x0B-\x0D]+"
 
 @dataclass(frozen=True)
 class LineSettings:
-    """tenths: the Jaccard threshold in tenths; buckets_log2: hash buckets in which words are counted for their rarity."""
+    """tenths: the Jaccard threshold in tenths; buckets_log2: hash buckets in which words are counted for their rarity; few: most lines of a key that gives all its pairs at once."""
 
     tenths: int = 8
     buckets_log2: int = 16
-
-
-def line_words(line: Column) -> Column:
-    """Distinct words of a line in lower case."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), _GAP)), "")
+    few: int = 16
 
 
 def rarity(docs: DataFrame, s: LineSettings) -> Column:
-    """A byte string that holds, for each bucket, three times the logarithm of the count of the words in it.
+    """An array literal that holds, for each bucket, three times the logarithm of the count of the words in it.
 
     Words of all documents are counted by the bucket of their hash, so a task sends at most a count for each bucket, and
-    the string that the driver gets and puts into later plans has 2 ** buckets_log2 characters, whatever the corpus.
+    what the driver gets and puts into later plans has 2 ** buckets_log2 numbers, whatever the corpus.
     """
     word = F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
     bucket = F.col("h").bitwiseAND(F.lit((1 << s.buckets_log2) - 1)).cast("int")
     counts = docs.select(word.alias("w")).select(F.xxhash64("w").alias("h")).groupBy(bucket.alias("bucket")).count()
     rows = docs.sparkSession.range(1 << s.buckets_log2).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     level = F.floor(3 * F.log2(1 + F.coalesce("count", F.lit(0)).cast("double")))
-    rows = rows.select("bucket", F.char(F.least(level, F.lit(126)) + 1).alias("level"))
-    in_order = F.array_sort(F.collect_list(F.struct("bucket", "level")))
-    return F.lit(rows.agg(F.array_join(F.transform(in_order, lambda x: x["level"]), "").alias("levels")).first()["levels"]).cast("binary")
+    in_order = F.array_sort(F.collect_list(F.struct("bucket", F.least(level, F.lit(126)).cast("string").alias("level"))))
+    listed = rows.agg(F.array_join(F.transform(in_order, lambda x: x["level"]), ",").alias("levels")).first()["levels"]
+    return F.from_json(F.lit(f"[{listed}]"), "array<int>")
 
 
-def lines_of(docs: DataFrame, levels: Column, s: LineSettings) -> DataFrame:
-    """Every line with a word: d and pos (its place), n (distinct words), sid (equal for equal sets), keys (its prefix), sig (64 bits)."""
-    lines = docs.select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hashes = F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))
+def ranked_words(line: Column, levels: Column, s: LineSettings) -> Column:
+    """The distinct words of a line in lower case as sorted numbers: rarity in the top byte, then 56 bits of the hash."""
 
-    def ranked(h: Column) -> Column:
-        bucket = h.bitwiseAND(F.lit((1 << s.buckets_log2) - 1)).cast("int")
-        level = F.ascii(F.substring(levels, bucket + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def rank(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.shiftleft(F.get(levels, h.bitwiseAND(F.lit((1 << s.buckets_log2) - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    rows = lines.select("d", "pos", F.array_sort(F.transform(hashes, ranked)).alias("r"))
+    # the empty string before a leading gap is no word
+    words = F.split(F.lower(F.ltrim(line)), _GAP)
+    return F.array_sort(F.array_distinct(F.transform(F.array_remove(words, ""), rank)))
+
+
+def lines_of(docs: DataFrame, levels: Column, s: LineSettings) -> DataFrame:
+    """Every line with a word: d and pos (its place), n (distinct words), sid (equal for equal sets), keys (its prefix)."""
+    lines = docs.select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = lines.select("d", "pos", ranked_words(F.col("line"), levels, s).alias("r"))
     n = F.size("r")
     length = n - F.ceil(n * s.tenths / 10).cast("int") + 1
     keys = F.transform(F.slice("r", 1, length), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    sig = F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return rows.filter(n > 0).select("d", "pos", n.alias("n"), F.xxhash64("r").alias("sid"), keys.alias("keys"), sig.alias("sig"))
-
+    return rows.filter(n > 0).select("d", "pos", n.alias("n"), F.xxhash64("r").alias("sid"), keys.alias("keys"))
 
-def _reach(na: str, nb: str, s: LineSettings) -> Column:
-    """Least overlap of sets of these sizes that reach the threshold."""
-    return F.ceil((F.col(na) + F.col(nb)) * s.tenths / (10 + s.tenths)).cast("int")
 
-
-def _place_filters(rows: DataFrame, s: LineSettings) -> DataFrame:
-    """Length filter, and positional filter: what is left from the shared word on must be enough."""
+def _fitting(rows: DataFrame, s: LineSettings) -> DataFrame:
+    """Length filter, and positional filter: what is left from the shared word on must be enough for the least overlap. Pairs of places a before b."""
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return rows.filter((10 * F.least("na", "nb") >= s.tenths * F.greatest("na", "nb")) & (left >= _reach("na", "nb", s)))
+    least = F.ceil((F.col("na") + F.col("nb")) * s.tenths / (10 + s.tenths)).cast("int")
+    rows = rows.filter("da < db OR (da = db AND pa < pb)")
+    return rows.filter((10 * F.least("na", "nb") >= s.tenths * F.greatest("na", "nb")) & (left >= least)).select("da", "pa", "db", "pb").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: LineSettings) -> DataFrame:
-    """From candidate pairs of places (a before b), the classes (sid) of b that reach the threshold with a line before them."""
-    side = lambda x: classes.select(F.col("d").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("sid").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}"))
-    both = pairs.join(side("a"), ["da", "pa"]).join(side("b"), ["db", "pb"]).filter("sa <> sb")
-    only = lambda x, y: F.col(f"n{x}") - F.bit_count(F.col(f"g{x}").bitwiseAND(F.bitwise_not(F.col(f"g{y}"))))
-    both = materialize(both.filter(F.least(only("a", "b"), only("b", "a")) >= _reach("na", "nb", s)).select("da", "pa", "sa", "db", "pb", "sb"))
-    wanted = both.select(F.explode(F.array(F.struct(F.col("da").alias("d"), F.col("pa").alias("pos")), F.struct(F.col("db").alias("d"), F.col("pb").alias("pos")))).alias("x"))
+def _verified(pairs: DataFrame, docs: DataFrame, s: LineSettings) -> DataFrame:
+    """The places b of candidate pairs that reach the threshold with a, compared word by word."""
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.explode(F.array(F.struct(F.col("da").alias("d"), F.col("pa").alias("pos")), F.struct(F.col("db").alias("d"), F.col("pb").alias("pos")))).alias("x"))
     wanted = wanted.select("x.*").groupBy("d").agg(F.collect_set("pos").alias("wanted"))
     lines = docs.join(wanted, "d").select("d", "wanted", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.array_contains("wanted", F.col("pos")))
-    words = materialize(lines.select("d", "pos", line_words(F.col("line")).alias("words")))
+    words = F.array_distinct(F.array_remove(F.split(F.lower(F.ltrim("line")), _GAP), ""))
+    words = materialize(lines.select("d", "pos", words.alias("words")))
     left, right = words.toDF("da", "pa", "wa"), words.toDF("db", "pb", "wb")
-    rows = both.join(left, ["da", "pa"]).join(right, ["db", "pb"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
+    rows = pairs.join(left, ["da", "pa"]).join(right, ["db", "pb"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
     union = F.size("wa") + F.size("wb") - F.col("o")
-    return rows.filter(10 * F.col("o") >= s.tenths * union).select(F.col("sb").alias("sid")).distinct()
+    return rows.filter(10 * F.col("o") >= s.tenths * union).select(F.col("db").alias("d"), F.col("pb").alias("pos")).distinct()
 
 
 def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> DataFrame:
-    """docs: d and text. Returns d and gone, the places of the lines that go."""
+    """docs: d and text. Returns d and gone, the places of the lines that go.
+
+    A key with few lines gives all its pairs; lines of any other key meet its first line, and only those that still stay
+    meet all lines before them. So many variants of one line cost pairs in proportion to their number.
+    """
     s = settings
     lines = materialize(lines_of(docs, rarity(docs, s), s))
-    first = F.min(F.struct("d", "pos", "keys", "sig"))
-    classes = materialize(lines.groupBy("sid", "n").agg(first.alias("x")).select("sid", "n", "x.*"))
-
-    def exploded(rows: DataFrame) -> DataFrame:
-        return rows.select("d", "pos", "n", F.posexplode("keys").alias("i", "key"))
-
-    # round one: each line against the first line of each of its keys
+    classes = lines.groupBy("sid", "n").agg(F.min(F.struct("d", "pos", "keys")).alias("x")).select("n", "x.*")
     by_key = Window.partitionBy("key")
-    star = exploded(classes).withColumn("c", F.min(F.struct("d", "pos", "n", "i")).over(by_key))
-    star = star.select(F.col("c.d").alias("da"), F.col("c.pos").alias("pa"), F.col("c.n").alias("na"), F.col("c.i").alias("ia"), F.col("d").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    star = _place_filters(star.filter("NOT (da = db AND pa = pb)"), s).select("da", "pa", "db", "pb").distinct()
-    gone = materialize(_verified(star, docs, classes, s))
-    # round two: lines that still stay against every line before them that shares a key
-    staying = exploded(classes.join(gone, "sid", "left_anti")).toDF("db", "pb", "nb", "ib", "key")
-    before = exploded(classes).toDF("da", "pa", "na", "ia", "key")
-    rest = before.join(staying, "key").filter("da < db OR (da = db AND pa < pb)")
-    gone = gone.union(_verified(_place_filters(rest, s).select("da", "pa", "db", "pb").distinct(), docs, classes, s))
-
-    decided = classes.select("sid", "n", F.col("d").alias("fd"), F.col("pos").alias("fp")).join(gone.distinct().withColumn("all", F.lit(True)), "sid", "left")
+    rows = classes.select("d", "pos", "n", F.posexplode("keys").alias("i", "key"))
+    rows = rows.withColumns({"c": F.min(F.struct("d", "pos", "n", "i")).over(by_key), "many": F.count("*").over(by_key)})
+    rows = materialize(rows.filter("many > 1"))
+
+    a = rows.select("key", F.col("d").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"), "many")
+    b = rows.select("key", F.col("d").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"), "many", "c")
+    sides = ["da", "pa", "na", "ia", "db", "pb", "nb", "ib"]
+    few = a.filter(F.col("many") <= s.few).drop("many").join(b.filter(F.col("many") <= s.few), "key").select(*sides)
+    star = b.filter(F.col("many") > s.few).select(F.col("c.d").alias("da"), F.col("c.pos").alias("pa"), F.col("c.n").alias("na"), F.col("c.i").alias("ia"), "db", "pb", "nb", "ib")
+    gone = materialize(_verified(_fitting(few.unionByName(star), s), docs, s))
+    staying = b.filter(F.col("many") > s.few).drop("many", "c").join(gone.toDF("db", "pb"), ["db", "pb"], "left_anti")
+    rest = a.filter(F.col("many") > s.few).drop("many").join(staying, "key")
+    gone = gone.union(_verified(_fitting(rest, s), docs, s)).distinct()
+
+    first = lines.groupBy("sid", "n").agg(F.min(F.struct("d", "pos")).alias("f")).select("sid", "n", F.col("f.d").alias("fd"), F.col("f.pos").alias("fp"))
+    decided = first.join(gone.toDF("fd", "fp").withColumn("all", F.lit(True)), ["fd", "fp"], "left")
     out = lines.select("sid", "n", "d", "pos").join(decided, ["sid", "n"]).filter("all OR NOT (d = fd AND pos = fp)")
     return out.groupBy("d").agg(F.collect_set("pos").alias("gone"))
 
@@ -126,7 +124,7 @@ def line_dedup(docs: DataFrame, settings: LineSettings = LineSettings(), doc_id:
 
     Lines end at line breaks; a line without words matches nothing and stays. Null texts stay null, with 0 lines; an empty
     text is one line. Rows that repeat an id are at the same places, so neither is before the other and their equal lines
-    stay in both; ids are compared as long integers, null as the smallest. An empty table gives no rows. Long texts are
+    stay in both (an id is taken to have one text); ids are compared as long integers, null as the smallest. An empty table gives no rows. Long texts are
     processed whole. Other columns pass through; those named like the new ones are replaced.
     """
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
