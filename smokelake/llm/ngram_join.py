@@ -32,7 +32,7 @@ _INSIDE = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
 
 @dataclass(frozen=True)
 class JaccardSettings:
-    """shingle: words of a shingle; percent: sets link when 100 * intersection >= percent * union; bits: of a bitmap (a power of two).
+    """shingle: words of a shingle; percent: sets link when 100 * intersection >= percent * union; bits: most of a bitmap (a power of two).
 
     hot: most shingles that are moved to the end of the order because they are frequent (a fixed bound of what is broadcast;
     any choice of them gives the same result); hot_least: occurrences that make one of them; block: rows of a tile's block;
@@ -41,7 +41,7 @@ class JaccardSettings:
 
     shingle: int = 4
     percent: int = 85
-    bits: int = 2048
+    bits: int = 1 << 16
     hot: int = 1 << 17
     hot_least: int = 16
     block: int = 1024
@@ -96,22 +96,53 @@ def set_id(a: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(a.tobytes()).digest()[:8], "little", signed=True)
 
 
-def bitmap(a: np.ndarray, bits: int) -> bytes:
+def bitmap(a: np.ndarray, s: JaccardSettings) -> bytes:
+    """Two to four bits for each element, a power of two between 256 and s.bits."""
+    bits = max(256, min(s.bits, 1 << (2 * len(a) - 1).bit_length()))
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(a >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(flags).tobytes()
 
 
-def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Rows of two bitmap tables whose upper bound of the overlap reaches the threshold. Bits set on one side alone stand for at least as many elements that the other lacks."""
-    only_a = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
-    only_b = np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bytes as bitmaps of fewer bytes: the hash loses its upper bits, so halves are united."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return np.ascontiguousarray(maps).view(np.uint64)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
+    """Pairs of rows of two tables of bytes (or one row and a table) whose upper bound of the overlap reaches the threshold. Bits set on one side alone stand for at least as many elements that the other lacks."""
+    width = min(a.shape[1], b.shape[1])
+    a, b = folded(a, width), folded(b, width)
+    only_a = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+    only_b = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
     most = np.minimum(na - only_a, nb - only_b)
     return (100 + percent) * most >= percent * (na + nb)
 
 
-def _maps(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
+class Maps:
+    """Bitmaps of a column, in one table of bytes for each width; rows of one width that follow each other are a slice."""
+
+    def __init__(self, column: pd.Series):
+        self.width = np.fromiter(map(len, column), dtype=np.int64, count=len(column))
+        self.place = np.zeros(len(column), dtype=np.int64)
+        self.table = {}
+        values = column.to_numpy()
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.table[w] = np.frombuffer(b"".join(values[at]), dtype=np.uint8).reshape(len(at), w)
+
+    def row(self, k: int) -> np.ndarray:
+        return self.table[self.width[k]][self.place[k]][None]
+
+    def runs(self, lo: int, hi: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The rows from lo to hi in runs of one width."""
+        cuts = [lo, *(np.flatnonzero(np.diff(self.width[lo:hi])) + lo + 1), hi]
+        for u, v in zip(cuts[:-1], cuts[1:], strict=True):
+            yield u, v, self.table[self.width[u]][self.place[u] : self.place[u] + v - u]
 
 
 def class_table(docs: DataFrame, doc_id: str, text: str, s: JaccardSettings) -> DataFrame:
@@ -125,7 +156,7 @@ def class_table(docs: DataFrame, doc_id: str, text: str, s: JaccardSettings) ->
             for t in texts:
                 a = shingle_set(t, s, powers)
                 if len(a):
-                    out.append((len(a), set_id(a), bitmap(a, s.bits), None, None))
+                    out.append((len(a), set_id(a), bitmap(a, s), None, None))
                     distinct[out[-1][1]] = a
                 else:
                     out.append((0, None, None, None, None))
@@ -181,7 +212,13 @@ def by_bitmap(pairs: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataF
 
     @F.pandas_udf("boolean")
     def passes(ma: pd.Series, mb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        return pd.Series(may_link(_maps(ma), _maps(mb), na.to_numpy(), nb.to_numpy(), s.percent) if len(ma) else [], dtype=bool)
+        ok = np.zeros(len(ma), dtype=bool)
+        widths = ma.str.len().to_numpy() * (1 << 20) + mb.str.len().to_numpy() if len(ma) else np.empty(0, np.int64)
+        for w in np.unique(widths):
+            at = np.flatnonzero(widths == w)
+            a, b = (np.frombuffer(b"".join(m.iloc[at]), dtype=np.uint8).reshape(len(at), -1) for m in (ma, mb))
+            ok[at] = may_link(a, b, na.to_numpy()[at], nb.to_numpy()[at], s.percent)
+        return pd.Series(ok)
 
     left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma"))
     right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb"))
@@ -255,15 +292,15 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
     def tiles(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
         """Probes against the other rows of each tile; within a tile rows are ordered by probe and size."""
         n, label, sid, probe = (pdf[c].to_numpy() for c in ("n", "label", "sid", "probe"))
-        maps, found = _maps(pdf["map"]), [np.empty((0, 2), np.int64)]
+        maps, found = Maps(pdf["map"]), [np.empty((0, 2), np.int64)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             mid = lo + int(np.count_nonzero(~probe[lo:hi]))
             for p in range(mid, hi):
                 a, b = lo + np.searchsorted(n[lo:mid], [-(-s.percent * n[p] // 100), 100 * n[p] // s.percent + 1])
-                if a < b:
-                    ok = (label[a:b] != label[p]) & may_link(maps[p][None], maps[a:b], n[p], n[a:b], s.percent)
+                for u, v, part in maps.runs(a, b) if a < b else ():
+                    ok = (label[u:v] != label[p]) & may_link(maps.row(p), part, n[p], n[u:v], s.percent)
                     if ok.any():
-                        hits = sid[a:b][ok]
+                        hits = sid[u:v][ok]
                         found.append(np.stack([np.minimum(hits, sid[p]), np.maximum(hits, sid[p])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
