@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches
 from .word_bpe import WordBpe
@@ -56,7 +57,7 @@ def decoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):
     return decode
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sha256_utf8(texts: pd.Series) -> pd.Series:
     """Lowercase hex digest; right behind decoder() it runs in the same worker, so decoded texts need not go to the JVM."""
     return pd.Series([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts], dtype=object)
