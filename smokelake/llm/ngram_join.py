@@ -259,28 +259,29 @@ def set_arrays(docs: DataFrame, pairs: DataFrame, members: DataFrame, doc_id: st
 def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
     """Pairs (a, b) that share a key, lie in different components, fit in size and pass the bitmaps; centres are done.
 
-    A key is open while its other classes lie in two components or more. Classes outside the key's first component are the
-    minor ones; each is sent to all blocks of the fitting size bands, every class to its own block.
+    A key is open while its other classes lie in two components or more; its first component is the major one. The classes
+    of all open keys with one major component make a tile, each of them once. Those outside that component are the minor
+    ones; each is sent to all blocks of the fitting size bands, every class to its own block.
     """
     rows = keys.filter("sid <> centre").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
-    rows = rows.select("key", "sid", "n", F.coalesce("label", "sid").alias("label"))
-    open_keys = rows.groupBy("key").agg(F.min("label").alias("major"), F.max("label").alias("other"), F.count("*").alias("rows")).filter("major <> other")
-    blocks = F.ceil(F.col("rows") / F.lit(s.block)).cast("int")
-    rows = rows.join(open_keys.select("key", "major", blocks.alias("blocks")), "key").join(classes.select("sid", "map"), "sid")
+    rows = materialize(rows.select("key", "sid", "n", F.coalesce("label", "sid").alias("label")))
+    open_keys = rows.groupBy("key").agg(F.min("label").alias("major"), F.max("label").alias("other")).filter("major <> other").select("key", "major")
+    members = materialize(rows.join(open_keys, "key").select("major", "sid", "n", "label").distinct())
+    blocks = members.groupBy("major").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks"))
     width = float(np.log(100 / s.percent)) * 1.000001
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-    rows = rows.withColumn("band", band)
-    own = rows.select("key", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "n", "label", "map", F.lit(False).alias("probe"))
+    rows = members.join(blocks, "major").join(classes.select("sid", "map"), "sid").withColumn("band", band)
+    own = rows.select("major", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "n", "label", "map", F.lit(False).alias("probe"))
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    probes = rows.filter("label <> major").select("key", near.alias("band"), "blocks", "sid", "n", "label", "map")
-    probes = probes.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "n", "label", "map", F.lit(True).alias("probe"))
+    probes = rows.filter("label <> major").select("major", near.alias("band"), "blocks", "sid", "n", "label", "map")
+    probes = probes.select("major", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "n", "label", "map", F.lit(True).alias("probe"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Tiles come one after the other; the last one of a batch may go on in the next."""
         kept: pd.DataFrame | None = None
         for pdf in batches:
             pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            tile = pdf[["key", "band", "block"]].to_numpy()
+            tile = pdf[["major", "band", "block"]].to_numpy()
             edges = np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1
             cut = edges[-1] if len(edges) else 0
             kept = pdf.iloc[cut:]
@@ -291,21 +292,22 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
 
     def tiles(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
         """Probes against the other rows of each tile; within a tile rows are ordered by probe and size."""
-        n, label, sid, probe = (pdf[c].to_numpy() for c in ("n", "label", "sid", "probe"))
+        n, label, sid, probe, major = (pdf[c].to_numpy() for c in ("n", "label", "sid", "probe", "major"))
         maps, found = Maps(pdf["map"]), [np.empty((0, 2), np.int64)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             mid = lo + int(np.count_nonzero(~probe[lo:hi]))
             for p in range(mid, hi):
                 a, b = lo + np.searchsorted(n[lo:mid], [-(-s.percent * n[p] // 100), 100 * n[p] // s.percent + 1])
                 for u, v, part in maps.runs(a, b) if a < b else ():
-                    ok = (label[u:v] != label[p]) & may_link(maps.row(p), part, n[p], n[u:v], s.percent)
+                    # two minor ones meet twice, as probe and row and the other way round
+                    ok = (label[u:v] != label[p]) & ((label[u:v] == major[p]) | (sid[u:v] > sid[p])) & may_link(maps.row(p), part, n[p], n[u:v], s.percent)
                     if ok.any():
                         hits = sid[u:v][ok]
                         found.append(np.stack([np.minimum(hits, sid[p]), np.maximum(hits, sid[p])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = own.unionByName(probes).repartition("key", "band", "block").sortWithinPartitions("key", "band", "block", "probe", "n")
+    dealt = own.unionByName(probes).repartition("major", "band", "block").sortWithinPartitions("major", "band", "block", "probe", "n")
     return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
