@@ -54,7 +54,7 @@ def ranked_words(line: Column, levels: Column, s: LineSettings) -> Column:
 
     # the empty string before a leading gap is no word
     words = F.split(F.lower(F.ltrim(line)), _GAP)
-    return F.array_sort(F.array_distinct(F.transform(F.array_remove(words, ""), rank)))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words, ""), rank)))  # array_sort would compare by a lambda
 
 
 def lines_of(docs: DataFrame, levels: Column, s: LineSettings) -> DataFrame:
