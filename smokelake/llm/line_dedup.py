@@ -22,11 +22,11 @@ _GAP = r"[\x20\x09\x0B-\x0D]+"
 
 @dataclass(frozen=True)
 class LineSettings:
-    """tenths: the Jaccard threshold in tenths; buckets_log2: hash buckets in which words are counted for their rarity; few: most lines of a key that gives all its pairs at once."""
+    """tenths: the Jaccard threshold in tenths; buckets_log2: hash buckets in which words are counted for their rarity; few: most lines of a key of which all pairs are taken at once."""
 
     tenths: int = 8
     buckets_log2: int = 16
-    few: int = 16
+    few: int = 8
 
 
 def rarity(docs: DataFrame, s: LineSettings) -> Column:
@@ -67,12 +67,10 @@ def lines_of(docs: DataFrame, levels: Column, s: LineSettings) -> DataFrame:
     return rows.filter(n > 0).select("d", "pos", n.alias("n"), F.xxhash64("r").alias("sid"), keys.alias("keys"))
 
 
-def _fitting(rows: DataFrame, s: LineSettings) -> DataFrame:
-    """Length filter, and positional filter: what is left from the shared word on must be enough for the least overlap. Pairs of places a before b."""
-    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    least = F.ceil((F.col("na") + F.col("nb")) * s.tenths / (10 + s.tenths)).cast("int")
-    rows = rows.filter("da < db OR (da = db AND pa < pb)")
-    return rows.filter((10 * F.least("na", "nb") >= s.tenths * F.greatest("na", "nb")) & (left >= least)).select("da", "pa", "db", "pb").distinct()
+def _fits(na: Column, ia: Column, nb: Column, ib: Column, s: LineSettings) -> Column:
+    """Length filter, and positional filter: what is left from the shared word on must be enough for the least overlap."""
+    least = F.ceil((na + nb) * s.tenths / (10 + s.tenths)).cast("int")
+    return (10 * F.least(na, nb) >= s.tenths * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) >= least)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, s: LineSettings) -> DataFrame:
@@ -92,26 +90,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: LineSettings) -> DataFrame:
 def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> DataFrame:
     """docs: d and text. Returns d and gone, the places of the lines that go.
 
-    A key with few lines gives all its pairs; lines of any other key meet its first line, and only those that still stay
-    meet all lines before them. So many variants of one line cost pairs in proportion to their number.
+    The lines of a key are put in order of place. Each meets the few lines before it and the key's first line; only those
+    of longer keys that still stay then meet all lines before them. So many variants of one line cost pairs in proportion
+    to their number.
     """
     s = settings
     lines = materialize(lines_of(docs, rarity(docs, s), s))
     classes = lines.groupBy("sid", "n").agg(F.min(F.struct("d", "pos", "keys")).alias("x")).select("n", "x.*")
-    by_key = Window.partitionBy("key")
+    by_key = Window.partitionBy("key").orderBy("d", "pos")
     rows = classes.select("d", "pos", "n", F.posexplode("keys").alias("i", "key"))
-    rows = rows.withColumns({"c": F.min(F.struct("d", "pos", "n", "i")).over(by_key), "many": F.count("*").over(by_key)})
-    rows = materialize(rows.filter("many > 1"))
-
-    a = rows.select("key", F.col("d").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"), "many")
-    b = rows.select("key", F.col("d").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"), "many", "c")
-    sides = ["da", "pa", "na", "ia", "db", "pb", "nb", "ib"]
-    few = a.filter(F.col("many") <= s.few).drop("many").join(b.filter(F.col("many") <= s.few), "key").select(*sides)
-    star = b.filter(F.col("many") > s.few).select(F.col("c.d").alias("da"), F.col("c.pos").alias("pa"), F.col("c.n").alias("na"), F.col("c.i").alias("ia"), "db", "pb", "nb", "ib")
-    gone = materialize(_verified(_fitting(few.unionByName(star), s), docs, s))
-    staying = b.filter(F.col("many") > s.few).drop("many", "c").join(gone.toDF("db", "pb"), ["db", "pb"], "left_anti")
-    rest = a.filter(F.col("many") > s.few).drop("many").join(staying, "key")
-    gone = gone.union(_verified(_fitting(rest, s), docs, s)).distinct()
+    place = F.struct("d", "pos", "n", "i")
+    before = F.array(F.first(place).over(by_key), *[F.lag(place, k).over(by_key) for k in range(1, s.few)])
+    rows = rows.withColumns({"before": before, "many": F.count("*").over(Window.partitionBy("key"))}).filter("many > 1")
+    # pairs that can't reach the threshold go before anything is stored
+    fit = F.filter("before", lambda a: a.isNotNull() & ((a["d"] < F.col("d")) | ((a["d"] == F.col("d")) & (a["pos"] < F.col("pos")))) & _fits(a["n"], a["i"], F.col("n"), F.col("i"), s))
+    rows = rows.withColumn("before", F.transform(fit, lambda a: F.struct(a["d"].alias("d"), a["pos"].alias("pos"))))
+    only_long = lambda c: F.when(F.col("many") > s.few, F.col(c))
+    rows = rows.select(only_long("key").alias("key"), "d", "pos", only_long("n").alias("n"), only_long("i").alias("i"), "before")
+    rows = materialize(rows.filter("key IS NOT NULL OR size(before) > 0"))
+
+    pairs = rows.select(F.explode("before").alias("a"), F.col("d").alias("db"), F.col("pos").alias("pb")).select(F.col("a.d").alias("da"), F.col("a.pos").alias("pa"), "db", "pb").distinct()
+    gone = materialize(_verified(pairs, docs, s))
+    longer = rows.filter("key IS NOT NULL")
+    a = longer.select("key", F.col("d").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = longer.select("key", F.col("d").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib")).join(gone.toDF("db", "pb"), ["db", "pb"], "left_anti")
+    rest = a.join(b, "key").filter("da < db OR (da = db AND pa < pb)").filter(_fits(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), s))
+    gone = gone.union(_verified(rest.select("da", "pa", "db", "pb").distinct(), docs, s)).distinct()
 
     first = lines.groupBy("sid", "n").agg(F.min(F.struct("d", "pos")).alias("f")).select("sid", "n", F.col("f.d").alias("fd"), F.col("f.pos").alias("fp"))
     decided = first.join(gone.toDF("fd", "fp").withColumn("all", F.lit(True)), ["fd", "fp"], "left")
