@@ -131,9 +131,9 @@ def scale_raster(x, y, from_w, from_h, to_w, to_h) -> Column:
 
 
 def event_status(name) -> Column:
-    """Status text of a class: boom and smoke speak for themselves."""
+    """Status text of an event's class (fixed values)."""
     n = F.lower(F.trim(_c(name)))
-    return F.when(n.isin("boom", "smoke"), n).otherwise(F.concat(F.lit("detected-"), n))
+    return F.when(n.isin("boom", "smoke"), F.concat(F.lit("new-impact-"), n)).otherwise(F.concat(F.lit("detected-"), n))
 
 
 def event_label(event_id) -> Column:

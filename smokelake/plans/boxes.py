@@ -121,9 +121,9 @@ def b12(t):
     return rows.select("event_id", R("p.x").alias("x"), R("p.y").alias("y"))
 
 
-@query("b13_event_status", "SELECT event_id, CASE WHEN cls_name IN ('boom', 'smoke') THEN cls_name ELSE concat('detected-', cls_name) END AS status, printf('S%02d', event_id % 150) AS label FROM detections")
+@query("b13_event_status", "SELECT event_id, CASE cls_name WHEN 'click' THEN 'new-impact-boom' WHEN 'view' THEN 'new-impact-smoke' ELSE concat('detected-', cls_name) END AS status, printf('S%02d', event_id % 150) AS label FROM detections")
 def b13(t):
-    return t("detections").select("event_id", X.event_status("cls_name").alias("status"), X.event_label(F.col("event_id") % 150).alias("label"))
+    return t("detections").select("event_id", X.event_status(F.expr("CASE cls_name WHEN 'click' THEN 'Boom' WHEN 'view' THEN ' smoke' ELSE cls_name END")).alias("status"), X.event_label(F.col("event_id") % 150).alias("label"))
 
 
 TWD = """g AS (SELECT *, 1 - power(6356752.3142451e0, 2) / power(6378137e0, 2) AS e FROM {src}),

@@ -31,9 +31,9 @@ def e08(t):
 
 
 @query("e09_focal_stats", f"""WITH {DIFF}, s AS (SELECT a.video_id, a.frame_idx, a.cx, a.cy, any_value(a.ad) AS ad, avg(b.ad) AS m, sqrt(greatest(avg(b.ad * b.ad) - power(avg(b.ad), 2), 0e0)) AS d FROM df a JOIN df b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND abs(a.cx - b.cx) <= 3 AND abs(a.cy - b.cy) <= 3 GROUP BY a.video_id, a.frame_idx, a.cx, a.cy)
-SELECT video_id, frame_idx, cx, cy, round(m, 4) AS local_mean, round(d, 3) AS local_std FROM s""")
+SELECT video_id, frame_idx, cx, cy, round(m + 1e-7, 3) AS local_mean, round(d, 3) AS local_std FROM s""")
 def e09(t):
-    return O.adaptive_threshold(_diff(t), 3).select(*O.CELL, R("local_mean", 4).alias("local_mean"), R("local_std", 3).alias("local_std"))
+    return O.adaptive_threshold(_diff(t), 3).select(*O.CELL, R(F.col("local_mean") + 1e-7, 3).alias("local_mean"), R("local_std", 3).alias("local_std"))
 
 
 @query("e10_focal_minmax", """WITH y1 AS (SELECT a.video_id, a.frame_idx, a.cx, a.cy, min(b.lum) AS v FROM cells a JOIN cells b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.cx = b.cx AND abs(a.cy - b.cy) <= 1 GROUP BY ALL),
