@@ -97,8 +97,8 @@ def set_id(a: np.ndarray) -> int:
 
 
 def bitmap(a: np.ndarray, s: JaccardSettings) -> bytes:
-    """Two to four bits for each element, a power of two between 256 and s.bits."""
-    bits = max(256, min(s.bits, 1 << (2 * len(a) - 1).bit_length()))
+    """Four to eight bits for each element, a power of two between 256 and s.bits."""
+    bits = max(256, min(s.bits, 1 << (4 * len(a) - 1).bit_length()))
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(a >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(flags).tobytes()
