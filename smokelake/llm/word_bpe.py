@@ -19,7 +19,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: others are split by the library's own normalizer and pre-tokenizer, whose Unicode tables may be older than Python's.
 STABLE = r"[^\u0000-\u052F\u2010-\u2027\u2030-\u205E]"
 #: Entries that a worker's memo of pre-tokens may hold before it is emptied.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def byte_symbols() -> list[str]:
