@@ -55,9 +55,9 @@ def _blobs(t):
     return O.blobs(labelled)
 
 
-@query("d01_candidate_evidence", f"WITH {BLOB} SELECT video_id, frame_idx, blob, area, round(polarity, 5) AS polarity, round(coherence, 5) AS coherence, round(mad, 5) AS mean_abs_delta, round(area / CAST(w * h AS DOUBLE), 5) AS fill FROM bl")
+@query("d01_candidate_evidence", f"WITH {BLOB} SELECT video_id, frame_idx, blob, area, round(polarity + 1e-7, 5) AS polarity, round(coherence + 1e-7, 5) AS coherence, round(mad + 1e-7, 5) AS mean_abs_delta, round(area / CAST(w * h AS DOUBLE) + 1e-7, 5) AS fill FROM bl")
 def d01(t):
-    return _blobs(t).select("video_id", "frame_idx", "blob", "area", *[R(c).alias(c) for c in ("polarity", "coherence", "mean_abs_delta", "fill")])
+    return _blobs(t).select("video_id", "frame_idx", "blob", "area", *[R(F.col(c) + 1e-7).alias(c) for c in ("polarity", "coherence", "mean_abs_delta", "fill")])
 
 
 NOISE = BLOB + """, nz AS (SELECT b.video_id, b.frame_idx, b.blob, greatest(quantile_cont(d.ad, 0.75), 1e0) AS noise FROM bl b JOIN df d ON b.video_id = d.video_id AND b.frame_idx = d.frame_idx AND d.cx >= b.x - greatest(w, h, 8) AND d.cx < b.x + b.w + greatest(w, h, 8) AND d.cy >= b.y - greatest(w, h, 8) AND d.cy < b.y + b.h + greatest(w, h, 8) GROUP BY b.video_id, b.frame_idx, b.blob),
