@@ -100,3 +100,10 @@ def json_rows(logged: DataFrame) -> DataFrame:
     position = F.when(known, F.struct(num("lon").alias("lon"), num("lat").alias("lat"), num("easting").alias("easting"), num("northing").alias("northing")))
     body = F.struct("event_id", "frame_idx", "confirm_frame", "coordinate_status", position.alias("position"), F.lit(True).alias("position_is_approximate"))
     return logged.select("event_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def localization_log(rows: DataFrame) -> DataFrame:
+    """One JSON object for each row, nulls kept, NaN and infinite numbers as null."""
+    kinds = dict(rows.dtypes)
+    plain = [F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in rows.columns]
+    return rows.select(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("json"))
