@@ -251,7 +251,7 @@ def set_arrays(docs: DataFrame, pairs: DataFrame, members: DataFrame, doc_id: st
         arrays = [shingle_set(t, s, powers) for t in texts]
         return pd.Series([a.tobytes() if set_id(a) == w else None for a, w in zip(arrays, want, strict=True)], dtype=object)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(members, "sid").select(F.col("doc").alias("doc_id"), "sid")
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(members, "sid").select(F.col("doc").alias("doc_id"), "sid")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("sid", measure("text", "sid").alias("set"))
     return materialize(rows.filter("set IS NOT NULL").dropDuplicates(["sid"]))  # an id that repeats may come with other texts
 
@@ -270,9 +270,9 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
     blocks = members.groupBy("major").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks"))
     width = float(np.log(100 / s.percent)) * 1.000001
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-    rows = members.join(blocks, "major").join(classes.select("sid", "map"), "sid").withColumn("band", band)
+    rows = members.join(blocks, "major").join(classes.select("sid", "map"), "sid").withColumn("band", F.when(F.col("blocks") > 1, band).otherwise(0))
     own = rows.select("major", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "n", "label", "map", F.lit(False).alias("probe"))
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    near = F.explode(F.when(F.col("blocks") > 1, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band")))
     probes = rows.filter("label <> major").select("major", near.alias("band"), "blocks", "sid", "n", "label", "map")
     probes = probes.select("major", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "n", "label", "map", F.lit(True).alias("probe"))
 
