@@ -26,11 +26,17 @@ KINDS = ("assign", "access", "hex", "novel")
 _assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _access = re.compile(ACCESS)
 _hex = re.compile(HEX.replace("+", "{%d,}" % LEAST["hex"]))  # runs are maximal, so shorter ones need no match
-_context = re.compile(
-    r"(?:key|secret|token|passw(?:or)?d|passphrase|pwd|auth|bearer|credential|private|signature|session|cookie|login)\w{0,24}"
-    r"""["']?\s{0,4}(?:[:=]|=>|is|\s)\s{0,4}["']?([A-Za-z0-9+/_=~-]{16,})""",
+_hint = re.compile(r"key|secret|token|passw(?:or)?d|passphrase|pwd|auth|bearer|credential|private|signature|session|cookie|login", re.ASCII | re.IGNORECASE)
+_name = re.compile(r"[\w.-]*+", re.ASCII)
+#: What may stand between a name and its value: closing marks, an annotation before =, then any run of blanks, separators, opening marks and string prefixes.
+_between = re.compile(
+    r"""["'`)\]]*+(?:\s*+:\s*+[A-Za-z_][\w.\[\], |]*+(?==))?+(?:[\s:=<>(\[{,|"'`]|->|is\s|[bru]{1,2}(?=["'`]))++""",
     re.ASCII | re.IGNORECASE,
 )
+_value = re.compile(r"[A-Za-z0-9+/_=~-]{16,}+")
+_piece = re.compile(r"[A-Za-z0-9+/_~-]{16,}+=*+")  # a value behind an inner =
+_words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_consonants = re.compile(r"[bcdfghj-np-tvwxz]{5}", re.IGNORECASE)
 _hints = ("key", "secret", "token", "passw", "passphrase", "pwd", "auth", "bearer", "credential", "private", "signature", "session", "cookie", "login")
 
 #: Ordinary code that primes the compressor.
@@ -46,12 +52,12 @@ January February March April May June July August September October November Dec
 
 @dataclass(frozen=True)
 class NoveltyRules:
-    """around: bytes of surrounding text on each side; least: share of a candidate's own bytes that it must add to count; digits, letters: how many of each it needs."""
+    """around: bytes of surrounding text on each side; least: share of a candidate's own bytes that it must add to count; digits, word: a candidate of fewer digits whose words have so many letters on average (one more in mixed case) may be a name."""
 
     around: int = 512
     least: float = 0.72
     digits: int = 3
-    letters: int = 3
+    word: int = 3
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -79,21 +85,50 @@ class Novelty:
         return (len(self.compressor.compress(whole)) - len(self.compressor.compress(around))) / len(candidate.encode())
 
 
+def is_name(s: str, rules: NoveltyRules) -> bool:
+    """Ordinary words: few digits, words (also in camel case) of some length, nowhere five consonants in a row."""
+    if sum(c.isdigit() for c in s) >= rules.digits:
+        return False
+    words = _words.findall(s)
+    least = rules.word + (not s.islower() and not s.isupper())  # letters of both cases fall into short words by chance
+    return sum(map(len, words)) >= least * len(words) > 0 and not any(map(_consonants.search, words))
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each value next to a sensitive word, by that word.
+
+    A value may hold sensitive words that have a value of their own, so the search goes on behind the word, not behind the
+    value; what then starts within an earlier value ends at the next =, so a text costs time in proportion to its length.
+    """
+    at, last = 0, (-1, -1)
+    while hint := _hint.search(text, at):
+        at = _name.match(text, hint.end()).end()
+        gap = _between.match(text, at)
+        if gap is None:
+            continue
+        inner = gap.end() < last[1]
+        value = (_piece if inner else _value).match(text, gap.end())
+        if value is not None and value.span() != last:
+            yield value.span()
+            last = last if inner else value.span()
+
+
 def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: Novelty, rules: NoveltyRules) -> list[tuple[int, str, int]]:
     """Candidates in a sensitive context that touch no base span and are nearly incompressible."""
     low = text.lower()
     if not any(h in low for h in _hints):
         return []
-    out = []
-    for m in _context.finditer(text):
-        start, end = m.span(1)
-        s = m[1]
-        if sum(c.isdigit() for c in s) < rules.digits or sum(c.isalpha() for c in s) < rules.letters:
+    out: list[tuple[int, str, int]] = []
+    reached = -1
+    for start, end in candidates(text):
+        s = text[start:end]
+        if start < reached or is_name(s, rules):
             continue
         if any(a < end and start < b for a, _, b in taken):
             continue
         if novelty.share(text[max(0, start - rules.around) : start], s, text[end : end + rules.around]) >= rules.least:
             out.append((start, "novel", end))
+            reached = end
     return out
 
 

@@ -305,6 +305,32 @@ def test_secret_scan(spark, odd, none):
     assert all(rows[k].spans == "" for k in (1, 2, 3, 9)) and secret_scan.secret_scan(none).count() == 0
 
 
+def test_secret_scan_by_novelty():
+    """Values of few digits, values behind refused candidates, and other separators; ordinary names stay out."""
+    novelty, rules = secret_scan.Novelty(), secret_scan.NoveltyRules()
+    found = lambda t: [t[a:b] for a, _, b in secret_scan.novel_spans(t, secret_scan.base_spans(t), novelty, rules)]
+    value, few = "Zx81kQ0pLm47RtYw93BnVc62", "qWzKvTbXnGdRjLmP"
+    for form in (
+        "# session key\nproduction_signing_key = '{}'", "signing_key       =       '{}'", "signing_key := `{}`", "signing_key = b'{}'", "signing_key: bytes = b'{}'",
+        "signing_key: Optional[str] = '{}'", "('signing_key', '{}')", "<signing_key>{}</signing_key>", "signing_key -> {}", "auth signing_key={}",
+        "signing_key_of_the_whole_production_environment = '{}'", "login(\"{}\")", "session key=production_signing_key={}",
+    ):
+        for v in (value, few):
+            assert [x[-len(v) :] for x in found(form.format(v))] == [v], form
+    draw = np.random.default_rng(1)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    drawn = ["".join(draw.choice(alphabet, 16)) for _ in range(500)]
+    assert sum(found(f'encryption_key = "{v}"') == [v] for v in drawn) >= 490
+    for name in ("internationalization_of_things", "handleAuthenticationRequest", "DEFAULT_CONNECTION_TIMEOUT", "base64_encoded_values", "/usr/local/share/tables"):
+        assert found(f"the key is {name} and more") == []
+    import time
+
+    start = time.monotonic()
+    for unit in ("key=", "key ", "key: ", "secretkey", "key " + " " * 1000, "key: a" + " b" * 1000):
+        found(unit * (400_000 // len(unit)))
+    assert time.monotonic() - start < 30
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
