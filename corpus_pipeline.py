@@ -12,7 +12,7 @@ from smokelake.llm.bpe_codec import decode, encode
 from smokelake.llm.common import WORD, shared_folder
 from smokelake.llm.line_dedup import line_dedup
 from smokelake.llm.mixing import repeated
-from smokelake.llm.ngram_join import JaccardSettings, jaccard_components
+from smokelake.llm.ngram_join import JaccardSettings, jaccard_labels
 from smokelake.llm.quality_rules import quality_rules
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,11 +32,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays. Rows of one id count as one document, of which the first by text hash stays; documents without words all stay."""
-    groups = jaccard_components(docs, NEAR).groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_group"), F.max("n_shingles").alias("_n"))
-    rows = docs.join(groups.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_n = 0 OR doc_id <=> _group")
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return rows.filter("_row = 1 OR _n = 0").select(*docs.columns)
+    """Of each group of near duplicates one row stays, that of the smallest id (null ids last), then text hash; documents without words all stay."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("x")
+    stay = jaccard_labels(docs, NEAR).filter("n > 0").groupBy("label").agg(first).select(F.col("x.doc_id").alias("_id"), F.col("x.t").alias("_t"), F.lit(True).alias("_stays"))
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    rows = rows.join(stay.hint("shuffle_hash"), (F.col("_h") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = rows.withColumn("_words", F.coalesce(F.col("text").rlike(WORD), F.lit(False))).filter("_stays OR NOT _words")
+    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.xxhash64(*docs.columns))))
+    return rows.filter("_row = 1 OR NOT _words").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A line is the set of its distinct words in lower case. Words are ordered by rarity (the class of their count over the
 whole corpus, then hash); two sets that reach the threshold share a word of their prefixes in that order. Equal sets are
 one class, kept at its first place. Candidates pass length and positional filters and are verified on
-the words themselves. A line goes if a line before it, by document id and place, reaches the threshold.
+the words themselves. A line goes if a line before it, by document (its id, then the hash of its text) and place, reaches the threshold.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: LineSettings) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> DataFrame:
-    """docs: d and text. Returns d and gone, the places of the lines that go.
+    """docs: d (any ordered key of a document) and text. Returns d and gone, the places of the lines that go.
 
     The lines of a key are put in order of place. Each meets the few lines before it and the key's first line; only those
     of longer keys that still stay then meet all lines before them. So many variants of one line cost pairs in proportion
@@ -127,11 +127,12 @@ def line_dedup(docs: DataFrame, settings: LineSettings = LineSettings(), doc_id:
     """The documents with text less the lines that go, and n_lines and n_removed.
 
     Lines end at line breaks; a line without words matches nothing and stays. Null texts stay null, with 0 lines; an empty
-    text is one line. Rows that repeat an id are at the same places, so neither is before the other and their equal lines
-    stay in both (an id is taken to have one text); ids are compared as long integers, null as the smallest. An empty table gives no rows. Long texts are
-    processed whole. Other columns pass through; those named like the new ones are replaced.
+    text is one line. A document is an id with a text: rows that repeat both are at the same places, so neither is before the
+    other and their equal lines stay in both; rows of one id with different texts, and those without an id, are documents of
+    their own, in the order of the texts' hashes. Ids are compared as long integers, null as the smallest. An empty table
+    gives no rows. Long texts are processed whole. Other columns pass through; those named like the new ones are replaced.
     """
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    key = F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("t"))
     gone = removed_lines(docs.select(key.alias("d"), F.col(text).alias("text")), settings).withColumnRenamed("d", "_d")
     rows = docs.withColumn("_d", key).join(gone.hint("shuffle_hash"), "_d", "left")
     parts = F.split(F.col(text), "\n")

@@ -146,7 +146,7 @@ class Maps:
 
 
 def class_table(docs: DataFrame, doc_id: str, text: str, s: JaccardSettings) -> DataFrame:
-    """doc_id, n, sid and map of every document; h and c list shingles that are frequent within a batch (on its first row)."""
+    """doc_id, t (hash of the text), n, sid and map of every document; h and c list shingles that are frequent within a batch (on its first row)."""
 
     @F.pandas_udf("n long, sid long, map binary, h array<long>, c array<int>")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -166,7 +166,7 @@ def class_table(docs: DataFrame, doc_id: str, text: str, s: JaccardSettings) ->
                 out[0] = (*out[0][:3], values[often].view(np.int64), counts[often].astype(np.int32))
             yield pd.DataFrame(out, columns=["n", "sid", "map", "h", "c"], dtype=object)  # as floats, ids beside nulls would be rounded
 
-    return docs.select(F.col(doc_id).alias("doc_id"), measure(F.col(text)).alias("m")).select("doc_id", "m.*")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("t"), measure(F.col(text)).alias("m")).select("doc_id", "t", "m.*")
 
 
 def prefix_keys(docs: DataFrame, text: str, hot: np.ndarray, s: JaccardSettings) -> DataFrame:
@@ -251,9 +251,10 @@ def set_arrays(docs: DataFrame, pairs: DataFrame, members: DataFrame, doc_id: st
         arrays = [shingle_set(t, s, powers) for t in texts]
         return pd.Series([a.tobytes() if set_id(a) == w else None for a, w in zip(arrays, want, strict=True)], dtype=object)
 
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(members, "sid").select(F.col("doc").alias("doc_id"), "sid")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("sid", measure("text", "sid").alias("set"))
-    return materialize(rows.filter("set IS NOT NULL").dropDuplicates(["sid"]))  # an id that repeats may come with other texts
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(members, "sid").select(F.col("doc.doc_id").alias("_id"), F.col("doc.t").alias("t"), "sid")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    rows = rows.join(wanted, (rows["t"] == wanted["t"]) & rows["doc_id"].eqNullSafe(wanted["_id"])).select("sid", measure("text", "sid").alias("set"))
+    return materialize(rows.filter("set IS NOT NULL").dropDuplicates(["sid"]))  # a document may come in several rows
 
 
 def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
@@ -311,14 +312,8 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
     return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles (set size) and component_id (smallest doc_id reachable by links, itself included).
-
-    Words are maximal runs without ASCII white space, in lower case for A-Z. Documents without words, with null or empty
-    text, have n_shingles 0 and are their own component. A text with fewer words than a shingle is one shingle. Rows that
-    repeat an id are rows of their own; a null id has a component id of null unless it links with others. An empty table
-    gives no rows. Long texts are processed whole. Other columns are not returned.
-    """
+def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, t (hash of the text), n (set size) and label, equal for those of one component and null without words."""
     s = settings
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -335,7 +330,8 @@ def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSetti
     hot_centres = keys.filter("hot").groupBy("key").agg(F.min("centre").alias("first"))  # at most s.hot rows
     keys = keys.join(F.broadcast(hot_centres), "key", "left").select("key", "sid", "n", F.coalesce("first", "centre").alias("centre"))
 
-    classes = ids.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.min("doc_id").alias("doc"))
+    document = F.struct("doc_id", "t")
+    classes = ids.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), document)), F.min(document)).alias("doc"))
     classes = materialize(classes)
     members = classes.select("sid", "doc")
     stars = keys.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
@@ -348,7 +344,18 @@ def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSetti
         links = materialize(links.union(more))
         labels = components(links)
 
-    named = ids.select("doc_id", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    named = named.select("doc_id", "n", F.coalesce("label", "sid").alias("label"))
+    named = ids.select("doc_id", "t", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    return named.select("doc_id", "t", "n", F.coalesce("label", "sid").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles (set size) and component_id (smallest doc_id reachable by links, itself included).
+
+    Words are maximal runs without ASCII white space, in lower case for A-Z. Documents without words, with null or empty
+    text, have n_shingles 0 and are their own component. A text with fewer words than a shingle is one shingle. Rows that
+    repeat an id are rows of their own; a null id has a component id of null unless it links with others. An empty table
+    gives no rows. Long texts are processed whole. Other columns are not returned.
+    """
+    named = jaccard_labels(docs, settings, doc_id, text)
     first = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
     return named.join(first, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))

@@ -351,3 +351,23 @@ def test_pipeline_stages(spark):
     copies = {r.doc_id: r.copies for r in mixing.mix(out["near_duplicates"]).collect()}
     assert collections.Counter(r.doc_id for r in out["mixing"].collect()) == collections.Counter({k: v for k, v in copies.items() if v})
     assert out["bpe"].count() == out["mixing"].count() == P.run(spark, DATA).count()
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """Rows that share an id are documents of their own: none loses what no other row holds."""
+    import corpus_pipeline as P
+
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
+    lines = [(1, words[0]), (None, "\n".join([words[1], words[2], words[0]])), (None, "\n".join(words[3:6])), (2, f"{words[6]}\n{words[0]}"), (2, f"{words[1]} x\n{words[7]}")]
+    df = spark.createDataFrame(lines, "doc_id long, text string")
+    left = [line for r in line_dedup.line_dedup(df).collect() for line in r.text.split("\n") if line]
+    assert {*words[2:]} <= {*left} and len(left) == 8  # one of each, the two near copies of words[1] count as one
+
+    near = lambda k: words[k] + " more"
+    rows = [(None, words[0]), (None, near(0)), (None, words[1]), (None, words[2]), (7, near(2)), (8, words[3]), (8, words[4]), (9, near(4)), (None, None), (None, " "), (None, words[5]), (None, words[5])]
+    df = spark.createDataFrame([(*r, "s", "l") for r in rows], "doc_id long, text string, source string, lang string")
+    got = ngram_join.jaccard_components(df).collect()
+    assert sorted(str(tuple(r)) for r in got) == _components(rows, 4, 85)
+    stay = [(r.doc_id, r.text) for r in P.near_duplicate_stage(spark, df, DATA).collect()]
+    assert len([x for x in stay if x in rows[:2]]) == 1 and len(stay) == 8
+    assert {(None, words[1]), (7, near(2)), (8, words[3]), (8, words[4]), (None, words[5]), (None, None), (None, " ")} <= {*stay}
