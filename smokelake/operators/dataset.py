@@ -13,17 +13,18 @@ IMAGE_ENDINGS = ("jpg", "jpeg", "png")
 
 
 def pair_media(files: DataFrame, path: str = "path") -> DataFrame:
-    """One row for each stem with a video `<stem>_V.<ending>` and an image `<stem>_P.<ending>`: the best ending of each, then the first path."""
+    """One row for each stem with a video `<stem>_V.<ending>` and an image `<stem>_P.<ending>`: the best ending of each, then the first path. A stem without a video of a known ending takes the first other file `<stem>_V.*`."""
     name = F.element_at(F.split(path, "/"), -1)
-    part = lambda k: F.regexp_extract(name, r"^(.*)_([VP])\.([^.]+)$", k)
+    part = lambda k: F.regexp_extract(name, r"^(.*)_([VP])\.(.+)$", k)
     rows = files.select(F.col(path).alias("path"), part(1).alias("stem"), part(2).alias("kind"), F.lower(part(3)).alias("ending")).filter("kind <> ''")
 
-    def side(kind: str, endings: tuple[str, ...], out: str) -> DataFrame:
+    def side(kind: str, endings: tuple[str, ...], out: str, others: bool) -> DataFrame:
         rank = F.array_position(F.array(*map(F.lit, endings)), F.col("ending"))
+        rank = F.when((rank == 0) & others, len(endings) + 1).otherwise(rank)
         best = F.min(F.struct(rank.alias("rank"), "path"))
         return rows.filter((F.col("kind") == kind) & (rank > 0)).groupBy("stem").agg(best["path"].alias(out))
 
-    return side("V", VIDEO_ENDINGS, "video").join(side("P", IMAGE_ENDINGS, "image"), "stem")
+    return side("V", VIDEO_ENDINGS, "video", True).join(side("P", IMAGE_ENDINGS, "image", False), "stem")
 
 
 def parse_labels(lines: DataFrame, n_classes: int, key: str = "image_id") -> DataFrame:

@@ -41,6 +41,13 @@ def test_active_until_the_hold_ends(spark):
     assert sorted(r.frame_idx for r in events.active_events(f, e, 4).collect()) == [5, 6, 7, 8, 9]
 
 
+def test_pair_media_takes_any_other_video(spark):
+    names = ["a_V.mkv", "a_V.ts", "a_P.JPG", "b_V.webm", "b_V.avi", "b_P.png", "c_V.mp4.part", "c_P.jpg", "d_V.mp4", "d_P.tiff", "e_V.mov", "e_V.MP4", "e_P.jpeg"]
+    got = {r.stem: (r.video, r.image) for r in dataset.pair_media(spark.createDataFrame([(f"x/{n}",) for n in names], "path string")).collect()}
+    want = {"a": ("a_V.mkv", "a_P.JPG"), "b": ("b_V.avi", "b_P.png"), "c": ("c_V.mp4.part", "c_P.jpg"), "e": ("e_V.MP4", "e_P.jpeg")}
+    assert got == {k: (f"x/{v}", f"x/{p}") for k, (v, p) in want.items()}
+
+
 def test_parse_labels_reasons(spark):
     lines = [(1, 1, "0 0.5 0.5 0.1 0.1"), (1, 2, "9 0.5 0.5 0.1 0.1"), (1, 3, "0 nan 0.5 0.1 0.1"), (1, 4, "0 0.5 0.5 0 0.1"), (1, 5, "0 2 0.5 0.1 0.1"), (1, 6, "0 1"), (1, 7, "  "), (1, 8, "0 0.1 0.1 0.9 0.1 0.5 0.8")]
     got = {r.line_no: r.reason for r in dataset.parse_labels(spark.createDataFrame(lines, "image_id int, line_no int, line string"), 3).collect()}
