@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from .shared import materialize
 
 #: Degrees of a grid cell, and cells beyond which a tile is kept apart (fixed values).
 CELL, MANY_CELLS = 0.05, 10_000
+#: Metres of the rings in which the nearest tile is sought.
+RINGS = (5_000.0, 10_000.0, 20_000.0, 40_000.0, 80_000.0)
 
 
 def tile_catalog(raw: DataFrame) -> DataFrame:
@@ -75,27 +78,37 @@ def nearest_submap(points: DataFrame, tiles: DataFrame, most_tiles: int = 200_00
     """For each point the region of the nearest tile bounds, then nearest tile centre, then name.
 
     Every tile may be the nearest, so the catalogue meets every point: it is counted first, and broadcast up to the given
-    number of rows; a larger one is searched in rings, with a radius that doubles until each point has a tile.
+    number of rows; a larger one is searched in rings with a radius that doubles. Points that stay open (far from all tiles,
+    near the poles, without coordinates) meet every tile, so the result is the same at every size.
     """
     slim = tiles.select("region", "west", "south", "east", "north")
 
-    def best(pairs: DataFrame) -> DataFrame:
+    def ranked(pairs: DataFrame) -> DataFrame:
         near_lon = F.least(F.greatest("lon", "west"), F.col("east"))
         near_lat = F.least(F.greatest("lat", "south"), F.col("north"))
         edge = G.geo_distance("lon", "lat", near_lon, near_lat)
         centre = G.geo_distance("lon", "lat", (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2)
-        return pairs.groupBy("point_id").agg(F.min(F.struct(edge.alias("edge"), centre.alias("centre"), "region")).alias("b")).select("point_id", "b.region", F.col("b.edge").alias("distance"))
+        return pairs.groupBy("point_id").agg(F.min(F.struct(edge.alias("edge"), centre.alias("centre"), "region")).alias("b"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select("point_id", "b.region", F.col("b.edge").alias("distance"))
 
     if slim.count() <= most_tiles:
-        return best(points.join(F.broadcast(slim)))
-    found, left, radius = None, points, 5_000.0
-    while radius < 2.0e7 and not left.isEmpty():
-        env = G.gps_envelope("lon", "lat", F.lit(radius))
-        seekers = left.withColumn("_e", env).select(*points.columns, F.col("_e.west").alias("w"), F.col("_e.south").alias("s"), F.col("_e.east").alias("e"), F.col("_e.north").alias("n")).filter("w IS NOT NULL")
-        some = best(_near_pairs(seekers, slim)).filter(F.col("distance") <= radius)
-        found = some if found is None else found.unionByName(some)
-        left, radius = left.join(some, "point_id", "left_anti"), radius * 2
-    return found
+        return named(ranked(points.join(F.broadcast(slim))))
+    # bounds that are null, not a number or reversed are in no envelope, so tiles with them meet every point
+    lawful = F.coalesce((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")) & ~F.isnan("east") & ~F.isnan("north"), F.lit(False))
+    found, left = [], points
+    for radius in RINGS:
+        dlat = radius / G.METRES_LAT * 1.000001
+        dlon = dlat * G.METRES_LAT / G.METRES_LON / F.cos(F.radians(F.abs("lat") + dlat))
+        few = (F.abs("lat") + dlat < 89) & (dlon / CELL < 1000) & (F.abs("lon") <= 360)
+        seekers = left.filter(few).withColumns({"w": F.col("lon") - dlon, "s": F.col("lat") - dlat, "e": F.col("lon") + dlon, "n": F.col("lat") + dlat})
+        found.append(materialize(ranked(_near_pairs(seekers, slim.filter(lawful))).filter(F.col("b.edge") <= radius)))
+        left = materialize(left.join(found[-1], "point_id", "left_anti"))
+    out = ranked(left.crossJoin(slim)).unionByName(ranked(points.crossJoin(slim.filter(~lawful))))
+    for some in found:
+        out = out.unionByName(some)
+    return named(out.groupBy("point_id").agg(F.min("b").alias("b")))
 
 
 def view_points(photos: DataFrame, reach: float = 1800.0) -> DataFrame:

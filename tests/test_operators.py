@@ -86,6 +86,18 @@ def test_tile_lookup_has_no_nested_loop_for_cells(spark):
     assert [(r.point_id, r.tile_id) for r in tiles.tiles_near(p, t, 1000, 3).collect()] == [(1, 1)]
 
 
+def test_nearest_submap_is_the_same_on_both_sides_of_its_limit(spark):
+    t = [("a", 120.0, 23.0, 120.1, 23.1), ("b", 120.3, 23.0, 120.4, 23.1), ("c", 125.0, 23.0, 125.1, 23.1), ("d", 179.9, 0.0, 180.0, 0.1), ("n", 120.0, 23.1 + 4995 / 111132.954, 120.1, 23.4)]
+    t = spark.createDataFrame(t, "region string, west double, south double, east double, north double")
+    p = [(1, 120.05, 23.05), (2, 120.19, 23.02), (3, 121.0, 86.0), (4, -179.99, 0.05), (5, None, 23.0), (6, 10.0, -40.0), (7, 120.05, 23.1001), (8, 123.0, 23.0), (9, 179.95, 0.05), (10, 0.0, 90.0)]
+    p = spark.createDataFrame(p, "point_id int, lon double, lat double")
+    small, large = (sorted(map(str, tiles.nearest_submap(p, t, n).collect())) for n in (200_000, 0))
+    assert len(small) == 10 and large == small
+    odd = t.union(spark.createDataFrame([("z", None, 23.0, None, 23.1), ("y", 11.0, -40.0, 10.0, -39.0)], t.schema))
+    small, large = (sorted(map(str, tiles.nearest_submap(p, odd, n).collect())) for n in (200_000, 0))
+    assert len(small) == 10 and large == small
+
+
 def _detections():
     rows = []
     for video in (0, 1):
