@@ -1,77 +1,84 @@
 """Operator 8, BPE encoding and decoding.
 
 Encoding merges each distinct pre-token with a priority queue over a linked symbol list (word_bpe.WordBpe.merge) and
-keeps the result in a bounded memo of its worker. Decoding joins the vocabulary strings of the ids. The column functions
-are plain pandas UDFs, which Spark runs in one worker where one is applied to another.
+keeps the result in a memo of its task, bounded in bytes. Decoding joins the vocabulary strings of the ids. Both work text by text, with
+one vocabulary for each worker.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from .common import bound_batches
-from .word_bpe import WordBpe
+from .common import appended
+from .word_bpe import Memo, WordBpe
 
 
-def encoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):
-    """Column function text -> ids (array of int), or with packed the ids as little-endian unsigned 32-bit integers (binary)."""
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(WordBpe.load(tokenizer_path))
+def text_encoder(bpe: WordBpe) -> Callable[[str | None], bytes]:
+    """Function text -> ids as little-endian unsigned 32-bit integers."""
+    pieces = Memo(lambda t: np.asarray(bpe.merge(t), dtype="<u4").tobytes())
+    return lambda text: b"".join(map(pieces.__getitem__, bpe.pre_tokens(text))) if text else b""
 
-    @F.pandas_udf("binary" if packed else "array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        bpe = shared.value
-        pieces = bpe.memo("pieces", lambda t: np.asarray(bpe.merge(t), dtype="<u4").tobytes())
 
-        def one(text: str | None):
-            ids = b"".join(map(pieces.__getitem__, bpe.pre_tokens(text))) if text else b""
-            return ids if packed else np.frombuffer(ids, dtype="<i4")
+def text_decoder(bpe: WordBpe) -> Callable[[bytes], str]:
+    """Function ids -> text. This vocabulary family has no decoder of its own: strings are joined by single spaces."""
+    names = bpe.token_names()
+    return lambda ids: " ".join(map(names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
-        return pd.Series([one(t) for t in texts], dtype=object)
 
-    return encode.asNondeterministic()  # else Spark evaluates it again where its result is used twice
+def _id_column(ids: list[bytes], packed: bool) -> pa.Array:
+    if packed:
+        return pa.array(ids, type=pa.binary())
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), dtype="<i4"))
 
 
-def decoder(spark: SparkSession, tokenizer_path: str, packed: bool = False):
-    """Column function ids -> text. This vocabulary family has no decoder of its own: strings are joined by single spaces."""
-    shared = spark.sparkContext.broadcast(WordBpe.load(tokenizer_path))
+def _id_type(packed: bool) -> str:
+    return "binary" if packed else "array<int>"
 
-    @F.pandas_udf("string")
-    def decode(batch: pd.Series) -> pd.Series:
-        names = shared.value.token_names()
 
-        def one(ids) -> str:
-            if ids is None:
-                return ""
-            ids = np.frombuffer(ids, dtype="<u4") if packed else np.asarray(ids)
-            return " ".join(map(names.__getitem__, ids.tolist()))
+def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", packed: bool = False, carry: Sequence[str] | None = None) -> DataFrame:
+    """Add the token ids of every whole text, without added special tokens, truncation or padding: an array of int, or with
+    packed the ids as little-endian unsigned 32-bit integers (binary).
 
-        return pd.Series([one(x) for x in batch], dtype=object)
+    Null and empty texts give no ids (an empty array). Long texts are encoded whole. Repeated rows give repeated results, an
+    empty table gives no rows; other columns (those named in carry, or all) pass through, and a column named like the new
+    one is replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(WordBpe.load(tokenizer_path))
 
-    return decode
+    def make():
+        one = text_encoder(shared.value)
+        return lambda texts: [_id_column([one(t) for t in texts], packed)]
 
+    return appended(docs, text, f"`{ids}` {_id_type(packed)}", make, carry)
 
-@F.pandas_udf(T.StringType())
-def sha256_utf8(texts: pd.Series) -> pd.Series:
-    """Lowercase hex digest; right behind decoder() it runs in the same worker, so decoded texts need not go to the JVM."""
-    return pd.Series([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts], dtype=object)
 
+def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded", packed: bool = False, carry: Sequence[str] | None = None) -> DataFrame:
+    """Add the decoded text of the ids; null or no ids give the empty text. Other rows and columns as in encode()."""
+    shared = rows.sparkSession.sparkContext.broadcast(WordBpe.load(tokenizer_path))
 
-def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", packed: bool = False) -> DataFrame:
-    """Add the token ids of every whole text, without added special tokens, truncation or padding.
+    def make():
+        one = text_decoder(shared.value)
+        return lambda batch: [[one((x if packed else np.asarray(x, dtype="<u4").tobytes()) if x else b"") for x in batch]]
 
-    Null and empty texts give no ids (an empty array). Repeated rows give repeated results; other columns pass through,
-    and a column named like the new one is replaced.
-    """
-    return docs.withColumn(ids, encoder(docs.sparkSession, tokenizer_path, packed)(F.col(text)))
+    return appended(rows, ids, f"`{text}` string", make, carry)
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", packed: bool = False, carry: Sequence[str] | None = None) -> DataFrame:
+    """encode() and decode() in one pass over the rows, text by text: adds the ids and what they decode to."""
+    shared = docs.sparkSession.sparkContext.broadcast(WordBpe.load(tokenizer_path))
+
+    def make():
+        forth, back = text_encoder(shared.value), text_decoder(shared.value)
+
+        def both(texts: list[str | None]) -> list:
+            found = [forth(t) for t in texts]
+            return [_id_column(found, packed), [back(x) for x in found]]
 
+        return both
 
-def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded", packed: bool = False) -> DataFrame:
-    """Add the decoded text of the ids; null or no ids give the empty text."""
-    return rows.withColumn(text, decoder(rows.sparkSession, tokenizer_path, packed)(F.col(ids)))
+    return appended(docs, text, f"`{ids}` {_id_type(packed)}, `{decoded}` string", make, carry)

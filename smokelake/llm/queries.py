@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, line_dedup, mixing, ngram_join, quality_mil, vector_search
-from .bpe_codec import decode, encode, sha256_utf8
+from .bpe_codec import encode_and_decode
 from .common import crc_mod, read
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
@@ -18,7 +18,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_counts(docs, public_tokenizers.path(TOKENIZER), carry=["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +55,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path, packed=True), path, packed=True)
+    both = encode_and_decode(docs, path, packed=True, carry=["doc_id"])
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        sha256_utf8("decoded").alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

@@ -6,46 +6,42 @@ are proven. In the job a pre-token in that set counts as one, and only the rest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import appended
 from .word_bpe import Memo, WordBpe
 
 
-def counter(spark: SparkSession, tokenizer_path: str):
-    """Column function text -> number of tokens, without added special tokens; null counts as the empty text.
+def text_counter(bpe: WordBpe, single: frozenset[str]) -> Callable[[str | None], int]:
+    """Function text -> number of tokens, without added special tokens; null counts as the empty text."""
+    merged = Memo(lambda t: len(bpe.merge(t)))
 
-    The vocabulary and the proven set are broadcast; both are bounded by the vocabulary file.
-    """
-    bpe = WordBpe.load(tokenizer_path)
-    shared = spark.sparkContext.broadcast((bpe, bpe.single_tokens()))
-
-    @F.pandas_udf("long")
-    def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe, single = shared.value
-        merged = Memo(lambda t: len(bpe.merge(t)))
-
-        def count(text: str | None) -> int:
-            if not text:
-                return 0
-            tokens = bpe.pre_tokens(text)
-            rest = [t for t in tokens if t not in single]
-            return len(tokens) - len(rest) + sum(map(merged.__getitem__, rest))
+    def count(text: str | None) -> int:
+        if not text:
+            return 0
+        tokens = bpe.pre_tokens(text)
+        rest = [t for t in tokens if t not in single]
+        return len(tokens) - len(rest) + sum(map(merged.__getitem__, rest))
 
-        for texts in batches:
-            yield pd.Series([count(t) for t in texts], dtype="int64")
+    return count
 
-    return n_tokens
 
-
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """Add n_bytes, n_tokens and over_limit (n_tokens > limit) to every row.
 
     Null and empty texts have 0 bytes and 0 tokens. Long texts are processed whole. Rows are independent: repeated rows
-    give repeated results, other columns pass through, and columns named like the new ones are replaced.
+    give repeated results, an empty table gives no rows, other columns (those named in carry, or all) pass through, and
+    columns named like the new ones are replaced. The vocabulary and the proven set are broadcast; both are bounded by the
+    vocabulary file.
     """
-    n_tokens: Column = counter(docs.sparkSession, tokenizer_path)(F.col(text))
-    return docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "n_tokens": n_tokens}).withColumn("over_limit", F.col("n_tokens") > limit)
+    bpe = WordBpe.load(tokenizer_path)
+    shared = docs.sparkSession.sparkContext.broadcast((bpe, bpe.single_tokens()))
+
+    def make():
+        count = text_counter(*shared.value)
+        return lambda texts: [[len(t.encode()) if t else 0 for t in texts], [count(t) for t in texts]]
+
+    return appended(docs, text, "n_bytes long, n_tokens long", make, carry).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -10,6 +10,7 @@ import heapq
 import json
 import unicodedata
 from dataclasses import dataclass, field
+from sys import getsizeof
 
 import regex
 
@@ -18,8 +19,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Code points whose Unicode class no version has changed lately (Latin, Greek, Cyrillic, common punctuation). Texts with
 #: others are split by the library's own normalizer and pre-tokenizer, whose Unicode tables may be older than Python's.
 STABLE = r"[^\u0000-\u052F\u2010-\u2027\u2030-\u205E]"
-#: Entries that a worker's memo of pre-tokens may hold before it is emptied.
-MEMO = 250_000
+#: Bytes that a task's memo of pre-tokens may hold before it is emptied.
+MEMO = 32 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -156,24 +157,24 @@ class WordBpe:
                 proven.add(plain)
         return frozenset(proven | set(self.special))
 
-    def memo(self, name: str, make) -> Memo:
-        """A memo that lives as long as the worker's copy of this vocabulary."""
-        return self._derived().setdefault(name, Memo(make))
-
     def token_names(self) -> list[str]:
         """Vocabulary string of each id."""
         return self._derived()["names"]
 
 
 class Memo(dict):
-    """Values by pre-token, made when first asked for; emptied when it holds MEMO entries."""
+    """Values by pre-token, made when first asked for; emptied when it holds MEMO bytes."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        value = self.make(key)
+        size = getsizeof(key) + getsizeof(value) + 100  # and the entry itself
+        if self.held + size > MEMO:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        self.held += size
+        self[key] = value
         return value
