@@ -8,7 +8,7 @@ flags the row as ambiguous.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import appended, unit_hash
 
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """sample: most labelled rows that the fit expects to take, shared by the languages; buckets: hashed n-gram features; orders: n-gram lengths in bytes; gap: least lead of the best codeword's probability that isn't ambiguous; max_languages: more label values are an error."""
+    """sample: labelled rows that the fit takes, shared by the languages, twice as many at most; buckets: hashed n-gram features; orders: n-gram lengths in bytes; gap: least lead of the best codeword's probability that isn't ambiguous; max_languages: label values that are learned, the most frequent ones."""
 
     sample: int = 4000
     buckets: int = 4096
@@ -42,7 +42,7 @@ def features(text: str, s: LanguageSettings) -> np.ndarray:
     """Hashed byte n-gram counts of the whole text in lower case."""
     codes = _LETTERS[np.frombuffer(f" {text.lower()} ".encode(), dtype=np.uint8)]
     codes = codes[(codes != 32) | (np.concatenate(([0], codes[:-1])) != 32)]  # one space in place of many
-    total = np.zeros(s.buckets, dtype=np.float32)
+    total = np.zeros(s.buckets, dtype=np.uint32)
     rolled = np.zeros(len(codes) + 1, dtype=np.uint32)
     for k in range(1, max(s.orders) + 1):
         if k > len(codes):
@@ -50,7 +50,7 @@ def features(text: str, s: LanguageSettings) -> np.ndarray:
         rolled = rolled[:-1] * np.uint32(257) + codes[k - 1 :] + np.uint32(k)
         if k in s.orders:
             mixed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1)
-            total += np.bincount(mixed >> np.uint32(32 - int(s.buckets).bit_length() + 1), minlength=s.buckets)
+            total += np.bincount(mixed >> np.uint32(32 - int(s.buckets).bit_length() + 1), minlength=s.buckets).astype(np.uint32)
     return total
 
 
@@ -114,60 +114,59 @@ def fit(docs: DataFrame, learn: Column, settings: LanguageSettings = LanguageSet
     """Fit on rows where learn holds and text and lang are not null.
 
     Labels are counted over all rows. Of each language a seeded sample of about sample / languages rows is taken; their
-    features are made on the executors, and only these bounded rows reach the driver.
+    features are made on the executors, and only these bounded rows reach the driver. Beyond max_languages label values
+    the most frequent ones are learned. Ids only place rows in the sample; repeated and null ones share a place. With no
+    row to learn from (an empty table, no label) every text is `und`.
     """
-    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(settings.max_languages + 1).collect()}
+    s = settings
+    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_languages).collect()}
     if not counts:
-        raise ValueError("no labelled row to learn from")
-    if len(counts) > settings.max_languages:
-        raise ValueError("too many languages")
-    share = settings.sample / len(counts)
+        return LanguageModel([], np.zeros((0, 0), np.float32), np.zeros((s.buckets, 0), np.float32), np.zeros(0, np.float32))
+    share = s.sample / len(counts)
     rate = F.lit(0.0)
     for name, n in sorted(counts.items()):
-        rate = F.when(F.col(lang) == name, F.lit(min(1.0, share / n))).otherwise(rate)
+        rate = F.when(F.col("lang") == name, F.lit(min(1.0, share / n))).otherwise(rate)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            packed = [np.minimum(features(t, settings), 65535).astype("<u2").tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"place": pdf["place"], "lang": pdf["lang"], "x": packed})
+            yield pd.DataFrame({"place": pdf["place"], "lang": pdf["lang"], "x": [features(t, s).tobytes() for t in pdf["text"]]})
 
-    place = unit_hash(F.col(key).cast("string"), seed=settings.seed)
-    picked = rows.select(place.alias("place"), F.col(lang).alias("lang"), F.col(text).alias("text"), rate.alias("rate")).filter("place < rate").select("place", "lang", "text")
-    got = sorted(picked.mapInPandas(make, "place double, lang string, x binary").limit(2 * settings.sample).collect())
-    if not got:
-        raise ValueError("no labelled row to learn from")
-    x = scaled(np.stack([np.frombuffer(r["x"], dtype="<u2") for r in got]))
-    return fit_arrays(x, [r["lang"] for r in got], settings)
+    place = unit_hash(F.col("id").cast("string"), F.col("text"), seed=s.seed)
+    picked = rows.withColumn("place", place).filter(F.col("place") < rate).orderBy("place", "lang").limit(2 * s.sample).select("place", "lang", "text")
+    got = sorted(picked.mapInPandas(make, "place double, lang string, x binary").collect())
+    if not got:  # a sample may be empty by chance where rows are few
+        got = sorted(rows.withColumn("place", place).orderBy("place", "lang").limit(s.sample).select("place", "lang", "text").mapInPandas(make, "place double, lang string, x binary").collect())
+    x = scaled(np.stack([np.frombuffer(r["x"], dtype=np.uint32) for r in got]))
+    return fit_arrays(x, [r["lang"] for r in got], s)
 
 
-def language_id(docs: DataFrame, model: LanguageModel, settings: LanguageSettings = LanguageSettings(), text: str = "text") -> DataFrame:
+def language_id(docs: DataFrame, model: LanguageModel, settings: LanguageSettings = LanguageSettings(), text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """Add lang_pred, score (probability of the decoded language, 0 to 1) and ambiguous.
 
     Null texts and texts without a letter give `und`, score 0 and ambiguous true. Long texts are read whole. Rows are
-    independent of each other; other columns pass through, and those named like the new ones are replaced. Ties between
-    codewords go to the language first in order. The model holds buckets x bits weights and is broadcast.
+    independent of each other: repeated rows give repeated results, an empty table gives no rows; other columns (those named
+    in carry, or all) pass through, and those named like the new ones are replaced. Ties between codewords go to the
+    language first in order. The model holds buckets x bits weights and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         model = shared.value
-        for texts in batches:
-            out = []
-            for at in range(0, len(texts), 256):
-                part = texts.iloc[at : at + 256]
-                told = np.array([bool(t) and any(map(str.isalpha, t)) for t in part], dtype=bool)
-                pred, score, unsure = np.array(["und"] * len(part), dtype=object), np.zeros(len(part)), np.ones(len(part), dtype=bool)
-                if told.any():
-                    p = model.decode(scaled(np.stack([features(t, settings) for t, ok in zip(part, told, strict=True) if ok])))
-                    top = p.argmax(axis=1)
-                    ranked = np.sort(p, axis=1)
-                    pred[told] = np.array(model.languages, dtype=object)[top]
-                    score[told] = ranked[:, -1]
-                    unsure[told] = (ranked[:, -1] - ranked[:, -2] < settings.gap) if p.shape[1] > 1 else False
-                out.append(pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": unsure}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": pd.Series([], dtype=float), "ambiguous": pd.Series([], dtype=bool)})
-
-    p = F.col("_language")
-    return docs.withColumn("_language", predict(F.col(text))).withColumns({c: p[c] for c in ("lang_pred", "score", "ambiguous")}).drop("_language")
+
+        def columns(texts: list[str | None]) -> list:
+            told = np.array([bool(model.languages) and bool(t) and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+            pred, score, unsure = np.array(["und"] * len(texts), dtype=object), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+            at = np.flatnonzero(told)
+            for lo in range(0, len(at), 256):
+                part = at[lo : lo + 256]
+                p = model.decode(scaled(np.stack([features(texts[k], settings) for k in part])))
+                ranked = np.sort(p, axis=1)
+                pred[part] = np.array(model.languages, dtype=object)[p.argmax(axis=1)]
+                score[part] = ranked[:, -1]
+                unsure[part] = (ranked[:, -1] - ranked[:, -2] < settings.gap) if p.shape[1] > 1 else False
+            return [pred.tolist(), score, unsure]
+
+        return columns
+
+    return appended(docs, text, "lang_pred string, score double, ambiguous boolean", make, carry)

@@ -6,7 +6,7 @@ document labels alone, weighs the passages, and the weighted representation is s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,14 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import appended, unit_hash
 
 
 @dataclass(frozen=True)
 class QualitySettings:
-    """sample: most labelled documents that the fit expects to take; passage: bytes of a passage; buckets: hashed features (a power of two)."""
+    """sample: labelled documents that the fit takes, twice as many at most; bag: most passages of one of them in the fit (evenly spaced); passage: bytes of a passage; buckets: hashed features (a power of two)."""
 
     sample: int = 3000
+    bag: int = 16
     passage: int = 512
     buckets: int = 1024
     width: int = 32
@@ -33,18 +34,22 @@ class QualitySettings:
 
 
 def passages(text: str | None, s: QualitySettings) -> np.ndarray:
-    """Hashed counts of byte 1-, 2- and 3-grams for each passage of the whole text (at least one passage)."""
-    codes = np.frombuffer((text or "").encode(), dtype=np.uint8).astype(np.uint32)
+    """Hashed counts of byte 1-, 2- and 3-grams for each passage of the whole text (at least one passage), by where an n-gram begins."""
+    codes = np.frombuffer((text or "").encode(), dtype=np.uint8)
     n = max(1, -(-len(codes) // s.passage))
     shift = np.uint32(32 - int(s.buckets).bit_length() + 1)
-    total = np.zeros(n * s.buckets, dtype=np.int64)
-    rolled = np.zeros(len(codes) + 1, dtype=np.uint32)
-    for k in range(1, min(3, len(codes)) + 1):
-        rolled = rolled[:-1] * np.uint32(257) + codes[k - 1 :] + np.uint32(k)
-        mixed = ((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> shift
-        at = np.arange(len(rolled), dtype=np.int64) // s.passage
-        total += np.bincount(at * s.buckets + mixed, minlength=n * s.buckets)
-    return np.minimum(total, 255).astype(np.uint8).reshape(n, s.buckets)
+    counts = np.empty((n, s.buckets), dtype=np.uint16)
+    for lo in range(0, n, 64):  # a long text costs memory for 64 passages at a time, beside its counts
+        hi = min(lo + 64, n)
+        part = codes[lo * s.passage : hi * s.passage + 2].astype(np.uint32)
+        total = np.zeros((hi - lo) * s.buckets, dtype=np.int64)
+        rolled = np.zeros(len(part) + 1, dtype=np.uint32)
+        for k in range(1, min(3, len(part)) + 1):
+            rolled = rolled[:-1] * np.uint32(257) + part[k - 1 :] + np.uint32(k)
+            mixed = (((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> shift)[: (hi - lo) * s.passage]
+            total += np.bincount(np.arange(len(mixed), dtype=np.int64) // s.passage * s.buckets + mixed, minlength=len(total))
+        counts[lo:hi] = total.reshape(hi - lo, s.buckets)
+    return counts
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -58,7 +63,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class QualityModel:
-    """p: parameters by name. Wx, bx: passage encoder; V, U, w: gated attention; c, b: score of the weighted representation."""
+    """p: parameters by name; none if there was nothing to learn from. Wx, bx: passage encoder; V, U, w: gated attention; c, b: score of the weighted representation."""
 
     p: dict[str, np.ndarray]
 
@@ -86,11 +91,13 @@ class QualityModel:
         return {"Wx": x.T @ dh, "bx": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ d, "b": d.sum()}
 
     def score(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        if not self.p:
+            return np.full(len(starts), 0.5)
         return 1 / (1 + np.exp(-self.forward(x, starts)["logit"].astype(np.float64)))
 
 
 def fit_bags(bags: list[np.ndarray], y: np.ndarray, s: QualitySettings) -> QualityModel:
-    """Adam over batches of 64 documents; bags hold passage counts (uint8), scaled batch by batch."""
+    """Adam over batches of 64 documents; bags hold passage counts, scaled batch by batch."""
     rng = np.random.default_rng(s.seed)
     shape = {"Wx": (s.buckets + 2, s.width), "bx": (s.width,), "V": (s.width, s.gate), "U": (s.width, s.gate), "w": (s.gate,), "c": (s.width,), "b": ()}
     p = {k: (rng.normal(0, 1 / np.sqrt(v[0]) if len(v) == 2 else 0.3, v) if k in ("Wx", "V", "U", "w", "c") else np.zeros(v)).astype(np.float32) for k, v in shape.items()}
@@ -114,43 +121,53 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray, s: QualitySettings) -> Quali
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: QualitySettings = QualitySettings(), text: str = "text", label: str = "label", key: str = "doc_id") -> QualityModel:
     """Fit on the documents of labels where learn (over the columns of labels) holds and the label is 0 or 1.
 
-    Labels are counted over all rows; of each class a seeded sample of up to about sample / 2 labels is taken. That sample
+    Labels are counted over all ids; of each class a seeded sample of about sample / 2 ids is taken. That sample
     is bounded, so it is broadcast to the documents; passages are counted on the executors, and only these bounded rows
-    reach the driver. A null text is an empty one.
+    reach the driver. An id with several labels counts as the smallest of them; documents that repeat an id are bags of
+    their own, null ids take no part, a null text is an empty one. With no row to learn from (an empty table, no or only
+    null labels) every score is 0.5.
     """
-    rows = labels.filter(learn & F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("label"))
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    s = settings
+    rows = labels.filter(learn & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(F.col(label).cast("int")).alias("label"))
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # two rows at most
     if not counts:
-        raise ValueError("no labelled row to learn from")
+        return QualityModel({})
     rate = F.lit(0.0)
     for k, n in sorted(counts.items()):
-        rate = F.when(F.col("label") == k, F.lit(min(1.0, settings.sample / 2 / n))).otherwise(rate)
+        rate = F.when(F.col("label") == k, F.lit(min(1.0, s.sample / 2 / n))).otherwise(rate)
+
+    def bag(text: str | None) -> bytes:
+        counts = passages(text, s)
+        return counts[np.unique(np.linspace(0, len(counts) - 1, s.bag).astype(int))].tobytes()
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"place": pdf["place"], "label": pdf["label"], "x": [passages(t, settings).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"place": pdf["place"], "label": pdf["label"], "x": [bag(t) for t in pdf["text"]]})
 
-    place = unit_hash(F.col(key).cast("string"), seed=settings.seed)
-    sampled = rows.select(key, "label", place.alias("place"), rate.alias("rate")).filter("place < rate").drop("rate").limit(2 * settings.sample)
-    picked = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sampled), key).select("place", "label", "text")
-    got = sorted(picked.mapInPandas(make, "place double, label int, x binary").limit(2 * settings.sample).collect())
-    bags = [np.frombuffer(r["x"], dtype=np.uint8).reshape(-1, settings.buckets) for r in got]
-    return fit_bags(bags, np.array([r["label"] for r in got], dtype=np.float32), settings)
+    place = unit_hash(F.col("id").cast("string"), seed=s.seed)
+    sampled = rows.select("id", "label", place.alias("place")).filter(F.col("place") < rate).orderBy("place", "id").limit(2 * s.sample)
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    picked = texts.join(F.broadcast(sampled), "id").orderBy("place", "id", F.xxhash64("text")).limit(2 * s.sample).select("place", "label", "text")
+    got = sorted(picked.mapInPandas(make, "place double, label int, x binary").collect())
+    if not got:
+        return QualityModel({})
+    bags = [np.frombuffer(r["x"], dtype=np.uint16).reshape(-1, s.buckets) for r in got]
+    return fit_bags(bags, np.array([r["label"] for r in got], dtype=np.float32), s)
 
 
-def quality_score(docs: DataFrame, model: QualityModel, settings: QualitySettings = QualitySettings(), threshold: float = 0.3, text: str = "text") -> DataFrame:
+def quality_score(docs: DataFrame, model: QualityModel, settings: QualitySettings = QualitySettings(), threshold: float = 0.3, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """Add score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0).
 
     Null and empty texts are one empty passage and get its score. Long texts are scored whole, in every passage. Rows are
-    independent; other columns pass through, and those named like the new ones are replaced. The model is of fixed size
-    and is broadcast.
+    independent: repeated rows give repeated results, an empty table gives no rows; other columns (those named in carry, or all)
+    pass through, and those named like the new ones are replaced. The model is of fixed size and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         model = shared.value
-        for texts in batches:
+
+        def columns(texts: list[str | None]) -> list:
             out, part = [], []
             for k, text in enumerate(texts):
                 part.append(passages(text, settings))
@@ -158,6 +175,9 @@ def quality_score(docs: DataFrame, model: QualityModel, settings: QualitySetting
                     starts = np.cumsum([0, *(len(b) for b in part[:-1])])
                     out.append(model.score(scaled(np.concatenate(part)), starts))
                     part = []
-            yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
+            score = np.concatenate(out)
+            return [score, (score >= threshold).astype(np.int32)]
+
+        return columns
 
-    return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return appended(docs, text, "score double, predicted int", make, carry)

@@ -1,20 +1,21 @@
 """Operator 10, secret scans: fixed patterns, and zstandard novelty for strings in a sensitive context.
 
-A candidate next to a sensitive word is weighed by what it adds to the compressed size of the text around it. The
-compressor is primed with a dictionary of common code and identifiers, so names that recur or are ordinary cost little;
-a string that stays nearly incompressible is reported.
+A candidate is weighed by what it adds to the compressed size of the text around it. The compressor is primed with a
+dictionary of common code and identifiers, so names that recur or are ordinary cost little; a string that stays nearly
+incompressible is reported. Candidates are the values next to a sensitive word, the values of assignments without one, and
+the values of the base patterns, whose spans stay whatever their novelty.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import appended
 
 #: The base patterns, with the least length that counts (fixed values). Order is the order of kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,6 +36,8 @@ _between = re.compile(
 )
 _value = re.compile(r"[A-Za-z0-9+/_=~-]{16,}+")
 _piece = re.compile(r"[A-Za-z0-9+/_~-]{16,}+=*+")  # a value behind an inner =
+_quoted = re.compile(r"""[^\s"'`<>]{12,}+(?=["'`])""")  # a value between quotes may hold other marks
+_assigned = re.compile(r"""[:=]\s?["'`]?([A-Za-z0-9+/_=~-]{20,}+)""")  # of any name
 _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _consonants = re.compile(r"[bcdfghj-np-tvwxz]{5}", re.IGNORECASE)
 _hints = ("key", "secret", "token", "passw", "passphrase", "pwd", "auth", "bearer", "credential", "private", "signature", "session", "cookie", "login")
@@ -52,23 +55,24 @@ January February March April May June July August September October November Dec
 
 @dataclass(frozen=True)
 class NoveltyRules:
-    """around: bytes of surrounding text on each side; least: share of a candidate's own bytes that it must add to count; digits, word: a candidate of fewer digits whose words have so many letters on average (one more in mixed case) may be a name."""
+    """around: characters of surrounding text on each side; least: share of a candidate's own bytes that it must add to count, least_plain: the same for a value without a sensitive word; digits, word: a candidate of fewer digits whose words have so many letters on average (one more in mixed case) may be a name."""
 
     around: int = 512
     least: float = 0.72
+    least_plain: float = 0.8
     digits: int = 3
     word: int = 3
 
 
-def base_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of the base patterns, each kind leftmost and non-overlapping."""
+def base_spans(text: str) -> list[tuple[int, str, int, int]]:
+    """(start, kind, end, where the value starts) of the base patterns, each kind leftmost and non-overlapping."""
     low = text.lower()
-    found: list[tuple[int, str, int]] = []
+    found: list[tuple[int, str, int, int]] = []
     if any(k in low for k in ("password", "passwd", "secret", "token", "apikey", "api_key")):
-        found += [(m.start(), "assign", m.end()) for m in _assign.finditer(text) if len(m[2]) >= LEAST["assign"]]
+        found += [(m.start(), "assign", m.end(), m.start(2)) for m in _assign.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
-        found += [(m.start(), "access", m.end()) for m in _access.finditer(text) if len(m[0]) >= LEAST["access"]]
-    return found + [(m.start(), "hex", m.end()) for m in _hex.finditer(text)]
+        found += [(m.start(), "access", m.end(), m.start()) for m in _access.finditer(text) if len(m[0]) >= LEAST["access"]]
+    return found + [(m.start(), "hex", m.end(), m.start()) for m in _hex.finditer(text)]
 
 
 class Novelty:
@@ -107,55 +111,63 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         if gap is None:
             continue
         inner = gap.end() < last[1]
-        value = (_piece if inner else _value).match(text, gap.end())
+        quoted = None if inner or text[gap.end() - 1] not in "\"'`" else _quoted.match(text, gap.end())
+        value = quoted or (_piece if inner else _value).match(text, gap.end())
         if value is not None and value.span() != last:
             yield value.span()
             last = last if inner else value.span()
 
 
-def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: Novelty, rules: NoveltyRules) -> list[tuple[int, str, int]]:
-    """Candidates in a sensitive context that touch no base span and are nearly incompressible."""
+def novel_spans(text: str, base: list[tuple[int, str, int, int]], novelty: Novelty, rules: NoveltyRules) -> list[tuple[int, str, int, float]]:
+    """(start, "novel", end, share) of the candidates that lie in no base span and are nearly incompressible; one may reach beyond a base span."""
     low = text.lower()
-    if not any(h in low for h in _hints):
-        return []
-    out: list[tuple[int, str, int]] = []
+    found = list(candidates(text)) if any(h in low for h in _hints) else []
+    near = {start for start, _ in found}
+    plain = [m.span(1) for m in _assigned.finditer(text)]
+    out: list[tuple[int, str, int, float]] = []
     reached = -1
-    for start, end in candidates(text):
+    for start, end in sorted(found + [x for x in plain if x[0] not in near]):
         s = text[start:end]
-        if start < reached or is_name(s, rules):
-            continue
-        if any(a < end and start < b for a, _, b in taken):
+        if start < reached or is_name(s, rules) or any(a <= start and end <= b for a, _, b, _ in base):
             continue
-        if novelty.share(text[max(0, start - rules.around) : start], s, text[end : end + rules.around]) >= rules.least:
-            out.append((start, "novel", end))
+        least = rules.least if start in near else rules.least_plain
+        if start not in near and (s.isalpha() or s.startswith("/") or not any(map(str.isdigit, s))):
+            continue  # a path or a long word is no secret where nothing says so
+        share = novelty.share(text[max(0, start - rules.around) : start], s, text[end : end + rules.around])
+        if share >= least:
+            out.append((start, "novel", end, share))
             reached = end
     return out
 
 
-def listed(spans: list[tuple[int, str, int]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, kind, end in sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]))))
+def in_order(spans: list[tuple]) -> list[tuple]:
+    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
+
+
+def listed(spans: list[tuple]) -> str:
+    return ",".join(f"{s[1]}:{s[0]}:{s[2]}" for s in in_order(spans))
 
 
-def secret_scan(docs: DataFrame, rules: NoveltyRules = NoveltyRules(), identifiers: str = IDENTIFIERS, text: str = "text") -> DataFrame:
-    """Add base_spans and spans, texts of kind:start:end in code points (end exclusive) by start and kind, and n_assign, n_access, n_hex.
+def secret_scan(docs: DataFrame, rules: NoveltyRules = NoveltyRules(), identifiers: str = IDENTIFIERS, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """Add n_assign, n_access, n_hex, base_spans and spans (texts of kind:start:end in code points, end exclusive, by start and kind), and novelty (the share of its own bytes that each of spans adds, in the same order).
 
-    Null and empty texts have no spans (empty strings). Long texts are scanned whole. Repeated rows give repeated results;
-    other columns pass through, and those named like the new ones are replaced.
+    Null and empty texts have no spans (empty strings, an empty array). Long texts are scanned whole. Repeated rows give
+    repeated results, an empty table gives no rows; other columns (those named in carry, or all) pass through, and those
+    named like the new ones are replaced.
     """
 
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_spans string, spans string")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        novelty = Novelty(identifiers)
+    def make():
+        weigh = Novelty(identifiers)
 
         def one(t: str | None) -> tuple:
             if not t:
-                return (0, 0, 0, "", "")
+                return (0, 0, 0, "", "", [])
             base = base_spans(t)
-            kinds = [k for _, k, _ in base]
-            return (*(kinds.count(k) for k in KINDS[:3]), listed(base), listed(base + novel_spans(t, base, novelty, rules)))
+            weighed = [(a, kind, b, weigh.share(t[max(0, v - rules.around) : v], t[v:b], t[b : b + rules.around])) for a, kind, b, v in base]
+            every = in_order(weighed + novel_spans(t, base, weigh, rules))
+            kinds = [s[1] for s in base]
+            return (*(kinds.count(k) for k in KINDS[:3]), listed(base), listed(every), [s[3] for s in every])
 
-        for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["n_assign", "n_access", "n_hex", "base_spans", "spans"])
+        return lambda texts: list(zip(*map(one, texts), strict=True))
 
-    s = F.col("_scan")
-    return docs.withColumn("_scan", scan(F.col(text))).withColumns({c: s[c] for c in ("n_assign", "n_access", "n_hex", "base_spans", "spans")}).drop("_scan")
+    return appended(docs, text, "n_assign long, n_access long, n_hex long, base_spans string, spans string, novelty array<double>", make, carry)

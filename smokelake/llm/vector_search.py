@@ -1,29 +1,31 @@
 """Operator 4, exact top-k search by a vector-approximation file.
 
-The vectors are dealt into blocks. In a task that holds a block of queries and a block of vectors, each vector's cells (a
-few bits for each component) give an upper bound of its score; exact vectors are then read in the order of the bounds,
-until the kth exact score of a query is above every bound that is left. The k best of each block meet in one ranking.
+The file holds one byte for each component of each vector (its cell), block by block. A scan over the cells gives bounds of every
+score; the kth best lower bound of a query is carried from block to block, and what can't reach it is left. Exact vectors
+are then read in the order of the upper bounds: the k first ones, and those whose bound reaches the kth exact score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """k: results of a query; bits: of a cell in each component; block, query_block: vectors and queries in a task; step: exact vectors read at a time."""
+    """k: results of a query; bits: of a cell in each component, 8 at most; query_block: queries that a task holds; part: vectors that a task scans."""
 
     k: int = 20
-    bits: int = 4
-    block: int = 8192
-    query_block: int = 1024
-    step: int = 64
+    bits: int = 8
+    query_block: int = 512
+    part: int = 1 << 18
 
 
 def whole_steps(vector: str, scale: float = 64.0) -> Column:
@@ -33,30 +35,65 @@ def whole_steps(vector: str, scale: float = 64.0) -> Column:
     return F.when(v.isNotNull() & finite, F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, s: SearchSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of the k best rows of the block for each query, its own id left out; ties to smaller ids."""
-    low, high = vectors.min(axis=0), vectors.max(axis=0)
-    size = np.maximum((high - low + 1 + (1 << s.bits) - 1) // (1 << s.bits), 1)
-    cells = ((vectors - low) // size).astype(np.uint8)
-    floor = low + cells * size
-    ceil = np.minimum(floor + size - 1, high)
-    q = queries.astype(np.float64)
-    bound = np.maximum(q, 0) @ ceil.T.astype(np.float64) + np.minimum(q, 0) @ floor.T.astype(np.float64)
-    out_q, out_v, out_s = [], [], []
-    for i in range(len(queries)):
-        order = np.argsort(-bound[i], kind="stable")
-        order = order[ids[order] != query_ids[i]]
-        taken, scores, at = np.empty(0, np.int64), np.empty(0, np.int64), 0
-        while at < len(order):
-            if len(scores) >= s.k and bound[i, order[at]] < np.partition(scores, len(scores) - s.k)[len(scores) - s.k]:
-                break  # the kth result is certain; an equal bound may still hide a tie with a smaller id
-            part = order[at : at + s.step]
-            taken, scores, at = np.concatenate([taken, part]), np.concatenate([scores, vectors[part] @ queries[i]]), at + s.step
-        best = np.lexsort((ids[taken], -scores))[: s.k]
-        out_q.append(np.full(len(best), i))
-        out_v.append(taken[best])
-        out_s.append(scores[best])
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+def matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Rows of integers; shorter vectors end in zeros."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    out = np.zeros((len(lengths), lengths.max(initial=0)), dtype=np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = vectors.flatten().to_numpy()
+    return out
+
+
+def widened(m: np.ndarray, width: int) -> np.ndarray:
+    return m[:, :width] if m.shape[1] >= width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
+
+
+def approximated(rows: DataFrame, bits: int) -> DataFrame:
+    """The approximation file: one row for each batch of vectors, with their keys (vec_id, h, r), the least value and the cell size of each component, and the cells."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                v = matrix(part.column("v"))
+                low = v.min(axis=0)
+                size = np.maximum(-(-(v.max(axis=0) - low + 1) // (1 << bits)), 1)
+                keys = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "h", "r")])
+                blobs = [x.tobytes() for x in (keys, low, size, ((v - low) // size).astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=["keys", "low", "size", "cells"])
+
+    return rows.select("vec_id", "h", "r", "v").mapInArrow(pack, "keys binary, low binary, size binary, cells binary")
+
+
+class Scan:
+    """Queries of a task, with the k best lower bounds so far and the vectors that may still be among the k best."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries.astype(np.float64), k
+        self.best = np.full((len(ids), k), -np.inf)
+        self.found: list[list[np.ndarray]] = []
+
+    def block(self, keys: np.ndarray, low: np.ndarray, size: np.ndarray, cells: np.ndarray) -> None:
+        q = widened(self.queries, len(low))
+        inner = (q * size) @ cells.T.astype(np.float64) + (q @ low)[:, None]
+        # beyond 2 ** 52 doubles are rounded: the bounds leave room for it
+        most = np.abs(q) @ np.maximum(np.abs(low), np.abs(low + 256.0 * size))
+        room = np.where(most < 2.0**52, 0.0, most * 2.0**-44)
+        lower = inner + (np.minimum(q, 0) @ (size - 1.0) - room)[:, None]
+        upper = inner + (np.maximum(q, 0) @ (size - 1.0) + room)[:, None]
+        own = self.ids[:, None] == keys[0][None]
+        lower[own] = upper[own] = -np.inf
+        n = lower.shape[1]
+        top = np.partition(lower, n - self.k, axis=1)[:, n - self.k :] if n > self.k else lower
+        both = np.concatenate([self.best, top], axis=1)
+        self.best = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
+        at_q, at_v = np.nonzero((upper >= self.best.min(axis=1)[:, None]) & (upper > -np.inf))
+        self.found.append([at_q, *keys[:, at_v], lower[at_q, at_v], upper[at_q, at_v]])
+
+    def rest(self) -> list[np.ndarray]:
+        """query_id, vec_id, h, r, lower, upper of what may be among the k best."""
+        q, *columns = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        stays = columns[-1] >= self.best.min(axis=1)[q]
+        return [self.ids[q][stays], *(c[stays] for c in columns)]
 
 
 def top_k(vectors: DataFrame, is_query: Column, settings: SearchSettings = SearchSettings(), vec_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -64,29 +101,73 @@ def top_k(vectors: DataFrame, is_query: Column, settings: SearchSettings = Searc
 
     Rows with a null id, or whose vector is null or holds null or non-finite components, take no part. A query never finds
     rows of its own id. Rows that repeat an id are candidates each; as a query, an id counts once, with its smallest
-    vector. An empty table gives no rows. All vectors need one length. Only the named columns are read.
+    vector. In vectors of unequal length the missing components count as 0; an empty vector scores 0. An empty table gives
+    no rows. Scores are long integers. Only the named columns are read.
 
-    Both sides are dealt to blocks by a hash of the id; a task holds one block of each, of fixed size.
+    Equal vectors score alike, so of each only the k + 1 smallest ids (one may be the query's own) can be among k results;
+    the others leave before the scan. A task scans a part of the file for a block of queries; both are of bounded size.
     """
+    s = settings
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole_steps(vector, scale).alias("v"), is_query.alias("q")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    n, n_queries = rows.select(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
-    n_blocks, n_query_blocks = max(1, -(-n // settings.block)), max(1, -(-n_queries // settings.query_block))
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int")
-    candidates = rows.select("vec_id", "v", block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("qb"))
-    queries = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        left, right = left.sort_values("vec_id"), right.sort_values("vec_id")
-        ids, q_ids = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        q, v, score = search_block(np.stack(left["v"].to_numpy()), q_ids, np.stack(right["v"].to_numpy()), ids, settings)
-        return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[v], "score": score})
-
-    found = queries.groupBy("qb", "b").cogroup(candidates.groupBy("qb", "b")).applyInPandas(search, "query_id long, vec_id long, score long")
+    rows = rows.withColumn("h", F.xxhash64("v"))
+    equal = Window.partitionBy("h", "v").orderBy("vec_id")
+    exact = materialize(rows.withColumn("r", F.row_number().over(equal)).filter(F.col("r") <= s.k + 1).select("vec_id", "h", "r", "v"))
+    asked = materialize(rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v")))
+    file = materialize(approximated(exact, s.bits))
+
+    parts = max(1, -(-exact.count() // s.part))
+    groups = max(1, -(-asked.count() // s.query_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None)
+    dealt = file.select(F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int").alias("part"), "keys", "low", "size", "cells", none.cast("long").alias("vec_id"), none.cast("array<long>").alias("v"), F.lit(1).alias("kind"))
+    dealt = dealt.select(every(groups).alias("g"), "*")
+    queries = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), *[none.cast("binary").alias(c) for c in ("keys", "low", "size", "cells")], "vec_id", "v", F.lit(0).alias("kind"))
+    both = dealt.unionByName(queries.select(every(parts).alias("part"), "*"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by task (g, part), queries before the file."""
+        now, asked, state = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if state is not None and state.found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in state.rest()], names=["query_id", "vec_id", "h", "r", "lower", "upper"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["g"], row["part"]) != now:
+                    yield from done()
+                    now, asked, state = (row["g"], row["part"]), [], None
+                if row["kind"] == 0:
+                    asked.append((row["vec_id"], row["v"]))
+                    continue
+                if state is None:
+                    if not asked:
+                        continue
+                    state = Scan(np.array([i for i, _ in asked], dtype=np.int64), matrix(pa.array([v for _, v in asked], pa.list_(pa.int64()))), s.k)
+                low, size = (np.frombuffer(row[c], dtype=np.int64) for c in ("low", "size"))
+                keys = np.frombuffer(row["keys"], dtype=np.int64).reshape(3, -1)
+                state.block(keys, low, size, np.frombuffer(row["cells"], dtype=np.uint8).reshape(keys.shape[1], len(low)))
+        yield from done()
+
+    tasks = both.repartition("g", "part").sortWithinPartitions("g", "part", "kind")
+    left = tasks.mapInArrow(scan, "query_id long, vec_id long, h long, r long, lower double, upper double")
+    # the parts of a query meet: bounds of all parts leave less
+    by_query = Window.partitionBy("query_id")
+    left = left.withColumn("n", F.row_number().over(by_query.orderBy(F.desc("lower")))).withColumn("kth", F.min(F.when(F.col("n") <= s.k, F.col("lower"))).over(by_query))
+    left = left.filter(F.col("upper") >= F.col("kth")).withColumn("n", F.row_number().over(by_query.orderBy(F.desc("upper"), "vec_id")))
+    left = materialize(left.select("query_id", "vec_id", "h", "r", "upper", "n"))
+
+    def read(pairs: DataFrame) -> DataFrame:
+        product = F.aggregate(F.zip_with("qv", "v", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+        found = pairs.join(exact, ["vec_id", "h", "r"]).join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+        return found.select("query_id", "vec_id", product.alias("score"))
+
+    first = materialize(read(left.filter(F.col("n") <= s.k)))
+    certain = first.groupBy("query_id").agg(F.min("score").alias("least"))
+    second = left.filter(F.col("n") > s.k).join(certain, "query_id").filter(F.col("upper") >= F.col("least")).drop("least")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= settings.k).select("query_id", "rank", "vec_id", "score")
+    ranked = first.unionByName(read(second)).withColumn("rank", F.row_number().over(by_score))
+    return ranked.filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same rows by all scores.
