@@ -1,12 +1,13 @@
 """Operator 5, n-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
 A document is its set of word shingles (64-bit hashes, sorted). Two sets that link agree in at least one shingle of their
-prefixes under any common order of shingles, so a prefix shingle names the tiles that a set belongs to; very frequent
-shingles come last in that order. Within a tile, sets of fitting sizes are compared by bitmaps: the bits that one has and
-the other lacks bound the overlap from above. What the bound lets pass is verified on the sorted arrays.
+prefixes under any common order of shingles; frequent shingles come last in that order. A tile holds the sets of one size
+band that a prefix shingle brings together; sets that link lie in one band or in two neighbouring ones. Within tiles, sets
+are compared by bitmaps: the bits that one has and the other lacks bound the overlap from above. What the bound lets pass
+is verified on the sorted arrays.
 
-Equal sets are one class from the start. The classes of a tile are first compared with one of them, its centre; then only
-classes that lie in different components so far meet in tiles, in blocks of bounded size. So a group of copies costs
+Equal sets are one class from the start. The classes of a tile are first compared with its centre; then only classes that
+lie in different components so far meet, tile by tile, in blocks of bounded size. So a group of copies costs
 links in proportion to its size, and no link between different texts is lost.
 """
 
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import materialize
+from .common import materialize, slices
 from .graph import components
 
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -35,8 +37,9 @@ class JaccardSettings:
     """shingle: words of a shingle; percent: sets link when 100 * intersection >= percent * union; bits: most of a bitmap (a power of two).
 
     hot: most shingles that are moved to the end of the order because they are frequent (a fixed bound of what is broadcast;
-    any choice of them gives the same result); hot_least: occurrences that make one of them; block: rows of a tile's block;
-    salts: parts into which the rows of a hot shingle are dealt.
+    any choice of them gives the same result); hot_least: occurrences that make one of them; counted: shingles that a task
+    counts (one that makes up over 1 / counted of what the task sees is never missed); salts: parts into which the rows of a
+    hot shingle are dealt; block: rows of a block of a tile; broadcast: most rows of a table that is broadcast.
     """
 
     shingle: int = 4
@@ -44,8 +47,18 @@ class JaccardSettings:
     bits: int = 1 << 16
     hot: int = 1 << 17
     hot_least: int = 16
-    block: int = 1024
+    counted: int = 1 << 16
     salts: int = 64
+    block: int = 512
+    broadcast: int = 200_000
+
+    def prefix(self, n: int) -> int:
+        """Elements of the prefix of a set of n."""
+        return n - -(-self.percent * n // 100) + 1
+
+    def band(self, n: str) -> Column:
+        """Sizes that differ by no more than sets that link may lie in one band or in two neighbouring ones."""
+        return F.floor(F.log(F.col(n).cast("double")) / F.lit(float(np.log(100 / self.percent)) * 1.000001)).cast("int")
 
 
 class Powers:
@@ -69,12 +82,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, s: JaccardSettings, powers: Powers) -> np.ndarray:
+def shingle_set(text: str | bytes | None, s: JaccardSettings, powers: Powers) -> np.ndarray:
     """Sorted hashes of the distinct shingles of the whole text; with fewer words than a shingle has, of the whole sequence.
 
     A word's hash is a difference of running sums over the bytes of the text, so all words are hashed at once.
     """
-    data = np.frombuffer((text or "").encode("utf-8"), dtype=np.uint8)
+    data = np.frombuffer(text.encode("utf-8") if isinstance(text, str) else text or b"", dtype=np.uint8)
     inside = np.concatenate(([False], _INSIDE[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
@@ -122,229 +135,303 @@ def may_link(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
     return (100 + percent) * most >= percent * (na + nb)
 
 
-class Maps:
-    """Bitmaps of a column, in one table of bytes for each width; rows of one width that follow each other are a slice."""
+class Frequent:
+    """A bounded count of frequent values (Misra and Gries): the counts of the most frequent ones less what is common to all beyond them."""
+
+    def __init__(self, most: int):
+        self.most, self.waiting, self.n = most, [], 0
+        self.values, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, a: np.ndarray) -> None:
+        self.waiting.append(a)
+        self.n += len(a)
+        if self.n > 1 << 20:
+            self.settle()
+
+    def settle(self) -> None:
+        values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *self.waiting]), return_counts=True)
+        self.waiting, self.n = [], 0
+        self.values, group = np.unique(np.concatenate([self.values, values]), return_inverse=True)
+        self.counts = np.bincount(group, weights=np.concatenate([self.counts, counts]), minlength=len(self.values)).astype(np.int64)
+        if len(self.values) > self.most:
+            self.counts -= np.partition(self.counts, -self.most - 1)[-self.most - 1]
+            stays = self.counts > 0
+            self.values, self.counts = self.values[stays], self.counts[stays]
+
+
+def class_table(docs: DataFrame, s: JaccardSettings) -> DataFrame:
+    """docs: doc_id and text. Returns doc_id, t (hash of the text), n, sid and map of every document, and for each task a row with n = -1 that counts frequent shingles (h and c)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+    kind = docs.schema["doc_id"].dataType
+    names = ["doc_id", "t", "n", "sid", "map", "h", "c"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, frequent, seen, id_type = Powers(), Frequent(s.counted), set(), None
+        for batch in batches:
+            id_type = batch.column(0).type
+            for lo, hi in slices(batch.column(2), 1 << 20):
+                out = []
+                for text in batch.column(2).slice(lo, hi - lo).to_pylist():
+                    a = shingle_set(text, s, powers)
+                    if not len(a):
+                        out.append((0, None, None))
+                        continue
+                    sid = set_id(a)
+                    out.append((len(a), sid, bitmap(a, s)))
+                    if sid not in seen:
+                        seen.add(sid)
+                        frequent.add(a[: 2 * s.prefix(len(a))])  # frequent ones make way for later ones
+                n, sid, maps = zip(*out, strict=True)
+                none = pa.nulls(hi - lo, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(maps, pa.binary()), none, none], names=names)
+        if seen:
+            frequent.settle()
+            often = frequent.counts > 1
+            lists = [pa.array([x[often].view(np.int64)], pa.list_(pa.int64())) for x in (frequent.values, frequent.counts)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], names=names)
+
+    fields = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("t long, n int, sid long, map binary, h array<long>, c array<long>")])
+    return rows.mapInArrow(measure, fields)
+
+
+def prefix_keys(docs: DataFrame, hot: np.ndarray, s: JaccardSettings) -> DataFrame:
+    """(key, sid, n, hot): the prefix shingles of each set, those of the hot list last in the order. A task emits a set once."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def __init__(self, column: pd.Series):
-        self.width = np.fromiter(map(len, column), dtype=np.int64, count=len(column))
-        self.place = np.zeros(len(column), dtype=np.int64)
-        self.table = {}
-        values = column.to_numpy()
-        for w in np.unique(self.width):
-            at = np.flatnonzero(self.width == w)
-            self.place[at] = np.arange(len(at))
-            self.table[w] = np.frombuffer(b"".join(values[at]), dtype=np.uint8).reshape(len(at), w)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, seen, hot = Powers(), set(), shared.value
+        for batch in batches:
+            for lo, hi in slices(batch.column(0), 1 << 20):
+                sets, keys, last = [], [np.empty(0, np.uint64)], [np.empty(0, bool)]
+                for text in batch.column(0).slice(lo, hi - lo).to_pylist():
+                    a = shingle_set(text, s, powers)
+                    sid = set_id(a) if len(a) else None
+                    if sid is None or sid in seen:
+                        continue
+                    seen.add(sid)
+                    is_hot = np.zeros(len(a), bool)
+                    if len(hot):
+                        at = np.searchsorted(hot, a)
+                        at[at == len(hot)] = 0
+                        is_hot = hot[at] == a
+                    order = np.argsort(is_hot, kind="stable")[: s.prefix(len(a))]
+                    keys.append(a[order])
+                    last.append(is_hot[order])
+                    sets.append((sid, len(a), len(order)))
+                sid, n, times = np.array(sets, dtype=np.int64).reshape(-1, 3).T
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(sid, times), np.repeat(n, times).astype(np.int32), np.concatenate(last)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "sid", "n", "hot"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(measure, "key long, sid long, n int, hot boolean")
+
+
+def fits(na: Column, nb: Column, percent: int) -> Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
-    def row(self, k: int) -> np.ndarray:
-        return self.table[self.width[k]][self.place[k]][None]
 
-    def runs(self, lo: int, hi: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """The rows from lo to hi in runs of one width."""
-        cuts = [lo, *(np.flatnonzero(np.diff(self.width[lo:hi])) + lo + 1), hi]
-        for u, v in zip(cuts[:-1], cuts[1:], strict=True):
-            yield u, v, self.table[self.width[u]][self.place[u] : self.place[u] + v - u]
+def shared_keys(rows: DataFrame, s: JaccardSettings) -> DataFrame:
+    """The rows whose key another set of a fitting size has. Sets of a key are put in order of size, so their neighbours tell; rows of a hot key, dealt by a salt, all stay."""
+    order = Window.partitionBy("key", F.when(F.col("hot"), F.pmod("sid", F.lit(s.salts)).cast("int")).otherwise(F.lit(0))).orderBy("n", "sid")
+    rows = rows.withColumns({"s0": F.lag("sid").over(order), "n0": F.lag("n").over(order), "s1": F.lead("sid").over(order), "n1": F.lead("n").over(order)})
+    near = lambda k: (F.col(f"s{k}") != F.col("sid")) & fits(F.col(f"n{k}"), F.col("n"), s.percent)
+    return rows.filter(F.col("hot") | F.coalesce(near(0), F.lit(False)) | F.coalesce(near(1), F.lit(False))).select("key", "sid", "n").distinct()
 
 
-def class_table(docs: DataFrame, doc_id: str, text: str, s: JaccardSettings) -> DataFrame:
-    """doc_id, t (hash of the text), n, sid and map of every document; h and c list shingles that are frequent within a batch (on its first row)."""
+def checked(df: DataFrame, most: int) -> DataFrame:
+    """A materialized table, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    @F.pandas_udf("n long, sid long, map binary, h array<long>, c array<int>")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        powers = Powers()
-        for texts in batches:
-            out, distinct = [], {}
-            for t in texts:
-                a = shingle_set(t, s, powers)
-                if len(a):
-                    out.append((len(a), set_id(a), bitmap(a, s), None, None))
-                    distinct[out[-1][1]] = a
-                else:
-                    out.append((0, None, None, None, None))
-            if distinct:
-                values, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                often = counts >= 3
-                out[0] = (*out[0][:3], values[often].view(np.int64), counts[often].astype(np.int32))
-            yield pd.DataFrame(out, columns=["n", "sid", "map", "h", "c"], dtype=object)  # as floats, ids beside nulls would be rounded
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("t"), measure(F.col(text)).alias("m")).select("doc_id", "t", "m.*")
-
-
-def prefix_keys(docs: DataFrame, text: str, hot: np.ndarray, s: JaccardSettings) -> DataFrame:
-    """(key, sid, n, hot): the prefix shingles of each set, those of the hot list last in the order. A task emits a set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    @F.pandas_udf("n long, sid long, cold array<long>, hot array<long>")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        powers, seen, hot = Powers(), set(), shared.value
-        empty = np.empty(0, np.int64)
-        for texts in batches:
-            out = []
-            for t in texts:
-                a = shingle_set(t, s, powers)
-                sid = set_id(a) if len(a) else None
-                if sid is None or sid in seen:
-                    out.append((0, None, empty, empty))
-                    continue
-                seen.add(sid)
-                n = len(a)
-                length = n - -(-s.percent * n // 100) + 1
-                if len(hot):
-                    at = np.searchsorted(hot, a)
-                    at[at == len(hot)] = 0
-                    last = hot[at] == a
-                    cold = a[~last][:length]
-                    out.append((n, sid, cold.view(np.int64), a[last][: length - len(cold)].view(np.int64)))
-                else:
-                    out.append((n, sid, a[:length].view(np.int64), empty))
-            yield pd.DataFrame(out, columns=["n", "sid", "cold", "hot"], dtype=object)
-
-    rows = docs.select(measure(F.col(text)).alias("m")).select("m.*")
-    tagged = F.concat(F.transform("cold", lambda k: F.struct(k.alias("key"), F.lit(False).alias("hot"))), F.transform("hot", lambda k: F.struct(k.alias("key"), F.lit(True).alias("hot"))))
-    return rows.select("n", "sid", F.explode(tagged).alias("k")).select("k.key", "sid", "n", "k.hot")
-
-
-def fits(na: str, nb: str, percent: int) -> Column:
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+def _tables(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a binary column by width: (places, table of bytes)."""
+    ends = column.buffers()[1]
+    offsets = np.frombuffer(ends, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+    widths = np.diff(offsets)
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w)
+        yield at, data[offsets[at][:, None] + np.arange(w)]
+
+
+class Maps:
+    """Bitmaps with a number for each row, in a table of bytes for each width."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, column: pa.Array) -> None:
+        self.parts += [(at + self.n, table) for at, table in _tables(column)]
+        self.n += len(column)
+
+    def settled(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        by_width: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for part in self.parts:
+            by_width.setdefault(part[1].shape[1], []).append(part)
+        self.parts = [tuple(np.concatenate(x) for x in zip(*v, strict=True)) for v in by_width.values()]
+        return self.parts
 
 
 def by_bitmap(pairs: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
     """Pairs (a, b) whose bitmaps leave a link possible."""
 
-    @F.pandas_udf("boolean")
-    def passes(ma: pd.Series, mb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        ok = np.zeros(len(ma), dtype=bool)
-        widths = ma.str.len().to_numpy() * (1 << 20) + mb.str.len().to_numpy() if len(ma) else np.empty(0, np.int64)
-        for w in np.unique(widths):
-            at = np.flatnonzero(widths == w)
-            a, b = (np.frombuffer(b"".join(m.iloc[at]), dtype=np.uint8).reshape(len(at), -1) for m in (ma, mb))
-            ok[at] = may_link(a, b, na.to_numpy()[at], nb.to_numpy()[at], s.percent)
-        return pd.Series(ok)
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            for at, table in _tables(batch.column("ma")):
+                for of, other in _tables(batch.column("mb").take(pa.array(at))):
+                    rows = at[of]
+                    ok[rows] = may_link(table[of], other, na[rows], nb[rows], s.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma"))
     right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb"))
-    rows = pairs.join(left, "a").join(right, "b").filter(fits("na", "nb", s.percent))
-    return rows.filter(passes("ma", "mb", "na", "nb")).select("a", "b")
+    rows = pairs.join(left, "a").join(right, "b").filter(fits(F.col("na"), F.col("nb"), s.percent))
+    return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(passing, "a long, b long")
 
 
 def verified(pairs: DataFrame, arrays: DataFrame, s: JaccardSettings) -> DataFrame:
     """Pairs (a, b) that link, by intersection of the sorted arrays."""
 
-    @F.pandas_udf("boolean")
-    def links(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= s.percent * (len(x) + len(y) - both)
+    def links(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= s.percent * (len(x) + len(y) - both)
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ok = [links(x, y) for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left, right = arrays.select(F.col("sid").alias("a"), F.col("set").alias("sa")), arrays.select(F.col("sid").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").filter(links("sa", "sb")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(linking, "a long, b long")
 
 
-def set_arrays(docs: DataFrame, pairs: DataFrame, members: DataFrame, doc_id: str, text: str, s: JaccardSettings) -> DataFrame:
-    """sid and set (the sorted array, as bytes) of every class in the pairs, read from the text of its first document."""
+def set_arrays(docs: DataFrame, wanted: DataFrame, s: JaccardSettings) -> DataFrame:
+    """sid and set (the sorted array, as bytes) of every class wanted (sid, doc), read from the text of its first document."""
 
-    @F.pandas_udf("binary")
-    def measure(texts: pd.Series, want: pd.Series) -> pd.Series:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        arrays = [shingle_set(t, s, powers) for t in texts]
-        return pd.Series([a.tobytes() if set_id(a) == w else None for a, w in zip(arrays, want, strict=True)], dtype=object)
+        for batch in batches:
+            for lo, hi in slices(batch.column(1), 1 << 20):
+                part = batch.slice(lo, hi - lo)
+                found = [(w, a.tobytes()) for w, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if set_id(a := shingle_set(t, s, powers)) == w]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["sid", "set"])
 
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(members, "sid").select(F.col("doc.doc_id").alias("_id"), F.col("doc.t").alias("t"), "sid")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    rows = rows.join(wanted, (rows["t"] == wanted["t"]) & rows["doc_id"].eqNullSafe(wanted["_id"])).select("sid", measure("text", "sid").alias("set"))
-    return materialize(rows.filter("set IS NOT NULL").dropDuplicates(["sid"]))  # a document may come in several rows
+    wanted = materialize(wanted.select(F.col("doc.doc_id").alias("_id"), F.col("doc.t").alias("t"), "sid"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(checked(wanted, s.broadcast), (rows["t"] == wanted["t"]) & rows["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "text")
+    return materialize(rows.mapInArrow(measure, "sid long, set binary").dropDuplicates(["sid"]))  # a document may come in several rows
 
 
 def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components, fit in size and pass the bitmaps; centres are done.
+    """Pairs (a, b) that share a key, lie in different components, fit in size and pass the bitmaps.
 
-    A key is open while its other classes lie in two components or more; its first component is the major one. The classes
-    of all open keys with one major component make a tile, each of them once. Those outside that component are the minor
-    ones; each is sent to all blocks of the fitting size bands, every class to its own block.
+    A key is open while its classes lie in two components or more; its first component is the major one. The classes
+    of all open keys with one major component make the tiles of that component, one for each size band; each class is there once. Those
+    outside the major component are probes: they meet the tiles of their band and of its neighbours. Both the rows of a
+    tile and its probes are dealt into blocks, and a task gets one block of each at a time.
     """
-    rows = keys.filter("sid <> centre").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
+    rows = keys.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
     rows = materialize(rows.select("key", "sid", "n", F.coalesce("label", "sid").alias("label")))
     open_keys = rows.groupBy("key").agg(F.min("label").alias("major"), F.max("label").alias("other")).filter("major <> other").select("key", "major")
-    members = materialize(rows.join(open_keys, "key").select("major", "sid", "n", "label").distinct())
-    blocks = members.groupBy("major").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks"))
-    width = float(np.log(100 / s.percent)) * 1.000001
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-    rows = members.join(blocks, "major").join(classes.select("sid", "map"), "sid").withColumn("band", F.when(F.col("blocks") > 1, band).otherwise(0))
-    own = rows.select("major", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "n", "label", "map", F.lit(False).alias("probe"))
-    near = F.explode(F.when(F.col("blocks") > 1, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band")))
-    probes = rows.filter("label <> major").select("major", near.alias("band"), "blocks", "sid", "n", "label", "map")
-    probes = probes.select("major", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "n", "label", "map", F.lit(True).alias("probe"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Tiles come one after the other; the last one of a batch may go on in the next."""
-        kept: pd.DataFrame | None = None
-        for pdf in batches:
-            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            tile = pdf[["major", "band", "block"]].to_numpy()
-            edges = np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1
-            cut = edges[-1] if len(edges) else 0
-            kept = pdf.iloc[cut:]
-            if cut:
-                yield tiles(pdf.iloc[:cut], np.concatenate(([0], edges)))
-        if kept is not None and len(kept):
-            yield tiles(kept, np.array([0, len(kept)]))
-
-    def tiles(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-        """Probes against the other rows of each tile; within a tile rows are ordered by probe and size."""
-        n, label, sid, probe, major = (pdf[c].to_numpy() for c in ("n", "label", "sid", "probe", "major"))
-        maps, found = Maps(pdf["map"]), [np.empty((0, 2), np.int64)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            mid = lo + int(np.count_nonzero(~probe[lo:hi]))
-            for p in range(mid, hi):
-                a, b = lo + np.searchsorted(n[lo:mid], [-(-s.percent * n[p] // 100), 100 * n[p] // s.percent + 1])
-                for u, v, part in maps.runs(a, b) if a < b else ():
-                    # two minor ones meet twice, as probe and row and the other way round
-                    ok = (label[u:v] != label[p]) & ((label[u:v] == major[p]) | (sid[u:v] > sid[p])) & may_link(maps.row(p), part, n[p], n[u:v], s.percent)
-                    if ok.any():
-                        hits = sid[u:v][ok]
+    members = rows.join(open_keys, "key").select("major", "sid", "n", "label").distinct().withColumn("band", s.band("n"))
+    members = materialize(members)
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("tile")
+    probes = members.filter("label <> major").select("major", near, "band", "sid", "n", "label")
+    blocks = lambda of: F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias(of)
+    sizes = members.groupBy("major", F.col("band").alias("tile")).agg(blocks("own_blocks")).join(probes.groupBy("major", "tile").agg(blocks("probe_blocks")), ["major", "tile"])
+    sizes = materialize(sizes)
+    mapped = classes.select("sid", "map")
+    dealt = F.pmod(F.xxhash64("sid"), F.col("mine")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("theirs") - 1))
+
+    def placed(rows: DataFrame, mine: str, theirs: str, block: str, other: str, probe: bool) -> DataFrame:
+        rows = rows.join(sizes.withColumnsRenamed({mine: "mine", theirs: "theirs"}), ["major", "tile"]).join(mapped, "sid")
+        return rows.select("major", "tile", dealt.alias(block), every.alias(other), F.lit(probe).alias("probe"), "band", "sid", "n", "label", "map")
+
+    own = placed(members.withColumn("tile", F.col("band")), "own_blocks", "probe_blocks", "own", "asking", False)
+    both = own.unionByName(placed(probes, "probe_blocks", "own_blocks", "asking", "own", True))
+    by = ["major", "tile", "own", "asking"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by task, those of the tile before the probes. Of a task only its tile rows, a block, are held."""
+        now, sids, ns, labels, maps = None, [], [], [], Maps()
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in by], axis=1)
+            probe = batch.column("probe").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((place[1:] != place[:-1]).any(axis=1) | (probe[1:] != probe[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(probe)], strict=True):
+                if lo == hi:
+                    continue
+                if tuple(place[lo]) != now:
+                    now, sids, ns, labels, maps = tuple(place[lo]), [], [], [], Maps()
+                part = batch.slice(lo, hi - lo)
+                sid, n, label, band = (part.column(c).to_numpy().astype(np.int64) for c in ("sid", "n", "label", "band"))
+                if not probe[lo]:
+                    sids, ns, labels = [*sids, sid], [*ns, n], [*labels, label]
+                    maps.add(part.column("map"))
+                elif sids:
+                    yield pairs(now, [np.concatenate(x) for x in (sids, ns, labels)], maps.settled(), sid, n, label, band, part.column("map"))
+
+    def pairs(now, own, tables, sid, n, label, band, column) -> pa.RecordBatch:
+        own_sid, own_n, own_label = own
+        major, tile = now[:2]
+        found = [np.empty((0, 2), np.int64)]
+        for places, probing in _tables(column):
+            for k, p in enumerate(places):
+                for at, table in tables:
+                    x = own_label[at]
+                    # two minor ones meet once: in the upper band, or in their own by the order of ids
+                    ok = (x != label[p]) & ((x == major) | (band[p] < tile) | ((band[p] == tile) & (own_sid[at] > sid[p])))
+                    ok &= 100 * np.minimum(own_n[at], n[p]) >= s.percent * np.maximum(own_n[at], n[p])
+                    rows = np.flatnonzero(ok)
+                    if len(rows):
+                        hits = own_sid[at[rows[may_link(probing[k][None], table[rows], n[p], own_n[at[rows]], s.percent)]]]
                         found.append(np.stack([np.minimum(hits, sid[p]), np.maximum(hits, sid[p])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    dealt = own.unionByName(probes).repartition("major", "band", "block").sortWithinPartitions("major", "band", "block", "probe", "n")
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
+    return both.repartition(*by).sortWithinPartitions(*by, "probe").mapInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, t (hash of the text), n (set size) and label, equal for those of one component and null without words."""
     s = settings
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ids = materialize(class_table(docs, "doc_id", "text", s))
-    often = ids.select(F.explode(F.arrays_zip("h", "c")).alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.c").alias("c"))
+    found = materialize(class_table(docs, s))
+    often = found.filter("n = -1").select(F.explode(F.arrays_zip("h", "c")).alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.c").alias("c"))
     hot = often.filter(F.col("c") >= s.hot_least).orderBy(F.desc("c"), "h").limit(s.hot).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
     hot = np.sort(hot.view(np.uint64))
+    ids = found.filter("n >= 0")
 
-    # tiles: keys that two classes or more share, with the key's centre; rows of a hot shingle are dealt by a salt as well
-    rows = prefix_keys(docs, "text", hot, s).withColumn("salt", F.when(F.col("hot"), F.pmod("sid", F.lit(s.salts)).cast("int")).otherwise(F.lit(0)))
-    by_key = Window.partitionBy("key", "salt")
-    ends = rows.withColumns({"centre": F.min("sid").over(by_key), "last": F.max("sid").over(by_key)})
-    keys = materialize(ends.filter("hot OR centre <> last").select("key", "sid", "n", "hot", "centre").distinct())
-    hot_centres = keys.filter("hot").groupBy("key").agg(F.min("centre").alias("first"))  # at most s.hot rows
-    keys = keys.join(F.broadcast(hot_centres), "key", "left").select("key", "sid", "n", F.coalesce("first", "centre").alias("centre"))
-
+    keys = materialize(shared_keys(prefix_keys(docs, hot, s), s))
     document = F.struct("doc_id", "t")
     classes = ids.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), document)), F.min(document)).alias("doc"))
     classes = materialize(classes)
     members = classes.select("sid", "doc")
-    stars = keys.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
+
+    # each set with the centre of its tiles
+    banded = keys.select("key", s.band("n").alias("band"), "sid")
+    centres = banded.groupBy("key", "band").agg(F.min("sid").alias("a"))
+    stars = banded.join(centres, ["key", "band"]).filter("a <> sid").select("a", F.col("sid").alias("b")).distinct()
     stars = materialize(by_bitmap(stars, classes, s))
-    links = materialize(verified(stars, set_arrays(docs, stars, members, "doc_id", "text", s), s))
+    arrays = set_arrays(docs, stars.select(F.col("a").alias("sid")).union(stars.select("b")).distinct().join(members, "sid"), s)
+    links = materialize(verified(stars, arrays, s))
     labels = components(links)
+
     crossing = materialize(open_tiles(keys, labels, classes, s))
     if not crossing.isEmpty():
-        more = verified(crossing, set_arrays(docs, crossing, members, "doc_id", "text", s), s)
-        links = materialize(links.union(more))
+        wanted = crossing.select(F.col("a").alias("sid")).union(crossing.select("b")).distinct()
+        more = set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s)
+        links = materialize(links.union(verified(crossing, arrays.union(more), s)))
         labels = components(links)
 
     named = ids.select("doc_id", "t", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    return named.select("doc_id", "t", "n", F.coalesce("label", "sid").alias("label"))
+    return named.select("doc_id", "t", F.col("n").cast("long").alias("n"), F.coalesce("label", "sid").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
