@@ -1,126 +1,298 @@
-"""Operator 6, line dedup by an exact set-similarity join. DataFrame functions alone.
+"""Operator 6, line dedup by an exact set-similarity join.
 
-A line is the set of its distinct words in lower case. Words are ordered by rarity (the class of their count over the
-whole corpus, then hash); two sets that reach the threshold share a word of their prefixes in that order. Equal sets are
-one class, kept at its first place. Candidates pass length and positional filters and are verified on
-the words themselves. A line goes if a line before it, by document (its id, then the hash of its text) and place, reaches the threshold.
+A line is the set of its distinct words in lower case. Words are ordered by rarity (their count over the whole corpus, then
+hash); two sets that reach the threshold share a word of their prefixes in that order. Equal sets are one class, kept at
+its first place. Sets that share a prefix word pass length and positional filters and a bound by bit signatures; what is left
+is verified on the sets themselves. A line goes if a line before it, by document (its id, then the hash of its text) and
+place, reaches the threshold.
+
+The rarity order needs a count for each word. A form in DataFrame functions alone could not hold it within the limits
+(README), so words are ranked and candidates are filtered by numpy in tasks; Spark deals, sorts and joins them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import materialize
+from .common import checked, materialize, slices, unused
+from .words import Powers, hashed_words, mixed
 
-#: ASCII white space but the line break, as a Java pattern.
-_GAP = r"[\x20\x09\x0B-\x0D]+"
+_VALUES = np.arange(1, 257, dtype=np.uint64)
 
 
 @dataclass(frozen=True)
 class LineSettings:
-    """tenths: the Jaccard threshold in tenths; buckets_log2: hash buckets in which words are counted for their rarity; few: most lines of a key of which all pairs are taken at once."""
+    """tenths: the Jaccard threshold in tenths; buckets_log2: hash buckets in which words are counted; few: candidates that a line of a word tries at first.
+
+    cold: a word of at most so many occurrences has one group of lines; block: lines of a block of the other words' groups;
+    broadcast: most rows of a table that is broadcast.
+    """
 
     tenths: int = 8
-    buckets_log2: int = 16
-    few: int = 8
+    buckets_log2: int = 21
+    few: int = 3
+    cold: int = 4096
+    block: int = 2048
+    broadcast: int = 200_000
+
+
+def _level(count: np.ndarray | int) -> np.ndarray:
+    """A count's place in the order of rarity, below 256: six steps for each doubling."""
+    return np.minimum(np.floor(6 * np.log2(1.0 + count)), 255).astype(np.uint8)
+
+
+def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in lower case, one line break between two, and the number of the first line of each."""
+    data = [(t or "").lower().encode() for t in texts]
+    first = np.cumsum([0, *(d.count(b"\n") + 1 for d in data)])
+    return np.frombuffer(b"\n".join(data), dtype=np.uint8), first
+
+
+def rarity(docs: DataFrame, s: LineSettings) -> np.ndarray:
+    """The level of each bucket of words. A task sends one count for each bucket that it meets; the driver gets 2 ** buckets_log2 rows at most."""
+    n = 1 << s.buckets_log2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, total, waiting, held = Powers(), np.zeros(n, np.int64), [], 0
+        for batch in batches:
+            for lo, hi in slices(batch.column(0), 1 << 20):
+                data, _ = _joined(batch.column(0).slice(lo, hi - lo).to_pylist())
+                waiting.append(hashed_words(data, _VALUES, powers)[1] & np.uint64(n - 1))
+                held += len(waiting[-1])
+                if held > 1 << 21:
+                    total += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=n)
+                    waiting, held = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    levels = np.zeros(n, np.uint8)
+    levels[counts["bucket"].to_numpy(dtype=np.int64)] = _level(counts["n"].to_numpy(dtype=np.int64))
+    return levels
+
+
+def ranked_lines(texts: list[str | None], levels: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the line, rank of the word) of each distinct word of a line, rarest first in each line; and the number of the first line of each text."""
+    data, first = _joined(texts)
+    starts, h = hashed_words(data, _VALUES, powers)
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    rank = levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    order = np.lexsort((rank, line))
+    line, rank = line[order], rank[order]
+    new = np.ones(len(line), dtype=bool)
+    new[1:] = (line[1:] != line[:-1]) | (rank[1:] != rank[:-1])
+    return line[new], rank[new], first
+
+
+def _edges(line: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(line)])) if len(line) else np.zeros(1, np.int64)
+
+
+def _set_ids(rank: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Equal for lines of equal sets; two different sets meet with the chance of 64-bit hashes."""
+    return mixed(np.add.reduceat(mixed(rank), edges[:-1]) + np.diff(edges).astype(np.uint64)).view(np.int64)
+
 
+def lines_of(docs: DataFrame, levels, s: LineSettings) -> DataFrame:
+    """Every line with a word: id, t, pos (its place), n (distinct words), sid. Of equal lines of a task the first one has keys (the prefix, rarest first), cold (how many of them are rare) and the bit signature m0, m1."""
+    names = ["id", "t", "pos", "n", "sid", "keys", "cold", "m0", "m1"]
+    most_cold = int(_level(s.cold))
 
-def rarity(docs: DataFrame, s: LineSettings) -> Column:
-    """An array literal that holds, for each bucket, three times the logarithm of the count of the words in it.
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, seen = Powers(), set()
+        for batch in batches:
+            for lo, hi in slices(batch.column(2), 1 << 20):
+                line, rank, first = ranked_lines(batch.column(2).slice(lo, hi - lo).to_pylist(), levels.value, powers)
+                edges = _edges(line)
+                at = edges[:-1]
+                if not len(at):
+                    continue
+                n, sid = np.diff(edges), _set_ids(rank, edges)
+                doc = np.searchsorted(first, line[at], side="right") - 1
+                _, fresh = np.unique(sid, return_index=True)
+                fresh = fresh[(10 * n[fresh] >= s.tenths * (n[fresh] + 1))]  # smaller sets link with equal ones alone
+                fresh = np.sort([k for k in fresh.tolist() if sid[k] not in seen]).astype(np.int64)
+                seen = seen if len(seen) < 1 << 19 else set()
+                seen.update(sid[fresh].tolist())
+                length = n - -(-s.tenths * n // 10) + 1
+                keyed = np.zeros(len(n), dtype=bool)
+                keyed[fresh] = True
+                of = np.repeat(np.arange(len(n)), n)
+                inside = np.arange(len(rank)) - at[of]
+                prefix = keyed[of] & (inside < length[of])
+                per_line = np.where(keyed, length, 0)
+                bit = rank & np.uint64(127)
+                one = np.uint64(1) << (bit & np.uint64(63))
+                m0 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), at).view(np.int64)
+                m1 = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), at).view(np.int64)
+                is_cold = prefix & ((rank >> np.uint64(56)) <= most_cold)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(per_line))).astype(np.int32), mask=np.append(~keyed, False))
+                keys = pa.ListArray.from_arrays(offsets, pa.array((rank[prefix] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+                ids, ts = (batch.column(c).slice(lo, hi - lo).take(pa.array(doc)) for c in (0, 1))
+                arrays = [ids, ts, pa.array((line[at] - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sid), keys]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.add.reduceat(is_cold, at).astype(np.int32)), pa.array(m0), pa.array(m1)], names=names)
 
-    Words of all documents are counted by the bucket of their hash, so a task sends at most a count for each bucket, and
-    what the driver gets and puts into later plans has 2 ** buckets_log2 numbers, whatever the corpus.
+    return docs.select("id", "t", "text").mapInArrow(measure, "id long, t long, pos int, n int, sid long, keys array<int>, cold int, m0 long, m1 long")
+
+
+def dealt_keys(lines: DataFrame, s: LineSettings) -> DataFrame:
+    """One row for each prefix word, and for each pair of blocks (p <= q) that the line's block is in. A rare word has one block; how many another one needs is counted."""
+    place = F.col("t").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("pos").cast("long")).alias("place")
+    rows = lines.filter("keys IS NOT NULL").select("id", place, "sid", "n", "m0", "m1", "cold", F.posexplode("keys").alias("i", "key"))
+    columns = ["key", "n", "i", "sid", "id", "place", "m0", "m1"]
+    hot = materialize(rows.filter("i >= cold").select(*columns))
+    blocks = materialize(hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks")))
+    hot = hot.join(checked(blocks, s.broadcast), "key").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hot = hot.select(*columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine")
+    zero = F.lit(0)
+    return rows.filter("i < cold").select(*columns, zero.alias("p"), zero.alias("q"), zero.alias("mine")).unionByName(hot)
+
+
+def candidates(keys: DataFrame, s: LineSettings, few: int | None) -> DataFrame:
+    """Pairs (a, b): b is a line, a one before it that passes all filters. With few, a line gets so many for a word; a = b says that there are more.
+
+    A column `asks`, if there, tells which lines get pairs.
     """
-    word = F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
-    bucket = F.col("h").bitwiseAND(F.lit((1 << s.buckets_log2) - 1)).cast("int")
-    counts = docs.select(word.alias("w")).select(F.xxhash64("w").alias("h")).groupBy(bucket.alias("bucket")).count()
-    rows = docs.sparkSession.range(1 << s.buckets_log2).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    level = F.floor(3 * F.log2(1 + F.coalesce("count", F.lit(0)).cast("double")))
-    in_order = F.array_sort(F.collect_list(F.struct("bucket", F.least(level, F.lit(126)).cast("string").alias("level"))))
-    listed = rows.agg(F.array_join(F.transform(in_order, lambda x: x["level"]), ",").alias("levels")).first()["levels"]
-    return F.from_json(F.lit(f"[{listed}]"), "array<int>")
-
-
-def ranked_words(line: Column, levels: Column, s: LineSettings) -> Column:
-    """The distinct words of a line in lower case as sorted numbers: rarity in the top byte, then 56 bits of the hash."""
-
-    def rank(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.shiftleft(F.get(levels, h.bitwiseAND(F.lit((1 << s.buckets_log2) - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    # the empty string before a leading gap is no word
-    words = F.split(F.lower(F.ltrim(line)), _GAP)
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words, ""), rank)))  # array_sort would compare by a lambda
-
-
-def lines_of(docs: DataFrame, levels: Column, s: LineSettings) -> DataFrame:
-    """Every line with a word: d and pos (its place), n (distinct words), sid (equal for equal sets), keys (its prefix)."""
-    lines = docs.select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = lines.select("d", "pos", ranked_words(F.col("line"), levels, s).alias("r"))
-    n = F.size("r")
-    length = n - F.ceil(n * s.tenths / 10).cast("int") + 1
-    keys = F.transform(F.slice("r", 1, length), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return rows.filter(n > 0).select("d", "pos", n.alias("n"), F.xxhash64("r").alias("sid"), keys.alias("keys"))
-
-
-def _fits(na: Column, ia: Column, nb: Column, ib: Column, s: LineSettings) -> Column:
-    """Length filter, and positional filter: what is left from the shared word on must be enough for the least overlap."""
-    least = F.ceil((na + nb) * s.tenths / (10 + s.tenths)).cast("int")
-    return (10 * F.least(na, nb) >= s.tenths * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) >= least)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, s: LineSettings) -> DataFrame:
-    """The places b of candidate pairs that reach the threshold with a, compared word by word."""
-    pairs = materialize(pairs)
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("da").alias("d"), F.col("pa").alias("pos")), F.struct(F.col("db").alias("d"), F.col("pb").alias("pos")))).alias("x"))
-    wanted = wanted.select("x.*").groupBy("d").agg(F.collect_set("pos").alias("wanted"))
-    lines = docs.join(wanted, "d").select("d", "wanted", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.array_contains("wanted", F.col("pos")))
-    words = F.array_distinct(F.array_remove(F.split(F.lower(F.ltrim("line")), _GAP), ""))
-    words = materialize(lines.select("d", "pos", words.alias("words")))
-    left, right = words.toDF("da", "pa", "wa"), words.toDF("db", "pb", "wb")
-    rows = pairs.join(left, ["da", "pa"]).join(right, ["db", "pb"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    union = F.size("wa") + F.size("wb") - F.col("o")
-    return rows.filter(10 * F.col("o") >= s.tenths * union).select(F.col("db").alias("d"), F.col("pb").alias("pos")).distinct()
+    by = ["key", "p", "q"]
+    names = [*by, "n", "i", "sid", "id", "place", "m0", "m1", "mine", *(["asks"] if "asks" in keys.columns else [])]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come one after the other; the last one of a batch may go on in the next."""
+        kept = None
+        for batch in batches:
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            if kept is not None:
+                rows = {c: np.concatenate([kept[c], rows[c]]) for c in names}
+            edges = np.flatnonzero(np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in by])) + 1
+            cut = edges[-1] if len(edges) else 0
+            kept = {c: v[cut:] for c, v in rows.items()}
+            if cut:
+                yield pairs({c: v[:cut] for c, v in rows.items()}, edges[:-1])
+        if kept is not None and len(kept["n"]):
+            yield pairs(kept, np.empty(0, np.int64))
+
+    def pairs(r: dict[str, np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+        size = len(r["n"])
+        group = np.zeros(size, dtype=np.int64)
+        group[edges] = 1
+        group = np.cumsum(group) << 32
+        n, i, sid, m = r["n"].astype(np.int64), r["i"].astype(np.int64), r["sid"], (r["m0"].view(np.uint64), r["m1"].view(np.uint64))
+        # rows of a group are in order of size: those of a fitting size that come before a row follow each other
+        low = np.searchsorted(group | n, group | -(-s.tenths * n // 10))
+        count = np.arange(size) - low
+        ends = np.cumsum(count)
+        taken, out_a, out_b = np.zeros(size, dtype=np.int64), [], []
+        begin = 0
+        while begin < size:
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20))))
+            x = np.repeat(np.arange(begin, end), count[begin:end])
+            y = np.arange(len(x)) - np.repeat(ends[begin:end] - count[begin:end] - (ends[begin - 1] if begin else 0), count[begin:end]) + low[x]
+            begin = end
+            least = -(-s.tenths * (n[x] + n[y]) // (10 + s.tenths))
+            ok = (np.minimum(n[x] - i[x], n[y] - i[y]) >= least) & (sid[x] != sid[y]) & ((r["p"][x] == r["q"][x]) | (r["mine"][x] != r["mine"][y]))
+            x, y, least = x[ok], y[ok], least[ok]
+            only_x, only_y = (sum(np.bitwise_count(a & ~b).astype(np.int64) for a, b in ((k[u], k[v]) for k in m)) for u, v in ((x, y), (y, x)))
+            ok = np.minimum(n[x] - only_x, n[y] - only_y) >= least
+            x, y = x[ok], y[ok]
+            before = (r["id"][y] < r["id"][x]) | ((r["id"][y] == r["id"][x]) & (r["place"][y] < r["place"][x]))
+            same = (r["id"][y] == r["id"][x]) & (r["place"][y] == r["place"][x])
+            a, b = np.where(before, y, x)[~same], np.where(before, x, y)[~same]
+            if "asks" in r:
+                a, b = a[r["asks"][b]], b[r["asks"][b]]
+            if few is not None and len(b):
+                order = np.argsort(b, kind="stable")
+                a, b = a[order], b[order]
+                starts = np.concatenate(([0], np.flatnonzero(b[1:] != b[:-1]) + 1))
+                nth = np.arange(len(b)) - np.repeat(starts, np.diff([*starts, len(b)])) + taken[b]
+                np.add.at(taken, b, 1)
+                more = np.unique(b[nth >= few])
+                a, b = np.concatenate([a[nth < few], more]), np.concatenate([b[nth < few], more])
+            out_a.append(sid[a])
+            out_b.append(sid[b])
+        both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return keys.select(*names).repartition(*by).sortWithinPartitions(*by, "n").mapInArrow(search, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, s: LineSettings) -> DataFrame:
+    """Pairs (a, b) whose sets reach the threshold, read from the texts of their first places."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for lo, hi in slices(batch.column(0), 1 << 20):
+                part = batch.slice(lo, hi - lo)
+                line, rank, first = ranked_lines(part.column(0).to_pylist(), levels.value, powers)
+                edges = _edges(line)
+                at, sid = line[edges[:-1]], _set_ids(rank, edges) if len(edges) > 1 else np.empty(0, np.int64)
+                out = []
+                for k, places in enumerate(part.column(1).to_pylist()):
+                    for j in np.searchsorted(at, first[k] + np.array(places)).tolist():
+                        out.append((int(sid[j]), rank[edges[j] : edges[j + 1]].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["sid", "words"])
+
+    def reaches(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 10 * both >= s.tenths * (len(x) + len(y) - both)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                ok = [reaches(x, y) for x, y in zip(part.column("wa").to_pylist(), part.column("wb").to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(classes, "sid")
+    wanted = materialize(wanted.groupBy(F.col("f.id").alias("id"), F.col("f.t").alias("t")).agg(F.collect_set("f.pos").alias("places")))
+    found = docs.join(checked(wanted, s.broadcast), ["id", "t"]).select("text", "places")
+    words = materialize(found.mapInArrow(read, "sid long, words binary").dropDuplicates(["sid"]))
+    left, right = words.toDF("a", "wa"), words.toDF("b", "wb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long")
 
 
 def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> DataFrame:
-    """docs: d (any ordered key of a document) and text. Returns d and gone, the places of the lines that go.
+    """docs: id and t (long; the order of documents) and text. Returns id, t and gone, the places of the lines that go.
 
-    The lines of a key are put in order of place. Each meets the few lines before it and the key's first line; only those
-    of longer keys that still stay then meet all lines before them. So many variants of one line cost pairs in proportion
-    to their number.
+    A line needs one line before it that reaches the threshold. For each prefix word it tries a few at first; only lines that
+    have more candidates and still stay meet all of them. So many variants of one line cost pairs in proportion to their number.
     """
     s = settings
-    lines = materialize(lines_of(docs, rarity(docs, s), s))
-    classes = lines.groupBy("sid", "n").agg(F.min(F.struct("d", "pos", "keys")).alias("x")).select("n", "x.*")
-    by_key = Window.partitionBy("key").orderBy("d", "pos")
-    rows = classes.select("d", "pos", "n", F.posexplode("keys").alias("i", "key"))
-    place = F.struct("d", "pos", "n", "i")
-    before = F.array(F.first(place).over(by_key), *[F.lag(place, k).over(by_key) for k in range(1, s.few)])
-    rows = rows.withColumns({"before": before, "many": F.count("*").over(Window.partitionBy("key"))}).filter("many > 1")
-    # pairs that can't reach the threshold go before anything is stored
-    fit = F.filter("before", lambda a: a.isNotNull() & ((a["d"] < F.col("d")) | ((a["d"] == F.col("d")) & (a["pos"] < F.col("pos")))) & _fits(a["n"], a["i"], F.col("n"), F.col("i"), s))
-    rows = rows.withColumn("before", F.transform(fit, lambda a: F.struct(a["d"].alias("d"), a["pos"].alias("pos"))))
-    only_long = lambda c: F.when(F.col("many") > s.few, F.col(c))
-    rows = rows.select(only_long("key").alias("key"), "d", "pos", only_long("n").alias("n"), only_long("i").alias("i"), "before")
-    rows = materialize(rows.filter("key IS NOT NULL OR size(before) > 0"))
-
-    pairs = rows.select(F.explode("before").alias("a"), F.col("d").alias("db"), F.col("pos").alias("pb")).select(F.col("a.d").alias("da"), F.col("a.pos").alias("pa"), "db", "pb").distinct()
-    gone = materialize(_verified(pairs, docs, s))
-    longer = rows.filter("key IS NOT NULL")
-    a = longer.select("key", F.col("d").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = longer.select("key", F.col("d").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib")).join(gone.toDF("db", "pb"), ["db", "pb"], "left_anti")
-    rest = a.join(b, "key").filter("da < db OR (da = db AND pa < pb)").filter(_fits(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), s))
-    gone = gone.union(_verified(rest.select("da", "pa", "db", "pb").distinct(), docs, s)).distinct()
-
-    first = lines.groupBy("sid", "n").agg(F.min(F.struct("d", "pos")).alias("f")).select("sid", "n", F.col("f.d").alias("fd"), F.col("f.pos").alias("fp"))
-    decided = first.join(gone.toDF("fd", "fp").withColumn("all", F.lit(True)), ["fd", "fp"], "left")
-    out = lines.select("sid", "n", "d", "pos").join(decided, ["sid", "n"]).filter("all OR NOT (d = fd AND pos = fp)")
-    return out.groupBy("d").agg(F.collect_set("pos").alias("gone"))
+    levels = docs.sparkSession.sparkContext.broadcast(rarity(docs, s))
+    lines = materialize(lines_of(docs, levels, s))
+    # the order of places: id, the upper half of t, the line's number
+    first = F.min(F.struct("id", F.shiftright("t", 32).alias("u"), "pos", "t"))
+    classes = materialize(lines.groupBy("sid").agg(first.alias("f"), F.count("*").alias("lines")))
+    keys = materialize(dealt_keys(lines, s))
+
+    def later(links: DataFrame) -> DataFrame:
+        """Of each link, the class whose first place comes later."""
+        at = classes.select("sid", F.struct("f.id", "f.u", "f.pos").alias("f"))
+        rows = links.join(at.toDF("a", "fa"), "a").join(at.toDF("b", "fb"), "b").filter("fa <> fb")
+        return rows.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct()
+
+    some = materialize(candidates(keys, s, s.few))
+    gone = materialize(later(verified(some.filter("a <> b"), docs, classes, levels, s)))
+    still = materialize(some.filter("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti"))
+    if not still.isEmpty():
+        asks = keys.join(still.withColumn("asks", F.lit(True)), "sid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        touched = asks.groupBy("key", "p", "q").agg(F.max("asks").alias("open")).filter("open").drop("open")
+        rest = materialize(candidates(asks.join(touched, ["key", "p", "q"]), s, None))
+        gone = materialize(gone.union(later(verified(rest, docs, classes, levels, s))).distinct())
+
+    decided = classes.join(gone.withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1").select("sid", "f", "all")
+    out = lines.select("sid", "id", "t", "pos").join(decided, "sid").filter("all OR NOT (id = f.id AND shiftright(t, 32) = f.u AND pos = f.pos)")
+    return out.groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, settings: LineSettings = LineSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,13 +302,15 @@ def line_dedup(docs: DataFrame, settings: LineSettings = LineSettings(), doc_id:
     text is one line. A document is an id with a text: rows that repeat both are at the same places, so neither is before the
     other and their equal lines stay in both; rows of one id with different texts, and those without an id, are documents of
     their own, in the order of the texts' hashes. Ids are compared as long integers, null as the smallest. An empty table
-    gives no rows. Long texts are processed whole. Other columns pass through; those named like the new ones are replaced.
+    gives no rows. Long texts are processed whole. Other columns pass through, whatever their names; those named like the
+    new ones are replaced. Words are compared by 56 bits of a hash, equal sets by 64.
     """
-    key = F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("t"))
-    gone = removed_lines(docs.select(key.alias("d"), F.col(text).alias("text")), settings).withColumnRenamed("d", "_d")
-    rows = docs.withColumn("_d", key).join(gone.hint("shuffle_hash"), "_d", "left")
+    at_id, at_t, at_gone = (unused(docs, c) for c in ("_line_id", "_line_t", "_line_gone"))
+    doc, h = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)
+    gone = materialize(removed_lines(docs.select(doc.alias("id"), h.alias("t"), F.col(text).alias("text")), settings).toDF(at_id, at_t, at_gone))
+    rows = docs.withColumns({at_id: doc, at_t: h}).join(checked(gone, settings.broadcast), [at_id, at_t], "left")
     parts = F.split(F.col(text), "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
-    count = F.coalesce(F.size("gone"), F.lit(0))
-    rows = rows.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)), "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(count)})
-    return rows.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept))).drop("_d", "gone")
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(at_gone, i))
+    taken: Column = F.col(at_gone).isNotNull()
+    rows = rows.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)), "n_removed": F.when(taken, F.size(at_gone)).otherwise(0)})
+    return rows.withColumn(text, F.when(taken, F.concat_ws("\n", kept)).otherwise(F.col(text))).drop(at_id, at_t, at_gone)
