@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, unused
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), doc_id: str = "d
     """One row per document: doc_id, size, source, source_size, target (its source's), copies (times taken) and taken (words taken).
 
     A null text has size 0; a null source is a source of its own, after all others. Documents of size 0 fill nothing; they
-    get the whole repetitions, and the fractional one where the rest of the target is not filled yet at their place. Ties
+    get the whole repetitions and never a fractional one. Ties
     in the seeded order (rows that repeat an id) go by id and size; repeated rows stay rows of their own. An empty table
     gives no rows. The order is md5(seed, id), so reruns agree. Each source's taken words differ from its target by at
     most half of its largest document. Other columns are not returned.
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), doc_id: str = "d
     before = F.sum("size").over(Window.partitionBy("source", "s2").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     so_far = F.col("begin") + F.coalesce(before, F.lit(0))
     last = placed.filter("state = 2").withColumn("extra", F.when(2 * so_far + F.col("size") <= 2 * F.col("rest"), 1).otherwise(0))
-    rows = last.unionByName(placed.filter("state <> 2").withColumn("extra", F.col("state"))).select("source", "doc_id", "size", "extra")
+    rows = last.unionByName(placed.filter("state <> 2").withColumn("extra", F.col("state")))
+    rows = rows.select("source", "doc_id", "size", F.when(F.col("size") > 0, F.col("extra")).otherwise(0).alias("extra"))
     rows = rows.join(targets.select("source", "source_size", "target", "whole"), "source")
     copies = (F.col("whole") + F.col("extra")).cast("int")
     plain = F.when(F.col("source") != "t", F.expr("substring(source, 2)"))
@@ -98,10 +99,15 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), doc_id: str = "d
 
 
 def repeated(docs: DataFrame, settings: MixSettings = MixSettings(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed corpus: each document as many times as mix() takes it, with the columns of docs. Ids are taken to be unique; rows of one id share their numbers of copies."""
-    taken = mix(docs, settings, doc_id, text, source).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = docs.join(taken.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_id"))).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mixed corpus: each document as many times as mix() takes it, with the columns of docs, whatever their names.
+
+    Ids are taken to be unique; rows of one id (or without one) share the largest of their numbers of copies. Nulls, ties
+    and empty texts as in mix(); an empty table gives no rows.
+    """
+    at, copies, copy = (unused(docs, c) for c in ("_mix_id", "_mix_copies", "_mix_copy"))
+    taken = mix(docs, settings, doc_id, text, source).groupBy(F.col("doc_id").alias(at)).agg(F.max("copies").alias(copies))
+    rows = docs.join(taken.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col(at))).filter(F.col(copies) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 #: The same rows by one running sum over each source, for comparison.
