@@ -1,13 +1,14 @@
 """Operator 5, n-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
 A document is its set of word shingles (64-bit hashes, sorted). Two sets that link agree in at least one shingle of their
-prefixes under any common order of shingles; frequent shingles come last in that order. A tile holds the sets of one size
-band that a prefix shingle brings together; sets that link lie in one band or in two neighbouring ones. Within tiles, sets
+prefixes under any common order of shingles; frequent shingles come last in that order. A tile holds the sets that a prefix
+shingle brings together; sets that link lie in one size band or in two neighbouring ones. Within tiles, sets
 are compared by bitmaps: the bits that one has and the other lacks bound the overlap from above. What the bound lets pass
 is verified on the sorted arrays.
 
-Equal sets are one class from the start. The classes of a tile are first compared with its centre; then only classes that
-lie in different components so far meet, tile by tile, in blocks of bounded size. So a group of copies costs
+Equal sets are one class from the start. A tile of few classes lists its pairs of fitting sizes; where the first shared
+shingle stands in both sets bounds their overlap, too. The classes of a larger tile are first compared with the centre of their band; then only
+those that lie in different components so far meet, in blocks of bounded size. So a group of copies costs
 links in proportion to its size, and no link between different texts is lost.
 """
 
@@ -19,24 +20,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import materialize, slices
+from .common import checked, materialize, slices
 from .graph import components
+from .words import Powers, hashed_words, mixed
 
-_BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_BASE = np.uint64(Powers.base)
 _LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], dtype=np.uint64)
-_INSIDE = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
 
 
 @dataclass(frozen=True)
 class JaccardSettings:
     """shingle: words of a shingle; percent: sets link when 100 * intersection >= percent * union; bits: most of a bitmap (a power of two).
 
-    hot: most shingles that are moved to the end of the order because they are frequent (a fixed bound of what is broadcast;
+    few: most rows of a tile that lists its pairs; hot: most shingles that are moved to the end of the order because they are frequent (a fixed bound of what is broadcast;
     any choice of them gives the same result); hot_least: occurrences that make one of them; counted: shingles that a task
     counts (one that makes up over 1 / counted of what the task sees is never missed); salts: parts into which the rows of a
     hot shingle are dealt; block: rows of a block of a tile; broadcast: most rows of a table that is broadcast.
@@ -45,9 +47,10 @@ class JaccardSettings:
     shingle: int = 4
     percent: int = 85
     bits: int = 1 << 16
+    few: int = 16
     hot: int = 1 << 17
     hot_least: int = 16
-    counted: int = 1 << 16
+    counted: int = 1 << 17
     salts: int = 64
     block: int = 512
     broadcast: int = 200_000
@@ -61,47 +64,18 @@ class JaccardSettings:
         return F.floor(F.log(F.col(n).cast("double")) / F.lit(float(np.log(100 / self.percent)) * 1.000001)).cast("int")
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64, and of its inverse, as many as the longest text so far needs."""
-
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MIX1
-    h = (h ^ (h >> np.uint64(27))) * _MIX2
-    return h ^ (h >> np.uint64(31))
-
-
 def shingle_set(text: str | bytes | None, s: JaccardSettings, powers: Powers) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of the whole text; with fewer words than a shingle has, of the whole sequence.
-
-    A word's hash is a difference of running sums over the bytes of the text, so all words are hashed at once.
-    """
+    """Sorted hashes of the distinct shingles of the whole text; with fewer words than a shingle has, of the whole sequence."""
     data = np.frombuffer(text.encode("utf-8") if isinstance(text, str) else text or b"", dtype=np.uint8)
-    inside = np.concatenate(([False], _INSIDE[data], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
+    _, h = hashed_words(data, _LOWER, powers)
+    if not len(h):
         return np.empty(0, np.uint64)
-    up, down = powers.upto(len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * up)))
-    h = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     k = min(s.shingle, len(h))
     n = len(h) - k + 1
     rolled = np.full(n, k, dtype=np.uint64)
     for j in range(k):
         rolled = rolled * _BASE + h[j : j + n]
-    return np.unique(_mixed(rolled))
+    return np.unique(mixed(rolled))
 
 
 def set_id(a: np.ndarray) -> int:
@@ -110,8 +84,12 @@ def set_id(a: np.ndarray) -> int:
 
 
 def bitmap(a: np.ndarray, s: JaccardSettings) -> bytes:
-    """Four to eight bits for each element, a power of two between 256 and s.bits."""
-    bits = max(256, min(s.bits, 1 << (4 * len(a) - 1).bit_length()))
+    """Of a quarter of all possible elements, which ones the set has: four to eight bits for each, a power of two between 128 and s.bits.
+
+    What one set has in that quarter and the other lacks is enough to tell sets apart that have little in common.
+    """
+    a = a[(a & np.uint64(3)) == 0]
+    bits = max(128, min(s.bits, 1 << (4 * len(a)).bit_length()))
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(a >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(flags).tobytes()
@@ -180,7 +158,7 @@ def class_table(docs: DataFrame, s: JaccardSettings) -> DataFrame:
                     out.append((len(a), sid, bitmap(a, s)))
                     if sid not in seen:
                         seen.add(sid)
-                        frequent.add(a[: 2 * s.prefix(len(a))])  # frequent ones make way for later ones
+                        frequent.add(a)
                 n, sid, maps = zip(*out, strict=True)
                 none = pa.nulls(hi - lo, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(maps, pa.binary()), none, none], names=names)
@@ -195,7 +173,7 @@ def class_table(docs: DataFrame, s: JaccardSettings) -> DataFrame:
 
 
 def prefix_keys(docs: DataFrame, hot: np.ndarray, s: JaccardSettings) -> DataFrame:
-    """(key, sid, n, hot): the prefix shingles of each set, those of the hot list last in the order. A task emits a set once."""
+    """(key, sid, n, i, hot): the prefix shingles of each set and their places, those of the hot list last in the order. A task emits a set once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +197,11 @@ def prefix_keys(docs: DataFrame, hot: np.ndarray, s: JaccardSettings) -> DataFra
                     last.append(is_hot[order])
                     sets.append((sid, len(a), len(order)))
                 sid, n, times = np.array(sets, dtype=np.int64).reshape(-1, 3).T
-                columns = [np.concatenate(keys).view(np.int64), np.repeat(sid, times), np.repeat(n, times).astype(np.int32), np.concatenate(last)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "sid", "n", "hot"])
+                places = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(sid, times), np.repeat(n, times).astype(np.int32), places.astype(np.int32), np.concatenate(last)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "sid", "n", "i", "hot"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(measure, "key long, sid long, n int, hot boolean")
+    return docs.select(F.col("text").cast("binary")).mapInArrow(measure, "key long, sid long, n int, i int, hot boolean")
 
 
 def fits(na: Column, nb: Column, percent: int) -> Column:
@@ -230,27 +209,37 @@ def fits(na: Column, nb: Column, percent: int) -> Column:
 
 
 def shared_keys(rows: DataFrame, s: JaccardSettings) -> DataFrame:
-    """The rows whose key another set of a fitting size has. Sets of a key are put in order of size, so their neighbours tell; rows of a hot key, dealt by a salt, all stay."""
-    order = Window.partitionBy("key", F.when(F.col("hot"), F.pmod("sid", F.lit(s.salts)).cast("int")).otherwise(F.lit(0))).orderBy("n", "sid")
-    rows = rows.withColumns({"s0": F.lag("sid").over(order), "n0": F.lag("n").over(order), "s1": F.lead("sid").over(order), "n1": F.lead("n").over(order)})
+    """(key, sid, n, i, large): the rows whose key another set of a fitting size has, and whether the key has more than few rows.
+
+    Sets of a key are put in order of size, so their neighbours tell; rows of a hot key, dealt by a salt, all stay.
+    """
+    part = Window.partitionBy("key", F.when(F.col("hot"), F.pmod("sid", F.lit(s.salts)).cast("int")).otherwise(F.lit(0)))
+    order = part.orderBy("n", "sid")
+    many = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > s.few
+    rows = rows.withColumns({"s0": F.lag("sid").over(order), "n0": F.lag("n").over(order), "s1": F.lead("sid").over(order), "n1": F.lead("n").over(order), "large": F.col("hot") | many})
     near = lambda k: (F.col(f"s{k}") != F.col("sid")) & fits(F.col(f"n{k}"), F.col("n"), s.percent)
-    return rows.filter(F.col("hot") | F.coalesce(near(0), F.lit(False)) | F.coalesce(near(1), F.lit(False))).select("key", "sid", "n").distinct()
+    return rows.filter(F.col("hot") | F.coalesce(near(0), F.lit(False)) | F.coalesce(near(1), F.lit(False))).select("key", "sid", "n", "i", "large").distinct()
+
 
+def listed_pairs(keys: DataFrame, s: JaccardSettings) -> DataFrame:
+    """Pairs (a, b) of small tiles that fit in size and, by the places of their first shared shingle, in overlap.
 
-def checked(df: DataFrame, most: int) -> DataFrame:
-    """A materialized table, marked for broadcast if it is counted to be small enough."""
-    return F.broadcast(df) if df.count() <= most else df
+    If they share one of a large tile before it, they meet there.
+    """
+    side = lambda k: keys.select("key", F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("i").alias(f"i{k}"))
+    rows = side("a").join(side("b"), "key").filter("a < b").filter(fits(F.col("na"), F.col("nb"), s.percent))
+    rows = rows.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return rows.filter((100 + s.percent) * most >= s.percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _tables(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of a binary column by width: (places, table of bytes)."""
-    ends = column.buffers()[1]
-    offsets = np.frombuffer(ends, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-    widths = np.diff(offsets)
+    widths = pc.binary_length(column).to_numpy(zero_copy_only=False)
     for w in np.unique(widths):
         at = np.flatnonzero(widths == w)
-        yield at, data[offsets[at][:, None] + np.arange(w)]
+        part = column.take(pa.array(at))
+        yield at, np.frombuffer(part.buffers()[2], dtype=np.uint8)[: len(at) * w].reshape(len(at), w)
 
 
 class Maps:
@@ -276,7 +265,7 @@ def by_bitmap(pairs: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataF
     """Pairs (a, b) whose bitmaps leave a link possible."""
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(lo, 2048) for x in batches for lo in range(0, x.num_rows, 2048)):
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
             ok = np.zeros(batch.num_rows, dtype=bool)
             for at, table in _tables(batch.column("ma")):
@@ -408,19 +397,21 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     hot = np.sort(hot.view(np.uint64))
     ids = found.filter("n >= 0")
 
-    keys = materialize(shared_keys(prefix_keys(docs, hot, s), s))
+    shared = materialize(shared_keys(prefix_keys(docs, hot, s), s))
+    keys = shared.filter("large").select("key", "sid", "n")
     document = F.struct("doc_id", "t")
     classes = ids.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), document)), F.min(document)).alias("doc"))
     classes = materialize(classes)
     members = classes.select("sid", "doc")
 
-    # each set with the centre of its tiles
+    # small tiles list their pairs; in large ones each set meets the centre of its band
+    few = listed_pairs(shared.filter("NOT large"), s)
     banded = keys.select("key", s.band("n").alias("band"), "sid")
     centres = banded.groupBy("key", "band").agg(F.min("sid").alias("a"))
-    stars = banded.join(centres, ["key", "band"]).filter("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    stars = materialize(by_bitmap(stars, classes, s))
-    arrays = set_arrays(docs, stars.select(F.col("a").alias("sid")).union(stars.select("b")).distinct().join(members, "sid"), s)
-    links = materialize(verified(stars, arrays, s))
+    stars = banded.join(centres, ["key", "band"]).filter("a <> sid").select("a", F.col("sid").alias("b"))
+    pairs = materialize(by_bitmap(stars.union(few).distinct(), classes, s))
+    arrays = set_arrays(docs, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(members, "sid"), s)
+    links = materialize(verified(pairs, arrays, s))
     labels = components(links)
 
     crossing = materialize(open_tiles(keys, labels, classes, s))

@@ -104,7 +104,7 @@ def test_water_filling_against_rounds(spark):
 def test_mixing_odd_rows(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and mixing.mix(none).count() == 0
-    assert all(0 <= r.taken <= 3 * r["size"] for r in rows)
+    assert all(0 <= r.taken <= 3 * r["size"] and r.copies <= 3 for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd).collect()))
     assert {r["size"] for r in rows if r.doc_id in (2, 3, 7)} == {0}
     for _, part in itertools.groupby(sorted(rows, key=lambda r: str(r.source)), key=lambda r: str(r.source)):
@@ -261,6 +261,37 @@ def test_ngram_join(spark, k, percent, least):
     assert ngram_join.jaccard_components(df.limit(0), s).count() == 0
 
 
+def test_frequent_shingles_are_found_across_batches():
+    """A value in one of a hundred sets, spread thinly, is counted; the table stays bounded."""
+    rng, frequent = np.random.default_rng(9), ngram_join.Frequent(1000)
+    for k in range(3000):
+        a = rng.integers(0, 2**63, 300).astype(np.uint64)
+        frequent.add(np.concatenate([a, [7]]) if k % 100 == 0 else a)
+        if k % 10 == 9:
+            frequent.settle()  # as if batches were small
+    frequent.settle()
+    assert len(frequent.values) <= 1000
+    frequent = ngram_join.Frequent(1 << 16)
+    for k in range(3000):
+        frequent.add(np.array([7, k + 10, k + 10**6] if k % 100 == 0 else [k + 10, k + 10**6], dtype=np.uint64))
+    frequent.settle()
+    assert frequent.counts[frequent.values == 7] == 30
+
+
+def test_one_hot_shingle(spark):
+    """Texts that share one passage and little else, and a hub of copies, in small blocks."""
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"v{rng.integers(0, 10**6)}" for _ in range(int(rng.integers(2, 40))))) for i in range(80)]
+    hub = [f"h{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join([*hub[: 59 - i % 3], f"x{i}"])) for i in range(60)]
+    for k in range(12):  # groups around the limit of a small tile
+        rows += [(2000 + 100 * k + i, " ".join([*(f"g{k}_{j}" for j in range(40 + i % 2)), *(f"y{k}_{i}_{j}" for j in range(i % 4))])) for i in range(11 + k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    for s in (ngram_join.JaccardSettings(hot_least=4, block=7, salts=3, broadcast=0), ngram_join.JaccardSettings(hot=0, block=16), ngram_join.JaccardSettings(hot=0, few=50)):
+        assert sorted(str(tuple(r)) for r in ngram_join.jaccard_components(df, s).collect()) == _components(rows, 4, 85)
+
+
 def test_bitmap_bound_never_drops_a_link():
     s, rng = ngram_join.JaccardSettings(), np.random.default_rng(1)
     for n in (1, 5, 40, 200, 3000):
@@ -303,11 +334,13 @@ def test_line_dedup(spark):
         rows.append((i, "\n".join(lines)))
     rows += [(50, None), (51, ""), (52, "\n\n  \n"), (None, rows[3][1]), (53, "  lead  gap\t" + "x " * 9), (54, "Lead gap x")]
     rows += [rows[5]]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_lines int")
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, n_lines int, gone int, _d int, _line_t int")
     want = _deduped(rows)
-    for few in (2, 8):
-        got = line_dedup.line_dedup(df, line_dedup.LineSettings(few=few)).collect()
+    forms = (line_dedup.LineSettings(), line_dedup.LineSettings(few=1, cold=0, block=3), line_dedup.LineSettings(few=1, buckets_log2=3, broadcast=0), line_dedup.LineSettings(few=2, cold=6, block=8))
+    for s in forms:
+        got = line_dedup.line_dedup(df, s).collect()
         assert len(got) == len(rows) and {r.doc_id: r.text for r in got} == want
+        assert {(r.gone, r._d, r._line_t) for r in got} == {(2, 3, 4)}
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
@@ -474,7 +507,7 @@ def test_secret_scan_by_novelty():
     assert time.monotonic() - start < 30
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, library):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -492,8 +525,32 @@ def test_pipeline_stages(spark):
     groups = [eval(x) for x in _components(sorted(want.items()), 5, 80)]  # noqa: S307
     assert sorted(r.doc_id for r in out["near_duplicates"].collect()) == sorted(i for i, _, g in groups if i == g)
     copies = {r.doc_id: r.copies for r in mixing.mix(out["near_duplicates"]).collect()}
-    assert collections.Counter(r.doc_id for r in out["mixing"].collect()) == collections.Counter({k: v for k, v in copies.items() if v})
-    assert out["bpe"].count() == out["mixing"].count() == P.run(spark, DATA).count()
+    got = collections.Counter(r.doc_id for r in out["mixing"].collect())
+    assert got == collections.Counter({k: v for k, v in copies.items() if v})
+    texts = {r.doc_id: r.text for r in out["near_duplicates"].collect()}
+    want = sorted((i, hashlib.sha256(library.decode(_ids(library, texts[i]), skip_special_tokens=False).encode()).hexdigest()) for i, n in got.items() for _ in range(n))
+    for rows in (out["bpe"], P.run(spark, DATA)):
+        rows = rows.collect()
+        assert sorted((r.doc_id, r.decoded_sha256) for r in rows) == want
+        assert all(list(r.ids) == _ids(library, texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls in any column, empty and repeated rows, no rows, and columns named like those of the operators."""
+    import corpus_pipeline as P
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "en", "a", 1), (1, words, "en", "a", 1), (None, words + " x", None, None, None), (2, None, "en", "a", 0), (3, "", "en", "b", 0), (None, None, None, None, None), (4, " \n ", "en", "b", 3), (5, " ".join(f"v{i}" for i in range(50_000)), "de", "b", 9)]
+    names = ["gone", "n_words", "kept", "coverage", "_id", "_group", "_n", "_row", "_copies", "t", "stays", "c0"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in names))
+    want = tuple(range(len(names)))
+    for name, stage in P.STAGES:
+        assert stage(spark, df.limit(0), DATA).count() == 0
+        got = stage(spark, df, DATA)
+        if name != "bpe":
+            assert got.schema.names == df.schema.names and {r[5:] for r in got.collect()} <= {want}
+        count = {"quality_rules": 4, "line_dedup": 6, "near_duplicates": 6, "bpe": 8}.get(name)
+        assert count is None or got.count() == count, name
 
 
 def test_rows_without_or_with_repeated_ids(spark):
