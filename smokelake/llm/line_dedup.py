@@ -55,7 +55,7 @@ def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarity(docs: DataFrame, s: LineSettings) -> np.ndarray:
-    """The level of each bucket of words. A task sends one count for each bucket that it meets; the driver gets 2 ** buckets_log2 rows at most."""
+    """The level of each bucket of words. A task sends one count for each bucket that it meets; the driver gets five bytes for each of 2 ** buckets_log2 at most."""
     n = 1 << s.buckets_log2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +73,15 @@ def rarity(docs: DataFrame, s: LineSettings) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [batch.column(0).to_numpy().tobytes(), _level(batch.column(1).to_numpy()).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], names=["buckets", "levels"])
+
+    counts = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     levels = np.zeros(n, np.uint8)
-    levels[counts["bucket"].to_numpy(dtype=np.int64)] = _level(counts["n"].to_numpy(dtype=np.int64))
+    for row in counts.mapInArrow(pack, "buckets binary, levels binary").collect():
+        levels[np.frombuffer(row["buckets"], dtype=np.int32)] = np.frombuffer(row["levels"], dtype=np.uint8)
     return levels
 
 
