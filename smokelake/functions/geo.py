@@ -81,13 +81,22 @@ def camera_rotation(yaw, pitch, roll) -> Column:
     return F.array(*right, *down, *forward)
 
 
-def camera_matrix(focal35, width, height, raster_width=None) -> Column:
-    """Row-major K: focal length in pixels is the 35 mm focal length over 43.27 times the diagonal; scaled to another raster width."""
+#: Diagonal of the 35 mm frame (fixed value).
+DIAGONAL_35 = math.hypot(36, 24)
+
+
+def camera_matrix(focal35, width, height, raster_width=None, raster_height=None) -> Column:
+    """Row-major K: the 35 mm focal length over the 35 mm diagonal, times the photo's diagonal in pixels.
+
+    For another raster the focal length follows the width, and the principal point is that raster's own centre: a video has
+    the photo's horizontal field of view, but may be cropped in height.
+    """
     w, h = _c(width).cast("double"), _c(height).cast("double")
-    scale = (_c(raster_width) / w) if raster_width is not None else F.lit(1.0)
-    f = _c(focal35) / 43.27 * F.hypot(w, h) * scale
+    rw = w if raster_width is None else _c(raster_width).cast("double")
+    rh = h * rw / w if raster_height is None else _c(raster_height).cast("double")
+    f = _c(focal35) / DIAGONAL_35 * F.hypot(w, h) * rw / w
     zero = F.lit(0.0)
-    return F.array(f, zero, w * scale / 2, zero, f, h * scale / 2, zero, zero, F.lit(1.0))
+    return F.array(f, zero, rw / 2, zero, f, rh / 2, zero, zero, F.lit(1.0))
 
 
 def _m(a: Column) -> list[Column]:
@@ -149,12 +158,28 @@ def geo_distance(lon1, lat1, lon2, lat2) -> Column:
     return F.hypot((lon1 - lon2) * METRES_LON * F.cos(F.radians((lat1 + lat2) / 2)), (lat1 - lat2) * METRES_LAT)
 
 
+#: What envelopes are wider than the circle they hold, against rounding (no result depends on it).
+WIDER = 1.000001
+
+
+def half_sides(lat, radius) -> tuple[Column, Column]:
+    """Half the height and width in degrees of an envelope that holds every point whose geo_distance is within the radius; 361 where that is every longitude."""
+    lat, r = _c(lat), _c(radius)
+    dlat = r / METRES_LAT * WIDER
+    # the distance takes the mean latitude of both points
+    worst = F.abs(lat) + dlat / 2
+    return dlat, F.when(worst < 89.9, F.least(r / (METRES_LON * F.cos(F.radians(worst))) * WIDER, F.lit(361.0))).otherwise(F.lit(361.0))
+
+
 def gps_envelope(lon, lat, radius) -> Column:
-    """west, south, east, north around a point, and why there is none: latitude, radius or antimeridian."""
+    """west, south, east, north of an envelope that holds all within the radius, and why there is none: position (null, not finite, out of range or a latitude of 85 and more), radius (not finite or not above 0), antimeridian, polar (it would reach 85 degrees)."""
     lon, lat, r = map(_c, (lon, lat, radius))
-    dlat = F.degrees(r / EARTH)
-    dlon = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(r / EARTH) / F.cos(F.radians(lat)))))
-    reason = F.when(F.abs(lat) >= 85, "latitude").when(r <= 0, "radius").when((lon - dlon < -180) | (lon + dlon > 180), "antimeridian")
+    dlat, dlon = half_sides(lat, r)
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    reason = (
+        F.when(bad(lon.cast("double")) | bad(lat.cast("double")) | (F.abs(lon) > 180) | (F.abs(lat) >= 85), "position").when(bad(r.cast("double")) | (r <= 0), "radius")
+        .when((lat - dlat <= -85) | (lat + dlat >= 85), "polar").when((lon - dlon < -180) | (lon + dlon > 180), "antimeridian")
+    )
     ok = reason.isNull()
     return F.struct(F.when(ok, lon - dlon).alias("west"), F.when(ok, lat - dlat).alias("south"), F.when(ok, lon + dlon).alias("east"), F.when(ok, lat + dlat).alias("north"), reason.alias("reason"))
 
@@ -186,11 +211,17 @@ def pixel_to_ground(lon, lat, alt, yaw, pitch, roll, px, py, width, height) -> C
     return F.struct((here["easting"] + reach * ray[0]).alias("easting"), (here["northing"] + reach * ray[1]).alias("northing"), (ray[2] >= 0).alias("above_horizon"))
 
 
-def match_pixel_to_geo(h, u, v, frame_w, frame_h, roi_w, roi_h, west, north, step_x, step_y) -> Column:
-    """Longitude and latitude of an image pixel through a homography to a map window; null outside the image, the window, or near depth 0. Pixel centres lie at .5."""
+def match_pixel_to_geo(h, u, v, frame_w, frame_h, roi_w, roi_h, west, north, step_x, step_y, mask=None) -> Column:
+    """Longitude and latitude of an image pixel through a homography to a map window; null outside the image, the window or its mask, or near depth 0. Pixel centres lie at .5.
+
+    mask: array of the window's rows, each an array of what the map covers; the nearest cell (halves to the even one) counts.
+    """
     from .boxes import transform_point
 
     u, v = _c(u), _c(v)
     p = transform_point(h, u, v)
     ok = (u >= 0) & (v >= 0) & (u < _c(frame_w)) & (v < _c(frame_h)) & p.isNotNull() & (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] < _c(roi_w)) & (p["y"] < _c(roi_h))
+    if mask is not None:
+        at = lambda x, n: F.least(F.rint(x), _c(n) - 1).cast("int")
+        ok = ok & F.coalesce(F.get(F.get(_c(mask), at(p["y"], roi_h)), at(p["x"], roi_w)), F.lit(False))
     return F.when(ok, F.struct((_c(west) + (p["x"] + 0.5) * _c(step_x)).alias("lon"), (_c(north) - (p["y"] + 0.5) * _c(step_y)).alias("lat")))

@@ -58,15 +58,17 @@ def running_evidence(observations: DataFrame, track: list[str], order: list[str]
     return observations.withColumns({"signal": F.sum(signal).over(w), "peak_growth": F.max("growth").over(w), "observations": F.count("*").over(w)})
 
 
-def expansion_check(observations: DataFrame, track: list[str], order: list[str], least: float = 1.08, most_shift: float = 0.65) -> DataFrame:
-    """Growth of width and height, their balance, and the centre's shift over the longer side, against the observation before; passes where both sides grow and the centre stays."""
+def expansion_check(observations: DataFrame, track: list[str], order: list[str], least: float = 1.08, most_shift: float = 0.65, least_balance: float = 0.55) -> DataFrame:
+    """Growth of width and height against the observation before, their balance, and the centre's shift over the mean of both diagonals; passes where both sides grow alike and the centre stays. Sides count at least 1."""
     w = Window.partitionBy(*track).orderBy(*order)
     before = {k: F.lag(k).over(w) for k in "xywh"}
     rows = observations.withColumns({f"_{k}": v for k, v in before.items()})
-    gw, gh = F.col("w") / F.greatest("_w", F.lit(1)), F.col("h") / F.greatest("_h", F.lit(1))
-    shift = X.centre_distance("", "_") / F.greatest("_w", "_h", F.lit(1))
+    side = lambda c: F.greatest(c, F.lit(1))
+    gw, gh = side("w") / side("_w"), side("h") / side("_h")
+    diagonals = (F.hypot(side("w"), side("h")) + F.hypot(side("_w"), side("_h"))) / 2
+    shift = F.when(F.col("_w").isNotNull(), X.centre_distance("", "_") / F.greatest(diagonals, F.lit(1.0)))
     rows = rows.withColumns({"growth_w": gw, "growth_h": gh, "balance": F.least(gw, gh) / F.greatest(gw, gh, F.lit(1e-6)), "shift": shift})
-    passed = (F.col("growth_w") >= least) & (F.col("growth_h") >= least) & (F.col("shift") <= most_shift)
+    passed = (F.col("growth_w") >= least) & (F.col("growth_h") >= least) & (F.col("balance") >= least_balance) & (F.col("shift") <= most_shift)
     return rows.withColumn("expanding", F.coalesce(passed, F.lit(False))).drop("_x", "_y", "_w", "_h")
 
 

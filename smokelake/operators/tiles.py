@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from .shared import materialize
 
-#: Degrees of a grid cell, and cells beyond which a tile is kept apart (fixed values).
-CELL, MANY_CELLS = 0.05, 10_000
-#: Metres of the rings in which the nearest tile is sought.
-RINGS = (5_000.0, 10_000.0, 20_000.0, 40_000.0, 80_000.0)
+#: Degrees of a grid cell (fixed value). A tile of more cells than MANY_CELLS goes to cells COARSER times as wide.
+CELL, MANY_CELLS, COARSER = 0.05, 256, 64
+#: Metres of the rings in which the nearest tile is sought; the last one holds all distances.
+RINGS = (5e3, 2e4, 8e4, 3.2e5, 1.28e6, 5.12e6, 2.048e7, 8.2e7)
 
 
 def tile_catalog(raw: DataFrame) -> DataFrame:
@@ -28,32 +28,37 @@ def tile_catalog(raw: DataFrame) -> DataFrame:
     return raw.withColumn("region", F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise("root")).withColumn("reason", reason)
 
 
-def _cells(west, south, east, north) -> tuple[Column, Column, Column]:
+def _cells(west, south, east, north, size: float) -> tuple[Column, Column, Column]:
     """Columns with the cells in x and y that an envelope meets, and their number."""
-    at = lambda v: F.floor(v / CELL).cast("int")
-    n = (at(F.col(east)) - at(F.col(west)) + 1).cast("long") * (at(F.col(north)) - at(F.col(south)) + 1)
-    return F.sequence(at(F.col(west)), at(F.col(east))), F.sequence(at(F.col(south)), at(F.col(north))), n
+    at = lambda v: F.floor(F.col(v) / size).cast("int")
+    n = (at(east) - at(west) + 1).cast("long") * (at(north) - at(south) + 1)
+    return F.sequence(at(west), at(east)), F.sequence(at(south), at(north)), n
 
 
-def _near_pairs(points: DataFrame, tiles: DataFrame) -> DataFrame:
+def lawful(tiles: DataFrame) -> DataFrame:
+    """Tiles with finite bounds in order, within the range of coordinates."""
+    ok = (F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")) & (F.col("west") >= -360) & (F.col("east") <= 360) & (F.col("south") >= -90) & (F.col("north") <= 90)
+    return tiles.filter(F.coalesce(ok, F.lit(False)))
+
+
+def _near_pairs(points: DataFrame, tiles: DataFrame, size: float = CELL) -> DataFrame:
     """Points (with an envelope w, s, e, n) and the tiles whose bounds meet it.
 
     Both sides are spread over grid cells and meet by an equi-join; a pair counts in one cell only, the first that both
-    share, so nothing is deduplicated by a shuffle. The few tiles of very many cells meet all points by broadcast.
+    share, so nothing is deduplicated by a shuffle. Tiles of very many cells do the same on a coarser grid.
     """
-    x, y, n = _cells("west", "south", "east", "north")
-    spread = tiles.withColumn("_cells", n)
-    cells = spread.filter(F.col("_cells") <= MANY_CELLS).withColumn("cx", F.explode(x)).withColumn("cy", F.explode(y))
-    px, py, _ = _cells("w", "s", "e", "n")
-    seekers = points.withColumn("cx", F.explode(px)).withColumn("cy", F.explode(py))
-    first = lambda a, b: F.greatest(F.floor(F.col(a) / CELL), F.floor(F.col(b) / CELL))
+    spread = lawful(tiles).withColumn("_many", _cells("west", "south", "east", "north", size)[2] > MANY_CELLS)
     meet = (F.col("east") >= F.col("w")) & (F.col("west") <= F.col("e")) & (F.col("north") >= F.col("s")) & (F.col("south") <= F.col("n"))
-    pairs = seekers.join(cells, ["cx", "cy"]).filter(meet & (F.col("cx") == first("w", "west")) & (F.col("cy") == first("s", "south")))
-    pairs = pairs.drop("cx", "cy", "_cells")
-    large = spread.filter(F.col("_cells") > MANY_CELLS).drop("_cells")
-    lx, ly = F.floor(F.lit(0)), F.floor(F.lit(0))
-    by_size = points.withColumn("_k", lx).join(large.withColumn("_k", ly), "_k").filter(meet).drop("_k")
-    return pairs.unionByName(by_size)
+    out = None
+    for many, cell in ((False, size), (True, size * COARSER)):
+        x, y, _ = _cells("west", "south", "east", "north", cell)
+        cells = spread.filter(F.col("_many") == many).withColumn("cx", F.explode(x)).withColumn("cy", F.explode(y))
+        px, py, _ = _cells("w", "s", "e", "n", cell)
+        seekers = points.withColumn("cx", F.explode(px)).withColumn("cy", F.explode(py))
+        first = lambda a, b, c=cell: F.greatest(F.floor(F.col(a) / c), F.floor(F.col(b) / c))
+        pairs = seekers.join(cells, ["cx", "cy"]).filter(meet & (F.col("cx") == first("w", "west")) & (F.col("cy") == first("s", "south"))).drop("cx", "cy", "_many")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def tiles_near(points: DataFrame, tiles: DataFrame, radius: float, k: int, submap: str | None = None) -> DataFrame:
@@ -74,14 +79,14 @@ def region_bounds(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("region").agg(F.count("*").alias("tiles"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
 
 
-def nearest_submap(points: DataFrame, tiles: DataFrame, most_tiles: int = 200_000) -> DataFrame:
-    """For each point the region of the nearest tile bounds, then nearest tile centre, then name.
+def nearest_submap(points: DataFrame, tiles: DataFrame) -> DataFrame:
+    """For each point the region of the nearest tile bounds, then nearest tile centre, then name; null where the point has no place on the map, or where there is no tile.
 
-    Every tile may be the nearest, so the catalogue meets every point: it is counted first, and broadcast up to the given
-    number of rows; a larger one is searched in rings with a radius that doubles. Points that stay open (far from all tiles,
-    near the poles, without coordinates) meet every tile, so the result is the same at every size.
+    Points look for tiles in rings of a growing radius, on grid cells that grow with it; those that find one within the radius are
+    done. Only points far from all tiles, or near a pole, come to the wide rings. Tiles without lawful bounds take no part.
     """
-    slim = tiles.select("region", "west", "south", "east", "north")
+    slim = lawful(tiles).select("region", "west", "south", "east", "north")
+    placed = F.coalesce((F.abs("lon") <= 180) & (F.abs("lat") <= 90), F.lit(False))  # not a number is above all
 
     def ranked(pairs: DataFrame) -> DataFrame:
         near_lon = F.least(F.greatest("lon", "west"), F.col("east"))
@@ -90,25 +95,21 @@ def nearest_submap(points: DataFrame, tiles: DataFrame, most_tiles: int = 200_00
         centre = G.geo_distance("lon", "lat", (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2)
         return pairs.groupBy("point_id").agg(F.min(F.struct(edge.alias("edge"), centre.alias("centre"), "region")).alias("b"))
 
-    def named(rows: DataFrame) -> DataFrame:
-        return rows.select("point_id", "b.region", F.col("b.edge").alias("distance"))
-
-    if slim.count() <= most_tiles:
-        return named(ranked(points.join(F.broadcast(slim))))
-    # bounds that are null, not a number or reversed are in no envelope, so tiles with them meet every point
-    lawful = F.coalesce((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")) & ~F.isnan("east") & ~F.isnan("north"), F.lit(False))
-    found, left = [], points
+    out, left = [], points.filter(placed)
     for radius in RINGS:
-        dlat = radius / G.METRES_LAT * 1.000001
-        dlon = dlat * G.METRES_LAT / G.METRES_LON / F.cos(F.radians(F.abs("lat") + dlat))
-        few = (F.abs("lat") + dlat < 89) & (dlon / CELL < 1000) & (F.abs("lon") <= 360)
-        seekers = left.filter(few).withColumns({"w": F.col("lon") - dlon, "s": F.col("lat") - dlat, "e": F.col("lon") + dlon, "n": F.col("lat") + dlat})
-        found.append(materialize(ranked(_near_pairs(seekers, slim.filter(lawful))).filter(F.col("b.edge") <= radius)))
-        left = materialize(left.join(found[-1], "point_id", "left_anti"))
-    out = ranked(left.crossJoin(slim)).unionByName(ranked(points.crossJoin(slim.filter(~lawful))))
-    for some in found:
-        out = out.unionByName(some)
-    return named(out.groupBy("point_id").agg(F.min("b").alias("b")))
+        last = radius == RINGS[-1]
+        dlat, dlon = G.half_sides("lat", F.lit(radius))
+        size = max(CELL, radius / G.METRES_LAT)
+        few = F.lit(last) | (dlon / size < 16)  # near a pole a wider ring has fewer cells
+        seekers = left.filter(few).withColumns({"w": F.col("lon") - dlon, "s": F.greatest(F.col("lat") - dlat, F.lit(-90.0)), "e": F.col("lon") + dlon, "n": F.least(F.col("lat") + dlat, F.lit(90.0))})
+        found = materialize(ranked(_near_pairs(seekers, slim, size)).filter(F.col("b.edge") <= radius))
+        out.append(found)
+        left = materialize(left.join(found, "point_id", "left_anti"))
+        if left.isEmpty():
+            break
+    for some in out[1:]:
+        out[0] = out[0].unionByName(some)
+    return points.select("point_id").join(out[0], "point_id", "left").select("point_id", "b.region", F.col("b.edge").alias("distance"))
 
 
 def view_points(photos: DataFrame, reach: float = 1800.0) -> DataFrame:
@@ -123,7 +124,7 @@ def view_points(photos: DataFrame, reach: float = 1800.0) -> DataFrame:
 
 
 def select_regions(photos: DataFrame, tiles: DataFrame, key: str = "photo_id") -> DataFrame:
-    """Regions whose tiles contain the photo's place or the centre of its view, with a status; photos without any keep all regions (regions is null there)."""
+    """Regions whose tiles contain the photo's place or the centre of its view, with a status; photos without any keep all regions."""
     rows = view_points(photos)
     spots = rows.select(key, F.lit("gps").alias("kind"), "lon", "lat").unionByName(rows.filter("view_lon IS NOT NULL").select(key, F.lit("view").alias("kind"), F.col("view_lon").alias("lon"), F.col("view_lat").alias("lat")))
     spots = spots.withColumns({"w": F.col("lon"), "e": F.col("lon"), "s": F.col("lat"), "n": F.col("lat")})
@@ -134,7 +135,9 @@ def select_regions(photos: DataFrame, tiles: DataFrame, key: str = "photo_id") -
         F.when(F.col("regions").isNull() | (F.size("regions") == 0), "unresolved_keep_all").when(F.size("regions") > 1, "multiple_candidates")
         .when((F.size("g") > 0) & (F.size("v") > 0), "gps_and_view_candidate").when(F.size("g") > 0, "gps_bounds_candidate").otherwise("estimated_view_candidate")
     )
-    return out.select(key, F.array_join("regions", ",").alias("regions"), status.alias("status"))
+    every = lawful(tiles).agg(F.array_sort(F.collect_set("region")).alias("all")).scalar()
+    regions = F.when(status == "unresolved_keep_all", every).otherwise(F.col("regions"))
+    return out.select(key, F.array_join(regions, ",").alias("regions"), status.alias("status"))
 
 
 def roi_window(pairs: DataFrame, size: float, radius: float) -> DataFrame:
@@ -166,6 +169,9 @@ def percentile_stretch(cells: DataFrame, low: float = 0.01, high: float = 0.99)
 
 
 def catalog_fingerprint(tiles: DataFrame) -> DataFrame:
-    """One stable hash for each region's list of path, size, time and origin."""
+    """One stable hash for each region's list of path, size, time and origin: the hash of the hashes of its parts by the path's hash, in order."""
     line = F.concat_ws("|", "path", F.col("size_bytes").cast("string"), F.col("mtime").cast("string"), F.floor(F.col("west") * 1000 + 0.5).cast("string"), F.floor(F.col("north") * 1000 + 0.5).cast("string"))
-    return tiles.groupBy("region").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ";"), 256).alias("fingerprint"))
+    part = F.substring(F.md5("path"), 1, 3)
+    digest = lambda lines: F.sha2(F.array_join(F.array_sort(lines), ";"), 256)
+    parts = tiles.groupBy("region", part.alias("part")).agg(digest(F.collect_list(line)).alias("digest"))
+    return parts.groupBy("region").agg(digest(F.collect_list(F.concat_ws(":", "part", "digest"))).alias("fingerprint"))

@@ -161,26 +161,31 @@ def b16(t):
     return rows.filter(F.abs("z") > 0.1).select("video_id", "frame_idx", R("p.easting", 2).alias("easting"), R("p.northing", 2).alias("northing"), "p.above_horizon")
 
 
-@query("b18_camera_rotation", """SELECT video_id, frame_idx, round(cos(y)*cos(r) + sin(y)*sin(p)*sin(r), 6) AS m0, round(-cos(p)*sin(r), 6) + 0e0 AS m2, round(sin(y)*sin(p)*cos(r) - cos(y)*sin(r), 6) + 0e0 AS m3, round(sin(p), 6) AS m8
-FROM (SELECT video_id, frame_idx, radians(yaw) AS y, radians(pitch) AS p, radians(roll) AS r FROM poses) x""")
+ROT = """SELECT *, cos(y)*cos(r) + sin(y)*sin(p)*sin(r) AS m0, cos(y)*sin(p)*sin(r) - sin(y)*cos(r) AS m1, -cos(p)*sin(r) AS m2, sin(y)*sin(p)*cos(r) - cos(y)*sin(r) AS m3, cos(y)*sin(p)*cos(r) + sin(y)*sin(r) AS m4, -cos(p)*cos(r) AS m5,
+sin(y)*cos(p) AS m6, cos(y)*cos(p) AS m7, sin(p) AS m8 FROM (SELECT *, radians(yaw) AS y, radians(pitch) AS p, radians(roll) AS r FROM poses) x"""
+NINE = ", ".join(f"round(m{k}, 6) + 0e0 AS m{k}" for k in range(9))
+
+
+@query("b18_camera_rotation", f"SELECT video_id, frame_idx, {NINE} FROM ({ROT}) z")
 def b18(t):
     rows = t("poses").select("video_id", "frame_idx", G.camera_rotation("yaw", "pitch", "roll").alias("m"))
-    return rows.select("video_id", "frame_idx", *[(R(F.get("m", F.lit(k))) + 0.0).alias(f"m{k}") for k in (0, 2, 3, 8)])
+    return rows.select("video_id", "frame_idx", *[(R(F.get("m", F.lit(k))) + 0.0).alias(f"m{k}") for k in range(9)])
 
 
-@query("b19_camera_matrix", "SELECT tile_id, round((24e0 + tile_id % 50) / 43.27e0 * sqrt(1280e0*1280e0 + 720e0*720e0) * 0.5e0, 6) AS f, 320e0 AS cx, 180e0 AS cy FROM tiles")
+@query("b19_camera_matrix", "SELECT tile_id, round((24e0 + tile_id % 50) / sqrt(36e0*36e0 + 24e0*24e0) * sqrt(4000e0*4000e0 + 3000e0*3000e0) * 1280e0 / 4000e0, 6) AS f, 640e0 AS cx, 360e0 AS cy FROM tiles")
 def b19(t):
-    k = G.camera_matrix(24.0 + F.col("tile_id") % 50, F.lit(1280), F.lit(720), F.lit(640))
+    """A video of another aspect than the photo: the principal point is the video's own centre."""
+    k = G.camera_matrix(24.0 + F.col("tile_id") % 50, F.lit(4000), F.lit(3000), F.lit(1280), F.lit(720))
     return t("tiles").select("tile_id", k.alias("k")).select("tile_id", R(F.get("k", F.lit(0))).alias("f"), F.get("k", F.lit(2)).alias("cx"), F.get("k", F.lit(5)).alias("cy"))
 
 
-@query("b20_plane_homography", "SELECT video_id, frame_idx, 1e0 AS d0, 0e0 AS d1, 1e0 AS d4, 1e0 AS d8 FROM poses WHERE pitch < -20")
+@query("b20_plane_homography", f"""WITH z AS (SELECT *, 24e0 / sqrt(36e0*36e0 + 24e0*24e0) * sqrt(1280e0*1280e0 + 720e0*720e0) AS f, -(m0*10 + m1*20 + m2*alt) AS t0, -(m3*10 + m4*20 + m5*alt) AS t1, -(m6*10 + m7*20 + m8*alt) AS t2 FROM ({ROT}) q)
+SELECT video_id, frame_idx, round(f*m0 + 640*m6, 4) + 0e0 AS h0, round(f*m1 + 640*m7, 4) + 0e0 AS h1, round(f*t0 + 640*t2, 3) + 0e0 AS h2, round(f*m3 + 360*m6, 4) + 0e0 AS h3, round(f*m4 + 360*m7, 4) + 0e0 AS h4, round(f*t1 + 360*t2, 3) + 0e0 AS h5,
+round(m6, 6) + 0e0 AS h6, round(m7, 6) + 0e0 AS h7, round(t2, 4) + 0e0 AS h8 FROM z""")
 def b20(t):
-    """A homography times its inverse is the identity, so the twin is known."""
     h = G.plane_homography(G.camera_matrix(F.lit(24.0), F.lit(1280), F.lit(720)), G.camera_rotation("yaw", "pitch", "roll"), F.lit(10.0), F.lit(20.0), "alt")
-    rows = t("poses").filter("pitch < -20").select("video_id", "frame_idx", h.alias("h"))
-    rows = rows.select("video_id", "frame_idx", G.matmul3("h", G.invert3("h")).alias("i"))
-    return rows.select("video_id", "frame_idx", *[F.abs(R(F.get("i", F.lit(k)), 4)).alias(f"d{k}") for k in (0, 1, 4, 8)])
+    digits = (4, 4, 3, 4, 4, 3, 6, 6, 4)
+    return t("poses").select("video_id", "frame_idx", h.alias("h")).select("video_id", "frame_idx", *[(R(F.get("h", F.lit(k)), d) + 0.0).alias(f"h{k}") for k, d in enumerate(digits)])
 
 
 @query("b21_camera_heading", "SELECT video_id, frame_idx, round(((yaw % 360) + 360) % 360, 4) AS heading FROM poses")
@@ -196,20 +201,26 @@ def b22(t):
     return rows.select("point_id", R("e", 4).alias("e"), R("n", 4).alias("n"), R("g.lon").alias("lon"), R("g.lat").alias("lat"))
 
 
-@query("b23_match_pixel_to_geo", """SELECT tile_id, CASE WHEN x < 256 AND y < 256 THEN round(west + (x + 0.5e0) * (east - west) / 256e0, 6) END AS lon, CASE WHEN x < 256 AND y < 256 THEN round(north - (y + 0.5e0) * (north - south) / 256e0, 6) END AS lat
-FROM (SELECT *, 2e0 * (tile_id % 200) + 1 AS x, 2e0 * (tile_id % 150) + 2 AS y FROM tiles) z""")
+@query("b23_match_pixel_to_geo", """SELECT tile_id, CASE WHEN ok THEN round(west + (x + 0.5e0) * (east - west) / 256e0, 6) END AS lon, CASE WHEN ok THEN round(north - (y + 0.5e0) * (north - south) / 256e0, 6) END AS lat
+FROM (SELECT *, x < 256 AND y < 256 AND NOT (x >= 100 AND y % 3 = 0) AS ok FROM (SELECT *, 2e0 * (tile_id % 200) + 1 AS x, 2e0 * (tile_id % 150) + 2 AS y FROM tiles) z) k""")
 def b23(t):
+    """The mask leaves out every third row from column 100 on."""
     h = F.array(*[F.lit(float(v)) for v in (2, 0, 1, 0, 2, 2, 0, 0, 1)])
-    p = G.match_pixel_to_geo(h, F.col("tile_id") % 200, F.col("tile_id") % 150, F.lit(640), F.lit(480), F.lit(256), F.lit(256), "west", "north", (F.col("east") - F.col("west")) / 256, (F.col("north") - F.col("south")) / 256)
+    mask = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda x: ~((x >= 100) & (y % 3 == 0))))
+    p = G.match_pixel_to_geo(h, F.col("tile_id") % 200, F.col("tile_id") % 150, F.lit(640), F.lit(480), F.lit(256), F.lit(256), "west", "north", (F.col("east") - F.col("west")) / 256, (F.col("north") - F.col("south")) / 256, mask)
     return t("tiles").select("tile_id", p.alias("p")).select("tile_id", R("p.lon").alias("lon"), R("p.lat").alias("lat"))
 
 
-@query("b24_gps_envelope", """SELECT point_id, CASE WHEN ok THEN round(lon - dlon, 6) END AS west, CASE WHEN ok THEN round(la - dlat, 6) END AS south, CASE WHEN ok THEN round(lon + dlon, 6) END AS east, CASE WHEN ok THEN round(la + dlat, 6) END AS north,
-CASE WHEN NOT ok THEN CASE WHEN abs(la) >= 85 THEN 'latitude' ELSE 'radius' END END AS reason
-FROM (SELECT *, abs(la) < 85 AND r > 0 AS ok, degrees(r / 6378137e0) AS dlat, degrees(asin(least(1e0, sin(r / 6378137e0) / cos(radians(la))))) AS dlon FROM (SELECT point_id, lon, lat * CASE WHEN point_id % 7 = 0 THEN 3.6e0 ELSE 1e0 END AS la, (point_id % 5) * 500e0 AS r FROM points) a) b""")
+@query("b24_gps_envelope", """WITH a AS (SELECT point_id, lon + CASE WHEN point_id % 11 = 0 THEN 59.5e0 ELSE 0e0 END AS lo, lat * CASE WHEN point_id % 7 = 0 THEN 3.6e0 WHEN point_id % 7 = 1 THEN 3.45e0 ELSE 1e0 END AS la, CASE WHEN point_id % 13 = 0 THEN CAST('inf' AS DOUBLE) ELSE (point_id % 5) * 3e4 END AS r FROM points),
+b AS (SELECT *, r / 111132.954e0 * 1.000001e0 AS dlat FROM a),
+c AS (SELECT *, CASE WHEN isinf(r) OR abs(la) + dlat / 2 >= 89.9e0 THEN 361e0 ELSE least(r / (111412.84e0 * cos(radians(abs(la) + dlat / 2))) * 1.000001e0, 361e0) END AS dlon FROM b),
+d AS (SELECT *, CASE WHEN abs(lo) > 180 OR abs(la) >= 85 THEN 'position' WHEN isinf(r) OR r <= 0 THEN 'radius' WHEN la - dlat <= -85 OR la + dlat >= 85 THEN 'polar' WHEN lo - dlon < -180 OR lo + dlon > 180 THEN 'antimeridian' END AS reason FROM c)
+SELECT point_id, CASE WHEN reason IS NULL THEN round(lo - dlon, 6) END AS west, CASE WHEN reason IS NULL THEN round(la - dlat, 6) END AS south, CASE WHEN reason IS NULL THEN round(lo + dlon, 6) END AS east, CASE WHEN reason IS NULL THEN round(la + dlat, 6) END AS north, reason FROM d""")
 def b24(t):
-    la = F.col("lat") * F.when(F.col("point_id") % 7 == 0, 3.6).otherwise(1.0)
-    rows = t("points").select("point_id", G.gps_envelope("lon", la, (F.col("point_id") % 5) * 500.0).alias("b"))
+    k = F.col("point_id")
+    la = F.col("lat") * F.when(k % 7 == 0, 3.6).when(k % 7 == 1, 3.45).otherwise(1.0)
+    lo = F.col("lon") + F.when(k % 11 == 0, 59.5).otherwise(0.0)
+    rows = t("points").select("point_id", G.gps_envelope(lo, la, F.when(k % 13 == 0, float("inf")).otherwise((k % 5) * 3e4)).alias("b"))
     return rows.select("point_id", *[R(f"b.{k}").alias(k) for k in ("west", "south", "east", "north")], "b.reason")
 
 

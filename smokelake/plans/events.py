@@ -21,7 +21,7 @@ def _events(t):
 
 
 #: Image to ground by the ray of the pixel through rotation and camera matrix: an independent form of the homography's inverse.
-LOC = EV + """, po AS (SELECT *, radians(yaw) AS y, radians(pitch) AS p, radians(roll) AS r, radians(lon - 121e0) * 6378137e0 * cos(radians(24e0)) AS ce, radians(lat - 24e0) * 6378137e0 AS cn, 24e0 / 43.27e0 * sqrt(1280e0*1280e0 + 720e0*720e0) AS f FROM poses WHERE pose_ok),
+LOC = EV + """, po AS (SELECT *, radians(yaw) AS y, radians(pitch) AS p, radians(roll) AS r, radians(lon - 121e0) * 6378137e0 * cos(radians(24e0)) AS ce, radians(lat - 24e0) * 6378137e0 AS cn, 24e0 / sqrt(36e0*36e0 + 24e0*24e0) * sqrt(1280e0*1280e0 + 720e0*720e0) AS f FROM poses WHERE pose_ok),
 ry AS (SELECT e.*, o.alt, o.ce, o.cn, o.video_id IS NOT NULL AS has, (px - 640) / f AS u, (py - 360) / f AS v, y, p, r FROM ev e LEFT JOIN po o ON e.video_id = o.video_id AND e.frame_idx = o.frame_idx),
 di AS (SELECT *, (cos(y)*cos(r) + sin(y)*sin(p)*sin(r))*u + (sin(y)*sin(p)*cos(r) - cos(y)*sin(r))*v + sin(y)*cos(p) AS de, (-sin(y)*cos(r) + cos(y)*sin(p)*sin(r))*u + (cos(y)*sin(p)*cos(r) + sin(y)*sin(r))*v + cos(y)*cos(p) AS dn,
  -cos(p)*sin(r)*u - cos(p)*cos(r)*v + sin(p) AS du FROM ry),

@@ -55,14 +55,14 @@ def e02(t):
 
 
 @query("e03_expansion_check", f"""WITH p AS (SELECT *, lag(x) OVER t AS px, lag(y) OVER t AS py, lag(w) OVER t AS pw, lag(h) OVER t AS ph FROM detections WINDOW t AS ({W})),
-g AS (SELECT event_id, w / CAST(greatest(pw, 1) AS DOUBLE) AS gw, h / CAST(greatest(ph, 1) AS DOUBLE) AS gh,
-  sqrt(power(x + w / 2e0 - px - pw / 2e0, 2) + power(y + h / 2e0 - py - ph / 2e0, 2)) / greatest(pw, ph, 1) AS shift, pw FROM p)
-SELECT event_id, CASE WHEN pw IS NULL THEN NULL ELSE round(gw, 6) END AS growth_w, CASE WHEN pw IS NULL THEN NULL ELSE round(least(gw, gh) / greatest(gw, gh, 1e-6), 6) END AS balance,
-  CASE WHEN pw IS NULL THEN NULL ELSE round(shift, 6) END AS shift, pw IS NOT NULL AND gw >= 1.08e0 AND gh >= 1.08e0 AND shift <= 0.65e0 AS expanding FROM g""")
+g AS (SELECT event_id, greatest(w, 1) / CAST(greatest(pw, 1) AS DOUBLE) AS gw, greatest(h, 1) / CAST(greatest(ph, 1) AS DOUBLE) AS gh,
+  sqrt(power(x + w / 2e0 - px - pw / 2e0, 2) + power(y + h / 2e0 - py - ph / 2e0, 2)) / greatest(0.5e0 * (sqrt(power(greatest(w, 1), 2) + power(greatest(h, 1), 2)) + sqrt(power(greatest(pw, 1), 2) + power(greatest(ph, 1), 2))), 1e0) AS shift, pw FROM p)
+SELECT event_id, CASE WHEN pw IS NULL THEN NULL ELSE round(gw, 6) END AS growth_w, CASE WHEN pw IS NULL THEN NULL ELSE round(gh, 6) END AS growth_h, CASE WHEN pw IS NULL THEN NULL ELSE round(least(gw, gh) / greatest(gw, gh, 1e-6), 6) END AS balance,
+  CASE WHEN pw IS NULL THEN NULL ELSE round(shift, 6) END AS shift, pw IS NOT NULL AND least(gw, gh) >= 1.08e0 AND least(gw, gh) / greatest(gw, gh, 1e-6) >= 0.55e0 AND shift <= 0.65e0 AS expanding FROM g""")
 def e03(t):
     rows = O.expansion_check(t("detections"), TRACK, ORDER)
     known = F.col("shift").isNotNull()
-    return rows.select("event_id", *[F.when(known, R(c)).alias(c) for c in ("growth_w", "balance", "shift")], "expanding")
+    return rows.select("event_id", *[F.when(known, R(c)).alias(c) for c in ("growth_w", "growth_h", "balance", "shift")], "expanding")
 
 
 @query("e04_non_growth_streak", f"""WITH {OBS}, s AS (SELECT event_id, video_id, cls_id, frame_idx, det_idx, coalesce(area / greatest(lag(area) OVER t, 1e0), 1e0) < 1.08e0 AS bad,

@@ -14,9 +14,7 @@ def _dist(a, b, c, d):
     return DIST.format(a=a, b=b, c=c, d=d)
 
 
-NEAR = f"""env AS (SELECT *, degrees(5e3 / 6378137e0) AS dlat, degrees(asin(least(1e0, sin(5e3 / 6378137e0) / cos(radians(lat))))) AS dlon FROM points),
-near AS (SELECT p.point_id, p.lon, p.lat, t.*, {_dist('p.lon', 'p.lat', 'least(greatest(p.lon, t.west), t.east)', 'least(greatest(p.lat, t.south), t.north)')} AS distance
- FROM env p JOIN tiles t ON t.east >= p.lon - dlon AND t.west <= p.lon + dlon AND t.north >= p.lat - dlat AND t.south <= p.lat + dlat),
+NEAR = f"""near AS (SELECT p.point_id, p.lon, p.lat, t.*, {_dist('p.lon', 'p.lat', 'least(greatest(p.lon, t.west), t.east)', 'least(greatest(p.lat, t.south), t.north)')} AS distance FROM points p, tiles t),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY point_id ORDER BY distance, path) AS INT) AS rank FROM near WHERE distance <= 5e3)"""
 
 
@@ -52,7 +50,7 @@ hit AS (SELECT DISTINCT photo_id, kind, region FROM spot s JOIN tiles t ON s.lon
 reg AS (SELECT photo_id, count(DISTINCT region) AS n, max(CASE WHEN kind = 'gps' THEN 1 ELSE 0 END) AS g, max(CASE WHEN kind = 'view' THEN 1 ELSE 0 END) AS v, string_agg(DISTINCT region, ',' ORDER BY region) AS regions FROM hit GROUP BY photo_id)"""
 
 
-@query("c10_select_regions", f"""WITH {SPOTS} SELECT p.photo_id, r.regions, CASE WHEN r.n IS NULL THEN 'unresolved_keep_all' WHEN r.n > 1 THEN 'multiple_candidates' WHEN g = 1 AND v = 1 THEN 'gps_and_view_candidate' WHEN g = 1 THEN 'gps_bounds_candidate' ELSE 'estimated_view_candidate' END AS status
+@query("c10_select_regions", f"""WITH {SPOTS} SELECT p.photo_id, CASE WHEN r.n IS NULL THEN (SELECT string_agg(DISTINCT region, ',' ORDER BY region) FROM tiles) ELSE r.regions END AS regions, CASE WHEN r.n IS NULL THEN 'unresolved_keep_all' WHEN r.n > 1 THEN 'multiple_candidates' WHEN g = 1 AND v = 1 THEN 'gps_and_view_candidate' WHEN g = 1 THEN 'gps_bounds_candidate' ELSE 'estimated_view_candidate' END AS status
 FROM ph p LEFT JOIN reg r ON p.photo_id = r.photo_id""")
 def c10(t):
     return O.select_regions(_photos(t), t("tiles"))
@@ -60,12 +58,13 @@ def c10(t):
 
 @query("g02_region_candidates", f"WITH {SPOTS} SELECT DISTINCT photo_id, region FROM hit")
 def g02(t):
-    rows = O.select_regions(_photos(t), t("tiles")).filter("regions <> ''")
+    rows = O.select_regions(_photos(t), t("tiles")).filter("status <> 'unresolved_keep_all'")
     return rows.select("photo_id", F.explode(F.split("regions", ",")).alias("region"))
 
 
 def _half(lat, r):
-    return f"degrees({r} / 6378137e0)", f"degrees(asin(least(1e0, sin({r} / 6378137e0) / cos(radians({lat})))))"
+    up = f"({r} / 111132.954e0 * 1.000001e0)"
+    return up, f"({r} / (111412.84e0 * cos(radians(abs({lat}) + {up} / 2))) * 1.000001e0)"
 
 
 AY, AX = _half("alat", "2.5e3")
@@ -98,7 +97,8 @@ def d21(t):
     return O.percentile_stretch(t("tile_cells")).select("tile_id", "tx", "ty", "level")
 
 
-@query("d22_catalog_fingerprint", """SELECT region, sha256(string_agg(path || '|' || CAST(size_bytes AS VARCHAR) || '|' || CAST(mtime AS VARCHAR) || '|' || CAST(CAST(floor(west * 1000 + 0.5e0) AS BIGINT) AS VARCHAR) || '|' || CAST(CAST(floor(north * 1000 + 0.5e0) AS BIGINT) AS VARCHAR), ';'
-ORDER BY path || '|' || CAST(size_bytes AS VARCHAR))) AS fingerprint FROM tiles GROUP BY region""")
+@query("d22_catalog_fingerprint", """WITH l AS (SELECT region, substr(md5(path), 1, 3) AS part, path || '|' || CAST(size_bytes AS VARCHAR) || '|' || CAST(mtime AS VARCHAR) || '|' || CAST(CAST(floor(west * 1000 + 0.5e0) AS BIGINT) AS VARCHAR) || '|' || CAST(CAST(floor(north * 1000 + 0.5e0) AS BIGINT) AS VARCHAR) AS line FROM tiles),
+p AS (SELECT region, part, sha256(string_agg(line, ';' ORDER BY line)) AS digest FROM l GROUP BY region, part)
+SELECT region, sha256(string_agg(part || ':' || digest, ';' ORDER BY part)) AS fingerprint FROM p GROUP BY region""")
 def d22(t):
     return O.catalog_fingerprint(t("tiles"))

@@ -1,5 +1,7 @@
 """Small tables with known answers, and batch forms against streams."""
 
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -86,16 +88,46 @@ def test_tile_lookup_has_no_nested_loop_for_cells(spark):
     assert [(r.point_id, r.tile_id) for r in tiles.tiles_near(p, t, 1000, 3).collect()] == [(1, 1)]
 
 
-def test_nearest_submap_is_the_same_on_both_sides_of_its_limit(spark):
-    t = [("a", 120.0, 23.0, 120.1, 23.1), ("b", 120.3, 23.0, 120.4, 23.1), ("c", 125.0, 23.0, 125.1, 23.1), ("d", 179.9, 0.0, 180.0, 0.1), ("n", 120.0, 23.1 + 4995 / 111132.954, 120.1, 23.4)]
-    t = spark.createDataFrame(t, "region string, west double, south double, east double, north double")
-    p = [(1, 120.05, 23.05), (2, 120.19, 23.02), (3, 121.0, 86.0), (4, -179.99, 0.05), (5, None, 23.0), (6, 10.0, -40.0), (7, 120.05, 23.1001), (8, 123.0, 23.0), (9, 179.95, 0.05), (10, 0.0, 90.0)]
-    p = spark.createDataFrame(p, "point_id int, lon double, lat double")
-    small, large = (sorted(map(str, tiles.nearest_submap(p, t, n).collect())) for n in (200_000, 0))
-    assert len(small) == 10 and large == small
-    odd = t.union(spark.createDataFrame([("z", None, 23.0, None, 23.1), ("y", 11.0, -40.0, 10.0, -39.0)], t.schema))
-    small, large = (sorted(map(str, tiles.nearest_submap(p, odd, n).collect())) for n in (200_000, 0))
-    assert len(small) == 10 and large == small
+def _metres(lon1, lat1, lon2, lat2):
+    return math.hypot((lon1 - lon2) * 111412.84 * math.cos(math.radians((lat1 + lat2) / 2)), (lat1 - lat2) * 111132.954)
+
+
+def test_nearest_submap_against_all_tiles(spark):
+    """Near and far points, the poles, the antimeridian, tiles of many cells, points without a place and tiles without lawful bounds."""
+    t = [("a", 120.0, 23.0, 120.1, 23.1), ("b", 120.3, 23.0, 120.4, 23.1), ("c", 125.0, 23.0, 125.1, 23.1), ("d", 179.9, 0.0, 180.0, 0.1), ("n", 120.0, 23.1 + 4995 / 111132.954, 120.1, 23.4), ("w", -60.0, -20.0, -50.0, -10.0)]
+    p = [(1, 120.05, 23.05), (2, 120.19, 23.02), (3, 121.0, 86.0), (4, -179.99, 0.05), (5, None, 23.0), (6, 10.0, -40.0), (7, 120.05, 23.1001), (8, 123.0, 23.0), (9, 179.95, 0.05), (10, 0.0, 90.0), (11, float("nan"), 1.0), (12, -55.0, -5.0), (13, 500.0, 1.0), (14, -179.9, -89.95)]
+    odd = [("z", None, 23.0, None, 23.1), ("y", 11.0, -40.0, 10.0, -39.0)]
+    tf = spark.createDataFrame(t + odd, "region string, west double, south double, east double, north double")
+    pf = spark.createDataFrame(p, "point_id int, lon double, lat double")
+    want = {}
+    for i, lon, lat in p:
+        want[i] = None
+        if lon is not None and abs(lon) <= 180:
+            want[i] = min((_metres(lon, lat, min(max(lon, w), e), min(max(lat, s), n)), _metres(lon, lat, (w + e) / 2, (s + n) / 2), r) for r, w, s, e, n in t)[2]
+    got = {r.point_id: r.region for r in tiles.nearest_submap(pf, tf).collect()}
+    assert got == want
+    assert {r.region for r in tiles.nearest_submap(pf, tf.limit(0)).collect()} == {None}
+    plan = tiles.tiles_near(pf, tf.withColumns({"tile_id": F.lit(1), "path": F.col("region")}), 5000, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_tiles_just_inside_the_radius(spark):
+    """In all four directions, at several latitudes; what lies just outside is left."""
+    rows, points = [], []
+    for k, lat in enumerate((0.0, 23.5, -60.0, 80.0)):
+        points.append((k, 100.0, lat))
+        for d, (de, dn) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))):
+            for inside, metres in ((1, 4993.0), (0, 5007.0)):
+                up = metres / 111132.954
+                across = metres / (111412.84 * math.cos(math.radians(lat)))
+                x, y = 100.0 + de * across, lat + dn * up
+                w, e = (x, x + 0.01) if de > 0 else (x - 0.01, x) if de < 0 else (x - 0.001, x + 0.001)
+                s, n = (y, y + 0.01) if dn > 0 else (y - 0.01, y) if dn < 0 else (lat - 1e-9, lat + 1e-9)
+                rows.append((100 * k + 10 * d + inside, "r", f"t{k}{d}{inside}", w, s, e, n))
+    t = spark.createDataFrame(rows, "tile_id int, region string, path string, west double, south double, east double, north double")
+    p = spark.createDataFrame(points, "point_id int, lon double, lat double")
+    got = {(r.point_id, r.tile_id) for r in tiles.tiles_near(p, t, 5000, 99).collect()}
+    assert got == {(i // 100, i) for i, *_ in rows if i % 10}
 
 
 def _detections():
