@@ -41,7 +41,7 @@ class JaccardSettings:
     few: most rows of a tile that lists its pairs; hot: most shingles that are moved to the end of the order because they are frequent (a fixed bound of what is broadcast;
     any choice of them gives the same result); hot_least: occurrences that make one of them; counted: shingles that a task
     counts (one that makes up over 1 / counted of what the task sees is never missed); salts: parts into which the rows of a
-    hot shingle are dealt; block: rows of a block of a tile; broadcast: most rows of a table that is broadcast.
+    hot shingle are dealt; centres: those that a set of large tiles is compared with at first; block: rows of a block of a tile; broadcast: most rows of a table that is broadcast.
     """
 
     shingle: int = 4
@@ -52,6 +52,7 @@ class JaccardSettings:
     hot_least: int = 16
     counted: int = 1 << 17
     salts: int = 64
+    centres: int = 3
     block: int = 512
     broadcast: int = 200_000
 
@@ -84,12 +85,8 @@ def set_id(a: np.ndarray) -> int:
 
 
 def bitmap(a: np.ndarray, s: JaccardSettings) -> bytes:
-    """Of a quarter of all possible elements, which ones the set has: four to eight bits for each, a power of two between 128 and s.bits.
-
-    What one set has in that quarter and the other lacks is enough to tell sets apart that have little in common.
-    """
-    a = a[(a & np.uint64(3)) == 0]
-    bits = max(128, min(s.bits, 1 << (4 * len(a)).bit_length()))
+    """Four to eight bits for each element, a power of two between 256 and s.bits."""
+    bits = max(256, min(s.bits, 1 << (4 * len(a) - 1).bit_length()))
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(a >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(flags).tobytes()
@@ -316,8 +313,8 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, s: JaccardSettings) -> DataFr
     return materialize(rows.mapInArrow(measure, "sid long, set binary").dropDuplicates(["sid"]))  # a document may come in several rows
 
 
-def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components, fit in size and pass the bitmaps.
+def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components, fit in size and pass the bitmaps. With most, a block gives so many for two components.
 
     A key is open while its classes lie in two components or more; its first component is the major one. The classes
     of all open keys with one major component make the tiles of that component, one for each size band; each class is there once. Those
@@ -369,7 +366,7 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
     def pairs(now, own, tables, sid, n, label, band, column) -> pa.RecordBatch:
         own_sid, own_n, own_label = own
         major, tile = now[:2]
-        found = [np.empty((0, 2), np.int64)]
+        found = [np.empty((0, 4), np.int64)]
         for places, probing in _tables(column):
             for k, p in enumerate(places):
                 for at, table in tables:
@@ -379,9 +376,16 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
                     ok &= 100 * np.minimum(own_n[at], n[p]) >= s.percent * np.maximum(own_n[at], n[p])
                     rows = np.flatnonzero(ok)
                     if len(rows):
-                        hits = own_sid[at[rows[may_link(probing[k][None], table[rows], n[p], own_n[at[rows]], s.percent)]]]
-                        found.append(np.stack([np.minimum(hits, sid[p]), np.maximum(hits, sid[p])], axis=1))
-        both = np.unique(np.concatenate(found), axis=0)
+                        hits = at[rows[may_link(probing[k][None], table[rows], n[p], own_n[at[rows]], s.percent)]]
+                        if most is not None:  # one of each component is enough for a probe
+                            hits = hits[np.unique(own_label[hits], return_index=True)[1]]
+                        ends = [np.minimum(own_sid[hits], sid[p]), np.maximum(own_sid[hits], sid[p])]
+                        found.append(np.stack([np.minimum(own_label[hits], label[p]), np.maximum(own_label[hits], label[p]), *ends], axis=1))
+        both = np.unique(np.concatenate(found), axis=0)  # in order of the two components
+        if most is not None and len(both):
+            starts = np.concatenate(([0], np.flatnonzero((both[1:, :2] != both[:-1, :2]).any(axis=1)) + 1))
+            both = both[np.arange(len(both)) - np.repeat(starts, np.diff([*starts, len(both)])) < most]
+        both = both[:, 2:]
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return both.repartition(*by).sortWithinPartitions(*by, "probe").mapInArrow(compare, "a long, b long").distinct()
@@ -408,17 +412,23 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     few = listed_pairs(shared.filter("NOT large"), s)
     banded = keys.select("key", s.band("n").alias("band"), "sid")
     centres = banded.groupBy("key", "band").agg(F.min("sid").alias("a"))
-    stars = banded.join(centres, ["key", "band"]).filter("a <> sid").select("a", F.col("sid").alias("b"))
+    stars = banded.join(centres, ["key", "band"]).filter("a <> sid").groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("keys"))
+    # what a set shares with other centres than its first ones is left to the open tiles
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
+    stars = stars.withColumn("nth", nth).filter(F.col("nth") <= s.centres).select("a", "b")
     pairs = materialize(by_bitmap(stars.union(few).distinct(), classes, s))
     arrays = set_arrays(docs, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(members, "sid"), s)
     links = materialize(verified(pairs, arrays, s))
     labels = components(links)
 
-    crossing = materialize(open_tiles(keys, labels, classes, s))
-    if not crossing.isEmpty():
+    # components meet by a few pairs at first, so that many sets which lie between them cost little; then by all pairs still open
+    for most in (s.centres, None):
+        crossing = materialize(open_tiles(keys, labels, classes, s, most))
+        if crossing.isEmpty():
+            break
         wanted = crossing.select(F.col("a").alias("sid")).union(crossing.select("b")).distinct()
-        more = set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s)
-        links = materialize(links.union(verified(crossing, arrays.union(more), s)))
+        arrays = arrays.union(set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s))
+        links = materialize(links.union(verified(crossing, arrays, s)))
         labels = components(links)
 
     named = ids.select("doc_id", "t", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
