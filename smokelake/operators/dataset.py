@@ -68,6 +68,17 @@ def next_version(names: DataFrame, family: str, name: str = "name") -> DataFrame
     return names.agg((F.coalesce(F.max(F.nullif(number, F.lit("")).cast("long")), F.lit(0)) + 1).alias("version"))
 
 
+def next_run(names: DataFrame, stem: str, name: str = "name") -> DataFrame:
+    """One row: the folder of the next run, the stem itself or else the first free `<stem>_<number>` from 02."""
+    number = F.regexp_extract(name, rf"^{stem}_(\d{{2,}})$", 1)
+    used = names.select(F.col(name).alias("name"), F.nullif(number, F.lit("")).cast("long").alias("n"))
+    used = used.withColumn("n", F.when(F.col("name") == F.format_string(f"{stem}_%02d", "n"), F.col("n")))
+    taken = used.agg(F.coalesce(F.max(F.col("name") == stem), F.lit(False)).alias("taken"), F.collect_set(F.when(F.col("n") == 2, 2)).alias("two"))
+    after = used.filter("n >= 2").select((F.col("n") + 1).alias("n")).join(used.select("n"), "n", "left_anti").agg(F.min("n").alias("free"))
+    second = F.when(F.size("two") == 0, 2).otherwise(after.scalar())
+    return taken.select(F.when(~F.col("taken"), stem).otherwise(F.format_string(f"{stem}_%02d", second)).alias("folder"))
+
+
 def attach_labels(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """All images; those without a label are background and flagged missing."""
     rows = images.join(labels.withColumn("_has", F.lit(True)), key, "left")
@@ -115,8 +126,12 @@ def merge_sources(previous: DataFrame, new: DataFrame, ending: str = "jpg") -> D
 
 
 def class_stats(images: DataFrame, boxes: DataFrame, key: str = "image_id") -> DataFrame:
-    """For each class the images that contain it and its boxes."""
-    return boxes.join(images.select(key), key, "left_semi").groupBy("class_id").agg(F.count_distinct(key).alias("images"), F.count("*").alias("boxes"))
+    """The images that contain a class and its boxes, for each class; and the images without a box (background) and all images, with all boxes, in total."""
+    own = boxes.join(images.select(key), key, "left_semi")
+    by_class = own.groupBy(F.concat(F.lit("class_"), F.col("class_id").cast("string")).alias("metric")).agg(F.count_distinct(key).alias("images"), F.count("*").alias("boxes"))
+    background = images.join(boxes, key, "left_anti").agg(F.lit("background").alias("metric"), F.count("*").alias("images"), F.lit(0).cast("long").alias("boxes"))
+    total = images.agg(F.lit("total").alias("metric"), F.count("*").alias("images"), own.agg(F.count("*")).scalar().alias("boxes"))
+    return by_class.unionByName(background).unionByName(total)
 
 
 def duplicate_groups(images: DataFrame, content: str, key: str) -> DataFrame:
@@ -130,35 +145,45 @@ def source_counts(images: DataFrame) -> DataFrame:
     return images.rollup("role", "source").agg(F.count("*").alias("images"))
 
 
-def split_groups(units: DataFrame, seed: str, per_mille: int = 700) -> DataFrame:
-    """Assign every content group to train or val so that each stratum is split 7:3.
+def split_groups(units: DataFrame, seed: str) -> DataFrame:
+    """Assign every content group to train or val; (7 * images + 5) div 10 images go to train, where groups of one image leave room for it.
 
     units: one row for each group of equal content: content_hash, size (its images) and vector (its class counts as text).
-    Groups of one size and vector form a stratum; strata get whole quotas by largest remainder, which sum to the rounded
-    share of all groups; within a stratum the order is a seeded hash. One row for each stratum is ranked at once; groups
-    are only ranked within strata.
+    Groups of one size and vector form a stratum. Strata of larger groups round 7 tenths of their groups; strata of single images
+    share what the total still needs, by their own 7 tenths and then by largest remainder. Within a stratum the order is a seeded hash.
+    One row for each stratum is ranked at once; groups are only ranked within strata.
     """
     strata = units.groupBy("size", "vector").agg(F.count("*").alias("n"))
-    exact = F.col("n") * per_mille / 1000
+    one = F.col("size") == 1
+    rounded = F.floor((7 * F.col("n") + F.when(one, 0).otherwise(5)) / 10).cast("long")
     everything = Window.partitionBy(F.lit(0))
-    strata = strata.withColumns({"base": F.floor(exact).cast("long"), "left": exact - F.floor(exact)})
-    strata = strata.withColumns({"all_n": F.sum("n").over(everything), "all_base": F.sum("base").over(everything), "place": F.row_number().over(everything.orderBy(F.desc("left"), "size", "vector"))})
-    wanted = F.floor((F.col("all_n") * per_mille + 500) / 1000).cast("long")
-    strata = strata.select("size", "vector", (F.col("base") + (F.col("place") <= wanted - F.col("all_base")).cast("long")).alias("quota"))
+    strata = strata.withColumn("base", rounded).withColumns({
+        "wanted": F.floor((7 * F.sum(F.col("size") * F.col("n")).over(everything) + 5) / 10) - F.sum(F.col("size") * F.col("base")).over(everything),
+        "ones": F.sum(one.cast("long")).over(everything),
+        "place": F.row_number().over(everything.orderBy(F.when(one, 0).otherwise(1), F.desc(F.col("n") * 7 % 10), "size", "vector")),
+    })
+    more = F.floor(F.col("wanted") / F.col("ones")) + (F.col("place") <= F.pmod("wanted", "ones")).cast("long")
+    quota = F.when(one, F.least(F.greatest(F.col("base") + more, F.lit(0)), F.col("n"))).otherwise(F.col("base")).cast("long")
     order = Window.partitionBy("size", "vector").orderBy(F.sha2(F.concat(F.lit(seed), F.col("content_hash")), 256), "content_hash")
-    rows = units.join(strata, ["size", "vector"]).withColumn("_n", F.row_number().over(order))
+    rows = units.join(strata.select("size", "vector", quota.alias("quota")), ["size", "vector"]).withColumn("_n", F.row_number().over(order))
     return rows.withColumn("split", F.when(F.col("_n") <= F.col("quota"), "train").otherwise("val")).drop("_n", "quota")
 
 
 def split_report(assigned: DataFrame, strict: bool = False) -> DataFrame:
-    """Images in total and in train by stratum vector, the fraction, and whether train is the share of 70 % rounded down or up. With strict, a miss raises."""
-    rows = assigned.groupBy("vector").agg(F.sum("size").alias("total"), F.sum(F.when(F.col("split") == "train", F.col("size")).otherwise(0)).alias("train"))
-    rows = rows.withColumns({"fraction": F.col("train") / F.col("total"), "exact_7_3": 10 * F.col("train") == 7 * F.col("total")})
+    """For all images, each class's images and boxes, and background images: the number in total and in train, the fraction, and whether train is the share of 70 % rounded down or up. With strict, a miss raises."""
+    rows = assigned.select("size", "vector", (F.col("split") == "train").alias("in"))
+    pair = F.explode(F.split("vector", ","))
+    counts = rows.filter("vector <> ''").select("size", "in", pair.alias("p")).select("size", "in", F.substring_index("p", ":", 1).alias("k"), F.substring_index("p", ":", -1).cast("long").alias("c"))
+    named = lambda kind: F.concat(F.lit("class_"), F.col("k"), F.lit(kind))
+    metrics = rows.select(F.lit("images").alias("metric"), "size", "in").unionByName(rows.filter("vector = ''").select(F.lit("background_images").alias("metric"), "size", "in"))
+    metrics = metrics.unionByName(counts.select(named("_images").alias("metric"), "size", "in")).unionByName(counts.select(named("_boxes").alias("metric"), (F.col("size") * F.col("c")).alias("size"), "in"))
+    out = metrics.groupBy("metric").agg(F.sum("size").alias("total"), F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("train"))
+    out = out.withColumns({"fraction": F.col("train") / F.col("total"), "exact_7_3": 10 * F.col("train") == 7 * F.col("total")})
     share = 7 * F.col("total") / 10
-    rows = rows.withColumn("within_rounding", (F.col("train") >= F.floor(share)) & (F.col("train") <= F.ceil(share)))
-    if strict and not rows.filter(~F.col("within_rounding")).isEmpty():
+    out = out.withColumn("within_rounding", (F.col("train") >= F.floor(share)) & (F.col("train") <= F.ceil(share)))
+    if strict and not out.filter(~F.col("within_rounding")).isEmpty():
         raise ValueError("the split is not within rounding of 70:30")
-    return rows
+    return out
 
 
 def split_leakage(images: DataFrame) -> DataFrame:
@@ -189,11 +214,17 @@ def validate_output(written: DataFrame, expected: DataFrame, key: str) -> DataFr
 
 
 def content_units(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Groups of equal content with size and class-count vector, for split_groups; a content's vector is that of its first image."""
-    counts = boxes.groupBy("image_id").agg(*[F.sum((F.col("class_id") == k).cast("long")).alias(f"c{k}") for k in range(3)])
-    rows = images.select("image_id", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")).join(counts, "image_id", "left")
-    vector = F.concat_ws(",", *[F.coalesce(f"c{k}", F.lit(0)).cast("string") for k in range(3)])
-    return rows.withColumn("vector", vector).groupBy("content_hash").agg(F.count("*").alias("size"), F.min(F.struct("image_id", "vector"))["vector"].alias("vector"))
+    """Groups of equal content with size and vector (`class:boxes`, by class, comma-joined; empty for background), for split_groups; a content's vector is that of its first image."""
+    counts = boxes.groupBy("image_id", "class_id").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("class_id", "n"))).alias("counts"))
+    vector = F.array_join(F.transform("counts", lambda x: F.concat_ws(":", x["class_id"].cast("string"), x["n"].cast("string"))), ",")
+    rows = images.select("image_id", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")).join(counts, "image_id", "left").withColumn("vector", F.coalesce(vector, F.lit("")))
+    return rows.groupBy("content_hash").agg(F.count("*").alias("size"), F.min(F.struct("image_id", "vector"))["vector"].alias("vector"))
+
+
+def new_only(previous: DataFrame, new: DataFrame, content: str = "content") -> DataFrame:
+    """Content hashes of new images that the previous version doesn't hold, once each."""
+    hashed = lambda df: df.select(F.sha2(F.col(content).cast("binary"), 256).alias("content_hash"))
+    return hashed(new).subtract(hashed(previous))
 
 
 def build_dataset(previous: DataFrame, new: DataFrame, boxes: DataFrame, path: str, seed: str, strict: bool = False) -> DataFrame:

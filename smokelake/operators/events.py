@@ -50,11 +50,14 @@ def static_position(rows: DataFrame, px, py, width, height, lon: str, lat: str,
     return rows.withColumn(name, F.when(given > 0, position)).drop("_g", "_x", "_y", "_b")
 
 
-def logged_events(located: DataFrame, fps: float) -> DataFrame:
-    """Easting, northing, coordinate status and confirmation delay of located events (lon, lat null where unknown); map_registered tells whether the pose had a visual fix."""
+def logged_events(located: DataFrame, fps: float, static: bool = False) -> DataFrame:
+    """Easting, northing, coordinate status and confirmation delay of located events (lon, lat null where unknown).
+
+    map_registered tells whether the pose had a visual fix; with static, positions come from one fixed pose, whatever they are.
+    """
     known = F.col("lon").isNotNull()
     p = G.wgs84_to_twd97("lon", "lat")
-    status = F.when(~known, "unavailable").when(F.col("map_registered"), "map_registered_ground_estimate").otherwise("gps_seeded_ground_estimate")
+    status = F.lit("static_pose_estimate") if static else F.when(~known, "unavailable").when(F.col("map_registered"), "map_registered_ground_estimate").otherwise("gps_seeded_ground_estimate")
     return located.withColumns({
         "easting": F.when(known, p["easting"]), "northing": F.when(known, p["northing"]), "coordinate_status": status,
         "confirmation_delay_sec": (F.col("confirm_frame") - F.col("frame_idx")) / fps,
@@ -70,36 +73,71 @@ def active_events(frames: DataFrame, events: DataFrame, hold_frames: int) -> Dat
     return rows.filter((F.col("frame_idx") >= F.col("confirm_frame")) & (F.col("frame_idx") - F.col("confirm_frame") <= hold_frames)).drop("_bin")
 
 
-#: Columns of the detections table, in order (fixed values).
-CSV_COLUMNS = ("event_id", "frame_idx", "timestamp_sec", "x", "y", "w", "h", "confidence", "status", "confirm_frame", "delay_sec", "px", "py", "lon", "lat", "easting", "northing", "coordinate_status", "camera_id")
+#: Columns of the detections table, in order, and of the one of recorded videos (fixed values).
+CSV_COLUMNS = (
+    "event_id", "logged_at_utc", "processed_frame_idx", "camera_frame_id", "camera_timestamp_ns", "processing_latency_ms", "bbox_x", "bbox_y", "bbox_w", "bbox_h",
+    "area", "growth_ratio", "radial_outward_ratio", "twd97_easting", "twd97_northing", "wgs84_lon", "wgs84_lat", "full_frame_path", "crop_path",
+)
+VIDEO_COLUMNS = ("video_name", "event_id", "frame_idx", "timestamp_sec", "area", "growth_ratio", "radial_ratio", "full_frame_path", "crop_path")
+#: Pixels around an event's box in its cut-out (fixed value).
+CROP_PAD = 32
+
+
+def snapshot_paths(events: DataFrame, folder: str, width: int, height: int) -> DataFrame:
+    """Adds the file names of an event's full picture and cut-out (null where the padded box lies outside the picture), and the cut-out's corners x0, y0, x1, y1."""
+    stem = F.format_string(f"{folder}/event_%04d_frame_%08d_camera_%010d", "event_id", "processed_frame_idx", "camera_frame_id")
+    corner = lambda a, d, most: (F.greatest(F.col(a) - CROP_PAD, F.lit(0)), F.least(F.col(a) + F.col(d) + CROP_PAD, F.lit(most)))
+    (x0, x1), (y0, y1) = corner("bbox_x", "bbox_w", width), corner("bbox_y", "bbox_h", height)
+    rows = events.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1, "full_frame_path": F.concat(stem, F.lit("_full.jpg"))})
+    return rows.withColumn("crop_path", F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.concat(stem, F.lit("_crop.jpg"))))
 
 
-def csv_rows(logged: DataFrame) -> DataFrame:
-    """All values as text: three decimals, seven for longitude and latitude, empty for null."""
-    kinds = dict(logged.dtypes)
+def csv_rows(events: DataFrame, columns: tuple[str, ...] = CSV_COLUMNS) -> DataFrame:
+    """The named columns as text: numbers with a fraction to three places, longitude and latitude to seven; empty for null and for what is not a number."""
+    kinds = dict(events.dtypes)
 
     def text(c: str) -> Column:
-        if kinds.get(c) in ("double", "float"):
-            return F.coalesce(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string("%.7f" if c in ("lon", "lat") else "%.3f", F.col(c))), F.lit(""))
-        return F.coalesce(F.col(c).cast("string"), F.lit("")) if c in kinds else F.lit("")
+        if kinds[c] in ("double", "float"):
+            return F.coalesce(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string("%.7f" if c in ("wgs84_lon", "wgs84_lat") else "%.3f", F.col(c))), F.lit(""))
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
-    return logged.select(*[text(c).alias(c) for c in CSV_COLUMNS])
+    return events.select(*[text(c).alias(c) for c in columns])
+
+
+def _known() -> Column:
+    return F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")
 
 
 def coordinate_line() -> Column:
-    """One line of text for an event, with coordinates or without."""
-    known = F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")
-    label = F.format_string("S%02d frame %d", F.col("event_id"), F.col("frame_idx"))
-    return F.when(known, F.format_string("%s lon=%.7f lat=%.7f E=%.3f N=%.3f", label, F.col("lon"), F.col("lat"), F.col("easting"), F.col("northing"))).otherwise(F.concat(label, F.lit(" coordinates unavailable")))
-
-
-def json_rows(logged: DataFrame) -> DataFrame:
-    """One JSON object for each event, with a nested position (null when unavailable) and position_is_approximate; NaN becomes null."""
-    num = lambda c: F.when(~F.isnan(c), F.col(c))
-    known = num("lon").isNotNull() & num("lat").isNotNull()
-    position = F.when(known, F.struct(num("lon").alias("lon"), num("lat").alias("lat"), num("easting").alias("easting"), num("northing").alias("northing")))
-    body = F.struct("event_id", "frame_idx", "confirm_frame", "coordinate_status", position.alias("position"), F.lit(True).alias("position_is_approximate"))
-    return logged.select("event_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    """One line of text for an event of a recorded video, with coordinates or without."""
+    head = F.format_string("ID %d: t=%.2fs, confidence=%.3f, ", F.col("event_id"), F.col("timestamp_sec"), F.col("confidence"))
+    found = F.format_string(
+        "coordinate_status=%s, confirmation_delay=%.3fs, impact_px=(%.1f, %.1f), TWD97(E=%.2f, N=%.2f), WGS84(lat=%.6f, lon=%.6f)",
+        "coordinate_status", "confirmation_delay_sec", "px", "py", "easting", "northing", "lat", "lon",
+    )
+    lost = F.concat(F.lit("coordinate=unavailable, impact_px=("), F.col("px").cast("string"), F.lit(", "), F.col("py").cast("string"), F.lit(")"))
+    return F.concat(head, F.when(_known(), found).otherwise(lost))
+
+
+def live_coordinate_line() -> Column:
+    """The same for an event of a live camera."""
+    head = F.format_string("ID %d: t=%.2fs, ", F.col("event_id"), F.col("timestamp_sec"))
+    found = F.format_string("TWD97(E=%.2f, N=%.2f), WGS84(lat=%.6f, lon=%.6f)", "easting", "northing", "lat", "lon")
+    return F.concat(head, F.when(_known(), found).otherwise("coordinate=unavailable"))
+
+
+def json_rows(events: DataFrame) -> DataFrame:
+    """One JSON object for each event: its frame, box, evidence and files, and a nested position (null when unavailable). NaN becomes null."""
+    kinds = dict(events.dtypes)
+    num = lambda c: F.when(~F.isnan(c), F.col(c)) if kinds[c] in ("double", "float") else F.col(c)
+    names = ("twd97_easting", "twd97_northing", "wgs84_lon", "wgs84_lat")
+    position = F.when(num("wgs84_lon").isNotNull() & num("wgs84_lat").isNotNull(), F.struct(*[num(c).alias(c) for c in names]))
+    body = F.struct(
+        "event_id", "logged_at_utc", "processed_frame_idx", "camera_frame_id", "camera_timestamp_ns", F.round("processing_latency_ms", 3).alias("processing_latency_ms"),
+        F.array("bbox_x", "bbox_y", "bbox_w", "bbox_h").alias("bbox_xywh"), num("area").alias("area"), num("growth_ratio").alias("growth_ratio"), num("radial_outward_ratio").alias("radial_outward_ratio"),
+        "full_frame_path", "crop_path", position.isNotNull().alias("position_is_approximate"), position.alias("position"),
+    )
+    return events.select("event_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def localization_log(rows: DataFrame) -> DataFrame:

@@ -63,6 +63,20 @@ def fit_similarity(corr: DataFrame, key: str = "pair_id") -> DataFrame:
     )
 
 
+#: Gates of a similarity between two frames: by tracked corners, and of the learned detector (fixed values).
+MOTION_GATES = {"inliers": 15, "ratio": 0.35, "rotation": 12.0, "scale": None}
+LEARNED_GATES = {"inliers": 15, "ratio": 0.40, "rotation": 10.0, "scale": (0.85, 1.15)}
+
+
+def similarity_gate(fits: DataFrame, gates: dict = MOTION_GATES) -> DataFrame:
+    """reason why a similarity is refused (null: accepted), by columns matches, inliers, scale and rotation_deg; a null scale was not fitted."""
+    ratio = F.col("inliers") / F.greatest("matches", F.lit(1))
+    reason = F.when(F.col("scale").isNull(), "not_fitted").when(F.col("inliers") < gates["inliers"], "inliers").when(ratio < gates["ratio"], "ratio")
+    if gates["scale"]:
+        reason = reason.when(~F.col("scale").between(*gates["scale"]), "scale")
+    return fits.withColumn("reason", reason.when(F.abs("rotation_deg") > gates["rotation"], "rotation"))
+
+
 def residual() -> Column:
     """Distance of a correspondence from the similarity a, b, dx, dy in its row."""
     ex = F.col("a") * F.col("ax") - F.col("b") * F.col("ay") + F.col("dx") - F.col("bx")
@@ -124,13 +138,13 @@ def hull_coverage(corr: DataFrame, width: int, height: int, key: str = "pair_id"
 
 
 def verify_match(quality: DataFrame, min_inliers: int = MIN_INLIERS, min_ratio: float = MIN_RATIO, max_error: float = MAX_ERROR, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """reason, accepted, confidence and score from matches, inliers, inlier_ratio, rmse, coverage and valid_geometry; gates in this order."""
+    """reason, accepted, confidence and score from matches, det (the homography's determinant, null where none was found), inliers, inlier_ratio, rmse, coverage and valid_geometry; gates in this order. A null error, coverage or geometry is rejected."""
+    sound = F.col("valid_geometry") & (F.col("coverage") >= min_coverage) & (F.col("rmse") <= max_error)
     reason = (
-        F.when(F.col("matches") < min_inliers, "insufficient_matches")
-        .when((F.col("inliers") < min_inliers) | (F.col("inlier_ratio") < min_ratio), "insufficient_inliers")
-        .when(~F.col("valid_geometry") | (F.col("coverage") < min_coverage) | (F.col("rmse") > max_error), "geometry_rejected")
-        .otherwise("accepted")
-    )
+        F.when(F.col("matches") < min_inliers, "insufficient_matches").when(F.col("det").isNull() | F.isnan("det"), "homography_failed")
+        .when((F.col("inliers") < min_inliers) | (F.col("inlier_ratio") < min_ratio) | (F.abs("det") < 1e-12), "insufficient_inliers")
+        .when(~F.coalesce(sound, F.lit(False)), "geometry_rejected").otherwise("accepted")
+    )
     confidence = F.col("inlier_ratio") * F.least(F.lit(1.0), F.col("inliers") / (2 * min_inliers)) / (1 + F.col("rmse"))
     rows = quality.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted")
     reached = F.col("reason").isin("accepted", "geometry_rejected")
@@ -168,8 +182,8 @@ def stage_rollup(log: DataFrame) -> DataFrame:
 
 
 def backend_benchmark(log: DataFrame) -> DataFrame:
-    """Matches, inlier ratio, and median and mean time of each backend."""
-    return log.groupBy("backend").agg(F.avg("matches").alias("matches"), (F.sum("inliers") / F.sum("matches")).alias("inlier_ratio"), F.percentile("elapsed_ms", F.lit(0.5)).alias("median_ms"), F.avg("elapsed_ms").alias("mean_ms"))
+    """Matches, inlier ratio, reprojection error of the inliers, median confidence of the matches, and median and mean time of each backend."""
+    return log.groupBy("backend").agg(F.sqrt(F.sum(F.col("inliers") * F.col("rmse") * F.col("rmse")) / F.sum(F.when(F.col("rmse").isNotNull(), F.col("inliers")))).alias("rmse"), F.percentile("confidence", F.lit(0.5)).alias("median_confidence"), F.avg("matches").alias("matches"), (F.sum("inliers") / F.sum("matches")).alias("inlier_ratio"), F.percentile("elapsed_ms", F.lit(0.5)).alias("median_ms"), F.avg("elapsed_ms").alias("mean_ms"))
 
 
 def radial_flow(vectors: DataFrame, keys: list[str], least: int = 8) -> DataFrame:

@@ -61,12 +61,20 @@ def closing(cells: DataFrame, value: str, half: int) -> DataFrame:
     return focal_minmax(focal_minmax(cells, value, half, False), value, half, True)
 
 
-def motion_history(diff: DataFrame, fps: float, active: float = 0.20) -> DataFrame:
-    """Value exp(-k / (2 fps)) for the k frames since a cell last moved (0 before it ever did), and whether it is active."""
-    w = Window.partitionBy("video_id", "cx", "cy").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("changed"), F.col("frame_idx")), ignorenulls=True).over(w)
-    value = F.coalesce(F.exp(-(F.col("frame_idx") - last) / (2 * fps)), F.lit(0.0))
-    return diff.withColumn("history", value).withColumn("active", F.col("history") >= active)
+def motion_history(diff: DataFrame, fps: float, active: float = 0.20, reach: int = 3) -> DataFrame:
+    """Value exp(-k / (2 fps)) for the k frames since a cell, or one within reach of it, last moved (0 before it ever did), and whether it is active; prior and prior_active are the same before this frame's motion."""
+    moved = focal_minmax(diff.withColumn("_moved", F.col("changed").cast("int")), "_moved", reach, False) if reach else diff.withColumn("_moved", F.col("changed").cast("int"))
+    w = Window.partitionBy("video_id", "cx", "cy").orderBy("frame_idx")
+    frame = F.when(F.col("_moved") == 1, F.col("frame_idx"))
+    value = lambda rows: F.coalesce(F.exp(-(F.col("frame_idx") - F.last(frame, ignorenulls=True).over(rows)) / (2 * fps)), F.lit(0.0))
+    rows = moved.withColumns({"history": value(w.rowsBetween(Window.unboundedPreceding, 0)), "prior": value(w.rowsBetween(Window.unboundedPreceding, -1))})
+    return rows.withColumns({"active": F.col("history") >= active, "prior_active": F.col("prior") >= active}).drop("_moved")
+
+
+def prior_overlap(labelled: DataFrame, history: DataFrame) -> DataFrame:
+    """Share of each blob's cells that were active before its frame."""
+    rows = labelled.select(*CELL, "blob").join(history.select(*CELL, "prior_active"), CELL)
+    return rows.groupBy("video_id", "frame_idx", "blob").agg(F.avg(F.col("prior_active").cast("double")).alias("prior_overlap"))
 
 
 def label_blobs(diff: DataFrame) -> DataFrame:
@@ -97,13 +105,15 @@ def label_blobs(diff: DataFrame) -> DataFrame:
     return rows.groupBy("video_id", "frame_idx").applyInPandas(label, "video_id int, frame_idx int, cx int, cy int, delta double, blob long")
 
 
-def blobs(labelled: DataFrame, least_area: int = 1, most_area: int | None = None) -> DataFrame:
-    """Area (cells), box and centroid of each blob, and D1's evidence: polarity, signed coherence, mean size of the difference, fill."""
+def blobs(labelled: DataFrame, least_area: int = 1, most_area: int | None = None, border: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """Area (cells), box and centroid of each blob, and D1's evidence: polarity, signed coherence, mean size of the difference, fill. With a border, blobs that reach it at a side of a raster of that size (width, height) go."""
     out = labelled.groupBy("video_id", "frame_idx", "blob").agg(
         F.count("*").alias("area"), F.min("cx").alias("x"), F.min("cy").alias("y"), (F.max("cx") - F.min("cx") + 1).alias("w"), (F.max("cy") - F.min("cy") + 1).alias("h"),
         F.avg("cx").alias("mx"), F.avg("cy").alias("my"), *evidence("delta"),
     )
     out = out.withColumn("fill", F.col("area") / (F.col("w") * F.col("h"))).filter(F.col("area") >= least_area)
+    if border is not None:
+        out = out.filter((F.col("x") > border) & (F.col("y") > border) & (F.col("x") + F.col("w") < size[0] - border) & (F.col("y") + F.col("h") < size[1] - border))
     return out if most_area is None else out.filter(F.col("area") <= most_area)
 
 

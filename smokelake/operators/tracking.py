@@ -40,6 +40,28 @@ def association_pairs(tracks: DataFrame, dets: DataFrame, keys: list[str], s: Tr
     return rows.filter(ok).withColumn("score", 1 - F.col("iou") + F.col("distance") / F.greatest("_reach", F.lit(1.0))).drop("_reach")
 
 
+#: Limits of the motion tracker's association, in pixels (fixed values).
+MOTION_REACH = {"distance": 180.0, "small": 12.0, "least_area": 220.0, "trajectory": 140.0}
+
+
+def motion_pairs(tracks: DataFrame, candidates: DataFrame, keys: list[str], limits: dict = MOTION_REACH) -> DataFrame:
+    """Tracks and candidates of one frame that may belong together by the motion tracker's rules, with a score, lower is better.
+
+    Overlapping boxes score a quarter of the distance of their centres. Else a small track (t_small, t_area below the least
+    area) reaches only a few pixels; others the distance, or the way along their path: t_history, an array of structs x, y.
+    Boxes t_x.. and d_x..; the keys are the equi-join.
+    """
+    rows = tracks.join(candidates, keys)
+    cx, cy = F.col("d_x") + F.col("d_w") / 2, F.col("d_y") + F.col("d_h") / 2
+    rows = rows.withColumns({"distance": X.centre_distance("t_", "d_"), "_path": X.trajectory_distance("t_history", cx, cy)})
+    held = F.col("t_small") & (F.col("t_area") < limits["least_area"]) & (F.col("distance") > limits["small"])
+    score = (
+        F.when(X.overlaps("t_", "d_"), F.col("distance") / 4).when(held, None).when(F.col("distance") <= limits["distance"], F.col("distance"))
+        .when(F.col("_path") <= limits["trajectory"], limits["distance"] + F.col("_path"))
+    )
+    return rows.withColumn("score", score).filter("score IS NOT NULL").drop("_path")
+
+
 def greedy(pairs: Iterable[tuple[float, int, int]]) -> list[tuple[int, int]]:
     """One-to-one pairs by ascending score; ties keep their order."""
     used_a, used_b, out = set(), set(), []
@@ -96,13 +118,21 @@ def nms(dets: DataFrame, least: float) -> DataFrame:
     return dets.join(dropped, [*keys, "det_idx"], "left_anti")
 
 
-def suppress_duplicates(candidates: DataFrame, memories: DataFrame, window: int, reach: float = 110.0) -> DataFrame:
-    """Candidates with the earlier event that they repeat (null: none): confirmed at most window frames before, and the box padded by its margin overlaps or the centres are within reach. The nearest event counts, then the first."""
-    m = memories.select("video_id", F.col("event_id").alias("source_id"), F.col("confirm_frame").alias("_cf"), *[F.col(k).alias(f"m{k}") for k in "xywh"])
-    c = candidates.withColumns({f"c{k}": F.col(k) for k in "xywh"})
-    rows = c.join(m, "video_id").filter((F.col("frame_idx") > F.col("_cf")) & (F.col("frame_idx") - F.col("_cf") <= window))
+def suppress_duplicates(candidates: DataFrame, memories: DataFrame, window: int, reach: float = 110.0, path_reach: float = 140.0) -> DataFrame:
+    """Candidates with the earlier event that they repeat (null: none): confirmed at most window frames before, and the box padded by its margin overlaps, the centres are within reach, or the candidate lies near the event's path. The nearest centre counts, then the first event.
+
+    memories may have a column history, the path as an array of structs x, y. An event is sent to the bins of frames that it
+    can reach, so the join is an equi-join.
+    """
+    size = max(window, 1)
+    path = F.col("history") if "history" in memories.columns else F.lit(None).cast("array<struct<x:double,y:double>>")
+    m = memories.select("video_id", F.col("event_id").alias("source_id"), F.col("confirm_frame").alias("_cf"), path.alias("_path"), *[F.col(k).alias(f"m{k}") for k in "xywh"])
+    m = m.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_cf") / size), F.floor((F.col("_cf") + window) / size))))
+    c = candidates.withColumns({f"c{k}": F.col(k) for k in "xywh"}).withColumn("_bin", F.floor(F.col("frame_idx") / size))
+    rows = c.join(m, ["video_id", "_bin"]).filter((F.col("frame_idx") > F.col("_cf")) & (F.col("frame_idx") - F.col("_cf") <= window))
     rows = rows.withColumns({f"e{k}": v for k, v in X.expand("m", X.clip_margin("mw", "mh")).items()})
-    rows = rows.withColumn("_d", X.centre_distance("c", "m")).filter(X.overlaps("e", "c") | (F.col("_d") <= reach))
+    along = F.coalesce(X.trajectory_distance("_path", F.col("cx") + F.col("cw") / 2, F.col("cy") + F.col("ch") / 2) <= path_reach, F.lit(False))
+    rows = rows.withColumn("_d", X.centre_distance("c", "m")).filter(X.overlaps("e", "c") | (F.col("_d") <= reach) | along)
     hit = rows.groupBy("video_id", "cand_id").agg(F.min(F.struct(F.round("_d", 6).alias("d"), "source_id"))["source_id"].alias("source_id"))
     return candidates.join(hit, ["video_id", "cand_id"], "left")
 
@@ -234,39 +264,40 @@ def throttle(rows: DataFrame, key: str, clock: str, gap: float) -> DataFrame:
     return rows.groupBy(key).applyInPandas(run, rows.schema)
 
 
-def pose_step(state: dict, frame: int, link_ok: bool, klt_ok: bool, correction_ok: bool, fps: float, strict: bool = False) -> str:
-    """Next pose status of a video. state holds status, link (frame of the last attempt), check and fix.
+def pose_step(state: dict, frame: int, link_ok: bool, klt_ok: bool, correction_ok: bool, fps: float, reference_valid: bool = True, gps_seed: bool = False) -> str:
+    """Next pose status of a video. state holds status, and the frames of the last link attempt, map check and map fix.
 
-    Without a pose, a link is tried once a second at most. With one, tracking goes on while it succeeds; a map check is due
-    five seconds after the last, and a success counts as a fix. In strict mode a fix older than 15 seconds ends tracking.
+    Without a valid reference image and a seed by GPS, the status stays INITIALIZING. On the first frame and when LOST, a link is
+    tried once a second at most; else tracking goes on while it succeeds. After either success a map check is due five
+    seconds after the last one, also right behind a link. With a valid reference, a fix older than 15 seconds ends tracking.
     """
-    second = max(int(fps), 1)
-    if state.get("status", "INITIALIZING") in ("INITIALIZING", "LOST"):
-        if state.get("link") is not None and frame - state["link"] < second:
-            return state.setdefault("status", "INITIALIZING")
-        state["link"] = frame
-        state["status"] = "REFERENCE_MATCHED" if link_ok else ("LOST" if "status" in state else "INITIALIZING")
-        if link_ok:
-            state |= {"check": frame, "fix": frame}
-        return state["status"]
-    valid = klt_ok
-    if valid and frame - state["check"] >= int(5 * fps):
+    if not (reference_valid or gps_seed):
+        return state.setdefault("status", "INITIALIZING")
+    valid = False
+    if state.get("status", "LOST") in ("LOST", "INITIALIZING"):
+        if frame - state.get("link", -1000) >= max(int(fps), 1):
+            state["link"] = frame
+            valid = link_ok
+            if valid:
+                state["fix"] = frame
+    else:
+        valid = klt_ok
+    if valid and frame - state.get("check", -1000) >= int(5 * fps):
         state["check"] = frame
         if correction_ok:
             state["fix"] = frame
-    old = frame - state["fix"] > int(15 * fps)
-    if strict and old:
+    if valid and reference_valid and "fix" in state and frame - state["fix"] > int(15 * fps):
         valid = False
-    state["status"] = ("VO_GPS_ESTIMATE" if old else "VO_TRACKING") if valid else "LOST"
+    state["status"] = ("VO_TRACKING" if reference_valid else "VO_GPS_ESTIMATE") if valid else "LOST"
     return state["status"]
 
 
-def pose_status(rows: DataFrame, fps: float, strict: bool = False) -> DataFrame:
+def pose_status(rows: DataFrame, fps: float, reference_valid: bool = True, gps_seed: bool = False) -> DataFrame:
     """Status of every frame; columns video_id, frame_idx, link_ok, klt_ok, correction_ok."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, state = pdf.sort_values("frame_idx"), {}
-        status = [pose_step(state, int(r.frame_idx), bool(r.link_ok), bool(r.klt_ok), bool(r.correction_ok), fps, strict) for r in pdf.itertuples()]
+        status = [pose_step(state, int(r.frame_idx), bool(r.link_ok), bool(r.klt_ok), bool(r.correction_ok), fps, reference_valid, gps_seed) for r in pdf.itertuples()]
         return pd.DataFrame({"video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], "status": status})
 
     return rows.groupBy("video_id").applyInPandas(run, "video_id int, frame_idx int, status string")

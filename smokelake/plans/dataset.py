@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import dataset as O
+from ..operators.shared import shared_folder
 from .registry import query
 
 
@@ -80,7 +83,8 @@ def c04(t):
     return O.conflicting(t("documents_labelled"), "content", F.coalesce(F.col("quality").cast("string"), F.lit("none")))
 
 
-@query("d23_class_stats", "SELECT class_id, count(DISTINCT image_id) AS images, count(*) AS boxes FROM boxes WHERE image_id IN (SELECT image_id FROM images WHERE source <> 'src0') GROUP BY class_id")
+@query("d23_class_stats", """WITH i AS (SELECT * FROM images WHERE source <> 'src0'), b AS (SELECT * FROM boxes WHERE image_id IN (SELECT image_id FROM i))
+SELECT 'class_' || class_id AS metric, count(DISTINCT image_id) AS images, count(*) AS boxes FROM b GROUP BY class_id UNION ALL SELECT 'background', count(*), 0 FROM i WHERE image_id NOT IN (SELECT image_id FROM boxes) UNION ALL SELECT 'total', count(*), (SELECT count(*) FROM b) FROM i""")
 def d23(t):
     return O.class_stats(t("images").filter("source <> 'src0'"), t("boxes"))
 
@@ -111,35 +115,63 @@ def g01(t):
 
 @query("g03_new_only_images", "SELECT DISTINCT sha256(content) AS content_hash FROM images WHERE source <> 'src0' AND content NOT IN (SELECT content FROM images WHERE source = 'src0')")
 def g03(t):
-    hashed = t("images").select("source", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
-    return hashed.filter("source <> 'src0'").select("content_hash").subtract(hashed.filter("source = 'src0'").select("content_hash"))
+    i = t("images")
+    return O.new_only(i.filter("source = 'src0'"), i.filter("source <> 'src0'"))
+
 
+@query("a14_next_run", """WITH f AS (SELECT 'clip_' || CASE WHEN p_partkey < 10 THEN '0' ELSE '' END || p_partkey AS name, p_partkey AS n FROM part WHERE p_partkey % 37 <> 0 AND p_partkey >= 2 UNION ALL SELECT 'clip', NULL)
+SELECT 'clip_' || CASE WHEN min(n + 1) < 10 THEN '0' ELSE '' END || min(n + 1) AS folder FROM f WHERE n + 1 NOT IN (SELECT n FROM f WHERE n IS NOT NULL)""")
+def a14_run(t):
+    """Folders of earlier runs, with gaps."""
+    number = F.format_string("clip_%02d", "p_partkey")
+    names = t("part").filter("p_partkey % 37 <> 0 AND p_partkey >= 2").select(number.alias("name"))
+    return O.next_run(names.unionByName(t("part").limit(1).select(F.lit("clip").alias("name"))), "clip")
 
-UNITS = """cnt AS (SELECT image_id, sum(CASE WHEN class_id = 0 THEN 1 ELSE 0 END) AS c0, sum(CASE WHEN class_id = 1 THEN 1 ELSE 0 END) AS c1, sum(CASE WHEN class_id = 2 THEN 1 ELSE 0 END) AS c2 FROM boxes GROUP BY image_id),
-lab AS (SELECT i.image_id, sha256(i.content) AS content_hash, concat(coalesce(c0, 0), ',', coalesce(c1, 0), ',', coalesce(c2, 0)) AS vector FROM images i LEFT JOIN cnt c ON i.image_id = c.image_id),
+
+UNITS = """lab AS (SELECT i.image_id, sha256(i.content) AS content_hash, coalesce(c.vector, '') AS vector FROM {images} i LEFT JOIN (SELECT image_id, string_agg(class_id || ':' || n, ',' ORDER BY class_id) AS vector FROM (SELECT image_id, class_id, count(*) AS n FROM boxes GROUP BY ALL) x GROUP BY image_id) c ON i.image_id = c.image_id),
 units AS (SELECT content_hash, count(*) AS size, arg_min(vector, image_id) AS vector FROM lab GROUP BY content_hash),
-strata AS (SELECT size, vector, count(*) AS n, floor(count(*) * 700 / 1000e0) AS base, count(*) * 700 / 1000e0 - floor(count(*) * 700 / 1000e0) AS rest FROM units GROUP BY size, vector),
-quota AS (SELECT size, vector, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, size, vector) <= floor((sum(n) OVER () * 700 + 500) / 1000e0) - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM strata),
+strata AS (SELECT size, vector, count(*) AS n, CAST(floor((7 * count(*) + CASE WHEN size = 1 THEN 0 ELSE 5 END) / 10e0) AS BIGINT) AS base FROM units GROUP BY size, vector),
+need AS (SELECT *, CAST(floor((7 * sum(size * n) OVER () + 5) / 10e0) - sum(size * base) OVER () AS BIGINT) AS wanted, CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) OVER () AS BIGINT) AS ones, row_number() OVER (ORDER BY CASE WHEN size = 1 THEN 0 ELSE 1 END, n * 7 % 10 DESC, size, vector) AS place FROM strata),
+quota AS (SELECT size, vector, CASE WHEN size = 1 THEN least(greatest(base + floor(wanted / CAST(ones AS DOUBLE)) + CASE WHEN place <= ((wanted % ones) + ones) % ones THEN 1 ELSE 0 END, 0), n) ELSE base END AS quota FROM need),
 assigned AS (SELECT u.content_hash, u.size, u.vector, CASE WHEN row_number() OVER (PARTITION BY u.size, u.vector ORDER BY sha256('s1' || u.content_hash), u.content_hash) <= quota THEN 'train' ELSE 'val' END AS split
  FROM units u JOIN quota q ON u.size = q.size AND u.vector = q.vector)"""
+ALL_UNITS = UNITS.format(images="images")
+
 
+def _assigned(t):
+    return O.split_groups(O.content_units(t("images"), t("boxes")), "s1")
 
-@query("h01_stratified_group_split", f"WITH {UNITS} SELECT content_hash, size, vector, split FROM assigned")
+
+@query("h01_stratified_group_split", f"WITH {ALL_UNITS} SELECT content_hash, size, vector, split FROM assigned")
 def h01(t):
-    return O.split_groups(O.content_units(t("images"), t("boxes")), "s1").select("content_hash", "size", "vector", "split")
+    return _assigned(t).select("content_hash", "size", "vector", "split")
 
 
-@query("h02_split_report", f"""WITH {UNITS}, r AS (SELECT vector, CAST(sum(size) AS BIGINT) AS total, CAST(sum(CASE WHEN split = 'train' THEN size ELSE 0 END) AS BIGINT) AS train FROM assigned GROUP BY vector)
-SELECT vector, total, train, round(train / CAST(total AS DOUBLE), 6) AS fraction, 10 * train = 7 * total AS exact_7_3, train >= floor(7 * total / 10e0) AND train <= ceil(7 * total / 10e0) AS within_rounding FROM r""")
+@query("h02_split_report", f"""WITH {ALL_UNITS}, p AS (SELECT size, split, string_split(x, ':') AS kc FROM (SELECT size, split, unnest(string_split(vector, ',')) AS x FROM assigned WHERE vector <> '') y),
+m AS (SELECT 'images' AS metric, size, split FROM assigned UNION ALL SELECT 'background_images', size, split FROM assigned WHERE vector = '' UNION ALL SELECT 'class_' || kc[1] || '_images', size, split FROM p UNION ALL SELECT 'class_' || kc[1] || '_boxes', size * CAST(kc[2] AS BIGINT), split FROM p),
+r AS (SELECT metric, CAST(sum(size) AS BIGINT) AS total, CAST(sum(CASE WHEN split = 'train' THEN size ELSE 0 END) AS BIGINT) AS train FROM m GROUP BY metric)
+SELECT metric, total, train, round(train / CAST(total AS DOUBLE), 6) AS fraction, 10 * train = 7 * total AS exact_7_3, train >= floor(7 * total / 10e0) AND train <= ceil(7 * total / 10e0) AS within_rounding FROM r""")
 def h02(t):
-    return O.split_report(O.split_groups(O.content_units(t("images"), t("boxes")), "s1")).withColumn("fraction", F.round("fraction", 6))
+    return O.split_report(_assigned(t)).withColumn("fraction", F.round("fraction", 6))
 
 
-@query("h03_split_leakage", f"WITH {UNITS} SELECT content_hash, count(DISTINCT split) AS splits FROM assigned GROUP BY content_hash HAVING count(DISTINCT split) > 1")
+@query("h03_split_leakage", f"WITH {ALL_UNITS}, s AS (SELECT l.content_hash, CASE WHEN i.source = 'src1' THEN 'val' ELSE a.split END AS split FROM lab l JOIN images i ON i.image_id = l.image_id JOIN assigned a ON a.content_hash = l.content_hash) SELECT content_hash, count(DISTINCT split) AS splits FROM s GROUP BY content_hash HAVING count(DISTINCT split) > 1")
 def h03(t):
-    assigned = O.split_groups(O.content_units(t("images"), t("boxes")), "s1").select("content_hash", "split")
-    images = t("images").select(F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")).join(assigned, "content_hash")
-    return O.split_leakage(images)
+    """One source was put into val whatever its split, so contents that others share leak."""
+    images = t("images").select("source", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")).join(_assigned(t).select("content_hash", "split"), "content_hash")
+    return O.split_leakage(images.withColumn("split", F.when(F.col("source") == "src1", "val").otherwise(F.col("split"))))
+
+
+FIRST = "(SELECT * FROM images WHERE image_id IN (SELECT min(image_id) FROM images GROUP BY content))"
+
+
+@query("h07_build_dataset", f"WITH {UNITS.format(images=FIRST)} SELECT l.image_id, i.source, a.split FROM lab l JOIN images i ON i.image_id = l.image_id JOIN assigned a ON a.content_hash = l.content_hash")
+def h07(t):
+    """One image of each content, the source src0 as the previous version; written by split and read again."""
+    first = t("images").groupBy("content").agg(F.min("image_id").alias("image_id")).select("image_id")
+    images = t("images").join(first, "image_id", "left_semi")
+    folder = f"{shared_folder(t.spark)}/dataset-{uuid.uuid4().hex}"
+    return O.build_dataset(images.filter("source = 'src0'"), images.filter("source <> 'src0'"), t("boxes"), folder, "s1").select("image_id", "source", "split")
 
 
 @query("h04_strip_split_prefix", "SELECT p AS path, count(*) AS images FROM (SELECT regexp_replace(CASE WHEN image_id % 3 = 0 THEN 'val/' ELSE '' END || 'train/a/img_' || (image_id // 2) || '.jpg', '^((train|val|valid|test)/)+', '') AS p FROM images) x GROUP BY p HAVING count(*) > 1")

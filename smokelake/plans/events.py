@@ -52,6 +52,12 @@ def c06(t):
     return _logged(t).select("video_id", "event_id", "coordinate_status", R("easting", 2).alias("easting"), R("northing", 2).alias("northing"), R("confirmation_delay_sec").alias("delay"))
 
 
+@query("c06_static_pose_event", LOGGED + " SELECT video_id, event_id, 'static_pose_estimate' AS coordinate_status, round(easting, 2) AS easting FROM lg")
+def c06_static(t):
+    rows = O.logged_events(_located(t).withColumn("map_registered", F.lit(False)), 30.0, static=True)
+    return rows.select("video_id", "event_id", "coordinate_status", R("easting", 2).alias("easting"))
+
+
 @query("b17_static_position", f"WITH {RAY}, " + TWD.format(src="m", lon="lon", lat="lat") + """, k AS (SELECT *, frame_idx % 9 = 0 AS none, frame_idx % 9 = 1 AS part FROM g3 WHERE abs(rz) > 0.5)
 SELECT video_id, frame_idx, CASE WHEN NOT none AND NOT part THEN round(easting - alt * rx / rz, 2) END AS easting, CASE WHEN NOT none AND NOT part THEN round(northing - alt * ry / rz, 2) END AS northing, CASE WHEN part THEN 'partial_pose' END AS problem, none AS no_pose FROM k""")
 def b17(t):
@@ -83,22 +89,77 @@ def e13(t):
     return FR.latest_events(_active(t), 3).select("video_id", "frame_idx", "event_id", "remaining")
 
 
-@query("a11_detection_rows", LOGGED + " SELECT CAST(event_id AS VARCHAR) AS event_id, printf('%.3f', px) AS px, CASE WHEN lon IS NULL THEN '' ELSE printf('%.7f', lon) END AS lon, coordinate_status, '' AS camera_id FROM lg")
+#: Events as a live camera logs them: a box, times and evidence beside the position.
+LIVE = LOGGED + """, lv AS (SELECT l.event_id, strftime(d.ts, '%Y-%m-%dT%H:%M:%S') AS logged_at_utc, l.confirm_frame AS processed_frame_idx, l.event_id * 3 AS camera_frame_id, l.event_id * 33333333 AS camera_timestamp_ns, (l.event_id % 977) / 8e0 AS processing_latency_ms,
+d.x AS bbox_x, d.y AS bbox_y, d.w AS bbox_w, d.h AS bbox_h, CAST(d.w * d.h AS DOUBLE) AS area, 1 + (l.event_id % 64) / 8e0 AS growth_ratio, CASE WHEN l.event_id % 3 > 0 THEN (l.event_id % 8) / 8e0 END AS radial_outward_ratio, l.easting AS twd97_easting, l.northing AS twd97_northing, l.lon AS wgs84_lon, l.lat AS wgs84_lat,
+printf('shots/event_%04d_frame_%08d_camera_%010d', l.event_id, l.confirm_frame, l.event_id * 3) AS stem FROM lg l JOIN detections d ON d.event_id = l.event_id)"""
+
+
+def _live(t):
+    k = F.col("event_id")
+    d = t("detections").filter("conf >= 0.8").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("logged_at_utc"), *[F.col(c).alias(f"bbox_{c}") for c in "xywh"], (F.col("w") * F.col("h")).cast("double").alias("area"))
+    rows = _logged(t).join(d, "event_id").withColumns({
+        "processed_frame_idx": F.col("confirm_frame"), "camera_frame_id": k * 3, "camera_timestamp_ns": k * 33333333, "processing_latency_ms": k % 977 / 8.0, "growth_ratio": 1 + k % 64 / 8.0,
+        "radial_outward_ratio": F.when(k % 3 > 0, k % 8 / 8.0), "twd97_easting": F.col("easting"), "twd97_northing": F.col("northing"), "wgs84_lon": F.col("lon"), "wgs84_lat": F.col("lat"),
+    })
+    return O.snapshot_paths(rows, "shots", 1280, 720)
+
+
+def _text(c, digits=3):
+    return f"CASE WHEN {c} IS NULL THEN '' ELSE printf('%.{digits}f', {c}) END AS {c}"
+
+
+#: Coordinates are compared to fewer places than they are written with: the last ones depend on the order of operations.
+CUT = {"twd97_easting": 5, "twd97_northing": 5, "wgs84_lon": 8, "wgs84_lat": 8}
+
+
+@query("a11_detection_rows", LIVE + f""" SELECT CAST(event_id AS VARCHAR) AS event_id, logged_at_utc, CAST(processed_frame_idx AS VARCHAR) AS processed_frame_idx, CAST(camera_frame_id AS VARCHAR) AS camera_frame_id, CAST(camera_timestamp_ns AS VARCHAR) AS camera_timestamp_ns, printf('%.3f', processing_latency_ms) AS processing_latency_ms,
+CAST(bbox_x AS VARCHAR) AS bbox_x, CAST(bbox_y AS VARCHAR) AS bbox_y, CAST(bbox_w AS VARCHAR) AS bbox_w, CAST(bbox_h AS VARCHAR) AS bbox_h, printf('%.3f', area) AS area, printf('%.3f', growth_ratio) AS growth_ratio, {_text('radial_outward_ratio')},
+{', '.join(f"substr(CASE WHEN {c} IS NULL THEN '' ELSE printf('%.7f', {c}) END, 1, {n}) AS {c}" for c, n in CUT.items())}, stem || '_full.jpg' AS full_frame_path, stem || '_crop.jpg' AS crop_path FROM lv""")
 def a11(t):
-    rows = O.csv_rows(_logged(t).withColumnRenamed("confirmation_delay_sec", "delay_sec"))
-    return rows.select("event_id", "px", "lon", "coordinate_status", "camera_id")
+    rows = O.csv_rows(_live(t))
+    return rows.withColumns({c: F.substring(c, 1, n) for c, n in CUT.items()})
 
 
-@query("a12_coordinate_lines", LOGGED + " SELECT event_id, CASE WHEN lon IS NULL THEN printf('S%02d frame %d coordinates unavailable', event_id, frame_idx) ELSE printf('S%02d frame %d lon=', event_id, frame_idx) END AS head FROM lg")
+@query("a11_video_rows", LIVE + f""" SELECT 'v' || CAST(event_id % 15 AS VARCHAR) AS video_name, CAST(event_id AS VARCHAR) AS event_id, CAST(processed_frame_idx AS VARCHAR) AS frame_idx, printf('%.3f', processed_frame_idx / 8e0) AS timestamp_sec, printf('%.3f', area) AS area, printf('%.3f', growth_ratio) AS growth_ratio,
+CASE WHEN radial_outward_ratio IS NULL THEN '' ELSE printf('%.3f', radial_outward_ratio) END AS radial_ratio, stem || '_full.jpg' AS full_frame_path, stem || '_crop.jpg' AS crop_path FROM lv""")
+def a11_video(t):
+    rows = _live(t).withColumns({"video_name": F.concat(F.lit("v"), (F.col("event_id") % 15).cast("string")), "frame_idx": F.col("processed_frame_idx"), "timestamp_sec": F.col("processed_frame_idx") / 8.0, "radial_ratio": F.col("radial_outward_ratio")})
+    return O.csv_rows(rows, O.VIDEO_COLUMNS)
+
+
+#: Lines with coordinates to a tenth of a metre and five places of a degree, so that the last digits of two engines can't differ.
+LINES = LOGGED + """, ln AS (SELECT *, (event_id % 1000) / 4e0 AS t, (event_id % 8) / 8e0 AS confidence, delay AS wait, floor(easting * 10) / 10 AS e1, floor(northing * 10) / 10 AS n1, floor(lat * 1e5) / 1e5 AS la, floor(lon * 1e5) / 1e5 AS lo FROM lg)"""
+
+
+def _lines(t):
+    cut = lambda c, k: F.floor(F.col(c) * k) / k
+    return _logged(t).withColumns({"timestamp_sec": F.col("event_id") % 1000 / 4.0, "confidence": F.col("event_id") % 8 / 8.0, "easting": cut("easting", 10), "northing": cut("northing", 10), "lat": cut("lat", 100000), "lon": cut("lon", 100000)})
+
+
+@query("a12_coordinate_lines", LINES + """ SELECT event_id, CASE WHEN lon IS NULL THEN printf('ID %d: t=%.2fs, confidence=%.3f, coordinate=unavailable, impact_px=(%.1f, %.1f)', event_id, t, confidence, px, py)
+ELSE printf('ID %d: t=%.2fs, confidence=%.3f, coordinate_status=%s, confirmation_delay=%.3fs, impact_px=(%.1f, %.1f), TWD97(E=%.2f, N=%.2f), WGS84(lat=%.6f, lon=%.6f)', event_id, t, confidence, coordinate_status, wait, px, py, e1, n1, la, lo) END AS line FROM ln""")
 def a12(t):
-    line = O.coordinate_line()
-    return _logged(t).select("event_id", F.regexp_extract(line, r"^(.*?lon=|.*unavailable)", 1).alias("head"))
+    return _lines(t).select("event_id", O.coordinate_line().alias("line"))
+
+
+@query("a12_live_lines", LINES + """ SELECT event_id, CASE WHEN lon IS NULL THEN printf('ID %d: t=%.2fs, coordinate=unavailable', event_id, t) ELSE printf('ID %d: t=%.2fs, TWD97(E=%.2f, N=%.2f), WGS84(lat=%.6f, lon=%.6f)', event_id, t, e1, n1, la, lo) END AS line FROM ln""")
+def a12_live(t):
+    return _lines(t).select("event_id", O.live_coordinate_line().alias("line"))
+
+
+JSON = ("logged_at_utc", "processed_frame_idx", "camera_frame_id", "camera_timestamp_ns", "full_frame_path", "crop_path", "position_is_approximate")
 
 
-@query("a10_event_json", LOGGED + " SELECT event_id, coordinate_status, lon IS NOT NULL AS has_position FROM lg")
+@query("a10_event_json", LIVE + """ SELECT event_id, logged_at_utc, CAST(processed_frame_idx AS VARCHAR) AS processed_frame_idx, CAST(camera_frame_id AS VARCHAR) AS camera_frame_id, CAST(camera_timestamp_ns AS VARCHAR) AS camera_timestamp_ns, stem || '_full.jpg' AS full_frame_path, stem || '_crop.jpg' AS crop_path,
+CASE WHEN wgs84_lon IS NULL THEN 'false' ELSE 'true' END AS position_is_approximate, '[' || bbox_x || ',' || bbox_y || ',' || bbox_w || ',' || bbox_h || ']' AS bbox_xywh, round(processing_latency_ms, 3) AS latency, area, growth_ratio, radial_outward_ratio, round(wgs84_lon, 5) AS lon, round(wgs84_lat, 5) AS lat, round(twd97_easting, 1) AS easting, round(twd97_northing, 1) AS northing FROM lv""")
 def a10(t):
-    rows = O.json_rows(_logged(t))
-    return rows.select("event_id", F.get_json_object("json", "$.coordinate_status").alias("coordinate_status"), F.get_json_object("json", "$.position.lon").isNotNull().alias("has_position"))
+    at = lambda k: F.get_json_object("json", f"$.{k}")
+    num = lambda k, d=None: at(k).cast("double") if d is None else F.round(at(k).cast("double"), d)
+    return O.json_rows(_live(t)).select(
+        "event_id", *[at(k).alias(k) for k in JSON], at("bbox_xywh").alias("bbox_xywh"), num("processing_latency_ms").alias("latency"), num("area").alias("area"), num("growth_ratio").alias("growth_ratio"), num("radial_outward_ratio").alias("radial_outward_ratio"),
+        num("position.wgs84_lon", 5).alias("lon"), num("position.wgs84_lat", 5).alias("lat"), num("position.twd97_easting", 1).alias("easting"), num("position.twd97_northing", 1).alias("northing"),
+    )
 
 
 FLAG = """WITH signs AS (SELECT DISTINCT video_id, cls_id, cls_name, frame_idx FROM detections WHERE conf >= 0.6e0 AND cls_name IN ('click', 'view', 'error')),

@@ -66,14 +66,30 @@ def d08(t):
     return _quality(t).select("pair_id", "matches", "inliers", R("rmse", 5).alias("rmse"), R("inlier_ratio").alias("inlier_ratio"))
 
 
-@query("d10_verify_match", f"""WITH {QUALITY}, g AS (SELECT q.*, inliers / CAST(matches AS DOUBLE) AS ratio, (a*a + b*b) * 639 * 479 AS area, (q.pair_id % 10) / 100e0 AS coverage FROM q JOIN model m ON q.pair_id = m.pair_id),
-r AS (SELECT *, CASE WHEN matches < 580 THEN 'insufficient_matches' WHEN inliers < 500 OR ratio < 0.8e0 THEN 'insufficient_inliers' WHEN NOT (area > 16 AND area <= 4 * 400000) OR coverage < 0.02e0 OR rmse > 2.5e0 THEN 'geometry_rejected' ELSE 'accepted' END AS reason FROM g),
-c AS (SELECT *, CASE WHEN reason IN ('accepted', 'geometry_rejected') THEN coalesce(ratio * least(1e0, inliers / 1000e0) / (1 + rmse), 0e0) ELSE 0e0 END AS confidence FROM r)
+@query("d12_similarity_gates", f"""WITH {QUALITY}, g AS (SELECT q.*, sqrt(m.a*m.a + m.b*m.b) * (1 + (q.pair_id % 5) / 20e0) AS scale, degrees(atan2(m.b, m.a)) + q.pair_id % 13 AS rot, inliers / CAST(greatest(matches, 1) AS DOUBLE) AS ratio FROM q JOIN model m ON q.pair_id = m.pair_id)
+SELECT pair_id, CASE WHEN inliers < 15 THEN 'inliers' WHEN ratio < 0.35e0 THEN 'ratio' WHEN abs(rot) > 12 THEN 'rotation' END AS motion, CASE WHEN inliers < 15 THEN 'inliers' WHEN ratio < 0.4e0 THEN 'ratio' WHEN scale < 0.85e0 OR scale > 1.15e0 THEN 'scale' WHEN abs(rot) > 10 THEN 'rotation' END AS learned FROM g""")
+def d12_gates(t):
+    """Scale and rotation are pulled apart by the pair's number, so that every gate has something to refuse."""
+    k = F.col("pair_id")
+    fits = _quality(t).join(O.fit_similarity(t("correspondences").filter("bx <> ay")).select("pair_id", "scale", "rotation_deg"), "pair_id")
+    fits = fits.withColumns({"scale": F.col("scale") * (1 + k % 5 / 20.0), "rotation_deg": F.col("rotation_deg") + k % 13})
+    both = O.similarity_gate(O.similarity_gate(fits).withColumnRenamed("reason", "motion"), O.LEARNED_GATES)
+    return both.select("pair_id", "motion", F.col("reason").alias("learned"))
+
+
+@query("d10_verify_match", f"""WITH {QUALITY}, g AS (SELECT q.*, inliers / CAST(matches AS DOUBLE) AS ratio, (a*a + b*b) * 639 * 479 AS area, CASE WHEN q.pair_id % 17 = 0 THEN NULL ELSE a*a + b*b END AS det, x.coverage FROM q JOIN model m ON q.pair_id = m.pair_id
+JOIN (SELECT pair_id, (max(ax) - min(ax)) * (max(ay) - min(ay)) / (640e0 * 480e0) / (1 + pair_id % 60) AS coverage FROM correspondences GROUP BY pair_id) x ON x.pair_id = q.pair_id),
+r AS (SELECT *, CASE WHEN matches < 16 THEN 'insufficient_matches' WHEN det IS NULL THEN 'homography_failed' WHEN inliers < 16 OR ratio < 0.35e0 THEN 'insufficient_inliers' WHEN NOT (area > 16 AND area <= 4 * 400000) OR coverage < 0.02e0 OR rmse > 2.5e0 THEN 'geometry_rejected' ELSE 'accepted' END AS reason FROM g),
+c AS (SELECT *, CASE WHEN reason IN ('accepted', 'geometry_rejected') THEN coalesce(ratio * least(1e0, inliers / 32e0) / (1 + rmse), 0e0) ELSE 0e0 END AS confidence FROM r)
 SELECT pair_id, reason, round(confidence, 5) AS confidence, round(inliers * confidence, 3) AS score FROM c""")
 def d10(t):
-    model = O.fit_similarity(t("correspondences").filter("bx <> ay")).select("pair_id", O.footprint_valid("a", "b", 640, 480, 400000.0).alias("valid_geometry"))
-    rows = _quality(t).join(model, "pair_id").withColumn("coverage", (F.col("pair_id") % 10) / 100)
-    return O.verify_match(rows, 500 + 0, 0.8).withColumn("reason", F.when(F.col("matches") < 580, "insufficient_matches").otherwise(F.col("reason"))).select("pair_id", "reason", R(F.when(F.col("matches") < 580, 0.0).otherwise(F.col("confidence")), 5).alias("confidence"), R(F.when(F.col("matches") < 580, 0.0).otherwise(F.col("score")), 3).alias("score"))
+    """With the production gates. The box of a pair's points stands in for their hull, divided by a number of the pair, so that a twin exists; every 17th pair has no homography."""
+    k = F.col("pair_id")
+    model = O.fit_similarity(t("correspondences").filter("bx <> ay")).select("pair_id", O.footprint_valid("a", "b", 640, 480, 400000.0).alias("valid_geometry"), F.when(k % 17 != 0, F.col("a") ** 2 + F.col("b") ** 2).alias("det"))
+    extent = lambda c: F.max(c) - F.min(c)
+    covered = t("correspondences").groupBy("pair_id").agg((extent("ax") * extent("ay") / (640.0 * 480.0)).alias("coverage")).withColumn("coverage", F.col("coverage") / (1 + k % 60))
+    rows = O.verify_match(_quality(t).join(model, "pair_id").join(covered, "pair_id"))
+    return rows.select("pair_id", "reason", R("confidence", 5).alias("confidence"), R("score", 3).alias("score"))
 
 
 @query("d09_hull_coverage", None)
@@ -114,7 +130,9 @@ def d17(t):
     return O.stage_rollup(t("match_log")).withColumn("elapsed_ms", R("elapsed_ms", 3))
 
 
-@query("d18_backend_benchmark", "SELECT backend, round(avg(matches), 5) AS matches, round(sum(inliers) / CAST(sum(matches) AS DOUBLE), 6) AS inlier_ratio, round(quantile_cont(elapsed_ms, 0.5), 5) AS median_ms, round(avg(elapsed_ms), 5) AS mean_ms FROM match_log GROUP BY backend")
+@query("d18_backend_benchmark", """SELECT backend, round(avg(matches), 5) AS matches, round(sum(inliers) / CAST(sum(matches) AS DOUBLE), 6) AS inlier_ratio, round(sqrt(sum(inliers * rmse * rmse) / sum(CASE WHEN rmse IS NOT NULL THEN inliers END)), 5) AS rmse, round(quantile_cont(confidence, 0.5), 5) AS median_confidence,
+round(quantile_cont(elapsed_ms, 0.5), 5) AS median_ms, round(avg(elapsed_ms), 5) AS mean_ms FROM (SELECT *, CASE WHEN match_id % 9 > 0 THEN (match_id % 31) / 10e0 END AS rmse, (match_id % 97) / 97e0 AS confidence FROM match_log) x GROUP BY backend""")
 def d18(t):
-    rows = O.backend_benchmark(t("match_log"))
-    return rows.select("backend", R("matches", 5).alias("matches"), R("inlier_ratio").alias("inlier_ratio"), R("median_ms", 5).alias("median_ms"), R("mean_ms", 5).alias("mean_ms"))
+    m = F.col("match_id")
+    rows = O.backend_benchmark(t("match_log").withColumns({"rmse": F.when(m % 9 > 0, m % 31 / 10.0), "confidence": m % 97 / 97.0}))
+    return rows.select("backend", R("matches", 5).alias("matches"), R("inlier_ratio").alias("inlier_ratio"), R("rmse", 5).alias("rmse"), R("median_confidence", 5).alias("median_confidence"), R("median_ms", 5).alias("median_ms"), R("mean_ms", 5).alias("mean_ms"))

@@ -25,6 +25,22 @@ def c12(t):
     return _pairs(t).select("video_id", "frame_idx", "track_id", "det_id", R("score").alias("score"))
 
 
+MOTION = """p AS (SELECT t.video_id, d.frame_idx, t.det_idx AS track_id, d.det_idx AS det_id, t.x AS tx, t.y AS ty, t.w AS tw, t.h AS th, d.x, d.y, d.w, d.h, t.x + t.w / 2e0 AS ax, t.y + t.h / 2e0 AS ay, d.x + d.w / 2e0 AS px, d.y + d.h / 2e0 AS py, t.det_idx % 2 = 0 AS small FROM detections t JOIN detections d ON t.video_id = d.video_id AND d.frame_idx = t.frame_idx + 1),
+q AS (SELECT *, ax - 60e0 AS bx, ay - 30e0 AS by_, ax + 120e0 AS ex, ay + 60e0 AS ey, sqrt(power(ax - px, 2) + power(ay - py, 2)) AS dist, tx < x + w AND x < tx + tw AND ty < y + h AND y < ty + th AS hit FROM p),
+u AS (SELECT *, least(greatest(((px - bx) * (ex - bx) + (py - by_) * (ey - by_)) / (power(ex - bx, 2) + power(ey - by_, 2)), 0e0), 1e0) AS r FROM q), z AS (SELECT *, sqrt(power(px - bx - r * (ex - bx), 2) + power(py - by_ - r * (ey - by_), 2)) AS path FROM u)"""
+
+
+@query("c12_motion_pairs", f"WITH {MOTION}, s AS (SELECT *, CASE WHEN hit THEN dist / 4 WHEN small AND tw * th < 220 AND dist > 12 THEN NULL WHEN dist <= 180 THEN dist WHEN path <= 140 THEN 180 + path END AS score FROM z) SELECT video_id, frame_idx, track_id, det_id, round(score, 6) AS score FROM s WHERE score IS NOT NULL")
+def c12_motion(t):
+    """Every track came straight from (-60, -30), so its path carried on is one straight line to (+120, +60)."""
+    d = t("detections")
+    centre = F.struct((F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"))
+    before = F.struct((centre["x"] - 60).alias("x"), (centre["y"] - 30).alias("y"))
+    tracks = d.select("video_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("det_idx").alias("track_id"), *[F.col(k).alias(f"t_{k}") for k in "xywh"], F.array(before, centre).alias("t_history"), (F.col("w") * F.col("h")).alias("t_area"), (F.col("det_idx") % 2 == 0).alias("t_small"))
+    dets = d.select("video_id", "frame_idx", F.col("det_idx").alias("det_id"), *[F.col(k).alias(f"d_{k}") for k in "xywh"])
+    return O.motion_pairs(tracks, dets, ["video_id", "frame_idx"]).select("video_id", "frame_idx", "track_id", "det_id", R("score").alias("score"))
+
+
 @query("c13_greedy_assign")
 def c13(t):
     return O.greedy_assign(_pairs(t), ["video_id", "frame_idx"])
@@ -48,12 +64,16 @@ def c14(t):
 
 
 @query("c15_suppress_duplicates", """WITH c AS (SELECT video_id, event_id AS cand_id, frame_idx, x, y, w, h FROM detections WHERE det_idx = 0), m AS (SELECT video_id, event_id, frame_idx AS cf, x, y, w, h, CAST(round_even(least(greatest(greatest(w, h) * 0.65e0, 18e0), 60e0), 0) AS INT) AS g FROM detections WHERE conf >= 0.97e0),
-j AS (SELECT c.video_id, c.cand_id, m.event_id, round(sqrt(power(c.x + c.w / 2e0 - m.x - m.w / 2e0, 2) + power(c.y + c.h / 2e0 - m.y - m.h / 2e0, 2)), 6) AS d, m.x - g < c.x + c.w AND c.x < m.x + m.w + g AND m.y - g < c.y + c.h AND c.y < m.y + m.h + g AS o FROM c JOIN m ON c.video_id = m.video_id AND c.frame_idx > m.cf AND c.frame_idx - m.cf <= 90)
-SELECT c.cand_id, (SELECT j.event_id FROM j WHERE j.cand_id = c.cand_id AND (o OR d <= 110) ORDER BY d, j.event_id LIMIT 1) AS source_id FROM c""")
+j AS (SELECT c.video_id, c.cand_id, m.event_id, round(sqrt(power(c.x + c.w / 2e0 - m.x - m.w / 2e0, 2) + power(c.y + c.h / 2e0 - m.y - m.h / 2e0, 2)), 6) AS d, m.x - g < c.x + c.w AND c.x < m.x + m.w + g AND m.y - g < c.y + c.h AND c.y < m.y + m.h + g AS o,
+ c.x + c.w / 2e0 AS px, c.y + c.h / 2e0 AS py, m.x + m.w / 2e0 - 60 AS bx, m.y + m.h / 2e0 - 30 AS by_ FROM c JOIN m ON c.video_id = m.video_id AND c.frame_idx > m.cf AND c.frame_idx - m.cf <= 90),
+k AS (SELECT *, least(greatest(((px - bx) * 180 + (py - by_) * 90) / (180e0 * 180 + 90 * 90), 0e0), 1e0) AS r FROM j), z AS (SELECT *, sqrt(power(px - bx - r * 180, 2) + power(py - by_ - r * 90, 2)) AS path FROM k)
+SELECT c.cand_id, (SELECT z.event_id FROM z WHERE z.cand_id = c.cand_id AND (o OR d <= 110 OR path <= 140) ORDER BY d, z.event_id LIMIT 1) AS source_id FROM c""")
 def c15(t):
     d = t("detections")
     cands = d.filter("det_idx = 0").select("video_id", F.col("event_id").alias("cand_id"), "frame_idx", *"xywh")
     memories = d.filter("conf >= 0.97").select("video_id", "event_id", F.col("frame_idx").alias("confirm_frame"), *"xywh")
+    centre = F.struct((F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"))
+    memories = memories.withColumn("history", F.array(F.struct((centre["x"] - 60).alias("x"), (centre["y"] - 30).alias("y")), centre))
     return O.suppress_duplicates(cands, memories, 90).select("cand_id", "source_id")
 
 

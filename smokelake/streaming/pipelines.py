@@ -67,8 +67,8 @@ class ThrottleProcessor(StatefulProcessor):
 class PoseProcessor(StatefulProcessor):
     """Pose status of one video."""
 
-    def __init__(self, fps: float, strict: bool):
-        self.fps, self.strict = fps, strict
+    def __init__(self, fps: float, reference_valid: bool, gps_seed: bool):
+        self.fps, self.how = fps, (reference_valid, gps_seed)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("pose", "state string")
@@ -76,7 +76,10 @@ class PoseProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("frame_idx")
         state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        status = [T.pose_step(state, int(r.frame_idx), bool(r.link_ok), bool(r.klt_ok), bool(r.correction_ok), self.fps, self.strict) for r in pdf.itertuples()]
+        pdf = pdf[pdf["frame_idx"] > state.get("last", -1)]  # late frames change nothing
+        status = [T.pose_step(state, int(r.frame_idx), bool(r.link_ok), bool(r.klt_ok), bool(r.correction_ok), self.fps, *self.how) for r in pdf.itertuples()]
+        if len(pdf):
+            state["last"] = int(pdf["frame_idx"].iloc[-1])
         self.state.update((json.dumps(state),))
         yield pd.DataFrame({"video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], "status": status})
 
@@ -93,8 +96,8 @@ def throttle(rows: DataFrame, key: str, clock: str, gap: float) -> DataFrame:
     return rows.groupBy(key).transformWithStateInPandas(ThrottleProcessor(clock, gap), rows.schema, "Append", "None")
 
 
-def pose_status(rows: DataFrame, fps: float, strict: bool = False) -> DataFrame:
-    return rows.groupBy("video_id").transformWithStateInPandas(PoseProcessor(fps, strict), "video_id int, frame_idx int, status string", "Append", "None")
+def pose_status(rows: DataFrame, fps: float, reference_valid: bool = True, gps_seed: bool = False) -> DataFrame:
+    return rows.groupBy("video_id").transformWithStateInPandas(PoseProcessor(fps, reference_valid, gps_seed), "video_id int, frame_idx int, status string", "Append", "None")
 
 
 def dedupe_frames(captures: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -132,8 +135,12 @@ def evidence_sink(folder: str):
     """foreachBatch function: JSON lines, CSV and coordinate text of a batch of logged events, each in a folder of its batch id, so that a repeated batch writes the same place again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        E.json_rows(batch).select("json").write.mode("overwrite").text(f"{folder}/events_jsonl/batch_id={batch_id}")
-        E.csv_rows(batch).write.mode("overwrite").option("header", True).csv(f"{folder}/detections_csv/batch_id={batch_id}")
-        batch.select(E.coordinate_line().alias("line")).write.mode("overwrite").text(f"{folder}/coordinates/batch_id={batch_id}")
+        batch = batch.persist()  # three writers read it
+        try:
+            E.json_rows(batch).select("json").write.mode("overwrite").text(f"{folder}/events_jsonl/batch_id={batch_id}")
+            E.csv_rows(batch).write.mode("overwrite").option("header", True).csv(f"{folder}/detections_csv/batch_id={batch_id}")
+            batch.select(E.live_coordinate_line().alias("line")).write.mode("overwrite").text(f"{folder}/coordinates/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
