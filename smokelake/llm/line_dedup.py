@@ -279,7 +279,7 @@ def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> D
     # the order of places: id, the upper half of t, the line's number
     first = F.min(F.struct("id", F.shiftright("t", 32).alias("u"), "pos", "t"))
     classes = materialize(lines.groupBy("sid").agg(first.alias("f"), F.count("*").alias("lines")))
-    keys = materialize(dealt_keys(lines, s))
+    keys = dealt_keys(lines, s)
 
     def later(links: DataFrame) -> DataFrame:
         """Of each link, the class whose first place comes later."""
@@ -291,9 +291,11 @@ def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> D
     gone = materialize(later(verified(some.filter("a <> b"), docs, classes, levels, s)))
     still = materialize(some.filter("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti"))
     if not still.isEmpty():
-        asks = keys.join(still.withColumn("asks", F.lit(True)), "sid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        touched = asks.groupBy("key", "p", "q").agg(F.max("asks").alias("open")).filter("open").drop("open")
-        rest = materialize(candidates(asks.join(touched, ["key", "p", "q"]), s, None))
+        # only groups that hold such a line are dealt once more
+        by, asking = ["key", "p", "q"], checked(still, s.broadcast)
+        touched = materialize(keys.join(asking, "sid", "left_semi").select(*by).distinct())
+        rows = keys.join(checked(touched, s.broadcast), by, "left_semi").join(asking.withColumn("asks", F.lit(True)), "sid", "left")
+        rest = materialize(candidates(rows.withColumn("asks", F.coalesce("asks", F.lit(False))), s, None))
         gone = materialize(gone.union(later(verified(rest, docs, classes, levels, s))).distinct())
 
     decided = classes.join(gone.withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1").select("sid", "f", "all")
