@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as X
@@ -41,7 +41,7 @@ def association_pairs(tracks: DataFrame, dets: DataFrame, keys: list[str], s: Tr
 
 
 #: Limits of the motion tracker's association, in pixels (fixed values).
-MOTION_REACH = {"distance": 180.0, "small": 12.0, "least_area": 220.0, "trajectory": 140.0}
+MOTION_REACH = {"distance": 200.0, "small": 12.0, "least_area": 35.0, "trajectory": 270.0}
 
 
 def motion_pairs(tracks: DataFrame, candidates: DataFrame, keys: list[str], limits: dict = MOTION_REACH) -> DataFrame:
@@ -95,30 +95,21 @@ def nms_pairs(dets: DataFrame, least: float) -> DataFrame:
 
 
 def nms(dets: DataFrame, least: float) -> DataFrame:
-    """Greedy suppression within a frame and class by confidence. Only frames with overlaps are grouped; one frame is one group."""
-    keys = ["video_id", "frame_idx", "cls_id"]
-    pairs = nms_pairs(dets, least)
-
-    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-        beats: dict[int, list[int]] = {}
-        strength = {}
-        for a, b, ca, cb in zip(pdf["adet"], pdf["bdet"], pdf["aconf"], pdf["bconf"], strict=True):
-            beats.setdefault(a, []).append(b)
-            strength[a], strength[b] = ca, cb
-        gone: set[int] = set()
-        for a in sorted(strength, key=lambda k: (-strength[k], k)):
-            if a not in gone:
-                gone.update(beats.get(a, ()))
-        out = pdf[keys].iloc[[0] * len(gone)].reset_index(drop=True)
-        out["det_idx"] = sorted(gone)
-        return out
-
-    kinds = dict(dets.dtypes)
-    dropped = pairs.select(*keys, "adet", "bdet", "aconf", "bconf").groupBy(*keys).applyInPandas(suppress, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "det_idx"]))
-    return dets.join(dropped, [*keys, "det_idx"], "left_anti")
-
-
-def suppress_duplicates(candidates: DataFrame, memories: DataFrame, window: int, reach: float = 110.0, path_reach: float = 140.0) -> DataFrame:
+    """Greedy suppression within a frame and class by confidence, ties to the smaller number. One shuffle: the detections of a frame and class meet in one array and are taken in order."""
+    one = F.struct((-F.col("conf")).alias("order"), "det_idx", F.struct(*dets.columns).alias("d"))
+    grouped = dets.groupBy("video_id", "frame_idx", "cls_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def overlap(a: Column, b: Column) -> Column:
+        side = lambda k, n: F.greatest(F.least(a[k] + a[n], b[k] + b[n]) - F.greatest(a[k], b[k]), F.lit(0))
+        both = side("x", "w") * side("y", "h")
+        return F.coalesce(both / F.nullif(a["w"] * a["h"] + b["w"] * b["h"] - both, F.lit(0)), F.lit(0.0))
+
+    none = F.filter("all", lambda x: F.lit(False))
+    kept = F.aggregate("all", none, lambda done, x: F.when(F.exists(done, lambda y: overlap(y["d"], x["d"]) >= least), done).otherwise(F.concat(done, F.array(x))))
+    return grouped.select(F.explode(kept).alias("k")).select("k.d.*")
+
+
+def suppress_duplicates(candidates: DataFrame, memories: DataFrame, window: int, reach: float = 110.0, path_reach: float = 270.0) -> DataFrame:
     """Candidates with the earlier event that they repeat (null: none): confirmed at most window frames before, and the box padded by its margin overlaps, the centres are within reach, or the candidate lies near the event's path. The nearest centre counts, then the first event.
 
     memories may have a column history, the path as an array of structs x, y. An event is sent to the bins of frames that it

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import motion as M
 from ..operators import tracking as O
 from .registry import query
 
@@ -30,7 +31,7 @@ q AS (SELECT *, ax - 60e0 AS bx, ay - 30e0 AS by_, ax + 120e0 AS ex, ay + 60e0 A
 u AS (SELECT *, least(greatest(((px - bx) * (ex - bx) + (py - by_) * (ey - by_)) / (power(ex - bx, 2) + power(ey - by_, 2)), 0e0), 1e0) AS r FROM q), z AS (SELECT *, sqrt(power(px - bx - r * (ex - bx), 2) + power(py - by_ - r * (ey - by_), 2)) AS path FROM u)"""
 
 
-@query("c12_motion_pairs", f"WITH {MOTION}, s AS (SELECT *, CASE WHEN hit THEN dist / 4 WHEN small AND tw * th < 220 AND dist > 12 THEN NULL WHEN dist <= 180 THEN dist WHEN path <= 140 THEN 180 + path END AS score FROM z) SELECT video_id, frame_idx, track_id, det_id, round(score, 6) AS score FROM s WHERE score IS NOT NULL")
+@query("c12_motion_pairs", f"WITH {MOTION}, s AS (SELECT *, CASE WHEN hit THEN dist / 4 WHEN small AND tw * th < 35 AND dist > 12 THEN NULL WHEN dist <= 200 THEN dist WHEN path <= 270 THEN 200 + path END AS score FROM z) SELECT video_id, frame_idx, track_id, det_id, round(score, 6) AS score FROM s WHERE score IS NOT NULL")
 def c12_motion(t):
     """Every track came straight from (-60, -30), so its path carried on is one straight line to (+120, +60)."""
     d = t("detections")
@@ -67,7 +68,7 @@ def c14(t):
 j AS (SELECT c.video_id, c.cand_id, m.event_id, round(sqrt(power(c.x + c.w / 2e0 - m.x - m.w / 2e0, 2) + power(c.y + c.h / 2e0 - m.y - m.h / 2e0, 2)), 6) AS d, m.x - g < c.x + c.w AND c.x < m.x + m.w + g AND m.y - g < c.y + c.h AND c.y < m.y + m.h + g AS o,
  c.x + c.w / 2e0 AS px, c.y + c.h / 2e0 AS py, m.x + m.w / 2e0 - 60 AS bx, m.y + m.h / 2e0 - 30 AS by_ FROM c JOIN m ON c.video_id = m.video_id AND c.frame_idx > m.cf AND c.frame_idx - m.cf <= 90),
 k AS (SELECT *, least(greatest(((px - bx) * 180 + (py - by_) * 90) / (180e0 * 180 + 90 * 90), 0e0), 1e0) AS r FROM j), z AS (SELECT *, sqrt(power(px - bx - r * 180, 2) + power(py - by_ - r * 90, 2)) AS path FROM k)
-SELECT c.cand_id, (SELECT z.event_id FROM z WHERE z.cand_id = c.cand_id AND (o OR d <= 110 OR path <= 140) ORDER BY d, z.event_id LIMIT 1) AS source_id FROM c""")
+SELECT c.cand_id, (SELECT z.event_id FROM z WHERE z.cand_id = c.cand_id AND (o OR d <= 110 OR path <= 270) ORDER BY d, z.event_id LIMIT 1) AS source_id FROM c""")
 def c15(t):
     d = t("detections")
     cands = d.filter("det_idx = 0").select("video_id", F.col("event_id").alias("cand_id"), "frame_idx", *"xywh")
@@ -82,6 +83,34 @@ def i02(t):
     return O.track_detections(O.tracker_input(t("frames"), t("detections").filter("conf >= 0.5")))
 
 
+def _candidates(t):
+    """Detections as motion candidates whose boxes grow with the frame within runs of eight; every frame has a row."""
+    step = 1 + F.col("frame_idx") % 8 / 4.0
+    w, h = (F.col("w") * step).cast("int"), (F.col("h") * step).cast("int")
+    d = t("detections").select(
+        "video_id", "frame_idx", F.col("det_idx").alias("cand_id"), "x", "y", w.alias("w"), h.alias("h"), (F.col("x") + w / 2).alias("cx"), (F.col("y") + h / 2).alias("cy"), (w * h).cast("double").alias("area"),
+        (0.5 + F.col("conf") / 2).alias("polarity"), F.col("conf").alias("coherence"), F.lit(0.7).alias("fill"), (1 + 3 * F.col("conf")).alias("snr"), F.lit(30.0).alias("mean_abs_delta"), F.lit(5.0).alias("noise"), (1 - F.col("conf")).alias("prior_overlap"),
+        (F.col("det_idx") % 2 == 0).alias("small"), F.lit(False).alias("edge"), F.when(F.col("det_idx") % 3 > 0, F.col("conf")).alias("outward"), F.lit(9).alias("vectors"),
+    )
+    frames = t("frames").select("video_id", "frame_idx", (F.col("sharpness") > 20).alias("measured"))
+    return frames.join(d, ["video_id", "frame_idx"], "left").select(*[c.split()[0] for c in M.CANDIDATE.split(", ")])
+
+
+@query("i03_track_candidates")
+def i03(t):
+    return M.track_candidates(_candidates(t))
+
+
+@query("i03_ended_events")
+def i03_ended(t):
+    return M.ended_events(_candidates(t))
+
+
+@query("i04_event_memory")
+def i04(t):
+    return M.event_memories(_candidates(t))
+
+
 @query("i05_throttle")
 def i05(t):
     return O.throttle(t("frames").select("video_id", "frame_idx"), "video_id", "frame_idx", 30)

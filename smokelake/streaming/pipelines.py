@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import events as E
+from ..operators import motion as M
 from ..operators import tracking as T
 
 #: The state store that spills to disk; stateful operators need it.
@@ -41,6 +42,29 @@ class TrackProcessor(StatefulProcessor):
         pass
 
 
+class MotionProcessor(StatefulProcessor):
+    """The motion tracker of one video. Frames that are not after the last one seen are late and change nothing."""
+
+    def __init__(self, settings: M.MotionSettings):
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("motion", "state string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["frame_idx", "cand_id"])
+        state = M.MotionState(**json.loads(self.state.get()[0])) if self.state.exists() else M.MotionState()
+        events = []
+        for frame, measured, candidates in M.candidates_by_frame(pdf):
+            if frame > state.last_frame:
+                events += [e | {"video_id": int(key[0])} for e in state.step(frame, measured, candidates, self.settings)[0]]
+        self.state.update((json.dumps(state.__dict__),))
+        yield pd.DataFrame(events, columns=[c.split()[0] for c in M.EVENT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
 class ThrottleProcessor(StatefulProcessor):
     """Lets a row of a key through if it is at least gap after the last one let through."""
 
@@ -92,6 +116,11 @@ def track_detections(rows: DataFrame, settings: T.TrackSettings = T.TrackSetting
     return rows.groupBy("video_id").transformWithStateInPandas(TrackProcessor(settings), T.EVENT_SCHEMA, "Append", "None")
 
 
+def track_candidates(rows: DataFrame, settings: M.MotionSettings = M.MotionSettings()) -> DataFrame:
+    """Streaming twin of the batch motion tracker. A micro-batch must hold whole frames."""
+    return rows.groupBy("video_id").transformWithStateInPandas(MotionProcessor(settings), M.EVENT, "Append", "None")
+
+
 def throttle(rows: DataFrame, key: str, clock: str, gap: float) -> DataFrame:
     return rows.groupBy(key).transformWithStateInPandas(ThrottleProcessor(clock, gap), rows.schema, "Append", "None")
 
