@@ -38,9 +38,8 @@ _LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], dtyp
 class JaccardSettings:
     """shingle: words of a shingle; percent: sets link when 100 * intersection >= percent * union; bits: most of a bitmap (a power of two).
 
-    few: most rows of a tile that lists its pairs; hot: most shingles that are moved to the end of the order because they are frequent (a fixed bound of what is broadcast;
-    any choice of them gives the same result); hot_least: occurrences that make one of them; counted: shingles that a task
-    counts (one that makes up over 1 / counted of what the task sees is never missed); salts: parts into which the rows of a
+    few: most rows of a tile that lists its pairs; hot: most shingles that are moved to the end of the order because they are
+    frequent (a fixed bound of what is broadcast; any choice of them gives the same result); salts: parts into which the rows of a
     hot shingle are dealt; centres: those that a set of large tiles is compared with at first; block: rows of a block of a tile; broadcast: most rows of a table that is broadcast.
     """
 
@@ -49,8 +48,6 @@ class JaccardSettings:
     bits: int = 1 << 16
     few: int = 16
     hot: int = 1 << 17
-    hot_least: int = 16
-    counted: int = 1 << 17
     salts: int = 64
     centres: int = 3
     block: int = 512
@@ -110,63 +107,27 @@ def may_link(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
     return (100 + percent) * most >= percent * (na + nb)
 
 
-class Frequent:
-    """A bounded count of frequent values (Misra and Gries): the counts of the most frequent ones less what is common to all beyond them."""
-
-    def __init__(self, most: int):
-        self.most, self.waiting, self.n = most, [], 0
-        self.values, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def add(self, a: np.ndarray) -> None:
-        self.waiting.append(a)
-        self.n += len(a)
-        if self.n > 1 << 20:
-            self.settle()
-
-    def settle(self) -> None:
-        values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *self.waiting]), return_counts=True)
-        self.waiting, self.n = [], 0
-        self.values, group = np.unique(np.concatenate([self.values, values]), return_inverse=True)
-        self.counts = np.bincount(group, weights=np.concatenate([self.counts, counts]), minlength=len(self.values)).astype(np.int64)
-        if len(self.values) > self.most:
-            self.counts -= np.partition(self.counts, -self.most - 1)[-self.most - 1]
-            stays = self.counts > 0
-            self.values, self.counts = self.values[stays], self.counts[stays]
-
-
 def class_table(docs: DataFrame, s: JaccardSettings) -> DataFrame:
-    """docs: doc_id and text. Returns doc_id, t (hash of the text), n, sid and map of every document, and for each task a row with n = -1 that counts frequent shingles (h and c)."""
+    """docs: doc_id and text. Returns doc_id, t (hash of the text), n, sid and map of every document."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType
-    names = ["doc_id", "t", "n", "sid", "map", "h", "c"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, frequent, seen, id_type = Powers(), Frequent(s.counted), set(), None
+        powers = Powers()
         for batch in batches:
-            id_type = batch.column(0).type
             for lo, hi in slices(batch.column(2), 1 << 20):
-                out = []
-                for text in batch.column(2).slice(lo, hi - lo).to_pylist():
-                    a = shingle_set(text, s, powers)
-                    if not len(a):
-                        out.append((0, None, None))
-                        continue
-                    sid = set_id(a)
-                    out.append((len(a), sid, bitmap(a, s)))
-                    if sid not in seen:
-                        seen.add(sid)
-                        frequent.add(a)
-                n, sid, maps = zip(*out, strict=True)
-                none = pa.nulls(hi - lo, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(maps, pa.binary()), none, none], names=names)
-        if seen:
-            frequent.settle()
-            often = frequent.counts > 1
-            lists = [pa.array([x[often].view(np.int64)], pa.list_(pa.int64())) for x in (frequent.values, frequent.counts)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], names=names)
-
-    fields = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("t long, n int, sid long, map binary, h array<long>, c array<long>")])
-    return rows.mapInArrow(measure, fields)
+                sets = [shingle_set(text, s, powers) for text in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                n, sid, maps = zip(*((len(a), set_id(a), bitmap(a, s)) if len(a) else (0, None, None) for a in sets), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "t", "n", "sid", "map"])
+
+    return rows.mapInArrow(measure, T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("t long, n int, sid long, map binary")]))
+
+
+def hot_keys(docs: DataFrame, s: JaccardSettings) -> np.ndarray:
+    """The shingles that most prefixes hold by the order of hashes alone: those of more rows than a small tile has, counted over all documents, s.hot at most."""
+    often = prefix_keys(docs, np.empty(0, np.uint64), s).groupBy("key").count().filter(F.col("count") > s.few)
+    rows = often.orderBy(F.desc("count"), "key").limit(s.hot).agg(F.collect_list("key").alias("keys")).first()
+    return np.sort(np.array(rows["keys"], dtype=np.int64).view(np.uint64))
 
 
 def prefix_keys(docs: DataFrame, hot: np.ndarray, s: JaccardSettings) -> DataFrame:
@@ -395,11 +356,8 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     """One row per document: doc_id, t (hash of the text), n (set size) and label, equal for those of one component and null without words."""
     s = settings
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = materialize(class_table(docs, s))
-    often = found.filter("n = -1").select(F.explode(F.arrays_zip("h", "c")).alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.sum("x.c").alias("c"))
-    hot = often.filter(F.col("c") >= s.hot_least).orderBy(F.desc("c"), "h").limit(s.hot).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
-    hot = np.sort(hot.view(np.uint64))
-    ids = found.filter("n >= 0")
+    ids = materialize(class_table(docs, s))
+    hot = hot_keys(docs, s)
 
     shared = materialize(shared_keys(prefix_keys(docs, hot, s), s))
     keys = shared.filter("large").select("key", "sid", "n")
@@ -428,8 +386,10 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
             break
         wanted = crossing.select(F.col("a").alias("sid")).union(crossing.select("b")).distinct()
         arrays = arrays.union(set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s))
-        links = materialize(links.union(verified(crossing, arrays, s)))
-        labels = components(links)
+        more = materialize(verified(crossing, arrays, s))
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
 
     named = ids.select("doc_id", "t", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     return named.select("doc_id", "t", F.col("n").cast("long").alias("n"), F.coalesce("label", "sid").alias("label"))

@@ -256,26 +256,21 @@ def _near_copies():
 def test_ngram_join(spark, k, percent, least):
     rows = _near_copies()
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_shingles int")
-    s = ngram_join.JaccardSettings(shingle=k, percent=percent, hot_least=least, block=8)
+    s = ngram_join.JaccardSettings(shingle=k, percent=percent, few=least, block=8)
     assert sorted(str(tuple(r)) for r in ngram_join.jaccard_components(df, s).collect()) == _components(rows, k, percent)
     assert ngram_join.jaccard_components(df.limit(0), s).count() == 0
 
 
-def test_frequent_shingles_are_found_across_batches():
-    """A value in one of a hundred sets, spread thinly, is counted; the table stays bounded."""
-    rng, frequent = np.random.default_rng(9), ngram_join.Frequent(1000)
-    for k in range(3000):
-        a = rng.integers(0, 2**63, 300).astype(np.uint64)
-        frequent.add(np.concatenate([a, [7]]) if k % 100 == 0 else a)
-        if k % 10 == 9:
-            frequent.settle()  # as if batches were small
-    frequent.settle()
-    assert len(frequent.values) <= 1000
-    frequent = ngram_join.Frequent(1 << 16)
-    for k in range(3000):
-        frequent.add(np.array([7, k + 10, k + 10**6] if k % 100 == 0 else [k + 10, k + 10**6], dtype=np.uint64))
-    frequent.settle()
-    assert frequent.counts[frequent.values == 7] == 30
+def test_frequent_shingles_are_found_across_batches(spark):
+    """A shingle of few texts in each of many partitions is counted over all of them."""
+    words = [f"w{k}" for k in range(2000)]
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["a", "b", "c", "d", *rng.choice(words, 3)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    s = ngram_join.JaccardSettings(percent=10)
+    common = ngram_join.shingle_set("a b c d", s, ngram_join.Powers())
+    hot = ngram_join.hot_keys(docs, s)
+    assert common[0] in hot and len(hot) < 10 and len(ngram_join.hot_keys(docs.limit(0), s)) == 0
 
 
 def test_one_hot_shingle(spark):
@@ -288,7 +283,7 @@ def test_one_hot_shingle(spark):
     for k in range(12):  # groups around the limit of a small tile
         rows += [(2000 + 100 * k + i, " ".join([*(f"g{k}_{j}" for j in range(40 + i % 2)), *(f"y{k}_{i}_{j}" for j in range(i % 4))])) for i in range(11 + k)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
-    for s in (ngram_join.JaccardSettings(hot_least=4, block=7, salts=3, broadcast=0), ngram_join.JaccardSettings(hot=0, block=16), ngram_join.JaccardSettings(hot=0, few=50)):
+    for s in (ngram_join.JaccardSettings(few=3, block=7, salts=3, broadcast=0), ngram_join.JaccardSettings(hot=0, block=16), ngram_join.JaccardSettings(hot=0, few=50)):
         assert sorted(str(tuple(r)) for r in ngram_join.jaccard_components(df, s).collect()) == _components(rows, 4, 85)
 
 
