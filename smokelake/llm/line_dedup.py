@@ -230,8 +230,8 @@ def candidates(keys: DataFrame, s: LineSettings, few: int | None) -> DataFrame:
     return keys.select(*names).repartition(*by).sortWithinPartitions(*by, "n").mapInArrow(search, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, s: LineSettings) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold, read from the texts of their first places."""
+def verified(pairs: DataFrame, docs: DataFrame, ends: DataFrame, levels, s: LineSettings) -> DataFrame:
+    """Pairs (a, b) whose sets reach the threshold, read from the texts of their first places; ends has these by class."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -259,8 +259,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, levels, s: L
                 ok = [reaches(x, y) for x, y in zip(part.column("wa").to_pylist(), part.column("wb").to_pylist(), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(classes, "sid")
-    wanted = materialize(wanted.groupBy(F.col("f.id").alias("id"), F.col("f.t").alias("t")).agg(F.collect_set("f.pos").alias("places")))
+    wanted = materialize(ends.groupBy(F.col("f.id").alias("id"), F.col("f.t").alias("t")).agg(F.collect_set("f.pos").alias("places")))
     found = docs.join(checked(wanted, s.broadcast), ["id", "t"]).select("text", "places")
     words = materialize(found.mapInArrow(read, "sid long, words binary").dropDuplicates(["sid"]))
     left, right = words.toDF("a", "wa"), words.toDF("b", "wb")
@@ -281,14 +280,16 @@ def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> D
     classes = materialize(lines.groupBy("sid").agg(first.alias("f"), F.count("*").alias("lines")))
     keys = dealt_keys(lines, s)
 
-    def later(links: DataFrame) -> DataFrame:
-        """Of each link, the class whose first place comes later."""
-        at = classes.select("sid", F.struct("f.id", "f.u", "f.pos").alias("f"))
-        rows = links.join(at.toDF("a", "fa"), "a").join(at.toDF("b", "fb"), "b").filter("fa <> fb")
+    def later(pairs: DataFrame) -> DataFrame:
+        """Of each pair that reaches the threshold, the class whose first place comes later."""
+        sids = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+        ends = materialize(classes.select("sid", "f").join(checked(sids, s.broadcast), "sid"))
+        at = ends.select("sid", F.struct("f.id", "f.u", "f.pos").alias("f"))
+        rows = verified(pairs, docs, ends, levels, s).join(at.toDF("a", "fa"), "a").join(at.toDF("b", "fb"), "b").filter("fa <> fb")
         return rows.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct()
 
     some = materialize(candidates(keys, s, s.few))
-    gone = materialize(later(verified(some.filter("a <> b"), docs, classes, levels, s)))
+    gone = materialize(later(some.filter("a <> b")))
     still = materialize(some.filter("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti"))
     if not still.isEmpty():
         # only groups that hold such a line are dealt once more
@@ -296,10 +297,10 @@ def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> D
         touched = materialize(keys.join(asking, "sid", "left_semi").select(*by).distinct())
         rows = keys.join(checked(touched, s.broadcast), by, "left_semi").join(asking.withColumn("asks", F.lit(True)), "sid", "left")
         rest = materialize(candidates(rows.withColumn("asks", F.coalesce("asks", F.lit(False))), s, None))
-        gone = materialize(gone.union(later(verified(rest, docs, classes, levels, s))).distinct())
+        gone = materialize(gone.union(later(rest)).distinct())
 
-    decided = classes.join(gone.withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1").select("sid", "f", "all")
-    out = lines.select("sid", "id", "t", "pos").join(decided, "sid").filter("all OR NOT (id = f.id AND shiftright(t, 32) = f.u AND pos = f.pos)")
+    decided = classes.join(checked(gone, s.broadcast).withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1").select("sid", "f", "all")
+    out = lines.select("sid", "id", "t", "pos").join(checked(materialize(decided), s.broadcast), "sid").filter("all OR NOT (id = f.id AND shiftright(t, 32) = f.u AND pos = f.pos)")
     return out.groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
 
 
