@@ -161,14 +161,15 @@ def latest_frames(batch: DataFrame) -> DataFrame:
 
 
 def evidence_sink(folder: str):
-    """foreachBatch function: JSON lines, CSV and coordinate text of a batch of logged events, each in a folder of its batch id, so that a repeated batch writes the same place again."""
+    """foreachBatch function: JSON lines, CSV and coordinate text of a batch of logged events (the columns of CSV_COLUMNS, and timestamp_sec), each in a folder of its batch id, so that a repeated batch writes the same place again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # three writers read it
         try:
             E.json_rows(batch).select("json").write.mode("overwrite").text(f"{folder}/events_jsonl/batch_id={batch_id}")
             E.csv_rows(batch).write.mode("overwrite").option("header", True).csv(f"{folder}/detections_csv/batch_id={batch_id}")
-            batch.select(E.live_coordinate_line().alias("line")).write.mode("overwrite").text(f"{folder}/coordinates/batch_id={batch_id}")
+            place = {"lon": "wgs84_lon", "lat": "wgs84_lat", "easting": "twd97_easting", "northing": "twd97_northing"}
+            batch.withColumns({k: F.col(v) for k, v in place.items()}).select(E.live_coordinate_line().alias("line")).write.mode("overwrite").text(f"{folder}/coordinates/batch_id={batch_id}")
         finally:
             batch.unpersist()
 

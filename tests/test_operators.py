@@ -179,11 +179,26 @@ def test_throttle_batch_equals_stream(spark, tmp_path):
 def test_pose_status_batch_equals_stream(spark, tmp_path):
     df = spark.createDataFrame([(0, f, f > 40, f % 50 != 0, f % 160 == 0) for f in range(0, 600)], "video_id int, frame_idx int, link_ok boolean, klt_ok boolean, correction_ok boolean")
     batch = sorted(map(tuple, tracking.pose_status(df, 10.0).collect()))
-    assert batch[0][2] == "INITIALIZING" and {b[2] for b in batch} >= {"VO_TRACKING", "LOST"}
+    assert batch[0][2] == "LOST" and {b[2] for b in batch} == {"VO_TRACKING", "LOST"}
     stream = _stream(spark, str(tmp_path), df, [0, 100, 333, 600])
     assert sorted(map(tuple, _drain(P.pose_status(stream, 10.0), str(tmp_path), "p").collect())) == batch
 
 
+def test_pose_steps():
+    """At 10 frames a second: links once a second, a map check behind a link, fixes that grow old, and what a reference changes."""
+    state: dict = {}
+    step = lambda f, link=True, klt=True, fix=False, **how: tracking.pose_step(state, f, link, klt, fix, 10.0, **how)
+    assert step(0, reference_valid=False) == "INITIALIZING" and "link" not in state
+    assert step(1, link=False) == "LOST" and step(5) == "LOST" and state["link"] == 1  # too soon
+    assert step(11) == "VO_TRACKING" and state["check"] == state["fix"] == 11
+    assert step(60, fix=True) == "VO_TRACKING" and state["fix"] == 11  # no check before 5 s
+    assert step(61, fix=True) == "VO_TRACKING" and state["fix"] == 61
+    assert step(211) == "VO_TRACKING" and step(212) == "LOST"  # 15 s behind the fix, and more
+    assert step(220) == "VO_TRACKING" and step(221, klt=False) == "LOST"
+    state = {}
+    assert [tracking.pose_step(state, f, True, True, False, 10.0, False, True) for f in (0, 1, 400)] == ["VO_GPS_ESTIMATE"] * 3
+
+
 def test_event_time_streams(spark, tmp_path):
     rows = [(0, i, (pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=s)).to_pydatetime(), 5.0) for i, s in enumerate([0, 1, 2, 10, 11, 40, 41, 90])]
     df = spark.createDataFrame(rows + rows[:2], "camera_id int, camera_frame_id long, ts timestamp, detector_ms double").withColumn("frame_idx", F.col("camera_frame_id"))
@@ -195,11 +210,18 @@ def test_event_time_streams(spark, tmp_path):
 
 
 def test_evidence_sink_repeats_safely(spark, tmp_path):
-    df = spark.createDataFrame([(1, 3, 5, float("nan"), None, None, None, "unavailable"), (2, 4, 6, 121.0, 24.0, 250000.0, 2655000.0, "static_pose_estimate")], "event_id int, frame_idx int, confirm_frame int, lon double, lat double, easting double, northing double, coordinate_status string")
+    kinds = {"event_id": "int", "logged_at_utc": "string", "processed_frame_idx": "int", "camera_frame_id": "long", "camera_timestamp_ns": "long", "full_frame_path": "string", "crop_path": "string"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'int' if c.startswith('bbox') else 'double')}" for c in (*events.CSV_COLUMNS, "timestamp_sec"))
+    head = ("2024-01-01T00:00:00", 7, 70, 700, 12.5, 10, 20, 30, 40, 1200.0, 1.5)
+    rows = [(1, *head, None, None, None, float("nan"), None, "a_full.jpg", None, 2.5), (2, *head, 0.75, 250000.0, 2655000.0, 121.0, 24.0, "b_full.jpg", "b_crop.jpg", 3.0)]
+    df = spark.createDataFrame(rows, schema)
     sink = P.evidence_sink(str(tmp_path))
     sink(df, 0)
     sink(df, 0)
     lines = [r.value for r in spark.read.text(str(tmp_path / "events_jsonl")).collect()]
     assert len(lines) == 2 and any('"position":null' in x for x in lines)
-    assert spark.read.option("header", True).csv(str(tmp_path / "detections_csv")).count() == 2
-    assert sum("unavailable" in r.value for r in spark.read.text(str(tmp_path / "coordinates")).collect()) == 1
+    table = {r.event_id: r for r in spark.read.option("header", True).csv(str(tmp_path / "detections_csv")).collect()}
+    assert len(table) == 2 and table["2"].wgs84_lon == "121.0000000" and table["2"].twd97_easting == "250000.000" and table["1"].wgs84_lon is None and table["1"].processing_latency_ms == "12.500"
+    assert tuple(table["1"].asDict())[:19] == events.CSV_COLUMNS
+    text = sorted(r.value for r in spark.read.text(str(tmp_path / "coordinates")).collect())
+    assert text == ["ID 1: t=2.50s, coordinate=unavailable", "ID 2: t=3.00s, TWD97(E=250000.00, N=2655000.00), WGS84(lat=24.000000, lon=121.000000)"]
