@@ -35,7 +35,7 @@ class LineSettings:
     """
 
     tenths: int = 8
-    buckets_log2: int = 21
+    buckets_log2: int = 22
     few: int = 3
     cold: int = 4096
     block: int = 2048
@@ -108,9 +108,9 @@ def _set_ids(rank: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, levels, s: LineSettings) -> DataFrame:
-    """Every line with a word: id, t, pos (its place), n (distinct words), sid. Of equal lines of a task the first one has keys (the prefix, rarest first), cold (how many of them are rare) and the bit signature m0, m1."""
-    names = ["id", "t", "pos", "n", "sid", "keys", "cold", "m0", "m1"]
-    most_cold = int(_level(s.cold))
+    """Every line with a word: id, t, pos (its place), n (distinct words), sid. Of equal lines of a task the first one has keys (the prefix, rarest first, behind skip words that occur once in the corpus and so in no other line), cold (how many of them are rare) and the bit signature m0, m1."""
+    names = ["id", "t", "pos", "n", "sid", "keys", "skip", "cold", "m0", "m1"]
+    once, most_cold = int(_level(1)), int(_level(s.cold))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
@@ -134,7 +134,10 @@ def lines_of(docs: DataFrame, levels, s: LineSettings) -> DataFrame:
                 of = np.repeat(np.arange(len(n)), n)
                 inside = np.arange(len(rank)) - at[of]
                 prefix = keyed[of] & (inside < length[of])
-                per_line = np.where(keyed, length, 0)
+                alone = prefix & ((rank >> np.uint64(56)) <= once)
+                skip = np.add.reduceat(alone, at)
+                prefix &= ~alone
+                per_line = np.add.reduceat(prefix, at)
                 bit = rank & np.uint64(127)
                 one = np.uint64(1) << (bit & np.uint64(63))
                 m0 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), at).view(np.int64)
@@ -143,24 +146,24 @@ def lines_of(docs: DataFrame, levels, s: LineSettings) -> DataFrame:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(per_line))).astype(np.int32), mask=np.append(~keyed, False))
                 keys = pa.ListArray.from_arrays(offsets, pa.array((rank[prefix] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
                 ids, ts = (batch.column(c).slice(lo, hi - lo).take(pa.array(doc)) for c in (0, 1))
-                arrays = [ids, ts, pa.array((line[at] - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sid), keys]
+                arrays = [ids, ts, pa.array((line[at] - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sid), keys, pa.array(skip.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.add.reduceat(is_cold, at).astype(np.int32)), pa.array(m0), pa.array(m1)], names=names)
 
-    return docs.select("id", "t", "text").mapInArrow(measure, "id long, t long, pos int, n int, sid long, keys array<int>, cold int, m0 long, m1 long")
+    return docs.select("id", "t", "text").mapInArrow(measure, "id long, t long, pos int, n int, sid long, keys array<int>, skip int, cold int, m0 long, m1 long")
 
 
 def dealt_keys(lines: DataFrame, s: LineSettings) -> DataFrame:
     """One row for each prefix word, and for each pair of blocks (p <= q) that the line's block is in. A rare word has one block; how many another one needs is counted."""
     place = F.col("t").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("pos").cast("long")).alias("place")
-    rows = lines.filter("keys IS NOT NULL").select("id", place, "sid", "n", "m0", "m1", "cold", F.posexplode("keys").alias("i", "key"))
+    rows = lines.filter("keys IS NOT NULL").select("id", place, "sid", "n", "m0", "m1", "cold", "skip", F.posexplode("keys").alias("k", "key")).withColumn("i", F.col("k") + F.col("skip"))
     columns = ["key", "n", "i", "sid", "id", "place", "m0", "m1"]
-    hot = materialize(rows.filter("i >= cold").select(*columns))
+    hot = materialize(rows.filter("k >= cold").select(*columns))
     blocks = materialize(hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks")))
     hot = hot.join(checked(blocks, s.broadcast), "key").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hot = hot.select(*columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine")
     zero = F.lit(0)
-    return rows.filter("i < cold").select(*columns, zero.alias("p"), zero.alias("q"), zero.alias("mine")).unionByName(hot)
+    return rows.filter("k < cold").select(*columns, zero.alias("p"), zero.alias("q"), zero.alias("mine")).unionByName(hot)
 
 
 def candidates(keys: DataFrame, s: LineSettings, few: int | None) -> DataFrame:
