@@ -274,8 +274,8 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, s: JaccardSettings) -> DataFr
     return materialize(rows.mapInArrow(measure, "sid long, set binary").dropDuplicates(["sid"]))  # a document may come in several rows
 
 
-def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings, most: int | None = None) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components, fit in size and pass the bitmaps. With most, a block gives so many for two components.
+def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components, fit in size and pass the bitmaps.
 
     A key is open while its classes lie in two components or more; its first component is the major one. The classes
     of all open keys with one major component make the tiles of that component, one for each size band; each class is there once. Those
@@ -327,7 +327,7 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
     def pairs(now, own, tables, sid, n, label, band, column) -> pa.RecordBatch:
         own_sid, own_n, own_label = own
         major, tile = now[:2]
-        found = [np.empty((0, 4), np.int64)]
+        found = [np.empty((0, 2), np.int64)]
         for places, probing in _tables(column):
             for k, p in enumerate(places):
                 for at, table in tables:
@@ -338,15 +338,8 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
                     rows = np.flatnonzero(ok)
                     if len(rows):
                         hits = at[rows[may_link(probing[k][None], table[rows], n[p], own_n[at[rows]], s.percent)]]
-                        if most is not None:  # one of each component is enough for a probe
-                            hits = hits[np.unique(own_label[hits], return_index=True)[1]]
-                        ends = [np.minimum(own_sid[hits], sid[p]), np.maximum(own_sid[hits], sid[p])]
-                        found.append(np.stack([np.minimum(own_label[hits], label[p]), np.maximum(own_label[hits], label[p]), *ends], axis=1))
-        both = np.unique(np.concatenate(found), axis=0)  # in order of the two components
-        if most is not None and len(both):
-            starts = np.concatenate(([0], np.flatnonzero((both[1:, :2] != both[:-1, :2]).any(axis=1)) + 1))
-            both = both[np.arange(len(both)) - np.repeat(starts, np.diff([*starts, len(both)])) < most]
-        both = both[:, 2:]
+                        found.append(np.stack([np.minimum(own_sid[hits], sid[p]), np.maximum(own_sid[hits], sid[p])], axis=1))
+        both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return both.repartition(*by).sortWithinPartitions(*by, "probe").mapInArrow(compare, "a long, b long").distinct()
@@ -379,17 +372,13 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     links = materialize(verified(pairs, arrays, s))
     labels = components(links)
 
-    # components meet by a few pairs at first, so that many sets which lie between them cost little; then by all pairs still open
-    for most in (s.centres, None):
-        crossing = materialize(open_tiles(keys, labels, classes, s, most))
-        if crossing.isEmpty():
-            break
+    crossing = materialize(open_tiles(keys, labels, classes, s))
+    if not crossing.isEmpty():
         wanted = crossing.select(F.col("a").alias("sid")).union(crossing.select("b")).distinct()
-        arrays = arrays.union(set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s))
-        more = materialize(verified(crossing, arrays, s))
+        more = set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s)
+        more = materialize(verified(crossing, arrays.union(more), s))
         if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+            labels = components(links.union(more))
 
     named = ids.select("doc_id", "t", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     return named.select("doc_id", "t", F.col("n").cast("long").alias("n"), F.coalesce("label", "sid").alias("label"))
