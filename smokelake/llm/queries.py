@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, ngram_join, quality_mil, vector_search
+from . import decontamination, filter_audit, language_id, line_dedup, merkle, mixing, ngram_join, quality_mil, vector_search
 from .bpe_codec import encode_and_decode
 from .common import crc_mod, read
 from .quality_rules import quality_rules
@@ -74,9 +74,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(docs, carry=["doc_id"]).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "novelty")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    rows = decontamination.decontaminate(docs, benchmark, carry=["doc_id"])
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return merkle.merkle_manifest(docs, altered=merkle.lowered(docs)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_mixing, op3_quality_mil, op4_vector_search, op5_ngram_join, op6_line_dedup, op7_language_id, op8_bpe_codec, op9_quality_rules, op10_secret_scan)
-}
+    for f in (
+        op1_token_counts, op2_mixing, op3_quality_mil, op4_vector_search, op5_ngram_join, op6_line_dedup, op7_language_id, op8_bpe_codec, op9_quality_rules, op10_secret_scan,
+        op11_filter_audit, op12_decontamination, op13_merkle_manifest,
+    )
+}
 #: SQL twins; the others can't be said in SQL and are tested against brute force, round trips or held-out rows.
-ORACLES = {"op2_mixing": mixing.SQL, "op4_vector_search": vector_search.SQL}
+ORACLES = {"op2_mixing": mixing.SQL, "op4_vector_search": vector_search.SQL, "op11_filter_audit": filter_audit.SQL, "op12_decontamination": decontamination.SQL, "op13_merkle_manifest": merkle.SQL}
