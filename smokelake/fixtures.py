@@ -34,6 +34,11 @@ VIEWS["captures"] = """
 SELECT CAST(user_id % 3 AS INT) AS camera_id, event_id AS camera_frame_id, ts, value AS detector_ms FROM events
 """
 
+VIEWS["arrivals"] = """
+SELECT camera_id, camera_frame_id, ts, detector_ms, CAST(floor((day(ts) - 1) / 8e0) AS INT) + (CASE WHEN camera_frame_id % 20 = 19 THEN 1 ELSE 0 END) AS slice FROM captures
+UNION ALL SELECT camera_id, camera_frame_id, ts, detector_ms, CAST(floor((day(ts) - 1) / 8e0) AS INT) + 1 AS slice FROM captures WHERE camera_frame_id % 20 = 7
+"""
+
 VIEWS["alignments"] = """
 SELECT CAST(o_custkey % 15 AS INT) AS video_id, CAST(row_number() OVER (PARTITION BY o_custkey % 15 ORDER BY o_orderkey) - 1 AS INT) AS frame_idx,
   CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE (o_orderkey % 97) / 15e0 END AS dx,
@@ -70,9 +75,9 @@ FROM tiles t CROSS JOIN (SELECT DISTINCT CAST(p_size AS INT) - 1 AS g FROM part
 """
 
 VIEWS["media"] = """
-SELECT concat('/data/DJI_', CAST(CAST(floor(p_partkey / 2e0) AS BIGINT) AS STRING),
+SELECT concat('/data/', CASE WHEN p_partkey % 31 = 0 THEN 'other' ELSE concat('card', CAST(CAST(floor(p_partkey / 2e0) AS BIGINT) % 3 AS STRING)) END, '/DJI_', CAST(CAST(floor(p_partkey / 6e0) AS BIGINT) AS STRING),
   CASE WHEN p_partkey % 2 = 0 THEN '_V' ELSE '_P' END,
-  CASE WHEN p_partkey % 2 = 0 THEN (CASE p_size % 3 WHEN 0 THEN '.MP4' WHEN 1 THEN '.mov' ELSE '.avi' END)
+  CASE WHEN p_partkey % 2 = 0 THEN (CASE p_size % 4 WHEN 0 THEN '.MP4' WHEN 1 THEN '.mov' WHEN 2 THEN '.avi' ELSE '.mkv' END)
        ELSE (CASE p_size % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.PNG' ELSE '.gif' END) END) AS path FROM part
 """
 

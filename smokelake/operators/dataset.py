@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import re
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .balance import balance
 from .shared import materialize
 
-#: File endings in order of preference (fixed values).
-VIDEO_ENDINGS = ("mp4", "mov", "avi")
-IMAGE_ENDINGS = ("jpg", "jpeg", "png")
+#: File endings in order of preference, as they are written (fixed values).
+VIDEO_ENDINGS = ("MP4", "mp4", "MOV", "mov", "AVI", "avi")
+IMAGE_ENDINGS = ("JPG", "jpg", "JPEG", "jpeg", "PNG", "png")
 
 
 def pair_media(files: DataFrame, path: str = "path") -> DataFrame:
-    """One row for each stem with a video `<stem>_V.<ending>` and an image `<stem>_P.<ending>`: the best ending of each, then the first path. A stem without a video of a known ending takes the first other file `<stem>_V.*`."""
-    name = F.element_at(F.split(path, "/"), -1)
-    part = lambda k: F.regexp_extract(name, r"^(.*)_([VP])\.(.+)$", k)
-    rows = files.select(F.col(path).alias("path"), part(1).alias("stem"), part(2).alias("kind"), F.lower(part(3)).alias("ending")).filter("kind <> ''")
+    """One row for each folder and stem with a video `<stem>_V.<ending>` and an image `<stem>_P.<ending>` in it: the best ending of each.
+
+    A stem without a video of a known ending takes the first other file `<stem>_V.*` of its folder. Files of different folders are never paired.
+    """
+    part = lambda k: F.regexp_extract(path, r"(?s)^(.*/)?([^/]*)_([VP])\.([^/]+)$", k)
+    rows = files.select(F.col(path).alias("path"), part(1).alias("folder"), part(2).alias("stem"), part(3).alias("kind"), part(4).alias("ending")).filter("kind <> ''")
 
     def side(kind: str, endings: tuple[str, ...], out: str, others: bool) -> DataFrame:
         rank = F.array_position(F.array(*map(F.lit, endings)), F.col("ending"))
         rank = F.when((rank == 0) & others, len(endings) + 1).otherwise(rank)
         best = F.min(F.struct(rank.alias("rank"), "path"))
-        return rows.filter((F.col("kind") == kind) & (rank > 0)).groupBy("stem").agg(best["path"].alias(out))
+        return rows.filter((F.col("kind") == kind) & (rank > 0)).groupBy("folder", "stem").agg(best["path"].alias(out))
+
+    return side("V", VIDEO_ENDINGS, "video", True).join(side("P", IMAGE_ENDINGS, "image", False), ["folder", "stem"])
+
 
-    return side("V", VIDEO_ENDINGS, "video", True).join(side("P", IMAGE_ENDINGS, "image", False), "stem")
+#: White space of any script.
+_BLANK = r"(?U)[\s\x1c-\x1f]"
+#: What counts as a number in an annotation; other engines' suffixes (as in 1d) don't.
+_NUMBER = r"(?i)[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)"
 
 
 def parse_labels(lines: DataFrame, n_classes: int, key: str = "image_id") -> DataFrame:
@@ -33,10 +46,10 @@ def parse_labels(lines: DataFrame, n_classes: int, key: str = "image_id") -> Dat
     Five tokens are a box, an odd number from seven a polygon. The class must be known, values finite and in [-0.001, 1.001],
     and a box must have width and height.
     """
-    tokens = F.split(F.trim("line"), r"\s+")
-    rows = lines.filter(F.trim("line") != "").select(key, "line_no", tokens.alias("t"))
+    tokens = F.filter(F.split("line", rf"{_BLANK}+"), lambda x: x != "")
+    rows = lines.select(key, "line_no", tokens.alias("t")).filter(F.size("t") > 0)
     n = F.size("t")
-    rows = rows.select(key, "line_no", n.alias("n"), F.get("t", F.lit(0)).try_cast("int").alias("class_id"), F.transform(F.slice("t", 2, F.greatest(n - 1, F.lit(0))), lambda x: x.try_cast("double")).alias("coords"))
+    rows = rows.select(key, "line_no", n.alias("n"), F.get("t", F.lit(0)).try_cast("int").alias("class_id"), F.transform(F.slice("t", 2, F.greatest(n - 1, F.lit(0))), lambda x: F.when(x.rlike(f"^(?:{_NUMBER})$"), x.try_cast("double"))).alias("coords"))
     known = F.coalesce((F.col("class_id") >= 0) & (F.col("class_id") < n_classes), F.lit(False))
     finite = F.forall("coords", lambda v: F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     inside = F.forall("coords", lambda v: F.coalesce((v >= -0.001) & (v <= 1.001), F.lit(False)))
@@ -48,6 +61,42 @@ def parse_labels(lines: DataFrame, n_classes: int, key: str = "image_id") -> Dat
     return rows.withColumn("reason", reason).withColumn("kind", F.when(F.col("n") == 5, "box").otherwise("polygon"))
 
 
+@F.udtf(returnType="line_no int, class_id int, kind string, coords array<double>, reason string")
+class ParseAnnotation:
+    """The lines of an annotation file as rows, by the rules of parse_labels: for LATERAL parse_annotation(text, n_classes). Null texts have no lines."""
+
+    def eval(self, text: str, n_classes: int):
+        for number, line in enumerate((text or "").split("\n"), 1):
+            tokens = line.split()
+            if not tokens:
+                continue
+            n, class_id = len(tokens), int(tokens[0]) if re.fullmatch(r"[+-]?[0-9]{1,9}", tokens[0]) else None
+            coords = [float(v) if re.fullmatch(_NUMBER, v) else None for v in tokens[1:]]
+            if n != 5 and (n < 7 or n % 2 == 0):
+                reason = "token_count"
+            elif class_id is None or not 0 <= class_id < n_classes:
+                reason = "unknown_class"
+            elif any(v is None or not math.isfinite(v) for v in coords):
+                reason = "not_a_number"
+            elif not all(-0.001 <= v <= 1.001 for v in coords):
+                reason = "out_of_range"
+            else:
+                reason = "empty_box" if n == 5 and min(coords[2:]) <= 0 else None
+            yield number, class_id, "box" if n == 5 else "polygon", coords, reason
+
+
+def register_annotation_parser(spark: SparkSession) -> None:
+    """Makes parse_annotation known to the session's SQL."""
+    spark.udtf.register("parse_annotation", ParseAnnotation)
+
+
+def parse_annotation_files(files: DataFrame, n_classes: int, text: str = "text") -> DataFrame:
+    """The files with a row for each annotation line: line_no, class_id, kind, coords and reason (null: accepted). Other columns pass through."""
+    spark = files.sparkSession
+    register_annotation_parser(spark)
+    return spark.sql(f"SELECT f.*, a.* FROM {{files}} f, LATERAL parse_annotation(f.`{text}`, {int(n_classes)}) a", files=files)
+
+
 def load_classes(lines: DataFrame) -> DataFrame:
     """Class names by line (id from 0), trimmed, with a reason where a name is empty or occurs twice; columns line_no (from 0) and line."""
     rows = lines.select(F.col("line_no").cast("int").alias("class_id"), F.trim("line").alias("name"))
@@ -62,21 +111,29 @@ def photo_meta(photos: DataFrame, text: str = "text") -> DataFrame:
     return photos.withColumns({"altitude": altitude, "yaw": F.coalesce(field("GimbalYawDegree"), field("FlightYawDegree"), F.lit(0.0)), "pitch": F.coalesce(field("GimbalPitchDegree"), F.lit(-45.0))})
 
 
+def next_versions(names: DataFrame, families: DataFrame, name: str = "name", family: str = "family") -> DataFrame:
+    """The families with version: the one after the highest `<family>_v<number>` (any case), or 1. Names are read apart, so no character of a family is a pattern."""
+    part = lambda k: F.regexp_extract(F.lower(name), r"(?s)^(.*)_v([0-9]+)$", k)
+    found = names.select(part(1).alias("_family"), F.nullif(part(2), F.lit("")).try_cast("long").alias("_n")).groupBy("_family").agg(F.max("_n").alias("_n"))
+    rows = families.join(found, F.lower(family) == F.col("_family"), "left")
+    return rows.withColumn("version", F.coalesce("_n", F.lit(0)) + 1).drop("_family", "_n")
+
+
 def next_version(names: DataFrame, family: str, name: str = "name") -> DataFrame:
-    """One row: the version after the highest `family_v<number>` (any case), or 1."""
-    number = F.regexp_extract(F.lower(name), rf"^{family.lower()}_v(\d+)$", 1)
-    return names.agg((F.coalesce(F.max(F.nullif(number, F.lit("")).cast("long")), F.lit(0)) + 1).alias("version"))
+    """One row: the version of one family."""
+    return next_versions(names, names.sparkSession.createDataFrame([(family,)], "family string"), name).select("version")
 
 
 def next_run(names: DataFrame, stem: str, name: str = "name") -> DataFrame:
-    """One row: the folder of the next run, the stem itself or else the first free `<stem>_<number>` from 02."""
-    number = F.regexp_extract(name, rf"^{stem}_(\d{{2,}})$", 1)
-    used = names.select(F.col(name).alias("name"), F.nullif(number, F.lit("")).cast("long").alias("n"))
-    used = used.withColumn("n", F.when(F.col("name") == F.format_string(f"{stem}_%02d", "n"), F.col("n")))
-    taken = used.agg(F.coalesce(F.max(F.col("name") == stem), F.lit(False)).alias("taken"), F.collect_set(F.when(F.col("n") == 2, 2)).alias("two"))
+    """One row: the folder of the next run, the stem itself or else the first free `<stem>_<number>` from 02. The stem is compared as it is."""
+    head = F.lit(f"{stem}_")
+    tail = F.when(F.startswith(F.col(name), head), F.substring(F.col(name), F.lit(len(stem) + 2), F.length(name)))
+    used = names.select(F.col(name).alias("name"), F.when(tail.rlike("^[0-9]{2,18}$"), tail.try_cast("long")).alias("n"))
+    used = used.withColumn("n", F.when(F.col("name") == F.concat(head, F.format_string("%02d", "n")), F.col("n")))
+    taken = used.agg(F.coalesce(F.max(F.col("name") == F.lit(stem)), F.lit(False)).alias("taken"), F.coalesce(F.max(F.col("n") == 2), F.lit(False)).alias("two"))
     after = used.filter("n >= 2").select((F.col("n") + 1).alias("n")).join(used.select("n"), "n", "left_anti").agg(F.min("n").alias("free"))
-    second = F.when(F.size("two") == 0, 2).otherwise(after.scalar())
-    return taken.select(F.when(~F.col("taken"), stem).otherwise(F.format_string(f"{stem}_%02d", second)).alias("folder"))
+    second = F.when(~F.col("two"), F.lit(2)).otherwise(after.scalar())
+    return taken.select(F.when(~F.col("taken"), F.lit(stem)).otherwise(F.concat(head, F.format_string("%02d", second))).alias("folder"))
 
 
 def attach_labels(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -145,42 +202,55 @@ def source_counts(images: DataFrame) -> DataFrame:
     return images.rollup("role", "source").agg(F.count("*").alias("images"))
 
 
-def split_groups(units: DataFrame, seed: str) -> DataFrame:
-    """Assign every content group to train or val; (7 * images + 5) div 10 images go to train, where groups of one image leave room for it.
+def _amounts(counted: Column | str = "size") -> Column:
+    """What a group of equal images counts in each metric: an array of structs metric and amount, `counted` in place of its size."""
+    size = F.col(counted) if isinstance(counted, str) else counted
+    one = lambda m, n: F.struct(m.alias("metric"), n.cast("long").alias("amount"))
+    pairs = F.filter(F.split("vector", ","), lambda p: p != "")
+    named = lambda p, kind: F.concat(F.lit("class_"), F.substring_index(p, ":", 1), F.lit(kind))
+    classes = F.transform(pairs, lambda p: F.array(one(named(p, "_images"), size), one(named(p, "_boxes"), size * F.substring_index(p, ":", -1).cast("long"))))
+    background = F.when(F.col("vector") == "", F.array(one(F.lit("background_images"), size))).otherwise(F.array().cast("array<struct<metric:string,amount:bigint>>"))
+    return F.concat(F.array(one(F.lit("images"), size)), background, F.flatten(classes))
+
+
+def split_groups(units: DataFrame, seed: str, strict: bool = False, pool: int = 20_000) -> DataFrame:
+    """Assign every content group to train or val so that every metric is 7 tenths of its total, rounded down or up: all images ((7 * images + 5) div 10 of them), and each class's images and boxes, and background images.
 
     units: one row for each group of equal content: content_hash, size (its images) and vector (its class counts as text).
-    Groups of one size and vector form a stratum. Strata of larger groups round 7 tenths of their groups; strata of single images
-    share what the total still needs, by their own 7 tenths and then by largest remainder. Within a stratum the order is a seeded hash.
-    One row for each stratum is ranked at once; groups are only ranked within strata.
+    Groups of one size and vector form a stratum; 7 tenths of its groups, rounded by a seeded hash, go to train. What the metrics then miss is
+    mended by an exchange of groups between strata (balance.py), which sees the sums of all strata and a pool of those with the fewest
+    boxes. With strict, a split that is not within rounding raises.
+
+    Within a stratum the order is a seeded hash. Groups are counted by slots of the hash, and ranked one by one within a slot alone, so a
+    stratum of a third of all groups spreads over 65,536 of them.
     """
     strata = units.groupBy("size", "vector").agg(F.count("*").alias("n"))
-    one = F.col("size") == 1
-    rounded = F.floor((7 * F.col("n") + F.when(one, 0).otherwise(5)) / 10).cast("long")
-    everything = Window.partitionBy(F.lit(0))
-    strata = strata.withColumn("base", rounded).withColumns({
-        "wanted": F.floor((7 * F.sum(F.col("size") * F.col("n")).over(everything) + 5) / 10) - F.sum(F.col("size") * F.col("base")).over(everything),
-        "ones": F.sum(one.cast("long")).over(everything),
-        "place": F.row_number().over(everything.orderBy(F.when(one, 0).otherwise(1), F.desc(F.col("n") * 7 % 10), "size", "vector")),
-    })
-    more = F.floor(F.col("wanted") / F.col("ones")) + (F.col("place") <= F.pmod("wanted", "ones")).cast("long")
-    quota = F.when(one, F.least(F.greatest(F.col("base") + more, F.lit(0)), F.col("n"))).otherwise(F.col("base")).cast("long")
-    order = Window.partitionBy("size", "vector").orderBy(F.sha2(F.concat(F.lit(seed), F.col("content_hash")), 256), "content_hash")
-    rows = units.join(strata.select("size", "vector", quota.alias("quota")), ["size", "vector"]).withColumn("_n", F.row_number().over(order))
-    return rows.withColumn("split", F.when(F.col("_n") <= F.col("quota"), "train").otherwise("val")).drop("_n", "quota")
+    up = F.pmod(F.xxhash64(F.lit(seed), "size", "vector"), F.lit(10)) < F.col("n") * 7 % 10
+    strata = materialize(strata.withColumn("base", F.floor(F.col("n") * 7 / 10).cast("long") + up.cast("long")))
+    sums = strata.select("n", "base", F.explode(_amounts()).alias("a")).groupBy("a.metric").agg(F.sum(F.col("n") * F.col("a.amount")).alias("total"), F.sum(F.col("base") * F.col("a.amount")).alias("train")).collect()
+    few = strata.orderBy("size", F.length("vector"), F.desc("n"), "vector").limit(pool).select("size", "vector", "n", "base").collect()
+    changes, missed = balance(few, {r.metric: r.total for r in sums}, {r.metric: r.train for r in sums}, zlib.crc32(seed.encode()))
+    if strict and missed:
+        raise ValueError("the split is not within rounding of 70:30")
+    sizes = {f.name: f.dataType.simpleString() for f in units.schema}
+    changed = units.sparkSession.createDataFrame(changes, f"size {sizes['size']}, vector string, change long")
+    quotas = strata.join(F.broadcast(changed), ["size", "vector"], "left").select("size", "vector", (F.col("base") + F.coalesce("change", F.lit(0))).alias("_quota"))
+    keyed = units.withColumn("_key", F.sha2(F.concat(F.lit(seed), F.col("content_hash")), 256)).withColumn("_slot", F.substring("_key", 1, 4))
+    slots = keyed.groupBy("size", "vector", "_slot").agg(F.count("*").alias("_held"))
+    before = F.sum("_held").over(Window.partitionBy("size", "vector").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.withColumn("_before", F.coalesce(before, F.lit(0))).join(quotas, ["size", "vector"]).drop("_held")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("size", "vector", "_slot").orderBy("_key", "content_hash"))
+    rows = keyed.join(slots, ["size", "vector", "_slot"])
+    return rows.withColumn("split", F.when(place <= F.col("_quota"), "train").otherwise("val")).select(*units.columns, "split")
 
 
 def split_report(assigned: DataFrame, strict: bool = False) -> DataFrame:
-    """For all images, each class's images and boxes, and background images: the number in total and in train, the fraction, and whether train is the share of 70 % rounded down or up. With strict, a miss raises."""
-    rows = assigned.select("size", "vector", (F.col("split") == "train").alias("in"))
-    pair = F.explode(F.split("vector", ","))
-    counts = rows.filter("vector <> ''").select("size", "in", pair.alias("p")).select("size", "in", F.substring_index("p", ":", 1).alias("k"), F.substring_index("p", ":", -1).cast("long").alias("c"))
-    named = lambda kind: F.concat(F.lit("class_"), F.col("k"), F.lit(kind))
-    metrics = rows.select(F.lit("images").alias("metric"), "size", "in").unionByName(rows.filter("vector = ''").select(F.lit("background_images").alias("metric"), "size", "in"))
-    metrics = metrics.unionByName(counts.select(named("_images").alias("metric"), "size", "in")).unionByName(counts.select(named("_boxes").alias("metric"), (F.col("size") * F.col("c")).alias("size"), "in"))
-    out = metrics.groupBy("metric").agg(F.sum("size").alias("total"), F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("train"))
-    out = out.withColumns({"fraction": F.col("train") / F.col("total"), "exact_7_3": 10 * F.col("train") == 7 * F.col("total")})
+    """For all images, each class's images and boxes, and background images: the number in total and in train, the fraction, the least and most (7 tenths rounded down and up), and whether train is between them. With strict, a miss raises."""
+    rows = assigned.select((F.col("split") == "train").alias("in"), F.explode(_amounts()).alias("a"))
+    out = rows.groupBy("a.metric").agg(F.sum("a.amount").alias("total"), F.sum(F.when(F.col("in"), F.col("a.amount")).otherwise(0)).alias("train"))
     share = 7 * F.col("total") / 10
-    out = out.withColumn("within_rounding", (F.col("train") >= F.floor(share)) & (F.col("train") <= F.ceil(share)))
+    out = out.withColumns({"fraction": F.col("train") / F.col("total"), "exact_7_3": 10 * F.col("train") == 7 * F.col("total"), "least": F.floor(share), "most": F.ceil(share)})
+    out = out.withColumn("within_rounding", F.col("train").between(F.col("least"), F.col("most")))
     if strict and not out.filter(~F.col("within_rounding")).isEmpty():
         raise ValueError("the split is not within rounding of 70:30")
     return out
@@ -234,8 +304,7 @@ def build_dataset(previous: DataFrame, new: DataFrame, boxes: DataFrame, path: s
     labelled = merged.join(text, "image_id", "left")
     if not conflicting(labelled, "content", F.coalesce("annotation", F.lit(""))).isEmpty():
         raise ValueError("equal images carry different annotations")
-    assigned = split_groups(content_units(merged, boxes), seed)
-    split_report(assigned, strict)
+    assigned = split_groups(content_units(merged, boxes), seed, strict)
     rows = merged.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256)).join(assigned.select("content_hash", "split"), "content_hash")
     rows.write.partitionBy("split").mode("errorifexists").parquet(path)
     return previous.sparkSession.read.parquet(path)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import boxes as X
+
 #: Gates of a map match and of a pose (fixed values).
 MIN_INLIERS, MIN_RATIO, MAX_ERROR, MIN_COVERAGE = 16, 0.35, 2.5, 0.02
 
@@ -104,14 +106,26 @@ def ransac_similarity(corr: DataFrame, hypotheses: int, threshold: float, key: s
     return fit_similarity(inliers, key).join(best.select(key, "inliers"), key)
 
 
+def homography_residual(h: str = "h") -> Column:
+    """Distance of a correspondence from where the homography (nine numbers by rows) in its row takes it; null where its depth is nearly 0."""
+    p = X.transform_point(F.col(h), F.col("ax"), F.col("ay"))
+    return F.hypot(p["x"] - F.col("bx"), p["y"] - F.col("by_"))
+
+
 def match_quality(corr: DataFrame, models: DataFrame, threshold: float, key: str = "pair_id") -> DataFrame:
-    """Matches, inliers, their ratio and root-mean-square error under each pair's similarity."""
-    rows = corr.join(models.select(key, "a", "b", "dx", "dy"), key).withColumn("_e", residual())
-    inlier = F.col("_e") <= threshold
+    """Matches, inliers, their ratio and root-mean-square error under each pair's model: a homography in column h, or else the similarity a, b, dx, dy. A pair without one has no inliers."""
+    names, error = (["h"], homography_residual()) if "h" in models.columns else (["a", "b", "dx", "dy"], residual())
+    rows = corr.join(models.select(key, *names), key).withColumn("_e", error)
+    inlier = F.coalesce(F.col("_e") <= threshold, F.lit(False))
     out = rows.groupBy(key).agg(F.count("*").alias("matches"), F.sum(inlier.cast("long")).alias("inliers"), F.sqrt(F.avg(F.when(inlier, F.col("_e") * F.col("_e")))).alias("rmse"))
     return out.withColumn("inlier_ratio", F.col("inliers") / F.col("matches"))
 
 
+def inliers_of(corr: DataFrame, models: DataFrame, threshold: float, key: str = "pair_id") -> DataFrame:
+    """The correspondences that lie within the threshold of their pair's homography (column h)."""
+    return corr.join(models.select(key, F.col("h").alias("_h")), key).filter(homography_residual("_h") <= threshold).drop("_h")
+
+
 @F.pandas_udf(T.DoubleType())
 def hull_area(x: pd.Series, y: pd.Series) -> float:
     """Area of the convex hull of the points of a group; 0 below three distinct points."""
@@ -151,10 +165,40 @@ def verify_match(quality: DataFrame, min_inliers: int = MIN_INLIERS, min_ratio:
     return rows.withColumn("confidence", F.when(reached, F.coalesce(confidence, F.lit(0.0))).otherwise(0.0)).withColumn("score", F.col("inliers") * F.col("confidence"))
 
 
-def footprint_valid(a: str, b: str, width: int, height: int, mask_area: float) -> Column:
-    """A similarity keeps the frame's corners convex and in front; its footprint must be over 16 pixels and at most four times the map window."""
-    area = (F.col(a) * F.col(a) + F.col(b) * F.col(b)) * (width - 1) * (height - 1)
-    return (area > 16) & (area <= 4 * mask_area)
+def footprint(h: str, width: int, height: int) -> Column:
+    """What a homography (nine numbers by rows) makes of the frame's corners: a struct of in_front (all depths of one sign, none nearly 0), convex (all turns of the ring of one sign) and area (by the shoelace rule); null without a homography.
+
+    The corners are the centres of the outermost pixels. Of a bow-tie, turns differ in sign; of corners on one line, they are 0.
+    """
+    at = lambda k: F.get(F.col(h), F.lit(k))
+    corners = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (width - 1, 0), (width - 1, height - 1), (0, height - 1))])
+    places = F.array(*[F.lit(k) for k in range(4)])
+
+    def corner(c: Column) -> Column:
+        depth = at(6) * c["x"] + at(7) * c["y"] + at(8)
+        # outlines are compared in single precision
+        flat = lambda k: ((at(k) * c["x"] + at(k + 1) * c["y"] + at(k + 2)) / F.nullif(depth, F.lit(0.0))).cast("float").cast("double")
+        return F.struct(depth.alias("d"), flat(0).alias("u"), flat(3).alias("v"))
+
+    def outline(ring: Column) -> Column:
+        nth = lambda k, n: F.get(ring, (k + n) % 4)
+        turn = lambda k: (nth(k, 1)["u"] - nth(k, 0)["u"]) * (nth(k, 2)["v"] - nth(k, 1)["v"]) - (nth(k, 1)["v"] - nth(k, 0)["v"]) * (nth(k, 2)["u"] - nth(k, 1)["u"])
+        inf = F.lit(float("inf"))
+        finite = F.forall(ring, lambda p: p["u"].isNotNull() & ~F.isnan(p["u"]) & ~F.isnan(p["v"]) & (F.abs(p["u"]) < inf) & (F.abs(p["v"]) < inf))
+        front = F.forall(ring, lambda p: p["d"] > 1e-8) | F.forall(ring, lambda p: p["d"] < -1e-8)
+        convex = finite & (F.forall(places, lambda k: turn(k) > 0) | F.forall(places, lambda k: turn(k) < 0))
+        area = F.abs(F.aggregate(places, F.lit(0.0), lambda s, k: s + nth(k, 0)["u"] * nth(k, 1)["v"] - nth(k, 1)["u"] * nth(k, 0)["v"])) / 2
+        ok = lambda c: F.coalesce(c, F.lit(False))
+        return F.struct(ok(front).alias("in_front"), ok(convex).alias("convex"), F.when(ok(finite), area).alias("area"))
+
+    # one element, so that the ring has a name
+    return F.when(F.size(h) == 9, F.get(F.transform(F.array(F.transform(corners, corner)), outline), F.lit(0)))
+
+
+def footprint_valid(h: str, width: int, height: int, mask_area: float) -> Column:
+    """Whether a homography's footprint is in front, convex, over 16 pixels and at most four times the map window."""
+    sound = F.transform(F.array(footprint(h, width, height)), lambda f: f["in_front"] & f["convex"] & (f["area"] > 16) & (f["area"] <= 4 * mask_area))
+    return F.coalesce(F.get(sound, F.lit(0)), F.lit(False))
 
 
 def best_match(candidates: DataFrame, key: str) -> DataFrame:

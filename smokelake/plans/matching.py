@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from ..functions.geo import det3
 from ..operators import matching as O
 from .registry import query
 
@@ -77,22 +80,61 @@ def d12_gates(t):
     return both.select("pair_id", "motion", F.col("reason").alias("learned"))
 
 
-@query("d10_verify_match", f"""WITH {QUALITY}, g AS (SELECT q.*, inliers / CAST(matches AS DOUBLE) AS ratio, (a*a + b*b) * 639 * 479 AS area, CASE WHEN q.pair_id % 17 = 0 THEN NULL ELSE a*a + b*b END AS det, x.coverage FROM q JOIN model m ON q.pair_id = m.pair_id
-JOIN (SELECT pair_id, (max(ax) - min(ax)) * (max(ay) - min(ay)) / (640e0 * 480e0) / (1 + pair_id % 60) AS coverage FROM correspondences GROUP BY pair_id) x ON x.pair_id = q.pair_id),
-r AS (SELECT *, CASE WHEN matches < 16 THEN 'insufficient_matches' WHEN det IS NULL THEN 'homography_failed' WHEN inliers < 16 OR ratio < 0.35e0 THEN 'insufficient_inliers' WHEN NOT (area > 16 AND area <= 4 * 400000) OR coverage < 0.02e0 OR rmse > 2.5e0 THEN 'geometry_rejected' ELSE 'accepted' END AS reason FROM g),
+#: Hulls by a march along them: from the leftmost point the next one is that of the least (or greatest) slope, the farthest on ties.
+HULL = """m{n} AS (SELECT pair_id, ax, min(ay) AS lo, max(ay) AS hi FROM {src} GROUP BY pair_id, ax), e{n} AS (SELECT pair_id, min(ax) AS x0, max(ax) AS x1 FROM m{n} GROUP BY pair_id),
+low{n} AS (SELECT m.pair_id, m.ax AS x, m.lo AS y, 0e0 AS part FROM m{n} m JOIN e{n} e ON m.pair_id = e.pair_id AND m.ax = e.x0
+ UNION ALL SELECT l.pair_id, arg_min(m.ax, ((m.lo - l.y) / (m.ax - l.x), -m.ax)), arg_min(m.lo, ((m.lo - l.y) / (m.ax - l.x), -m.ax)), arg_min((m.ax - l.x) * (m.lo + l.y) / 2, ((m.lo - l.y) / (m.ax - l.x), -m.ax)) FROM low{n} l JOIN m{n} m ON m.pair_id = l.pair_id AND m.ax > l.x GROUP BY l.pair_id, l.x, l.y),
+top{n} AS (SELECT m.pair_id, m.ax AS x, m.hi AS y, 0e0 AS part FROM m{n} m JOIN e{n} e ON m.pair_id = e.pair_id AND m.ax = e.x0
+ UNION ALL SELECT l.pair_id, arg_max(m.ax, ((m.hi - l.y) / (m.ax - l.x), m.ax)), arg_max(m.hi, ((m.hi - l.y) / (m.ax - l.x), m.ax)), arg_max((m.ax - l.x) * (m.hi + l.y) / 2, ((m.hi - l.y) / (m.ax - l.x), m.ax)) FROM top{n} l JOIN m{n} m ON m.pair_id = l.pair_id AND m.ax > l.x GROUP BY l.pair_id, l.x, l.y),
+hull{n} AS (SELECT t.pair_id, (t.part - l.part) / (640e0 * 480e0) AS coverage FROM (SELECT pair_id, sum(part) AS part FROM top{n} GROUP BY pair_id) t JOIN (SELECT pair_id, sum(part) AS part FROM low{n} GROUP BY pair_id) l ON t.pair_id = l.pair_id)"""
+
+#: Homographies of every kind: none, flattened, scaled far up or down, tilted, with corners before and behind, and similarities.
+KINDS = """CASE pair_id % 17 WHEN 0 THEN NULL ELSE [a * z, -b * z, dx, b * z * f, a * z * f, dy, p, q, 1e0] END AS h FROM (SELECT *, CASE WHEN pair_id % 17 = 1 THEN 1e-8 ELSE 1e0 END AS f, CASE WHEN pair_id % 17 = 2 THEN 6e0 WHEN pair_id % 17 = 3 THEN 5e-3 ELSE 1e0 END AS z,
+CASE WHEN pair_id % 17 = 4 THEN -4e-3 WHEN pair_id % 17 = 5 THEN 1e-6 WHEN pair_id % 17 = 6 THEN -1 / 639e0 ELSE 0e0 END AS p, CASE WHEN pair_id % 17 = 7 THEN -3e-3 WHEN pair_id % 17 = 5 THEN -1e-6 ELSE 0e0 END AS q FROM model) x"""
+
+
+def _homographies(t):
+    k = F.col("pair_id") % 17
+    pick = lambda other, **cases: reduce(lambda w, c: w.when(k == int(c[0][1:]), F.lit(c[1])), cases.items(), F).otherwise(F.lit(other))
+    f, z, p, q = pick(1.0, k1=1e-8), pick(1.0, k2=6.0, k3=5e-3), pick(0.0, k4=-4e-3, k5=1e-6, k6=-1 / 639.0), pick(0.0, k7=-3e-3, k5=-1e-6)
+    a, b = F.col("a"), F.col("b")
+    h = F.array(a * z, -b * z, F.col("dx"), b * z * f, a * z * f, F.col("dy"), p, q, F.lit(1.0))
+    return O.fit_similarity(t("correspondences").filter("bx <> ay")).select("pair_id", F.when(k != 0, h).alias("h"))
+
+
+VERIFY = f"""{MODEL}, hs AS (SELECT pair_id, {KINDS}),
+er AS (SELECT c.*, sqrt(power((h[1] * ax + h[2] * ay + h[3]) / w - bx, 2) + power((h[4] * ax + h[5] * ay + h[6]) / w - by_, 2)) AS e FROM (SELECT c.*, h, CASE WHEN abs(h[7] * ax + h[8] * ay + h[9]) > 1e-10 THEN h[7] * ax + h[8] * ay + h[9] END AS w FROM correspondences c JOIN hs ON c.pair_id = hs.pair_id) c),
+ins AS (SELECT * FROM er WHERE e <= 3), q AS (SELECT pair_id, count(*) AS matches, CAST(sum(CASE WHEN e <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS inliers, sqrt(avg(CASE WHEN e <= 3 THEN e * e END)) AS rmse FROM er GROUP BY pair_id),
+{HULL.format(n='i', src='ins')},
+co AS (SELECT pair_id, k, h[7] * x + h[8] * y + h[9] AS d, CAST(CAST((h[1] * x + h[2] * y + h[3]) / (h[7] * x + h[8] * y + h[9]) AS FLOAT) AS DOUBLE) AS u, CAST(CAST((h[4] * x + h[5] * y + h[6]) / (h[7] * x + h[8] * y + h[9]) AS FLOAT) AS DOUBLE) AS v
+ FROM hs, (VALUES (0, 0e0, 0e0), (1, 639e0, 0e0), (2, 639e0, 479e0), (3, 0e0, 479e0)) c(k, x, y) WHERE h IS NOT NULL),
+tu AS (SELECT a.pair_id, (b.u - a.u) * (c.v - b.v) - (b.v - a.v) * (c.u - b.u) AS turn, a.u * b.v - b.u * a.v AS part, a.d FROM co a JOIN co b ON a.pair_id = b.pair_id AND b.k = (a.k + 1) % 4 JOIN co c ON a.pair_id = c.pair_id AND c.k = (a.k + 2) % 4),
+fp AS (SELECT pair_id, min(abs(d)) > 1e-8 AND (min(d) > 0 OR max(d) < 0) AS in_front, min(turn) > 0 OR max(turn) < 0 AS convex, abs(sum(part)) / 2 AS area FROM tu GROUP BY pair_id)"""
+
+
+@query("d10_footprint", f"WITH RECURSIVE {VERIFY} SELECT pair_id, in_front, CASE WHEN in_front THEN convex END AS convex, CASE WHEN in_front THEN round(area, 1) END AS area FROM fp")
+def d10_footprint(t):
+    """Of corners that are not all in front there is no ring to speak of."""
+    rows = _homographies(t).filter("h IS NOT NULL").select("pair_id", O.footprint("h", 640, 480).alias("f"))
+    return rows.select("pair_id", "f.in_front", F.when(F.col("f.in_front"), F.col("f.convex")).alias("convex"), F.when(F.col("f.in_front"), R("f.area", 1)).alias("area"))
+
+
+@query("d10_verify_match", f"""WITH RECURSIVE {VERIFY}, g AS (SELECT q.*, inliers / CAST(matches AS DOUBLE) AS ratio, coalesce(i.coverage, 0e0) AS coverage, coalesce(in_front AND convex AND area > 16 AND area <= 4 * 400000, false) AS sound, h IS NULL AS none,
+ h[1] * (h[5] * h[9] - h[6] * h[8]) - h[2] * (h[4] * h[9] - h[6] * h[7]) + h[3] * (h[4] * h[8] - h[5] * h[7]) AS det FROM q JOIN hs ON hs.pair_id = q.pair_id LEFT JOIN hulli i ON i.pair_id = q.pair_id LEFT JOIN fp ON fp.pair_id = q.pair_id),
+r AS (SELECT *, CASE WHEN matches < 16 THEN 'insufficient_matches' WHEN none THEN 'homography_failed' WHEN inliers < 16 OR ratio < 0.35e0 OR abs(det) < 1e-12 THEN 'insufficient_inliers' WHEN NOT sound OR coverage < 0.02e0 OR coalesce(rmse > 2.5e0, true) THEN 'geometry_rejected' ELSE 'accepted' END AS reason FROM g),
 c AS (SELECT *, CASE WHEN reason IN ('accepted', 'geometry_rejected') THEN coalesce(ratio * least(1e0, inliers / 32e0) / (1 + rmse), 0e0) ELSE 0e0 END AS confidence FROM r)
-SELECT pair_id, reason, round(confidence, 5) AS confidence, round(inliers * confidence, 3) AS score FROM c""")
+SELECT pair_id, reason, round(coverage, 5) AS coverage, round(confidence, 5) AS confidence, round(inliers * confidence, 3) AS score FROM c""")
 def d10(t):
-    """With the production gates. The box of a pair's points stands in for their hull, divided by a number of the pair, so that a twin exists; every 17th pair has no homography."""
-    k = F.col("pair_id")
-    model = O.fit_similarity(t("correspondences").filter("bx <> ay")).select("pair_id", O.footprint_valid("a", "b", 640, 480, 400000.0).alias("valid_geometry"), F.when(k % 17 != 0, F.col("a") ** 2 + F.col("b") ** 2).alias("det"))
-    extent = lambda c: F.max(c) - F.min(c)
-    covered = t("correspondences").groupBy("pair_id").agg((extent("ax") * extent("ay") / (640.0 * 480.0)).alias("coverage")).withColumn("coverage", F.col("coverage") / (1 + k % 60))
-    rows = O.verify_match(_quality(t).join(model, "pair_id").join(covered, "pair_id"))
-    return rows.select("pair_id", "reason", R("confidence", 5).alias("confidence"), R("score", 3).alias("score"))
+    """With the production gates: inliers and error under the homography, the hull of the inliers, and the footprint of the frame."""
+    models, corr = _homographies(t), t("correspondences")
+    shape = models.select("pair_id", O.footprint_valid("h", 640, 480, 400000.0).alias("valid_geometry"), det3("h").alias("det"))
+    covered = O.hull_coverage(O.inliers_of(corr, models, 3.0), 640, 480)
+    rows = O.match_quality(corr, models, 3.0).join(shape, "pair_id").join(covered, "pair_id", "left")
+    rows = O.verify_match(rows.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))))
+    return rows.select("pair_id", "reason", R("coverage", 5).alias("coverage"), R("confidence", 5).alias("confidence"), R("score", 3).alias("score"))
 
 
-@query("d09_hull_coverage", None)
+@query("d09_hull_coverage", f"WITH RECURSIVE {HULL.format(n='a', src='correspondences')} SELECT pair_id, round(coverage, 6) AS coverage FROM hulla")
 def d09(t):
     return O.hull_coverage(t("correspondences"), 640, 480).withColumn("coverage", R("coverage"))
 

@@ -134,9 +134,12 @@ def dedupe_frames(captures: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return captures.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["camera_id", "camera_frame_id"])
 
 
-def heartbeat(captures: DataFrame, window: str = "10 seconds", slide: str | None = None, delay: str = "10 seconds") -> DataFrame:
-    """Frames, mean detector time and skipped ids in tumbling or sliding windows of event time."""
-    out = captures.withWatermark("ts", delay).groupBy("camera_id", F.window("ts", window, slide) if slide else F.window("ts", window)).agg(
+def heartbeat(captures: DataFrame, window: str = "10 seconds", slide: str | None = None, delay: str = "10 seconds", once: bool = False) -> DataFrame:
+    """Frames, mean detector time and skipped ids in tumbling or sliding windows of event time. With once, a frame that is repeated counts once, and frames behind the watermark are dropped (and counted, see live.late_drops) one by one before they meet a window."""
+    rows = captures.withWatermark("ts", delay)
+    if once:
+        rows = rows.dropDuplicatesWithinWatermark(["camera_id", "camera_frame_id"])
+    out = rows.groupBy("camera_id", F.window("ts", window, slide) if slide else F.window("ts", window)).agg(
         F.count("*").alias("frames"), F.avg("detector_ms").alias("mean_ms"), F.min("camera_frame_id").alias("_a"), F.max("camera_frame_id").alias("_b")
     )
     return out.select("camera_id", F.col("window.start").alias("started"), "frames", "mean_ms", F.greatest(F.col("_b") - F.col("_a") + 1 - F.col("frames"), F.lit(0)).alias("skipped"))
@@ -158,19 +161,3 @@ def localize(events: DataFrame, pose: dict, width: int, height: int) -> DataFram
 def latest_frames(batch: DataFrame) -> DataFrame:
     """Of one micro-batch the newest frame of each camera, and how many it replaced; for foreachBatch."""
     return batch.groupBy("camera_id").agg(F.max_by(F.struct(*batch.columns), "camera_frame_id").alias("f"), (F.count("*") - 1).alias("replaced")).select("f.*", "replaced")
-
-
-def evidence_sink(folder: str):
-    """foreachBatch function: JSON lines, CSV and coordinate text of a batch of logged events (the columns of CSV_COLUMNS, and timestamp_sec), each in a folder of its batch id, so that a repeated batch writes the same place again."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # three writers read it
-        try:
-            E.json_rows(batch).select("json").write.mode("overwrite").text(f"{folder}/events_jsonl/batch_id={batch_id}")
-            E.csv_rows(batch).write.mode("overwrite").option("header", True).csv(f"{folder}/detections_csv/batch_id={batch_id}")
-            place = {"lon": "wgs84_lon", "lat": "wgs84_lat", "easting": "twd97_easting", "northing": "twd97_northing"}
-            batch.withColumns({k: F.col(v) for k, v in place.items()}).select(E.live_coordinate_line().alias("line")).write.mode("overwrite").text(f"{folder}/coordinates/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
-
-    return write

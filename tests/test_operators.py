@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from smokelake.functions import boxes as X
 from smokelake.functions import geo as G
 from smokelake.operators import dataset, events, frames, matching, tiles, tracking
+from smokelake.streaming import live as L
 from smokelake.streaming import pipelines as P
 
 
@@ -215,7 +216,7 @@ def test_evidence_sink_repeats_safely(spark, tmp_path):
     head = ("2024-01-01T00:00:00", 7, 70, 700, 12.5, 10, 20, 30, 40, 1200.0, 1.5)
     rows = [(1, *head, None, None, None, float("nan"), None, "a_full.jpg", None, 2.5), (2, *head, 0.75, 250000.0, 2655000.0, 121.0, 24.0, "b_full.jpg", "b_crop.jpg", 3.0)]
     df = spark.createDataFrame(rows, schema)
-    sink = P.evidence_sink(str(tmp_path))
+    sink = L.EvidenceSink(str(tmp_path))
     sink(df, 0)
     sink(df, 0)
     lines = [r.value for r in spark.read.text(str(tmp_path / "events_jsonl")).collect()]
