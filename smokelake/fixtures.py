@@ -18,10 +18,10 @@ SELECT video_id, CAST(floor(seq / 3e0) AS INT) AS frame_idx, CAST(seq % 3 AS INT
   cls_id, cls_name, 0.3e0 + ((event_id * 37) % 70) / 1e2 AS conf,
   CAST(100 + cls_id * 200 + k % 20 AS INT) AS x, CAST(80 + cls_id * 90 + (k * 3) % 15 AS INT) AS y,
   CAST(20 + floor(value / 1e1) AS INT) AS w, CAST(16 + floor(value / 12e0) AS INT) AS h
-FROM (SELECT CAST(user_id % 15 AS INT) AS video_id, event_id, ts, value, event_type AS cls_name,
+FROM (SELECT CAST(user_id % 15 + 15 * floor(user_id / 150e0) AS INT) AS video_id, event_id, ts, value, event_type AS cls_name,
         CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
         CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS cls_id,
-        row_number() OVER (PARTITION BY user_id % 15 ORDER BY ts, event_id) - 1 AS seq FROM events) t
+        row_number() OVER (PARTITION BY user_id % 15 + 15 * floor(user_id / 150e0) ORDER BY ts, event_id) - 1 AS seq FROM events) t
 """
 
 VIEWS["frames"] = """
@@ -31,7 +31,7 @@ FROM detections GROUP BY video_id, frame_idx
 """
 
 VIEWS["captures"] = """
-SELECT CAST(user_id % 3 AS INT) AS camera_id, event_id AS camera_frame_id, ts, value AS detector_ms FROM events
+SELECT CAST(user_id % 3 + 3 * floor(user_id / 150e0) AS INT) AS camera_id, event_id AS camera_frame_id, ts, value AS detector_ms FROM events
 """
 
 VIEWS["arrivals"] = """
@@ -141,9 +141,9 @@ SELECT event_id AS match_id, CASE event_type WHEN 'click' THEN 'map_match' WHEN
 """
 
 VIEWS["cells"] = """
-SELECT 0 AS video_id, CAST(l_orderkey % 24 AS INT) AS frame_idx, CAST(l_partkey % 32 AS INT) AS cx, CAST(l_suppkey % 24 AS INT) AS cy,
+SELECT CAST(floor(l_orderkey / 15e3) AS INT) AS video_id, CAST(l_orderkey % 24 AS INT) AS frame_idx, CAST(l_partkey % 32 AS INT) AS cx, CAST(l_suppkey % 24 AS INT) AS cy,
   round(avg(l_quantity) * 5.1e0, 4) AS lum, min(l_linestatus) = 'F' OR count(*) > 1 AS valid
-FROM lineitem GROUP BY l_orderkey % 24, l_partkey % 32, l_suppkey % 24
+FROM lineitem GROUP BY floor(l_orderkey / 15e3), l_orderkey % 24, l_partkey % 32, l_suppkey % 24
 """
 
 

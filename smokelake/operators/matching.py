@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,16 +17,53 @@ from ..functions import boxes as X
 MIN_INLIERS, MIN_RATIO, MAX_ERROR, MIN_COVERAGE = 16, 0.35, 2.5, 0.02
 
 
-def match_descriptors(query: DataFrame, train: DataFrame, ratio: float = 0.7, pair: str = "pair", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Mutual-best ratio matches within each image pair: the nearest train vector of a query vector, if it is nearer than ratio times the second; of several queries with one train vector the nearest stays."""
-    q = query.select(pair, F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-    t = train.select(pair, F.col(key).alias("train_id"), F.col(vector).alias("_t"))
-    gap = F.aggregate(F.zip_with("_q", "_t", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    both = q.join(t, pair).select(pair, "query_id", "train_id", F.sqrt(gap).alias("distance"))
-    near = Window.partitionBy(pair, "query_id").orderBy("distance", "train_id")
-    best = both.withColumns({"_n": F.row_number().over(near), "_second": F.lead("distance").over(near)}).filter((F.col("_n") == 1) & (F.col("distance") < ratio * F.col("_second")))
-    back = Window.partitionBy(pair, "train_id").orderBy("distance", "query_id")
-    return best.withColumn("_m", F.row_number().over(back)).filter("_m = 1").select(pair, "query_id", "train_id", "distance")
+def _two_nearest(q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of q the place of the nearest row of t (the first on ties), its distance and that of the second (infinite if there is none). Differences are taken as they are, a few rows at a time."""
+    place, one, two = np.empty(len(q), np.int64), np.empty(len(q)), np.full(len(q), np.inf)
+    step = max(2_000_000 // max(t.size, 1), 1)
+    for k in range(0, len(q), step):
+        d = np.sqrt(((q[k : k + step, None] - t[None]) ** 2).sum(2))
+        rows = np.arange(len(d))
+        near = d.argmin(1)
+        place[k : k + step], one[k : k + step] = near, d[rows, near]
+        if len(t) > 1:
+            d[rows, near] = np.inf
+            two[k : k + step] = d.min(1)
+    return place, one, two
+
+
+def match_descriptors(query: DataFrame, train: DataFrame, ratio: float = 0.7, pair: str = "pair", key: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
+    """Mutual-best ratio matches within each image pair: the nearest train vector of a query vector (the smallest id on ties), if it is nearer than ratio times the second; of several queries with one train vector the nearest stays. Null vectors take no part; a lone train vector matches nothing.
+
+    Vectors of a side lie in blocks, dealt by a hash of their id; each two blocks of a pair meet in numpy and leave the nearest two of every
+    query there. So a shuffle carries blocks and two distances for each query and train block, never all pairs, and a hot pair spreads over its blocks.
+    """
+    kinds = dict(query.dtypes), dict(train.dtypes)
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        rows = side.filter(F.col(vector).isNotNull() & F.col(pair).isNotNull()).select(F.col(pair).alias("pair"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        sizes = rows.groupBy("pair").agg(F.ceil(F.count("*") / block).alias("n"))
+        rows = rows.join(sizes, "pair").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
+        return rows.groupBy("pair", "block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias(name)).select("pair", name, F.col("block").alias(f"{name}_block"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                q, t = (one.column(c).flatten() for c in (1, 2))
+                qv, tv = (np.array(x.field(1).to_pylist()) for x in (q, t))
+                place, first, second = _two_nearest(qv, tv)
+                ids = t.field(0).take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([pa.array([one.column(0)[0].as_py()] * len(place), type=one.column(0).type), q.field(0), ids, pa.array(first), pa.array(second)], names=["pair", "query_id", "train_id", "distance", "second"])
+
+    met = blocks(query, "q").join(blocks(train, "t"), "pair").repartition("pair", "q_block", "t_block").select("pair", "q", "t")
+    found = met.mapInArrow(nearest, f"pair {kinds[0][pair]}, query_id {kinds[0][key]}, train_id {kinds[1][key]}, distance double, second double")
+    # the second of all blocks is the least of the blocks' seconds and of the firsts but one
+    best = found.groupBy("pair", "query_id").agg(F.min(F.struct("distance", "train_id")).alias("b"), F.min("second").alias("s"), F.slice(F.array_sort(F.collect_list("distance")), 2, 1).alias("firsts"))
+    second = F.least("s", F.coalesce(F.get("firsts", F.lit(0)), F.lit(float("inf"))))
+    best = best.filter((F.col("b.distance") < ratio * second) & (second < F.lit(float("inf")))).select("pair", "b.train_id", F.col("b.distance").alias("distance"), "query_id")
+    back = best.groupBy("pair", "train_id").agg(F.min(F.struct("distance", "query_id")).alias("b"))
+    return back.select(F.col("pair").alias(pair), "b.query_id", "train_id", "b.distance")
 
 
 def refine_dense(raw: str, grid: int, from_wh: tuple[int, int], to_a: tuple[int, int], to_b: tuple[int, int]) -> Column:

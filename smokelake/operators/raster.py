@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
+#: Rows of a raster that one task takes together.
+STRIP = 64
 CELL = ["video_id", "frame_idx", "cx", "cy"]
 
 
@@ -24,26 +28,46 @@ def motion_ratio(diff: DataFrame, most: float = 0.20) -> DataFrame:
     return out.withColumn("ratio", F.col("changed_cells") / F.col("valid_cells")).withColumn("rejected", F.col("ratio") > most)
 
 
-def focal_sums(cells: DataFrame, value: str, half: int) -> DataFrame:
-    """Adds the sum, sum of squares and number of values within half cells in x and y: sums over x, then a range frame over y. At the border the window is cut off.
+def _box_sums(x: np.ndarray, y: np.ndarray, values: list[np.ndarray], half: int) -> list[np.ndarray]:
+    """For each cell the sum of each kind of value within half cells in x and y, by a summed-area table over the cells' extent: running sums in y, then in x."""
+    x, y = x - x.min(), y - y.min()
+    wide, high = int(x.max()) + 1, int(y.max()) + 1
+    x0, x1, y0, y1 = np.maximum(x - half, 0), np.minimum(x + half + 1, wide), np.maximum(y - half, 0), np.minimum(y + half + 1, high)
+    out = []
+    for v in values:
+        table = np.zeros((high + 1, wide + 1))
+        np.add.at(table, (y + 1, x + 1), v)
+        table = table.cumsum(axis=0).cumsum(axis=1)
+        out.append(table[y1, x1] - table[y0, x1] - table[y1, x0] + table[y0, x0])
+    return out
+
+
+def focal_stats(cells: DataFrame, value: str, half: int) -> DataFrame:
+    """The cells with local_mean and local_std of the value over all cells within half in x and y. At the border of the raster, and where cells are missing, the window has fewer.
 
-    The sums over x are made at every column within reach of a value, so a column without a row of its own counts too.
+    A frame is cut into strips of STRIP rows; each strip gets the cells within half of it, so a task holds a strip and its rims, and
+    a cell is copied only near a rim. A summed-area table makes the cost of a cell the same for every window.
     """
-    spread = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    wide = cells.select("video_id", "frame_idx", "cy", "cx", F.col(value).alias("v"), spread.alias("_d")).withColumn("cx", F.col("cx") + F.col("_d"))
-    along_x = wide.groupBy("video_id", "frame_idx", "cx", "cy").agg(F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"), F.count("*").alias("n"))
-    marked = along_x.join(cells.select(*CELL).withColumn("_own", F.lit(True)), CELL, "left")
-    near = Window.partitionBy("video_id", "frame_idx", "cx").orderBy("cy").rangeBetween(-half, half)
-    rows = marked.withColumns({f"{k}": F.sum(k).over(near) for k in ("s1", "s2", "n")})
-    return cells.join(rows.filter("_own").drop("_own"), CELL)
+    strip = lambda c: F.floor(c / STRIP).cast("int")
+    near = F.sequence(strip(F.col("cy") - half), strip(F.col("cy") + half))
+    rows = cells.select(*CELL, F.col(value).cast("double").alias("v"), F.explode(near).alias("strip")).filter("v IS NOT NULL")
+
+    def stats(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf["v"].to_numpy()
+        base = v.mean()  # sums of differences from it lose fewer digits
+        n, s1, s2 = _box_sums(pdf["cx"].to_numpy(np.int64), pdf["cy"].to_numpy(np.int64), [np.ones(len(v)), v - base, (v - base) ** 2], half)
+        pdf["local_mean"], pdf["local_std"] = base + s1 / n, np.sqrt(np.maximum(s2 / n - (s1 / n) ** 2, 0))
+        return pdf[np.floor(pdf["cy"] / STRIP) == pdf["strip"]][[*CELL, "local_mean", "local_std"]]
+
+    kinds = ", ".join(f"{c} {dict(cells.dtypes)[c]}" for c in CELL)
+    found = rows.groupBy("video_id", "frame_idx", "strip").applyInPandas(stats, f"{kinds}, local_mean double, local_std double")
+    return cells.join(found, CELL)
 
 
 def adaptive_threshold(diff: DataFrame, half: int = 15, least: float = 8.0, sigma: float = 2.2) -> DataFrame:
     """Cells whose difference reaches max(least, local mean + sigma * local deviation)."""
-    rows = focal_sums(diff, "abs_delta", half)
-    mean = F.col("s1") / F.col("n")
-    spread = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
-    return rows.withColumns({"local_mean": mean, "local_std": spread}).withColumn("passed", F.col("abs_delta") >= F.greatest(F.lit(least), F.col("local_mean") + sigma * F.col("local_std"))).drop("s1", "s2", "n")
+    rows = focal_stats(diff, "abs_delta", half)
+    return rows.withColumn("passed", F.col("abs_delta") >= F.greatest(F.lit(least), F.col("local_mean") + sigma * F.col("local_std")))
 
 
 def focal_minmax(cells: DataFrame, value: str, half: int, least: bool) -> DataFrame:
@@ -77,32 +101,74 @@ def prior_overlap(labelled: DataFrame, history: DataFrame) -> DataFrame:
     return rows.groupBy("video_id", "frame_idx", "blob").agg(F.avg(F.col("prior_active").cast("double")).alias("prior_overlap"))
 
 
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that it reaches over the links a - b: least labels cross the links, then labels take their own labels, until nothing changes."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
+def touching(cy: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs in rows next to each other that touch, corners included. Runs are sorted by row and begin, and disjoint within a row, so those that one run touches are a stretch."""
+    x0, x1 = x0 - x0.min() + 1, x1 - x0.min() + 1
+    wide = int(x1.max()) + 3
+    lo = np.searchsorted(cy * wide + x1, (cy + 1) * wide + x0 - 1, "left")
+    hi = np.searchsorted(cy * wide + x0, (cy + 1) * wide + x1 + 1, "right")
+    count = np.maximum(hi - lo, 0)
+    first = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count)
+    return np.repeat(np.arange(len(cy)), count), first + np.arange(int(count.sum()))
+
+
+def changed_runs(diff: DataFrame) -> DataFrame:
+    """Runs of changed cells side by side in a row: video_id, frame_idx, cy, x0, x1 and cells (structs cx, delta)."""
+    row = Window.partitionBy("video_id", "frame_idx", "cy").orderBy("cx")
+    rows = diff.filter("changed").select(*CELL, "delta").withColumn("_run", F.col("cx") - F.row_number().over(row))
+    return rows.groupBy("video_id", "frame_idx", "cy", "_run").agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.collect_list(F.struct("cx", "delta")).alias("cells")).drop("_run")
+
+
 def label_blobs(diff: DataFrame) -> DataFrame:
-    """Cells that changed, with the label of their 8-connected blob (the smallest cell number of it in its frame). One frame is one group: it is bounded by the raster."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {(x, y): k for k, (x, y) in enumerate(zip(pdf["cx"], pdf["cy"], strict=True))}
-        parent = list(range(len(pdf)))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        for (x, y), k in at.items():
-            for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1)):
-                other = at.get((x + dx, y + dy))
-                if other is not None:
-                    a, b = root(k), root(other)
-                    parent[max(a, b)] = min(a, b)
-        pdf["blob"] = [root(at[xy]) for xy in zip(pdf["cx"], pdf["cy"], strict=True)]
-        number = pdf["cy"] * 100_000 + pdf["cx"]
-        pdf["blob"] = number.groupby(pdf["blob"]).transform("min").astype(np.int64)
-        return pdf
-
-    rows = diff.filter("changed").select(*CELL, "delta")
-    return rows.groupBy("video_id", "frame_idx").applyInPandas(label, "video_id int, frame_idx int, cx int, cy int, delta double, blob long")
+    """Cells that changed, with the label of their 8-connected blob (the smallest cell number cy * 100000 + cx of it in its frame). 
+
+    Cells become runs; runs are joined within strips of STRIP rows, a strip being one group; then strips are joined where runs
+    touch across a seam, and a frame's seams alone are one group. The work between is numpy on arrays of runs.
+    """
+    runs = materialize(changed_runs(diff))
+    frame = ["video_id", "frame_idx"]
+    kinds = ", ".join(f"{c} {dict(runs.dtypes)[c]}" for c in (*frame, "cy", "x0", "x1"))
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cy", "x0"], ignore_index=True)
+        cy, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("cy", "x0", "x1"))
+        pdf["part"] = (cy * 100_000 + x0)[components(len(pdf), *touching(cy, x0, x1))]
+        return pdf[[*frame, "cy", "x0", "x1", "part"]]
+
+    slim = runs.select(*frame, "cy", "x0", "x1", F.floor(F.col("cy") / STRIP).alias("strip"))
+    parts = materialize(slim.groupBy(*frame, "strip").applyInPandas(within, f"{kinds}, part long"))
+    last = parts.filter(F.pmod("cy", F.lit(STRIP)) == STRIP - 1).select(*frame, (F.col("cy") + 1).alias("cy"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("part").alias("a"))
+    first = parts.filter(F.pmod("cy", F.lit(STRIP)) == 0).select(*frame, "cy", "x0", "x1", F.col("part").alias("b"))
+    seams = last.join(first, [*frame, "cy"]).filter((F.col("x0") <= F.col("a1") + 1) & (F.col("x1") >= F.col("a0") - 1)).select(*frame, "a", "b").distinct()
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        whole = names[components(len(names), ends[:, 0], ends[:, 1])]
+        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "frame_idx": pdf["frame_idx"].iloc[0], "part": names, "whole": whole})
+
+    roots = seams.groupBy(*frame).applyInPandas(across, f"{', '.join(kinds.split(', ')[:2])}, part long, whole long")
+    labelled = parts.join(roots, [*frame, "part"], "left").select(*frame, "cy", "x0", F.coalesce("whole", "part").alias("blob"))
+    rows = runs.join(labelled, [*frame, "cy", "x0"]).select(*frame, "cy", F.explode("cells").alias("c"), "blob")
+    return rows.select(*frame, "c.cx", "cy", "c.delta", "blob")
 
 
 def blobs(labelled: DataFrame, least_area: int = 1, most_area: int | None = None, border: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:

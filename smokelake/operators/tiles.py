@@ -10,8 +10,8 @@ from .shared import materialize
 
 #: Degrees of a grid cell (fixed value). A tile of more cells than MANY_CELLS goes to cells COARSER times as wide.
 CELL, MANY_CELLS, COARSER = 0.05, 256, 64
-#: Metres of the rings in which the nearest tile is sought; the last one holds all distances.
-RINGS = (5e3, 2e4, 8e4, 3.2e5, 1.28e6, 5.12e6, 2.048e7, 8.2e7)
+#: Degrees of the cells in which the nearest tile is sought, from the widest, each a fourth of the one before; and tiles of a cell that need no narrower ones.
+WIDE_CELL, LEVELS, FEW_TILES = 16.0, 9, 64
 
 
 def tile_catalog(raw: DataFrame) -> DataFrame:
@@ -79,37 +79,68 @@ def region_bounds(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("region").agg(F.count("*").alias("tiles"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
 
 
-def nearest_submap(points: DataFrame, tiles: DataFrame) -> DataFrame:
+def cell_extremes(tiles: DataFrame, size: float) -> DataFrame:
+    """Tiles by the grid cell of their centre: cx, cy, the number of tiles, and west, south, east and north of all of them."""
+    at = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / size).cast("int")
+    return tiles.groupBy(at("west", "east").alias("cx"), at("south", "north").alias("cy")).agg(
+        F.count("*").alias("tiles"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north")
+    )
+
+
+def distance_bounds(lon: Column, lat: Column, west: Column, south: Column, east: Column, north: Column) -> tuple[Column, Column]:
+    """The least and the greatest that geo_distance can be from a point to the nearest place of any tile within the bounds.
+
+    The factor of a degree of longitude is the cosine of the mean latitude; over the latitudes of the bounds it is least at
+    one end, and greatest at the other or at the equator.
+    """
+    low, high = (lat + south) / 2, (lat + north) / 2
+    narrow = F.greatest(F.least(F.cos(F.radians(low)), F.cos(F.radians(high))), F.lit(0.0))
+    broad = F.when((low <= 0) & (high >= 0), F.lit(1.0)).otherwise(F.greatest(F.cos(F.radians(low)), F.cos(F.radians(high))))
+    zero = F.lit(0.0)
+    near = F.hypot(F.greatest(west - lon, lon - east, zero) * G.METRES_LON * narrow, F.greatest(south - lat, lat - north, zero) * G.METRES_LAT)
+    far = F.hypot(F.greatest(F.abs(lon - west), F.abs(lon - east)) * G.METRES_LON * broad, F.greatest(F.abs(lat - south), F.abs(lat - north)) * G.METRES_LAT)
+    return near / G.WIDER, far * G.WIDER
+
+
+def nearest_submap(points: DataFrame, tiles: DataFrame, key: str = "point_id") -> DataFrame:
     """For each point the region of the nearest tile bounds, then nearest tile centre, then name; null where the point has no place on the map, or where there is no tile.
 
-    Points look for tiles in rings of a growing radius, on grid cells that grow with it; those that find one within the radius are
-    done. Only points far from all tiles, or near a pole, come to the wide rings. Tiles without lawful bounds take no part.
+    Tiles lie in a hierarchy of cells by their centres, each cell with the extremes of its tiles. A point begins at the widest cells
+    (276 at most) and goes down only into those whose least possible distance is no more than the greatest possible distance of another
+    cell; only in the last ones it meets tiles. So a point far from all tiles touches few cells, as does a near one. Levels end
+    where no cell holds more than FEW_TILES tiles. Tiles without lawful bounds take no part.
     """
-    slim = lawful(tiles).select("region", "west", "south", "east", "north")
-    placed = F.coalesce((F.abs("lon") <= 180) & (F.abs("lat") <= 90), F.lit(False))  # not a number is above all
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        near_lon = F.least(F.greatest("lon", "west"), F.col("east"))
-        near_lat = F.least(F.greatest("lat", "south"), F.col("north"))
-        edge = G.geo_distance("lon", "lat", near_lon, near_lat)
-        centre = G.geo_distance("lon", "lat", (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2)
-        return pairs.groupBy("point_id").agg(F.min(F.struct(edge.alias("edge"), centre.alias("centre"), "region")).alias("b"))
-
-    out, left = [], points.filter(placed)
-    for radius in RINGS:
-        last = radius == RINGS[-1]
-        dlat, dlon = G.half_sides("lat", F.lit(radius))
-        size = max(CELL, radius / G.METRES_LAT)
-        few = F.lit(last) | (dlon / size < 16)  # near a pole a wider ring has fewer cells
-        seekers = left.filter(few).withColumns({"w": F.col("lon") - dlon, "s": F.greatest(F.col("lat") - dlat, F.lit(-90.0)), "e": F.col("lon") + dlon, "n": F.least(F.col("lat") + dlat, F.lit(90.0))})
-        found = materialize(ranked(_near_pairs(seekers, slim, size)).filter(F.col("b.edge") <= radius))
-        out.append(found)
-        left = materialize(left.join(found, "point_id", "left_anti"))
-        if left.isEmpty():
+    slim = materialize(lawful(tiles).select("region", "west", "south", "east", "north"))
+    bounds = ["west", "south", "east", "north"]
+    levels, size = [], WIDE_CELL
+    while True:
+        levels.append(materialize(cell_extremes(slim, size)))
+        if len(levels) == LEVELS or (levels[-1].agg(F.max("tiles")).first()[0] or 0) <= FEW_TILES:
             break
-    for some in out[1:]:
-        out[0] = out[0].unionByName(some)
-    return points.select("point_id").join(out[0], "point_id", "left").select("point_id", "b.region", F.col("b.edge").alias("distance"))
+        size /= 4
+    placed = points.filter(F.coalesce((F.abs("lon") <= 180) & (F.abs("lat") <= 90), F.lit(False))).select(key, "lon", "lat")  # not a number is above all
+    bound = lambda c: distance_bounds(F.col("lon"), F.col("lat"), *[c[b] for b in bounds])
+
+    # the widest cells are few: each point sees them as one array, and only those that it keeps become rows
+    roots = levels[0].agg(F.collect_list(F.struct("cx", "cy", *bounds))).scalar()
+    rows = placed.withColumn("_all", roots).withColumn("_far", F.array_min(F.transform("_all", lambda c: bound(c)[1])))
+    rows = rows.withColumn("c", F.explode(F.filter("_all", lambda c: bound(c)[0] <= F.col("_far")))).select(key, "lon", "lat", "_far", "c.cx", "c.cy")
+    for cells in levels[1:]:
+        up = lambda c: F.floor(F.col(c) / 4).cast("int").alias(f"_{c}")
+        below = cells.select(F.col("cx").alias("_x"), F.col("cy").alias("_y"), up("cx"), up("cy"), *bounds)
+        found = rows.join(below, (rows["cx"] == below["_cx"]) & (rows["cy"] == below["_cy"])).drop("cx", "cy", "_cx", "_cy").withColumnsRenamed({"_x": "cx", "_y": "cy"})
+        near, far = distance_bounds(F.col("lon"), F.col("lat"), *[F.col(b) for b in bounds])
+        found = found.withColumns({"_near": near, "_far": F.least("_far", far)})
+        found = found.withColumn("_far", F.min("_far").over(Window.partitionBy(key))).filter(F.col("_near") <= F.col("_far"))
+        rows = found.select(key, "lon", "lat", "_far", "cx", "cy")
+    at = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / size).cast("int")
+    own = slim.withColumns({"cx": at("west", "east"), "cy": at("south", "north")})
+    pairs = rows.join(own, ["cx", "cy"])
+    near_lon, near_lat = F.least(F.greatest("lon", "west"), F.col("east")), F.least(F.greatest("lat", "south"), F.col("north"))
+    edge = G.geo_distance("lon", "lat", near_lon, near_lat)
+    centre = G.geo_distance("lon", "lat", (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2)
+    best = pairs.groupBy(key).agg(F.min(F.struct(edge.alias("edge"), centre.alias("centre"), "region")).alias("b"))
+    return points.select(key).join(best, key, "left").select(key, "b.region", F.col("b.edge").alias("distance"))
 
 
 def view_points(photos: DataFrame, reach: float = 1800.0) -> DataFrame:

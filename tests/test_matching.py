@@ -71,3 +71,36 @@ def test_quality_under_a_homography(spark):
     got = {r.pair_id: r for r in matching.match_quality(corr, models, 3.0).collect()}
     assert (got[1].matches, got[1].inliers, got[2].inliers, got[2].rmse) == (6, 5, 0, None) and got[1].rmse < 1e-9
     assert matching.inliers_of(corr, models, 3.0).filter(F.col("bx") > 20).count() == 4
+
+
+def _matches(q, t, ratio):
+    """All pairs, the plain way."""
+    first = {}
+    for i, a in q:
+        near = sorted((math.dist(a, b), j) for j, b in t)
+        if len(near) > 1 and near[0][0] < ratio * near[1][0]:
+            first.setdefault(near[0][1], []).append((near[0][0], i))
+    return {(min(v)[1], j) for j, v in first.items()}
+
+
+def test_descriptors_in_blocks(spark):
+    """Any block size gives the same matches; ties go to the smaller id; a hot train vector keeps its nearest query."""
+    import random
+
+    draw = random.Random(7)
+    vector = lambda: [float(draw.randint(0, 6)) for _ in range(4)]
+    q, t = {}, {}
+    for pair in (1, 2, 3):
+        t[pair] = [(j, vector()) for j in range(60)]
+        q[pair] = [(i, [x + draw.choice([0.0, 0.01, 0.2]) for x in draw.choice(t[pair])[1]]) for i in range(100, 150)]
+    q[2] += [(200 + i, [x + 0.001 * i for x in t[2][0][1]]) for i in range(30)]
+    t[3] += [(j + 1000, v) for j, v in t[3][:10]]  # equal vectors: no match is clear
+    q[4], t[4] = [(1, [1.0] * 4)], [(2, [1.0] * 4)]  # a lone train vector has no second
+    rows = lambda side: spark.createDataFrame([(p, i, v) for p, own in side.items() for i, v in own] + [(1, 999, None), (None, 998, [0.0] * 4), (9, 997, [0.0] * 4)], "pair int, vec_id long, embedding array<float>")
+    single = lambda side: {p: [(i, [float(__import__("numpy").float32(x)) for x in v]) for i, v in own] for p, own in side.items()}
+    fq, ft = single(q), single(t)
+    want = {(p, i, j) for p in fq for i, j in _matches(fq[p], ft[p], 0.8)}
+    for block in (512, 16, 5):
+        got = matching.match_descriptors(rows(q), rows(t), 0.8, block=block).collect()
+        assert {(r.pair, r.query_id, r.train_id) for r in got} == want and len(got) == len(want), block
+    assert len(want) > 20
