@@ -104,13 +104,19 @@ def trajectory_distance(history, px, py) -> Column:
     return F.when(n == 1, F.hypot(px - first["x"], py - first["y"])).when(n > 1, F.least(F.array_min(steps), ahead))
 
 
-def transform_point(m, x, y) -> Column:
-    """A point under a 2x3 or 3x3 row-major matrix (array of 6 or 9 doubles); null where the depth is nearly 0."""
+def projected(m, x, y) -> tuple[Column, Column, Column]:
+    """x, y and depth of a point under a 2x3 or 3x3 row-major matrix (array of 6 or 9 doubles); x and y are null where the depth is nearly 0."""
     m, x, y = _c(m), _c(x), _c(y)
     at = lambda k: F.get(m, F.lit(k))
     depth = F.when(F.size(m) == 9, at(6) * x + at(7) * y + at(8)).otherwise(F.lit(1.0))
-    point = F.struct(((at(0) * x + at(1) * y + at(2)) / depth).alias("x"), ((at(3) * x + at(4) * y + at(5)) / depth).alias("y"))
-    return F.when(F.abs(depth) > 1e-10, point)
+    over = F.when(F.abs(depth) > 1e-10, depth)
+    return (at(0) * x + at(1) * y + at(2)) / over, (at(3) * x + at(4) * y + at(5)) / over, depth
+
+
+def transform_point(m, x, y) -> Column:
+    """A point under a matrix as a struct x, y; null where the depth is nearly 0."""
+    px, py, depth = projected(m, x, y)
+    return F.when(F.abs(depth) > 1e-10, F.struct(px.alias("x"), py.alias("y")))
 
 
 def transform_box(m, x, y, w, h, frame_w, frame_h) -> Column:

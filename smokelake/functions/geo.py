@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .boxes import _c
+from .boxes import _c, projected
 
 #: Ellipsoid and grid of TWD97 zone 121 (fixed values).
 A, B, LON0, K0, DX = 6378137.0, 6356752.3142451, math.radians(121), 0.9999, 250000.0
@@ -43,8 +43,7 @@ def _poly(x: Column, terms: list) -> Column:
     return out * x
 
 
-def wgs84_to_twd97(lon, lat) -> Column:
-    """Easting and northing by the transverse Mercator series to the sixth order."""
+def _grid(lon, lat) -> tuple[Column, Column]:
     lon, phi = _c(lon), F.radians(_c(lat))
     sin, cos = F.sin(phi), F.cos(phi)
     nu = A / F.sqrt(1 - E2 * sin * sin)
@@ -53,7 +52,13 @@ def wgs84_to_twd97(lon, lat) -> Column:
     arc = A * sum((k * (phi if m == 0 else F.sin(m * phi)) for m, k in ARC), F.lit(0.0))
     east = _poly(w, [1, (1 - t + c) / 6, (5 - 18 * t + t * t + 72 * c - 58 * EP2) / 120])
     north = _poly(w, [F.lit(0.5), (5 - t + 9 * c + 4 * c * c) / 24, (61 - 58 * t + t * t + 600 * c - 330 * EP2) / 720]) * w
-    return F.struct((DX + K0 * nu * east).alias("easting"), (K0 * (arc + nu * F.tan(phi) * north)).alias("northing"))
+    return DX + K0 * nu * east, K0 * (arc + nu * F.tan(phi) * north)
+
+
+def wgs84_to_twd97(lon, lat) -> Column:
+    """Easting and northing by the transverse Mercator series to the sixth order."""
+    easting, northing = _grid(lon, lat)
+    return F.struct(easting.alias("easting"), northing.alias("northing"))
 
 
 def twd97_to_wgs84(easting, northing) -> Column:
@@ -206,9 +211,9 @@ def pixel_ray_depth(yaw, pitch, roll, px, py, width, height) -> Column:
 def pixel_to_ground(lon, lat, alt, yaw, pitch, roll, px, py, width, height) -> Column:
     """Easting and northing where the ray of a pixel of a static camera meets the ground. above_horizon tells rays that don't go down; their coordinates are those of the ray carried on backwards."""
     ray = _pixel_ray(yaw, pitch, roll, px, py, width, height)
-    here = wgs84_to_twd97(lon, lat)
+    easting, northing = _grid(lon, lat)
     reach = -_c(alt) / ray[2]
-    return F.struct((here["easting"] + reach * ray[0]).alias("easting"), (here["northing"] + reach * ray[1]).alias("northing"), (ray[2] >= 0).alias("above_horizon"))
+    return F.struct((easting + reach * ray[0]).alias("easting"), (northing + reach * ray[1]).alias("northing"), (ray[2] >= 0).alias("above_horizon"))
 
 
 def match_pixel_to_geo(h, u, v, frame_w, frame_h, roi_w, roi_h, west, north, step_x, step_y, mask=None) -> Column:
@@ -216,12 +221,10 @@ def match_pixel_to_geo(h, u, v, frame_w, frame_h, roi_w, roi_h, west, north, ste
 
     mask: array of the window's rows, each an array of what the map covers; the nearest cell (halves to the even one) counts.
     """
-    from .boxes import transform_point
-
     u, v = _c(u), _c(v)
-    p = transform_point(h, u, v)
-    ok = (u >= 0) & (v >= 0) & (u < _c(frame_w)) & (v < _c(frame_h)) & p.isNotNull() & (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] < _c(roi_w)) & (p["y"] < _c(roi_h))
+    x, y, _ = projected(h, u, v)
+    ok = (u >= 0) & (v >= 0) & (u < _c(frame_w)) & (v < _c(frame_h)) & (x >= 0) & (y >= 0) & (x < _c(roi_w)) & (y < _c(roi_h))
     if mask is not None:
-        at = lambda x, n: F.least(F.rint(x), _c(n) - 1).cast("int")
-        ok = ok & F.coalesce(F.get(F.get(_c(mask), at(p["y"], roi_h)), at(p["x"], roi_w)), F.lit(False))
-    return F.when(ok, F.struct((_c(west) + (p["x"] + 0.5) * _c(step_x)).alias("lon"), (_c(north) - (p["y"] + 0.5) * _c(step_y)).alias("lat")))
+        at = lambda z, n: F.least(F.rint(z), _c(n) - 1).cast("int")
+        ok = ok & F.coalesce(F.get(F.get(_c(mask), at(y, roi_h)), at(x, roi_w)), F.lit(False))
+    return F.when(ok, F.struct((_c(west) + (x + 0.5) * _c(step_x)).alias("lon"), (_c(north) - (y + 0.5) * _c(step_y)).alias("lat")))

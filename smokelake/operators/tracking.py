@@ -1,16 +1,19 @@
 """Association, suppression and the per-video state machines of detections, throttling and pose status.
 
 The state machines are plain step functions over one frame at a time. A batch form runs them over a video's frames in
-order (one video is one group: each step needs the state that the one before left); the streaming forms in
-smokelake.streaming keep the same state between micro-batches.
+order, along sorted partitions that carry the state from batch to batch; the streaming forms in smokelake.streaming keep the same
+state between micro-batches.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,16 +77,29 @@ def greedy(pairs: Iterable[tuple[float, int, int]]) -> list[tuple[int, int]]:
 
 
 def greedy_assign(pairs: DataFrame, keys: list[str], track: str = "track_id", det: str = "det_id") -> DataFrame:
-    """One-to-one assignment within each frame: ascending score, then track, then detection. One frame is one group."""
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, track, det])
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", track, det])
-        kept = set(greedy(zip(pdf["score"], pdf[track], pdf[det], strict=True)))
-        return pdf[[pair in kept for pair in zip(pdf[track], pdf[det], strict=True)]][[*keys, track, det]]
+    """One-to-one assignment within each frame: ascending score, then track, then detection.
 
-    return pairs.select(*keys, track, det, "score").groupBy(*keys).applyInPandas(assign, schema)
+    Pairs are dealt by frame and sorted within tasks; a task takes them one after the other and holds what the frame at hand has used.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    names = [*keys, track, det]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame, tracks, dets = None, set(), set()
+        for pdf in batches:
+            keep = []
+            for *at, a, b in zip(*[pdf[c].tolist() for c in names], strict=True):
+                if at != frame:
+                    frame, tracks, dets = at, set(), set()
+                free = a not in tracks and b not in dets
+                if free:
+                    tracks.add(a)
+                    dets.add(b)
+                keep.append(free)
+            yield pdf.loc[keep, names]
+
+    rows = pairs.select(*names, "score").repartition(*keys).sortWithinPartitions(*keys, "score", track, det)
+    return rows.mapInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def nms_pairs(dets: DataFrame, least: float) -> DataFrame:
@@ -221,38 +237,67 @@ def tracker_input(frames: DataFrame, dets: DataFrame) -> DataFrame:
 
 
 def by_frame(pdf: pd.DataFrame) -> Iterable[tuple[int, list[dict]]]:
-    """Frames in order with their detections in order."""
+    """Frames in order with their detections in order; a frame without detections is a row whose det_idx is null."""
     pdf = pdf.sort_values(["frame_idx", "det_idx"])
-    for frame, rows in pdf.groupby("frame_idx", sort=True):
-        rows = rows[rows["det_idx"].notna()]
-        yield int(frame), [
-            {"box": (int(r.x), int(r.y), int(r.w), int(r.h)), "conf": float(r.conf), "cls": r.cls_name} for r in rows.itertuples()
-        ]
+    frames, there = pdf["frame_idx"].to_numpy(), pdf["det_idx"].notna().to_numpy()
+    boxes = pdf[["x", "y", "w", "h"]].fillna(0).to_numpy(np.int64).tolist()
+    conf, names = pdf["conf"].fillna(0.0).astype(float).tolist(), pdf["cls_name"].tolist()
+    edges = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(frames)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a < b:
+            yield int(frames[a]), [{"box": tuple(boxes[k]), "conf": conf[k], "cls": names[k]} for k in range(a, b) if there[k]]
+
+
+def in_order(rows: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], Any], each: Callable[[Any, Any, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """each(key, state, rows) over every key's rows in order, part by part; start() makes a key's state, which is carried from part to part.
+
+    Rows are dealt by key and sorted within tasks, so a task holds one Arrow batch and one state, however long a key goes on.
+    Rows that are alike in the first column of order (a frame) come in one part.
+    """
+    clock = order[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, held = None, None, None
+        for pdf in itertools.chain(batches, [None]):
+            if pdf is not None:
+                pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                last = (pdf[key] == pdf[key].iloc[-1]) & (pdf[clock] == pdf[clock].iloc[-1])  # may go on in the next batch
+                held, pdf = pdf[last], pdf[~last]
+            else:
+                pdf = held
+            if pdf is None:
+                continue
+            for k, part in pdf.groupby(key, sort=False):
+                if state is None or k != at:
+                    at, state = k, start()
+                yield each(k, state, part)
+
+    return rows.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def track_detections(rows: DataFrame, settings: TrackSettings = TrackSettings()) -> DataFrame:
     """Confirmed events of every video from tracker_input rows; event ids count from 1 in each video."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, video = TrackState(), int(pdf["video_id"].iloc[0])
-        events = [e | {"video_id": video} for frame, dets in by_frame(pdf) for e in state.step(frame, dets, settings)]
+    def each(video: int, state: TrackState, part: pd.DataFrame) -> pd.DataFrame:
+        events = [e | {"video_id": int(video)} for frame, dets in by_frame(part) for e in state.step(frame, dets, settings)]
         return pd.DataFrame(events, columns=EVENT_COLUMNS)
 
-    return rows.groupBy("video_id").applyInPandas(run, EVENT_SCHEMA)
+    return in_order(rows, "video_id", ["frame_idx", "det_idx"], EVENT_SCHEMA, TrackState, each)
 
 
 def throttle(rows: DataFrame, key: str, clock: str, gap: float) -> DataFrame:
-    """Rows at least gap after the last row that was let through, for each key."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, keep = pdf.sort_values(clock), None, []
-        for v in pdf[clock]:
-            ok = last is None or v - last >= gap
-            last = v if ok else last
+    """Rows at least gap after the last row that was let through, for each key. Rows without a key or a time are left out."""
+
+    def each(_: Any, last: list, part: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for v in part[clock]:
+            ok = not last or v - last[0] >= gap
+            if ok:
+                last[:] = [v]
             keep.append(ok)
-        return pdf[keep]
+        return part[keep]
 
-    return rows.groupBy(key).applyInPandas(run, rows.schema)
+    return in_order(rows.filter(F.col(clock).isNotNull()), key, [clock], rows.schema, list, each)
 
 
 def pose_step(state: dict, frame: int, link_ok: bool, klt_ok: bool, correction_ok: bool, fps: float, reference_valid: bool = True, gps_seed: bool = False) -> str:
@@ -286,12 +331,12 @@ def pose_step(state: dict, frame: int, link_ok: bool, klt_ok: bool, correction_o
 def pose_status(rows: DataFrame, fps: float, reference_valid: bool = True, gps_seed: bool = False) -> DataFrame:
     """Status of every frame; columns video_id, frame_idx, link_ok, klt_ok, correction_ok."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values("frame_idx"), {}
-        status = [pose_step(state, int(r.frame_idx), bool(r.link_ok), bool(r.klt_ok), bool(r.correction_ok), fps, reference_valid, gps_seed) for r in pdf.itertuples()]
-        return pd.DataFrame({"video_id": pdf["video_id"], "frame_idx": pdf["frame_idx"], "status": status})
+    def each(_: Any, state: dict, part: pd.DataFrame) -> pd.DataFrame:
+        frames = zip(part["frame_idx"].tolist(), part["link_ok"].tolist(), part["klt_ok"].tolist(), part["correction_ok"].tolist(), strict=True)
+        status = [pose_step(state, int(f), bool(a), bool(b), bool(c), fps, reference_valid, gps_seed) for f, a, b, c in frames]
+        return pd.DataFrame({"video_id": part["video_id"], "frame_idx": part["frame_idx"], "status": status})
 
-    return rows.groupBy("video_id").applyInPandas(run, "video_id int, frame_idx int, status string")
+    return in_order(rows, "video_id", ["frame_idx"], "video_id int, frame_idx int, status string", dict, each)
 
 
 def outages(captures: DataFrame, gap_seconds: int = 2) -> DataFrame:

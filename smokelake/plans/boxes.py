@@ -154,11 +154,14 @@ m AS (SELECT *, (sin(yy)*sin(pp)*sin(rr) + cos(yy)*cos(rr))*u*k + sin(yy)*cos(pp
  -cos(pp)*sin(rr)*u*k + sin(pp)*w*k - 4.5e0*cos(pp)*cos(rr) AS rz FROM d)"""
 
 
-@query("b16_pixel_to_ground", "WITH " + RAY + ", " + TWD.format(src="m", lon="lon", lat="lat") + " SELECT video_id, frame_idx, round(easting - alt * rx / rz, 2) AS easting, round(northing - alt * ry / rz, 2) AS northing, rz >= 0 AS above_horizon FROM g3 WHERE abs(rz) > 0.1")
+@query("b16_pixel_to_ground", "WITH " + RAY + ", " + TWD.format(src="m", lon="lon", lat="lat") + " SELECT video_id, frame_idx, CASE WHEN abs(rz) > 0.1 THEN round(easting - alt * rx / rz, 2) END AS easting, CASE WHEN abs(rz) > 0.1 THEN round(northing - alt * ry / rz, 2) END AS northing, CASE WHEN abs(rz) <= 0.1 THEN 'near_horizon' WHEN rz > 0 THEN 'above_horizon' ELSE 'ground' END AS status FROM g3")
 def b16(t):
+    """All rays, each with what becomes of it. Of those that nearly follow the horizon a last digit of the depth moves the place by kilometres, so their places are left out."""
     p = G.pixel_to_ground("lon", "lat", "alt", "yaw", "pitch", "roll", F.col("frame_idx") % 1280, F.col("frame_idx") % 720, F.lit(1280), F.lit(720))
-    rows = t("poses").select("video_id", "frame_idx", p.alias("p"), (G.pixel_ray_depth("yaw", "pitch", "roll", F.col("frame_idx") % 1280, F.col("frame_idx") % 720, F.lit(1280), F.lit(720)) * 4.5).alias("z"))
-    return rows.filter(F.abs("z") > 0.1).select("video_id", "frame_idx", R("p.easting", 2).alias("easting"), R("p.northing", 2).alias("northing"), "p.above_horizon")
+    z = G.pixel_ray_depth("yaw", "pitch", "roll", F.col("frame_idx") % 1280, F.col("frame_idx") % 720, F.lit(1280), F.lit(720)) * 4.5
+    rows = t("poses").select("video_id", "frame_idx", p.alias("p"), (F.abs(z) > 0.1).alias("clear"))
+    status = F.when(~F.col("clear"), "near_horizon").when(F.col("p.above_horizon"), "above_horizon").otherwise("ground")
+    return rows.select("video_id", "frame_idx", *[F.when(F.col("clear"), R(f"p.{c}", 2)).alias(c) for c in ("easting", "northing")], status.alias("status"))
 
 
 ROT = """SELECT *, cos(y)*cos(r) + sin(y)*sin(p)*sin(r) AS m0, cos(y)*sin(p)*sin(r) - sin(y)*cos(r) AS m1, -cos(p)*sin(r) AS m2, sin(y)*sin(p)*cos(r) - cos(y)*sin(r) AS m3, cos(y)*sin(p)*cos(r) + sin(y)*sin(r) AS m4, -cos(p)*cos(r) AS m5,

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as X
+from ..functions import geo as G
 from ..operators import events as O
 from ..operators import frames as FR
 from .boxes import RAY, TWD
@@ -58,17 +59,17 @@ def c06_static(t):
     return rows.select("video_id", "event_id", "coordinate_status", R("easting", 2).alias("easting"))
 
 
-@query("b17_static_position", f"WITH {RAY}, " + TWD.format(src="m", lon="lon", lat="lat") + """, k AS (SELECT *, frame_idx % 9 = 0 AS none, frame_idx % 9 = 1 AS part FROM g3 WHERE abs(rz) > 0.5)
-SELECT video_id, frame_idx, CASE WHEN NOT none AND NOT part THEN round(easting - alt * rx / rz, 2) END AS easting, CASE WHEN NOT none AND NOT part THEN round(northing - alt * ry / rz, 2) END AS northing, CASE WHEN part THEN 'partial_pose' END AS problem, none AS no_pose FROM k""")
+@query("b17_static_position", f"WITH {RAY}, " + TWD.format(src="m", lon="lon", lat="lat") + """, k AS (SELECT *, frame_idx % 9 = 0 AS none, frame_idx % 9 = 1 AS part, abs(rz) > 0.5 AS clear FROM g3)
+SELECT video_id, frame_idx, CASE WHEN clear AND NOT none AND NOT part THEN round(easting - alt * rx / rz, 2) END AS easting, CASE WHEN clear AND NOT none AND NOT part THEN round(northing - alt * ry / rz, 2) END AS northing, CASE WHEN clear AND NOT none AND NOT part THEN rz >= 0 END AS above_horizon, CASE WHEN part THEN 'partial_pose' END AS problem, none AS no_pose FROM k""")
 def b17(t):
-    from ..functions import geo as G
-
+    """All rays; the places of those near the horizon are left out, since they hang on the last digits."""
     gone = lambda c, k: F.when(~F.pmod("frame_idx", F.lit(9)).isin(*k), F.col(c))
     px, py, w, h = F.col("frame_idx") % 1280, F.col("frame_idx") % 720, F.lit(1280), F.lit(720)
-    rows = t("poses").filter(F.abs(G.pixel_ray_depth("yaw", "pitch", "roll", px, py, w, h) * 4.5) > 0.5)
+    rows = t("poses").withColumn("clear", F.abs(G.pixel_ray_depth("yaw", "pitch", "roll", px, py, w, h) * 4.5) > 0.5)
     rows = rows.withColumns({"lon": gone("lon", (0,)), "lat": gone("lat", (0, 1)), "alt": gone("alt", (0,))})
     rows = O.static_position(rows, px, py, w, h, "lon", "lat", "alt", "yaw", "pitch", "roll", "p")
-    return rows.select("video_id", "frame_idx", R("p.easting", 2).alias("easting"), R("p.northing", 2).alias("northing"), "p.problem", F.col("p").isNull().alias("no_pose"))
+    clear = lambda c: F.when(F.col("clear"), c)
+    return rows.select("video_id", "frame_idx", clear(R("p.easting", 2)).alias("easting"), clear(R("p.northing", 2)).alias("northing"), clear(F.col("p.above_horizon")).alias("above_horizon"), "p.problem", F.col("p").isNull().alias("no_pose"))
 
 
 ACT = "ev AS (SELECT video_id, event_id, frame_idx AS confirm_frame FROM detections WHERE conf >= 0.95e0), act AS (SELECT f.video_id, f.frame_idx, e.event_id, e.confirm_frame FROM frames f JOIN ev e ON f.video_id = e.video_id AND f.frame_idx - e.confirm_frame BETWEEN 0 AND 45)"

@@ -1,14 +1,15 @@
-"""Queries on streaming operators. I9 and I7 run as batches of the same functions; I11 runs as a stream over files and returns the sink (A13, I7, I8, I9, I11). I2 is registered as a batch only, in tracking.py."""
+"""Queries on streaming operators as batches of the same functions (A13, I7, I8, I9), and one stream over a table; the live path as streams is in live.py."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import tracking as T
+from ..operators.shared import shared_folder
 from ..streaming import pipelines as P
 from .boxes import TWD
 from .events import EV
@@ -16,10 +17,9 @@ from .registry import query
 
 
 def drained(stream: DataFrame, schema) -> DataFrame:
-    """Run a stream to the end of its input and read its sink. The sink lies in the shared checkpoint folder where one is set."""
+    """Run a stream to the end of its input and read its sink, which lies in the shared folder."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base}/stream-{spark.sql('SELECT uuid()').first()[0]}" if base else tempfile.mkdtemp(prefix="spark-")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/out")
 

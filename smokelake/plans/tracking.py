@@ -42,8 +42,13 @@ def c12_motion(t):
     return O.motion_pairs(tracks, dets, ["video_id", "frame_idx"]).select("video_id", "frame_idx", "track_id", "det_id", R("score").alias("score"))
 
 
-@query("c13_greedy_assign")
+@query("c13_greedy_assign", f"""WITH RECURSIVE {PAIRS}, c AS (SELECT video_id, frame_idx, track_id, det_id, score FROM s WHERE iou >= 0.1e0 OR dist <= reach),
+r AS (SELECT DISTINCT video_id, frame_idx, CAST([] AS INT[]) AS tracks, CAST([] AS INT[]) AS dets, CAST(NULL AS INT) AS track_id, CAST(NULL AS INT) AS det_id FROM c
+ UNION ALL SELECT video_id, frame_idx, list_append(tracks, b.t), list_append(dets, b.d), b.t, b.d FROM (SELECT r.video_id, r.frame_idx, r.tracks, r.dets, arg_min({{'t': c.track_id, 'd': c.det_id}}, (c.score, c.track_id, c.det_id)) AS b
+  FROM r JOIN c ON c.video_id = r.video_id AND c.frame_idx = r.frame_idx WHERE NOT list_contains(r.tracks, c.track_id) AND NOT list_contains(r.dets, c.det_id) GROUP BY r.video_id, r.frame_idx, r.tracks, r.dets) x)
+SELECT video_id, frame_idx, track_id, det_id FROM r WHERE track_id IS NOT NULL""")
 def c13(t):
+    """The twin takes the best pair that is left, again and again."""
     return O.greedy_assign(_pairs(t), ["video_id", "frame_idx"])
 
 
@@ -111,12 +116,17 @@ def i04(t):
     return M.event_memories(_candidates(t))
 
 
-@query("i05_throttle")
+@query("i05_throttle", """WITH RECURSIVE r AS (SELECT video_id, min(frame_idx) AS frame_idx FROM frames GROUP BY video_id
+UNION ALL SELECT r.video_id, min(f.frame_idx) FROM r JOIN frames f ON f.video_id = r.video_id AND f.frame_idx >= r.frame_idx + 30 GROUP BY r.video_id, r.frame_idx) SELECT video_id, frame_idx FROM r""")
 def i05(t):
     return O.throttle(t("frames").select("video_id", "frame_idx"), "video_id", "frame_idx", 30)
 
 
-@query("i06_pose_status")
+#: At 30 frames a second: a link a second apart at most, a map check after five, no fix older than 15.
+@query("i06_pose_status", """WITH RECURSIVE r AS (SELECT DISTINCT video_id, -1 AS frame_idx, 'LOST' AS status, -1000 AS link, -1000 AS looked, CAST(NULL AS INT) AS fix FROM poses
+UNION ALL SELECT video_id, f, CASE WHEN ok AND NOT coalesce(f - fix2 > 450, false) THEN 'VO_TRACKING' ELSE 'LOST' END, link1, looked1, fix2 FROM (SELECT *, CASE WHEN due AND map_corrected THEN f ELSE fix1 END AS fix2, CASE WHEN due THEN f ELSE looked END AS looked1 FROM (SELECT *, ok AND f - looked >= 150 AS due, CASE WHEN tried THEN f ELSE link END AS link1,
+ CASE WHEN tried THEN f ELSE fix END AS fix1 FROM (SELECT p.video_id, p.frame_idx AS f, p.map_corrected, r.link, r.looked, r.fix, r.status = 'LOST' AND p.frame_idx - r.link >= 30 AS tried, CASE WHEN r.status = 'LOST' THEN p.frame_idx - r.link >= 30 ELSE p.pose_ok END AS ok FROM r JOIN poses p ON p.video_id = r.video_id AND p.frame_idx = r.frame_idx + 1) a) b) c)
+SELECT video_id, frame_idx, status FROM r WHERE frame_idx >= 0""")
 def i06(t):
     rows = t("poses").select("video_id", "frame_idx", "pose_ok", "map_corrected")
     return O.pose_status(rows.select("video_id", "frame_idx", F.lit(True).alias("link_ok"), F.col("pose_ok").alias("klt_ok"), F.col("map_corrected").alias("correction_ok")), 30.0)

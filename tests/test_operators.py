@@ -226,3 +226,42 @@ def test_evidence_sink_repeats_safely(spark, tmp_path):
     assert tuple(table["1"].asDict())[:19] == events.CSV_COLUMNS
     text = sorted(r.value for r in spark.read.text(str(tmp_path / "coordinates")).collect())
     assert text == ["ID 1: t=2.50s, coordinate=unavailable", "ID 2: t=3.00s, TWD97(E=250000.00, N=2655000.00), WGS84(lat=24.000000, lon=121.000000)"]
+
+
+def test_functions_in_sql_equal_their_column_forms(spark):
+    """Every registered function against its column form, over rows with signs, nulls and far values."""
+    from smokelake.operators import plugins
+
+    plugins.register_functions(spark)
+    numbers = [0.5, 1.0, -1.0, 121.03, 24.7, -33.5, 300.0, 0.004, 250123.4, 2655000.0, 59.99, 1280.0]
+    nine = [[1.0, 0.0, 5.0, 0.1, 1.0, -3.0, 1e-3, 0.0, 1.0], [float(k * k % 7) for k in range(9)]]
+    for name, (arguments, form) in plugins.SQL_FUNCTIONS.items():
+        rows = []
+        for k in range(24):
+            row = []
+            for j, kind in enumerate(arguments.values()):
+                value = {"DOUBLE": numbers[(k * 5 + j * 3) % 12], "ARRAY<DOUBLE>": nine[(k + j) % 2], "STRING": ["S", "w", "E", " Smoke ", "fire", ""][k % 6], "INT": k % 4, "BIGINT": k * 37}[kind]
+                row.append(None if (k, j) in ((7, 0), (9, len(arguments) - 1)) else value)
+            rows.append(tuple(row))
+        if name == "match_pixel_to_geo":
+            rows.append((nine[0], 10.0, 10.0, 640.0, 480.0, 256.0, 256.0, 120.0, 25.0, 0.001, 0.001))
+        df = spark.createDataFrame(rows, ", ".join(f"{c} {kind}" for c, kind in arguments.items()))
+        got = df.select(F.expr(f"{name}({', '.join(arguments)})").alias("sql"), form(*arguments).alias("col")).collect()
+        assert [str(r.sql) for r in got] == [str(r.col) for r in got], name
+        assert any(r.sql is not None for r in got), name
+
+
+def test_state_is_carried_over_batches(spark):
+    """However small the Arrow batches, keys and frames split over them give the same rows."""
+    df = spark.createDataFrame(_detections(), SCHEMA)
+    whole = sorted(map(tuple, tracking.track_detections(df).collect()))
+    gaps = sorted(map(tuple, tracking.throttle(df.select("video_id", "frame_idx").distinct(), "video_id", "frame_idx", 30).collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted(map(tuple, tracking.track_detections(df).collect())) == whole
+            assert sorted(map(tuple, tracking.throttle(df.select("video_id", "frame_idx").distinct(), "video_id", "frame_idx", 30).collect())) == gaps
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert tracking.track_detections(df.limit(0)).count() == 0
