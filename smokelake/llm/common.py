@@ -38,6 +38,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more; Spark itself keeps them for good, unless it is told to clean up."""
+    for df in tables:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checked(df: DataFrame, most: int) -> DataFrame:
     """A materialized table, marked for broadcast if it is counted to be small enough."""
     return F.broadcast(df) if df.count() <= most else df

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, materialize, slices, unused
+from .common import checked, forget, materialize, slices, unused
 from .words import Powers, hashed_words, mixed
 
 _VALUES = np.arange(1, 257, dtype=np.uint64)
@@ -152,18 +152,19 @@ def lines_of(docs: DataFrame, levels, s: LineSettings) -> DataFrame:
     return docs.select("id", "t", "text").mapInArrow(measure, "id long, t long, pos int, n int, sid long, keys array<int>, skip int, cold int, m0 long, m1 long")
 
 
-def dealt_keys(lines: DataFrame, s: LineSettings) -> DataFrame:
-    """One row for each prefix word, and for each pair of blocks (p <= q) that the line's block is in. A rare word has one block; how many another one needs is counted."""
+def dealt_keys(lines: DataFrame, s: LineSettings) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows, tables that they read). One row for each prefix word, and for each pair of blocks (p <= q) that the line's block is in. A rare word has one block; how many another one needs is counted."""
     place = F.col("t").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("pos").cast("long")).alias("place")
     rows = lines.filter("keys IS NOT NULL").select("id", place, "sid", "n", "m0", "m1", "cold", "skip", F.posexplode("keys").alias("k", "key")).withColumn("i", F.col("k") + F.col("skip"))
     columns = ["key", "n", "i", "sid", "id", "place", "m0", "m1"]
     hot = materialize(rows.filter("k >= cold").select(*columns))
+    made = [hot]
     blocks = materialize(hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks")))
     hot = hot.join(checked(blocks, s.broadcast), "key").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hot = hot.select(*columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine")
     zero = F.lit(0)
-    return rows.filter("k < cold").select(*columns, zero.alias("p"), zero.alias("q"), zero.alias("mine")).unionByName(hot)
+    return rows.filter("k < cold").select(*columns, zero.alias("p"), zero.alias("q"), zero.alias("mine")).unionByName(hot), [*made, blocks]
 
 
 def candidates(keys: DataFrame, s: LineSettings, few: int | None) -> DataFrame:
@@ -233,8 +234,8 @@ def candidates(keys: DataFrame, s: LineSettings, few: int | None) -> DataFrame:
     return keys.select(*names).repartition(*by).sortWithinPartitions(*by, "n").mapInArrow(search, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ends: DataFrame, levels, s: LineSettings) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold, read from the texts of their first places; ends has these by class."""
+def verified(pairs: DataFrame, docs: DataFrame, ends: DataFrame, levels, s: LineSettings) -> tuple[DataFrame, list[DataFrame]]:
+    """(pairs, tables that they read). Pairs (a, b) whose sets reach the threshold, read from the texts of their first places; ends has these by class."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -266,7 +267,8 @@ def verified(pairs: DataFrame, docs: DataFrame, ends: DataFrame, levels, s: Line
     found = docs.join(checked(wanted, s.broadcast), ["id", "t"]).select("text", "places")
     words = materialize(found.mapInArrow(read, "sid long, words binary").dropDuplicates(["sid"]))
     left, right = words.toDF("a", "wa"), words.toDF("b", "wb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long")
+    forget(wanted)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long"), [words]
 
 
 def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> DataFrame:
@@ -281,30 +283,44 @@ def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> D
     # the order of places: id, the upper half of t, the line's number
     first = F.min(F.struct("id", F.shiftright("t", 32).alias("u"), "pos", "t"))
     classes = materialize(lines.groupBy("sid").agg(first.alias("f"), F.count("*").alias("lines")))
-    keys = dealt_keys(lines, s)
+    keys, made = dealt_keys(lines, s)
 
-    def later(pairs: DataFrame) -> DataFrame:
-        """Of each pair that reaches the threshold, the class whose first place comes later."""
+    def later(pairs: DataFrame, *more: DataFrame) -> DataFrame:
+        """Of each pair that reaches the threshold, the class whose first place comes later; and the rows of more. Materialized, and what it took is deleted."""
         sids = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
         ends = materialize(classes.select("sid", "f").join(checked(sids, s.broadcast), "sid"))
         at = ends.select("sid", F.struct("f.id", "f.u", "f.pos").alias("f"))
-        rows = verified(pairs, docs, ends, levels, s).join(at.toDF("a", "fa"), "a").join(at.toDF("b", "fb"), "b").filter("fa <> fb")
-        return rows.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct()
+        good, words = verified(pairs, docs, ends, levels, s)
+        rows = good.join(at.toDF("a", "fa"), "a").join(at.toDF("b", "fb"), "b").filter("fa <> fb")
+        rows = rows.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sid"))
+        for table in more:
+            rows = rows.union(table)
+        found = materialize(rows.distinct())
+        forget(sids, ends, *words, *more)
+        return found
 
     some = materialize(candidates(keys, s, s.few))
-    gone = materialize(later(some.filter("a <> b")))
+    gone = later(some.filter("a <> b"))
     still = materialize(some.filter("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti"))
+    forget(some)
     if not still.isEmpty():
         # only groups that hold such a line are dealt once more
         by, asking = ["key", "p", "q"], checked(still, s.broadcast)
         touched = materialize(keys.join(asking, "sid", "left_semi").select(*by).distinct())
         rows = keys.join(checked(touched, s.broadcast), by, "left_semi").join(asking.withColumn("asks", F.lit(True)), "sid", "left")
         rest = materialize(candidates(rows.withColumn("asks", F.coalesce("asks", F.lit(False))), s, None))
-        gone = materialize(gone.union(later(rest)).distinct())
+        forget(touched, *made)
+        gone = later(rest, gone)
+        forget(rest)
+    forget(still)
 
     decided = classes.join(checked(gone, s.broadcast).withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1").select("sid", "f", "all")
-    out = lines.select("sid", "id", "t", "pos").join(checked(materialize(decided), s.broadcast), "sid").filter("all OR NOT (id = f.id AND shiftright(t, 32) = f.u AND pos = f.pos)")
-    return out.groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
+    decided = materialize(decided)
+    forget(classes, gone)
+    out = lines.select("sid", "id", "t", "pos").join(checked(decided, s.broadcast), "sid").filter("all OR NOT (id = f.id AND shiftright(t, 32) = f.u AND pos = f.pos)")
+    found = materialize(out.groupBy("id", "t").agg(F.collect_set("pos").alias("gone")))
+    forget(lines, decided)
+    return found
 
 
 def line_dedup(docs: DataFrame, settings: LineSettings = LineSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,14 +329,16 @@ def line_dedup(docs: DataFrame, settings: LineSettings = LineSettings(), doc_id:
     Lines end at line breaks; a line without words matches nothing and stays. Null texts stay null, with 0 lines; an empty
     text is one line. A document is an id with a text: rows that repeat both are at the same places, so neither is before the
     other and their equal lines stay in both; rows of one id with different texts, and those without an id, are documents of
-    their own, in the order of the texts' hashes. Ids are compared as long integers, null as the smallest. An empty table
+    their own, in the order of the texts' hashes. Whole numbers are compared as long integers, other ids by their 64-bit hash; null is the smallest. An empty table
     gives no rows. Long texts are processed whole. Other columns pass through, whatever their names; those named like the
     new ones are replaced. Words are compared by 56 bits of a hash, equal sets by 64.
     """
     at_id, at_t, at_gone = (unused(docs, c) for c in ("_line_id", "_line_t", "_line_gone"))
-    doc, h = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)
-    gone = materialize(removed_lines(docs.select(doc.alias("id"), h.alias("t"), F.col(text).alias("text")), settings).toDF(at_id, at_t, at_gone))
-    rows = docs.withColumns({at_id: doc, at_t: h}).join(checked(gone, settings.broadcast), [at_id, at_t], "left")
+    whole = docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    doc = F.coalesce(F.col(doc_id).cast("long") if whole else F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)), F.lit(-(1 << 63)))
+    h = F.xxhash64(text)
+    gone = removed_lines(docs.select(doc.alias("id"), h.alias("t"), F.col(text).alias("text")), settings)
+    rows = docs.withColumns({at_id: doc, at_t: h}).join(checked(gone, settings.broadcast).toDF(at_id, at_t, at_gone), [at_id, at_t], "left")
     parts = F.split(F.col(text), "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains(at_gone, i))
     taken: Column = F.col(at_gone).isNotNull()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import checked, materialize, slices
+from .common import checked, forget, materialize, slices
 from .graph import components
 from .words import Powers, hashed_words, mixed
 
@@ -271,11 +271,13 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, s: JaccardSettings) -> DataFr
     wanted = materialize(wanted.select(F.col("doc.doc_id").alias("_id"), F.col("doc.t").alias("t"), "sid"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(checked(wanted, s.broadcast), (rows["t"] == wanted["t"]) & rows["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "text")
-    return materialize(rows.mapInArrow(measure, "sid long, set binary").dropDuplicates(["sid"]))  # a document may come in several rows
+    found = materialize(rows.mapInArrow(measure, "sid long, set binary").dropDuplicates(["sid"]))  # a document may come in several rows
+    forget(wanted)
+    return found
 
 
 def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components, fit in size and pass the bitmaps.
+    """Pairs (a, b), materialized, that share a key, lie in different components, fit in size and pass the bitmaps.
 
     A key is open while its classes lie in two components or more; its first component is the major one. The classes
     of all open keys with one major component make the tiles of that component, one for each size band; each class is there once. Those
@@ -342,7 +344,9 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
         both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return both.repartition(*by).sortWithinPartitions(*by, "probe").mapInArrow(compare, "a long, b long").distinct()
+    found = materialize(both.repartition(*by).sortWithinPartitions(*by, "probe").mapInArrow(compare, "a long, b long").distinct())
+    forget(rows, members, sizes)
+    return found
 
 
 def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -370,15 +374,20 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     pairs = materialize(by_bitmap(stars.union(few).distinct(), classes, s))
     arrays = set_arrays(docs, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(members, "sid"), s)
     links = materialize(verified(pairs, arrays, s))
+    forget(pairs)
     labels = components(links)
 
-    crossing = materialize(open_tiles(keys, labels, classes, s))
+    crossing = open_tiles(keys, labels, classes, s)
+    forget(shared)
     if not crossing.isEmpty():
         wanted = crossing.select(F.col("a").alias("sid")).union(crossing.select("b")).distinct()
-        more = set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s)
-        more = materialize(verified(crossing, arrays.union(more), s))
+        others = set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s)
+        more = materialize(verified(crossing, arrays.union(others), s))
+        forget(others)
         if not more.isEmpty():
             labels = components(links.union(more))
+        forget(more)
+    forget(crossing, links, arrays, classes)
 
     named = ids.select("doc_id", "t", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     return named.select("doc_id", "t", F.col("n").cast("long").alias("n"), F.coalesce("label", "sid").alias("label"))
