@@ -38,6 +38,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Whether the shuffle files of an action go when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """materialize(), and the shuffle files behind it go at once. They would stay until the driver happens to collect its garbage; the table is read from its own files by then. The session's option is put back."""
+    conf = df.sparkSession.conf
+    if not conf.isModifiable(_TIDY):
+        return materialize(df)
+    before = conf.get(_TIDY)
+    conf.set(_TIDY, "true")
+    try:
+        return materialize(df.select("*"))  # planned under the option
+    finally:
+        conf.set(_TIDY, before)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more; Spark itself keeps them for good, unless it is told to clean up."""
     for df in tables:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, forget, materialize, slices, unused
+from .common import checked, forget, settled, slices, unused
 from .words import Powers, hashed_words, mixed
 
 _VALUES = np.arange(1, 257, dtype=np.uint64)
@@ -157,9 +157,9 @@ def dealt_keys(lines: DataFrame, s: LineSettings) -> tuple[DataFrame, list[DataF
     place = F.col("t").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("pos").cast("long")).alias("place")
     rows = lines.filter("keys IS NOT NULL").select("id", place, "sid", "n", "m0", "m1", "cold", "skip", F.posexplode("keys").alias("k", "key")).withColumn("i", F.col("k") + F.col("skip"))
     columns = ["key", "n", "i", "sid", "id", "place", "m0", "m1"]
-    hot = materialize(rows.filter("k >= cold").select(*columns))
+    hot = settled(rows.filter("k >= cold").select(*columns))
     made = [hot]
-    blocks = materialize(hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks")))
+    blocks = settled(hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks")))
     hot = hot.join(checked(blocks, s.broadcast), "key").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hot = hot.select(*columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine")
@@ -263,9 +263,9 @@ def verified(pairs: DataFrame, docs: DataFrame, ends: DataFrame, levels, s: Line
                 ok = [reaches(x, y) for x, y in zip(part.column("wa").to_pylist(), part.column("wb").to_pylist(), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = materialize(ends.groupBy(F.col("f.id").alias("id"), F.col("f.t").alias("t")).agg(F.collect_set("f.pos").alias("places")))
+    wanted = settled(ends.groupBy(F.col("f.id").alias("id"), F.col("f.t").alias("t")).agg(F.collect_set("f.pos").alias("places")))
     found = docs.join(checked(wanted, s.broadcast), ["id", "t"]).select("text", "places")
-    words = materialize(found.mapInArrow(read, "sid long, words binary").dropDuplicates(["sid"]))
+    words = settled(found.mapInArrow(read, "sid long, words binary").dropDuplicates(["sid"]))
     left, right = words.toDF("a", "wa"), words.toDF("b", "wb")
     forget(wanted)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long"), [words]
@@ -279,46 +279,46 @@ def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> D
     """
     s = settings
     levels = docs.sparkSession.sparkContext.broadcast(rarity(docs, s))
-    lines = materialize(lines_of(docs, levels, s))
+    lines = settled(lines_of(docs, levels, s))
     # the order of places: id, the upper half of t, the line's number
     first = F.min(F.struct("id", F.shiftright("t", 32).alias("u"), "pos", "t"))
-    classes = materialize(lines.groupBy("sid").agg(first.alias("f"), F.count("*").alias("lines")))
+    classes = settled(lines.groupBy("sid").agg(first.alias("f"), F.count("*").alias("lines")))
     keys, made = dealt_keys(lines, s)
 
     def later(pairs: DataFrame, *more: DataFrame) -> DataFrame:
         """Of each pair that reaches the threshold, the class whose first place comes later; and the rows of more. Materialized, and what it took is deleted."""
-        sids = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
-        ends = materialize(classes.select("sid", "f").join(checked(sids, s.broadcast), "sid"))
+        sids = settled(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+        ends = settled(classes.select("sid", "f").join(checked(sids, s.broadcast), "sid"))
         at = ends.select("sid", F.struct("f.id", "f.u", "f.pos").alias("f"))
         good, words = verified(pairs, docs, ends, levels, s)
         rows = good.join(at.toDF("a", "fa"), "a").join(at.toDF("b", "fb"), "b").filter("fa <> fb")
         rows = rows.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sid"))
         for table in more:
             rows = rows.union(table)
-        found = materialize(rows.distinct())
+        found = settled(rows.distinct())
         forget(sids, ends, *words, *more)
         return found
 
-    some = materialize(candidates(keys, s, s.few))
+    some = settled(candidates(keys, s, s.few))
     gone = later(some.filter("a <> b"))
-    still = materialize(some.filter("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti"))
+    still = settled(some.filter("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti"))
     forget(some)
     if not still.isEmpty():
         # only groups that hold such a line are dealt once more
         by, asking = ["key", "p", "q"], checked(still, s.broadcast)
-        touched = materialize(keys.join(asking, "sid", "left_semi").select(*by).distinct())
+        touched = settled(keys.join(asking, "sid", "left_semi").select(*by).distinct())
         rows = keys.join(checked(touched, s.broadcast), by, "left_semi").join(asking.withColumn("asks", F.lit(True)), "sid", "left")
-        rest = materialize(candidates(rows.withColumn("asks", F.coalesce("asks", F.lit(False))), s, None))
+        rest = settled(candidates(rows.withColumn("asks", F.coalesce("asks", F.lit(False))), s, None))
         forget(touched, *made)
         gone = later(rest, gone)
         forget(rest)
     forget(still)
 
     decided = classes.join(checked(gone, s.broadcast).withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1").select("sid", "f", "all")
-    decided = materialize(decided)
+    decided = settled(decided)
     forget(classes, gone)
     out = lines.select("sid", "id", "t", "pos").join(checked(decided, s.broadcast), "sid").filter("all OR NOT (id = f.id AND shiftright(t, 32) = f.u AND pos = f.pos)")
-    found = materialize(out.groupBy("id", "t").agg(F.collect_set("pos").alias("gone")))
+    found = settled(out.groupBy("id", "t").agg(F.collect_set("pos").alias("gone")))
     forget(lines, decided)
     return found
 

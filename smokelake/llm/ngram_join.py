@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import checked, forget, materialize, slices
+from .common import checked, forget, settled, slices
 from .graph import components
 from .words import Powers, hashed_words, mixed
 
@@ -268,10 +268,10 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, s: JaccardSettings) -> DataFr
                 found = [(w, a.tobytes()) for w, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if set_id(a := shingle_set(t, s, powers)) == w]
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["sid", "set"])
 
-    wanted = materialize(wanted.select(F.col("doc.doc_id").alias("_id"), F.col("doc.t").alias("t"), "sid"))
+    wanted = settled(wanted.select(F.col("doc.doc_id").alias("_id"), F.col("doc.t").alias("t"), "sid"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(checked(wanted, s.broadcast), (rows["t"] == wanted["t"]) & rows["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "text")
-    found = materialize(rows.mapInArrow(measure, "sid long, set binary").dropDuplicates(["sid"]))  # a document may come in several rows
+    found = settled(rows.mapInArrow(measure, "sid long, set binary").dropDuplicates(["sid"]))  # a document may come in several rows
     forget(wanted)
     return found
 
@@ -285,15 +285,15 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
     tile and its probes are dealt into blocks, and a task gets one block of each at a time.
     """
     rows = keys.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
-    rows = materialize(rows.select("key", "sid", "n", F.coalesce("label", "sid").alias("label")))
+    rows = settled(rows.select("key", "sid", "n", F.coalesce("label", "sid").alias("label")))
     open_keys = rows.groupBy("key").agg(F.min("label").alias("major"), F.max("label").alias("other")).filter("major <> other").select("key", "major")
     members = rows.join(open_keys, "key").select("major", "sid", "n", "label").distinct().withColumn("band", s.band("n"))
-    members = materialize(members)
+    members = settled(members)
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("tile")
     probes = members.filter("label <> major").select("major", near, "band", "sid", "n", "label")
     blocks = lambda of: F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias(of)
     sizes = members.groupBy("major", F.col("band").alias("tile")).agg(blocks("own_blocks")).join(probes.groupBy("major", "tile").agg(blocks("probe_blocks")), ["major", "tile"])
-    sizes = materialize(sizes)
+    sizes = settled(sizes)
     mapped = classes.select("sid", "map")
     dealt = F.pmod(F.xxhash64("sid"), F.col("mine")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("theirs") - 1))
@@ -344,7 +344,7 @@ def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: Jaccar
         both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    found = materialize(both.repartition(*by).sortWithinPartitions(*by, "probe").mapInArrow(compare, "a long, b long").distinct())
+    found = settled(both.repartition(*by).sortWithinPartitions(*by, "probe").mapInArrow(compare, "a long, b long").distinct())
     forget(rows, members, sizes)
     return found
 
@@ -353,14 +353,14 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     """One row per document: doc_id, t (hash of the text), n (set size) and label, equal for those of one component and null without words."""
     s = settings
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ids = materialize(class_table(docs, s))
+    ids = settled(class_table(docs, s))
     hot = hot_keys(docs, s)
 
-    shared = materialize(shared_keys(prefix_keys(docs, hot, s), s))
+    shared = settled(shared_keys(prefix_keys(docs, hot, s), s))
     keys = shared.filter("large").select("key", "sid", "n")
     document = F.struct("doc_id", "t")
     classes = ids.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("map").alias("map"), F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), document)), F.min(document)).alias("doc"))
-    classes = materialize(classes)
+    classes = settled(classes)
     members = classes.select("sid", "doc")
 
     # small tiles list their pairs; in large ones each set meets the centre of its band
@@ -371,9 +371,9 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     # what a set shares with other centres than its first ones is left to the open tiles
     nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
     stars = stars.withColumn("nth", nth).filter(F.col("nth") <= s.centres).select("a", "b")
-    pairs = materialize(by_bitmap(stars.union(few).distinct(), classes, s))
+    pairs = settled(by_bitmap(stars.union(few).distinct(), classes, s))
     arrays = set_arrays(docs, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(members, "sid"), s)
-    links = materialize(verified(pairs, arrays, s))
+    links = settled(verified(pairs, arrays, s))
     forget(pairs)
     labels = components(links)
 
@@ -382,7 +382,7 @@ def jaccard_labels(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     if not crossing.isEmpty():
         wanted = crossing.select(F.col("a").alias("sid")).union(crossing.select("b")).distinct()
         others = set_arrays(docs, wanted.join(arrays.select("sid"), "sid", "left_anti").join(members, "sid"), s)
-        more = materialize(verified(crossing, arrays.union(others), s))
+        more = settled(verified(crossing, arrays.union(others), s))
         forget(others)
         if not more.isEmpty():
             labels = components(links.union(more))
