@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import appended, unit_hash
+from .common import appended, checked, forget, materialize, unit_hash
 
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """sample: labelled rows that the fit takes, shared by the languages, twice as many at most; buckets: hashed n-gram features; orders: n-gram lengths in bytes; gap: least lead of the best codeword's probability that isn't ambiguous; max_languages: label values that are learned, the most frequent ones."""
+    """sample: labelled rows that the fit takes, shared by the languages, but one row for each of them at least, and twice as many at most; buckets: hashed n-gram features; orders: n-gram lengths in bytes; gap: least lead of the best codeword's probability that isn't ambiguous."""
 
     sample: int = 4000
     buckets: int = 4096
@@ -30,7 +30,6 @@ class LanguageSettings:
     rate: float = 0.05
     decay: float = 1e-4
     gap: float = 0.2
-    max_languages: int = 1000
     seed: int = 7
 
 
@@ -61,14 +60,25 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 
 def codewords(n: int, seed: int) -> np.ndarray:
-    """n codewords of +1 and -1. Up to 6 classes every distinct split is a bit; beyond, the best of 200 seeded random codes by least distance."""
+    """n codewords of +1 and -1. Up to 6 classes every distinct split is a bit; beyond, the best of up to 200 seeded random codes by least distance, of fewer where there are many classes."""
     if n <= 6:
         splits = [s for s in itertools.product((1, -1), repeat=n) if s[0] == 1 and -1 in s]
         return np.array(splits or [[1] * n], dtype=np.float32).T
     rng = np.random.default_rng(seed)
     bits = int(np.ceil(10 * np.log2(n)))
-    tries = (rng.choice(np.array([1, -1], dtype=np.float32), size=(n, bits)) for _ in range(200))
-    return max(tries, key=lambda c: (bits - (c @ c.T - bits * np.eye(n))).min())
+    tries = (rng.choice(np.array([1, -1], dtype=np.float32), size=(n, bits)) for _ in range(max(1, min(200, 200_000_000 // n**2))))
+    return max(tries, key=lambda c: _least_distance(c) if n <= 10_000 else 0)
+
+
+def _least_distance(c: np.ndarray) -> float:
+    """The least distance of two codewords, times two; a thousand rows of all pairs at a time."""
+    n, bits = c.shape
+    least = np.inf
+    for lo in range(0, n, 1000):
+        same = c[lo : lo + 1000] @ c.T
+        same[np.arange(len(same)), np.arange(lo, lo + len(same))] = -bits
+        least = min(least, bits - same.max())
+    return least
 
 
 @dataclass
@@ -81,7 +91,7 @@ class LanguageModel:
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Probability of each language for rows of scaled features, by loss-weighted decoding."""
         margins = x @ self.weights + self.bias
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(axis=2)
+        loss = np.logaddexp(0, -margins) @ (self.code > 0).T.astype(margins.dtype) + np.logaddexp(0, margins) @ (self.code < 0).T.astype(margins.dtype)
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         return p / p.sum(axis=1, keepdims=True)
 
@@ -90,7 +100,8 @@ def fit_arrays(x: np.ndarray, labels: list[str], s: LanguageSettings) -> Languag
     """Logistic fits of all bits at once by Adam; each language weighs the same."""
     languages = sorted(set(labels))
     code = codewords(len(languages), s.seed)
-    y = np.array([languages.index(v) for v in labels])
+    place = {v: k for k, v in enumerate(languages)}
+    y = np.array([place[v] for v in labels])
     target = code[y]
     weight = (len(y) / (len(languages) * np.bincount(y)))[y][:, None].astype(np.float32)
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
@@ -113,30 +124,30 @@ def fit_arrays(x: np.ndarray, labels: list[str], s: LanguageSettings) -> Languag
 def fit(docs: DataFrame, learn: Column, settings: LanguageSettings = LanguageSettings(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Fit on rows where learn holds and text and lang are not null.
 
-    Labels are counted over all rows. Of each language a seeded sample of about sample / languages rows is taken; their
-    features are made on the executors, and only these bounded rows reach the driver. Beyond max_languages label values
-    the most frequent ones are learned. Ids only place rows in the sample; repeated and null ones share a place. With no
+    Labels are counted over all rows, and every label is learned. Of each language a seeded sample of about sample / languages rows
+    is taken, its first row in seeded order always; their features are made on the executors, and only these bounded rows
+    reach the driver. Ids and texts place rows in the sample; rows that repeat both share a place. With no
     row to learn from (an empty table, no label) every text is `und`.
     """
     s = settings
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_languages).collect()}
-    if not counts:
+    rows = rows.withColumn("place", unit_hash(F.col("id").cast("string"), F.col("text"), seed=s.seed))
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")))
+    n = counts.count()
+    if not n:
         return LanguageModel([], np.zeros((0, 0), np.float32), np.zeros((s.buckets, 0), np.float32), np.zeros(0, np.float32))
-    share = s.sample / len(counts)
-    rate = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        rate = F.when(F.col("lang") == name, F.lit(min(1.0, share / n))).otherwise(rate)
+    rates = counts.select(F.col("lang").alias("of"), F.greatest(F.lit(s.sample / n) / F.col("n"), "first").alias("rate"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"place": pdf["place"], "lang": pdf["lang"], "x": [features(t, s).tobytes() for t in pdf["text"]]})
 
-    place = unit_hash(F.col("id").cast("string"), F.col("text"), seed=s.seed)
-    picked = rows.withColumn("place", place).filter(F.col("place") < rate).orderBy("place", "lang").limit(2 * s.sample).select("place", "lang", "text")
+    taken = rows.join(checked(rates, 100_000), (F.col("lang") == F.col("of")) & (F.col("place") <= F.col("rate")))
+    # the first rows of all languages come before the others, so the bound drops none of them
+    taken = taken.select("place", "lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("place", F.xxhash64("text"))).alias("nth"))
+    picked = taken.orderBy(F.col("nth") > 1, "place", "lang").limit(2 * max(s.sample, n)).select("place", "lang", "text")
     got = sorted(picked.mapInPandas(make, "place double, lang string, x binary").collect())
-    if not got:  # a sample may be empty by chance where rows are few
-        got = sorted(rows.withColumn("place", place).orderBy("place", "lang").limit(s.sample).select("place", "lang", "text").mapInPandas(make, "place double, lang string, x binary").collect())
+    forget(counts)
     x = scaled(np.stack([np.frombuffer(r["x"], dtype=np.uint32) for r in got]))
     return fit_arrays(x, [r["lang"] for r in got], s)
 

@@ -19,10 +19,9 @@ from .common import appended, unit_hash
 
 @dataclass(frozen=True)
 class QualitySettings:
-    """sample: labelled documents that the fit takes, twice as many at most; bag: most passages of one of them in the fit (evenly spaced); passage: bytes of a passage; buckets: hashed features (a power of two)."""
+    """sample: labelled documents that the fit takes, with all their passages, twice as many at most; passage: bytes of a passage; buckets: hashed features (a power of two)."""
 
     sample: int = 3000
-    bag: int = 16
     passage: int = 512
     buckets: int = 1024
     width: int = 32
@@ -33,14 +32,17 @@ class QualitySettings:
     seed: int = 3
 
 
-def passages(text: str | None, s: QualitySettings) -> np.ndarray:
-    """Hashed counts of byte 1-, 2- and 3-grams for each passage of the whole text (at least one passage), by where an n-gram begins."""
+#: Passages that are counted at a time.
+PART = 64
+
+
+def passages(text: str | None, s: QualitySettings) -> Iterator[np.ndarray]:
+    """Hashed counts of byte 1-, 2- and 3-grams for each passage of the whole text (at least one passage), by where an n-gram begins; up to PART passages at a time."""
     codes = np.frombuffer((text or "").encode(), dtype=np.uint8)
     n = max(1, -(-len(codes) // s.passage))
     shift = np.uint32(32 - int(s.buckets).bit_length() + 1)
-    counts = np.empty((n, s.buckets), dtype=np.uint16)
-    for lo in range(0, n, 64):  # a long text costs memory for 64 passages at a time, beside its counts
-        hi = min(lo + 64, n)
+    for lo in range(0, n, PART):
+        hi = min(lo + PART, n)
         part = codes[lo * s.passage : hi * s.passage + 2].astype(np.uint32)
         total = np.zeros((hi - lo) * s.buckets, dtype=np.int64)
         rolled = np.zeros(len(part) + 1, dtype=np.uint32)
@@ -48,8 +50,7 @@ def passages(text: str | None, s: QualitySettings) -> np.ndarray:
             rolled = rolled[:-1] * np.uint32(257) + part[k - 1 :] + np.uint32(k)
             mixed = (((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> shift)[: (hi - lo) * s.passage]
             total += np.bincount(np.arange(len(mixed), dtype=np.int64) // s.passage * s.buckets + mixed, minlength=len(total))
-        counts[lo:hi] = total.reshape(hi - lo, s.buckets)
-    return counts
+        yield total.reshape(hi - lo, s.buckets).astype(np.uint16)
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -67,13 +68,16 @@ class QualityModel:
 
     p: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-        """x: passages of several documents one after the other; starts: where each document begins."""
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """Passages as they are weighed: of some tens of numbers each."""
+        return np.tanh(x @ self.p["Wx"] + self.p["bx"])
+
+    def forward(self, h: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+        """h: encoded passages of several documents one after the other; starts: where each document begins."""
         p = self.p
-        h = np.tanh(x @ p["Wx"] + p["bx"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * g) @ p["w"]
-        doc = np.repeat(np.arange(len(starts)), np.diff([*starts, len(x)]))
+        doc = np.repeat(np.arange(len(starts)), np.diff([*starts, len(h)]))
         a = np.exp(e - np.maximum.reduceat(e, starts)[doc])
         a /= np.add.reduceat(a, starts)[doc]
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
@@ -81,7 +85,7 @@ class QualityModel:
 
     def gradients(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss."""
-        p, f = self.p, self.forward(x, starts)
+        p, f = self.p, self.forward(self.encode(x), starts)
         d = (1 / (1 + np.exp(-f["logit"])) - y) / len(y)
         dz = d[:, None] * p["c"]
         da = (dz[f["doc"]] * f["h"]).sum(axis=1)
@@ -90,10 +94,8 @@ class QualityModel:
         dh = (f["a"][:, None] * dz[f["doc"]] + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
         return {"Wx": x.T @ dh, "bx": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ d, "b": d.sum()}
 
-    def score(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        if not self.p:
-            return np.full(len(starts), 0.5)
-        return 1 / (1 + np.exp(-self.forward(x, starts)["logit"].astype(np.float64)))
+    def score(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.forward(h, starts)["logit"].astype(np.float64)))
 
 
 def fit_bags(bags: list[np.ndarray], y: np.ndarray, s: QualitySettings) -> QualityModel:
@@ -122,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: QualitySett
     """Fit on the documents of labels where learn (over the columns of labels) holds and the label is 0 or 1.
 
     Labels are counted over all ids; of each class a seeded sample of about sample / 2 ids is taken. That sample
-    is bounded, so it is broadcast to the documents; passages are counted on the executors, and only these bounded rows
-    reach the driver. An id with several labels counts as the smallest of them; documents that repeat an id are bags of
+    is bounded, so it is broadcast to the documents; all passages of the sampled documents are counted on the executors, and
+    reach the driver as rows: 2 bytes a bucket, four times the sampled text. An id with several labels counts as the smallest of them; documents that repeat an id are bags of
     their own, null ids take no part, a null text is an empty one. With no row to learn from (an empty table, no or only
     null labels) every score is 0.5.
     """
@@ -136,29 +138,34 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: QualitySett
     for k, n in sorted(counts.items()):
         rate = F.when(F.col("label") == k, F.lit(min(1.0, s.sample / 2 / n))).otherwise(rate)
 
-    def bag(text: str | None) -> bytes:
-        counts = passages(text, s)
-        return counts[np.unique(np.linspace(0, len(counts) - 1, s.bag).astype(int))].tobytes()
-
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"place": pdf["place"], "label": pdf["label"], "x": [bag(t) for t in pdf["text"]]})
+            for place, label, doc, text in zip(pdf["place"], pdf["label"], pdf["doc"], pdf["text"], strict=True):
+                rows = [p.tobytes() for part in passages(text, s) for p in part]
+                yield pd.DataFrame({"place": place, "label": label, "doc": doc, "nth": range(len(rows)), "x": rows})
 
     place = unit_hash(F.col("id").cast("string"), seed=s.seed)
     sampled = rows.select("id", "label", place.alias("place")).filter(F.col("place") < rate).orderBy("place", "id").limit(2 * s.sample)
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    picked = texts.join(F.broadcast(sampled), "id").orderBy("place", "id", F.xxhash64("text")).limit(2 * s.sample).select("place", "label", "text")
-    got = sorted(picked.mapInPandas(make, "place double, label int, x binary").collect())
-    if not got:
+    picked = texts.join(F.broadcast(sampled), "id").orderBy("place", "id", F.xxhash64("text")).limit(2 * s.sample)
+    picked = picked.select("place", "label", F.monotonically_increasing_id().alias("doc"), "text").repartition(32, "doc")
+    got = picked.mapInPandas(make, "place double, label int, doc long, nth int, x binary").orderBy("place", "doc", "nth")
+    bags, y, last = [], [], None
+    for r in got.toLocalIterator():
+        if r["doc"] != last:
+            last = r["doc"]
+            bags.append([])
+            y.append(r["label"])
+        bags[-1].append(np.frombuffer(r["x"], dtype=np.uint16))
+    if not bags:
         return QualityModel({})
-    bags = [np.frombuffer(r["x"], dtype=np.uint16).reshape(-1, s.buckets) for r in got]
-    return fit_bags(bags, np.array([r["label"] for r in got], dtype=np.float32), s)
+    return fit_bags([np.stack(b) for b in bags], np.array(y, dtype=np.float32), s)
 
 
 def quality_score(docs: DataFrame, model: QualityModel, settings: QualitySettings = QualitySettings(), threshold: float = 0.3, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """Add score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0).
 
-    Null and empty texts are one empty passage and get its score. Long texts are scored whole, in every passage. Rows are
+    Null and empty texts are one empty passage and get its score. Long texts are scored whole, in every passage; a text is held as 32 numbers for each passage. Rows are
     independent: repeated rows give repeated results, an empty table gives no rows; other columns (those named in carry, or all)
     pass through, and those named like the new ones are replaced. The model is of fixed size and is broadcast.
     """
@@ -168,14 +175,24 @@ def quality_score(docs: DataFrame, model: QualityModel, settings: QualitySetting
         model = shared.value
 
         def columns(texts: list[str | None]) -> list:
-            out, part = [], []
-            for k, text in enumerate(texts):
-                part.append(passages(text, settings))
-                if k == len(texts) - 1 or sum(map(len, part)) >= 512:
-                    starts = np.cumsum([0, *(len(b) for b in part[:-1])])
-                    out.append(model.score(scaled(np.concatenate(part)), starts))
-                    part = []
-            score = np.concatenate(out)
+            if not model.p:
+                return [np.full(len(texts), 0.5), np.full(len(texts), int(threshold <= 0.5), dtype=np.int32)]
+            encoded, sizes, part = [], [], []
+
+            def settle() -> None:
+                if part:
+                    encoded.append(model.encode(scaled(np.concatenate(part))))
+                    part.clear()
+
+            for text in texts:
+                sizes.append(0)
+                for counts in passages(text, settings):
+                    part.append(counts)
+                    sizes[-1] += len(counts)
+                    if sum(map(len, part)) >= 512:
+                        settle()
+            settle()
+            score = model.score(np.concatenate(encoded), np.cumsum([0, *sizes[:-1]]))
             return [score, (score >= threshold).astype(np.int32)]
 
         return columns

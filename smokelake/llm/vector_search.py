@@ -1,7 +1,7 @@
 """Operator 4, exact top-k search by a vector-approximation file.
 
-The file holds one byte for each component of each vector (its cell), block by block. A scan over the cells gives bounds of every
-score; the kth best lower bound of a query is carried from block to block, and what can't reach it is left. Exact vectors
+The file holds the cell of each component of each vector in a few bits, packed, block by block; a cell holds two values or more. A scan
+over the cells gives bounds of every score; the kth best lower bound of a query is carried from block to block, and what can't reach it is left. Exact vectors
 are then read in the order of the upper bounds: the k first ones, and those whose bound reaches the kth exact score.
 """
 
@@ -20,7 +20,7 @@ from .common import materialize
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """k: results of a query; bits: of a cell in each component, 8 at most; query_block: queries that a task holds; part: vectors that a task scans."""
+    """k: results of a query; bits: most of a cell in each component, 8 at most; query_block: queries that a task holds; part: vectors that a task scans."""
 
     k: int = 20
     bits: int = 8
@@ -47,21 +47,49 @@ def widened(m: np.ndarray, width: int) -> np.ndarray:
     return m[:, :width] if m.shape[1] >= width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
+def quantised(v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """low, size, width and cells: of each component the least value, the values of a cell (two at least, where there are two) and the bits of a cell's number; and the numbers."""
+    low = v.min(axis=0)
+    span = v.max(axis=0) - low + 1
+    size = np.maximum(-(-span // (1 << bits)), np.minimum(span, 2))
+    width = np.ceil(np.log2(-(-span // size))).astype(np.int64)
+    return low, size, width, (v - low) // size
+
+
+def _columns(width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component and place of each bit of a packed vector."""
+    component = np.repeat(np.arange(len(width)), width)
+    return component, np.arange(len(component)) - np.repeat(np.cumsum(width) - width, width)
+
+
+def packed(cells: np.ndarray, width: np.ndarray) -> bytes:
+    component, place = _columns(width)
+    return np.packbits(((cells[:, component] >> place) & 1).astype(np.uint8), axis=1).tobytes()
+
+
+def unpacked(blob: bytes, width: np.ndarray, n: int) -> np.ndarray:
+    component, place = _columns(width)
+    out = np.zeros((n, len(width)), dtype=np.int64)
+    if len(component):
+        bits = np.unpackbits(np.frombuffer(blob, dtype=np.uint8).reshape(n, -1), axis=1, count=len(component)).astype(np.int64) << place
+        held = np.flatnonzero(width)
+        out[:, held] = np.add.reduceat(bits, (np.cumsum(width) - width)[held], axis=1)
+    return out
+
+
 def approximated(rows: DataFrame, bits: int) -> DataFrame:
-    """The approximation file: one row for each batch of vectors, with their keys (vec_id, h, r), the least value and the cell size of each component, and the cells."""
+    """The approximation file: one row for each batch of vectors, with their keys (vec_id, h, r), the least value, cell size and bits of each component, and the packed cells."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
-                v = matrix(part.column("v"))
-                low = v.min(axis=0)
-                size = np.maximum(-(-(v.max(axis=0) - low + 1) // (1 << bits)), 1)
+                low, size, width, cells = quantised(matrix(part.column("v")), bits)
                 keys = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "h", "r")])
-                blobs = [x.tobytes() for x in (keys, low, size, ((v - low) // size).astype(np.uint8))]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=["keys", "low", "size", "cells"])
+                blobs = [x.tobytes() for x in (keys, low, size, width)] + [packed(cells, width)]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=["keys", "low", "size", "width", "cells"])
 
-    return rows.select("vec_id", "h", "r", "v").mapInArrow(pack, "keys binary, low binary, size binary, cells binary")
+    return rows.select("vec_id", "h", "r", "v").mapInArrow(pack, "keys binary, low binary, size binary, width binary, cells binary")
 
 
 class Scan:
@@ -72,14 +100,18 @@ class Scan:
         self.best = np.full((len(ids), k), -np.inf)
         self.found: list[list[np.ndarray]] = []
 
-    def block(self, keys: np.ndarray, low: np.ndarray, size: np.ndarray, cells: np.ndarray) -> None:
+    def bounds(self, low: np.ndarray, size: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest score of each query with each vector of a block, by the cells alone."""
         q = widened(self.queries, len(low))
         inner = (q * size) @ cells.T.astype(np.float64) + (q @ low)[:, None]
         # beyond 2 ** 52 doubles are rounded: the bounds leave room for it
         most = np.abs(q) @ np.maximum(np.abs(low), np.abs(low + 256.0 * size))
         room = np.where(most < 2.0**52, 0.0, most * 2.0**-44)
         lower = inner + (np.minimum(q, 0) @ (size - 1.0) - room)[:, None]
-        upper = inner + (np.maximum(q, 0) @ (size - 1.0) + room)[:, None]
+        return lower, inner + (np.maximum(q, 0) @ (size - 1.0) + room)[:, None]
+
+    def block(self, keys: np.ndarray, low: np.ndarray, size: np.ndarray, cells: np.ndarray) -> None:
+        lower, upper = self.bounds(low, size, cells)
         own = self.ids[:, None] == keys[0][None]
         lower[own] = upper[own] = -np.inf
         n = lower.shape[1]
@@ -119,9 +151,9 @@ def top_k(vectors: DataFrame, is_query: Column, settings: SearchSettings = Searc
     groups = max(1, -(-asked.count() // s.query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = F.lit(None)
-    dealt = file.select(F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int").alias("part"), "keys", "low", "size", "cells", none.cast("long").alias("vec_id"), none.cast("array<long>").alias("v"), F.lit(1).alias("kind"))
+    dealt = file.select(F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int").alias("part"), "keys", "low", "size", "width", "cells", none.cast("long").alias("vec_id"), none.cast("array<long>").alias("v"), F.lit(1).alias("kind"))
     dealt = dealt.select(every(groups).alias("g"), "*")
-    queries = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), *[none.cast("binary").alias(c) for c in ("keys", "low", "size", "cells")], "vec_id", "v", F.lit(0).alias("kind"))
+    queries = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), *[none.cast("binary").alias(c) for c in ("keys", "low", "size", "width", "cells")], "vec_id", "v", F.lit(0).alias("kind"))
     both = dealt.unionByName(queries.select(every(parts).alias("part"), "*"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +176,9 @@ def top_k(vectors: DataFrame, is_query: Column, settings: SearchSettings = Searc
                     if not asked:
                         continue
                     state = Scan(np.array([i for i, _ in asked], dtype=np.int64), matrix(pa.array([v for _, v in asked], pa.list_(pa.int64()))), s.k)
-                low, size = (np.frombuffer(row[c], dtype=np.int64) for c in ("low", "size"))
+                low, size, width = (np.frombuffer(row[c], dtype=np.int64) for c in ("low", "size", "width"))
                 keys = np.frombuffer(row["keys"], dtype=np.int64).reshape(3, -1)
-                state.block(keys, low, size, np.frombuffer(row["cells"], dtype=np.uint8).reshape(keys.shape[1], len(low)))
+                state.block(keys, low, size, unpacked(row["cells"], width, keys.shape[1]))
         yield from done()
 
     tasks = both.repartition("g", "part").sortWithinPartitions("g", "part", "kind")

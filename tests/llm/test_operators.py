@@ -147,14 +147,51 @@ def test_passages_of_long_texts():
     for n in (0, 1, 2, 511, 512, 513, 64 * 512 - 1, 64 * 512, 64 * 512 + 1, 200 * 512 + 7):
         text = "".join(rng.choice(list("abcé "), n))
         data = text.encode()
-        counts = quality_mil.passages(text, s)
+        whole = lambda t: np.concatenate(list(quality_mil.passages(t, s)))
+        counts = whole(text)
         assert counts.shape == (max(1, -(-len(data) // s.passage)), s.buckets)
         assert counts.sum() == sum(max(0, len(data) - k + 1) for k in (1, 2, 3))
         if len(data) > s.passage:
-            later = quality_mil.passages(data[s.passage :].decode(errors="ignore"), s)
+            later = whole(data[s.passage :].decode(errors="ignore"))
             assert np.array_equal(later, counts[1:]) or data[s.passage] & 0xC0 == 0x80
-    assert quality_mil.passages("a" * 512, s).max() == 512
-
+    assert whole("a" * 512).max() == 512
+
+
+def test_quality_arithmetic():
+    """The forward pass against loops over passages, the gradients against differences of the loss, and no passage left out."""
+    s, rng = quality_mil.QualitySettings(buckets=16, width=5, gate=3), np.random.default_rng(8)
+    sizes = [3, 1, 40]
+    p = {k: rng.normal(0, 0.7, v) for k, v in {"Wx": (18, 5), "bx": (5,), "V": (5, 3), "U": (5, 3), "w": (3,), "c": (5,), "b": ()}.items()}
+    x, y, starts = rng.normal(0, 1, (sum(sizes), 18)), np.array([1.0, 0.0, 1.0]), np.array([0, 3, 4])
+
+    def logits(p):
+        out = []
+        for a, n in zip(starts, sizes, strict=True):
+            hs = [np.tanh(p["bx"] + sum(x[k, i] * p["Wx"][i] for i in range(18))) for k in range(a, a + n)]
+            e = np.exp([sum(p["w"][j] * np.tanh(h @ p["V"][:, j]) / (1 + np.exp(-h @ p["U"][:, j])) for j in range(3)) for h in hs])
+            out.append(sum(w * h for w, h in zip(e / e.sum(), hs, strict=True)) @ p["c"] + p["b"])
+        return np.array(out)
+
+    model = quality_mil.QualityModel(p)
+    assert np.allclose(model.forward(model.encode(x), starts)["logit"], logits(p))
+    loss = lambda p: np.mean(np.logaddexp(0, logits(p)) - y * logits(p))
+    for name, d in model.gradients(x, starts, y).items():
+        for at in list(np.ndindex(p[name].shape))[:12]:
+            up, down = ({k: np.array(v, dtype=float) for k, v in p.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert np.isclose((loss(up) - loss(down)) / 2e-5, np.asarray(d)[at], atol=1e-7), name
+    text = "a" * 512 * 100 + "b" * 512
+    assert len(np.concatenate(list(quality_mil.passages(text, s)))) == 101
+
+
+def test_quality_of_texts_in_parts(spark, odd):
+    """A text of many parts among short ones gets the score that it gets alone."""
+    labels = odd.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    model = quality_mil.fit(odd, labels, F.lit(True), quality_mil.QualitySettings(epochs=2))
+    together = sorted((str(r.doc_id), str(r.text), r.score) for r in quality_mil.quality_score(odd.coalesce(1), model).collect())
+    apart = sorted((str(r.doc_id), str(r.text), r.score) for k in range(len(ODD)) for r in quality_mil.quality_score(spark.createDataFrame([(*ODD[k], 99)], odd.schema), model).collect())
+    assert [r[:2] for r in together] == [r[:2] for r in apart] and np.allclose([r[2] for r in together], [r[2] for r in apart], atol=1e-6)
 
 def test_language_on_held_out_rows(spark):
     rows = {r.doc_id: r for r in Q.op7_language_id(spark, "/root/testdata/sf0.01").collect()}
@@ -177,6 +214,29 @@ def test_language_odd_rows(spark, odd, none):
     assert min((a != b).sum() for a, b in itertools.combinations(code, 2)) >= 8
 
 
+def test_language_arithmetic():
+    """Decoding against loops over codewords and bits."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        code = language_id.codewords(n, 1)
+        model = language_id.LanguageModel([f"l{k}" for k in range(n)], code, rng.normal(0, 1, (12, code.shape[1])), rng.normal(0, 1, code.shape[1]))
+        x = rng.normal(0, 1, (7, 12))
+        for row, got in zip(x, model.decode(x), strict=True):
+            margins = row @ model.weights + model.bias
+            e = [np.exp(-sum(np.log1p(np.exp(-m * c)) for m, c in zip(margins, word, strict=True))) for word in code]
+            assert np.allclose(got, np.array(e) / sum(e))
+
+
+def test_every_language_is_learned(spark):
+    """1,500 labels, most of them of one row, beside one that holds a third of all."""
+    rows = [(i, f"common words of the large language number {i % 7}", "big") for i in range(900)] + [(1000 + i, f"wort{i} " * 5, f"l{i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    s = language_id.LanguageSettings(sample=300, epochs=1, buckets=256)
+    model = language_id.fit(df, F.lit(True), s)
+    assert len(model.languages) == 1501 and len({tuple(c) for c in model.code}) == 1501
+    assert language_id.language_id(df.limit(5), model, s).count() == 5
+
+
 def _top(rows, k):
     valid = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all()]
     asked = {}
@@ -190,6 +250,25 @@ def _top(rows, k):
     return sorted(want)
 
 
+def test_cells_are_coarser_than_values(spark):
+    """In the registered query's settings bounds differ from scores, hold them, and leave a small share of the vectors to be read."""
+    s = vector_search.SearchSettings()
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", vector_search.whole_steps("embedding").alias("v")).collect()
+    v, ids = np.array([r.v for r in rows]), np.array([r.vec_id for r in rows])
+    low, size, width, cells = vector_search.quantised(v, s.bits)
+    assert size.min() >= 2 and (width <= s.bits).all()
+    blob = vector_search.packed(cells, width)
+    assert np.array_equal(vector_search.unpacked(blob, width, len(v)), cells) and len(blob) < 0.75 * v.size
+    asked = ids % 20 == 0
+    scan = vector_search.Scan(ids[asked], v[asked], s.k)
+    lower, upper = scan.bounds(low, size, cells)
+    exact = v[asked] @ v.T
+    assert (lower <= exact).all() and (exact <= upper).all() and (lower < upper).mean() > 0.99 and (lower != exact).mean() > 0.9
+    scan.block(np.stack([ids, ids, ids]), low, size, cells)
+    share = len(scan.rest()[0]) / exact.size
+    assert s.k / len(v) < share < 0.15
+
+
 @pytest.mark.parametrize(("bits", "query_block", "part"), [(8, 512, 1 << 18), (3, 4, 60), (1, 2, 1000)])
 def test_vector_search(spark, bits, query_block, part):
     rng = np.random.default_rng(5)
