@@ -19,50 +19,69 @@ from ..operators import tracking as T
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class TrackProcessor(StatefulProcessor):
-    """The tracker of one video. Frames that are not after the last one seen are late and change nothing."""
+class FrameProcessor(StatefulProcessor):
+    """A state machine of one video, frame by frame. Frames that are not after the last one taken are late: they change nothing and are counted.
 
-    def __init__(self, settings: T.TrackSettings):
-        self.settings = settings
+    With hold_last, the newest frame waits until a later one comes, so its detections may come in several micro-batches; without, a
+    micro-batch must hold whole frames.
+    """
+
+    def __init__(self, settings: Any, hold_last: bool):
+        self.settings, self.hold_last = settings, hold_last
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracker", "state string")
+        self.state = handle.getValueState("frames", "state string, held string, late long")
+
+    def start(self, saved: dict | None) -> Any:
+        raise NotImplementedError
+
+    def take(self, state: Any, pdf: pd.DataFrame) -> list[dict]:
+        """The events of the frames in pdf."""
+        raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        saved, held, late = self.state.get() if self.state.exists() else (None, None, 0)
+        state = self.start(json.loads(saved) if saved else None)
         pdf = pd.concat(list(rows), ignore_index=True)
-        state = T.TrackState(**json.loads(self.state.get()[0])) if self.state.exists() else T.TrackState()
-        events = []
-        for frame, dets in T.by_frame(pdf):
-            if frame > state.last_frame:
-                events += [e | {"video_id": int(key[0])} for e in state.step(frame, dets, self.settings)]
-        self.state.update((json.dumps(state.__dict__),))
-        yield pd.DataFrame(events, columns=T.EVENT_COLUMNS)
+        behind = pdf["frame_idx"] <= state.last_frame
+        late, pdf = late + int(behind.sum()), pdf[~behind]
+        if held:
+            pdf = pd.concat([pd.DataFrame(json.loads(held)), pdf], ignore_index=True)
+        held = None
+        if self.hold_last and len(pdf):
+            last = pdf["frame_idx"] == pdf["frame_idx"].max()
+            held, pdf = pdf[last].to_json(orient="records"), pdf[~last]
+        events = [e | {"video_id": int(key[0])} for e in self.take(state, pdf)] if len(pdf) else []
+        self.state.update((json.dumps(state.__dict__), held, late))
+        yield pd.DataFrame(events, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-class MotionProcessor(StatefulProcessor):
-    """The motion tracker of one video. Frames that are not after the last one seen are late and change nothing."""
+class TrackProcessor(FrameProcessor):
+    """The tracker of one video."""
 
-    def __init__(self, settings: M.MotionSettings):
-        self.settings = settings
+    columns = T.EVENT_COLUMNS
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("motion", "state string")
+    def start(self, saved: dict | None) -> T.TrackState:
+        return T.TrackState(**saved) if saved else T.TrackState()
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["frame_idx", "cand_id"])
-        state = M.MotionState(**json.loads(self.state.get()[0])) if self.state.exists() else M.MotionState()
-        events = []
-        for frame, measured, candidates in M.candidates_by_frame(pdf):
-            if frame > state.last_frame:
-                events += [e | {"video_id": int(key[0])} for e in state.step(frame, measured, candidates, self.settings)[0]]
-        self.state.update((json.dumps(state.__dict__),))
-        yield pd.DataFrame(events, columns=[c.split()[0] for c in M.EVENT.split(", ")])
+    def take(self, state: T.TrackState, pdf: pd.DataFrame) -> list[dict]:
+        return [e for frame, dets in T.by_frame(pdf) for e in state.step(frame, dets, self.settings)]
 
-    def close(self) -> None:
-        pass
+
+class MotionProcessor(FrameProcessor):
+    """The motion tracker of one video."""
+
+    columns = [c.split()[0] for c in M.EVENT.split(", ")]
+
+    def start(self, saved: dict | None) -> M.MotionState:
+        return M.MotionState(**saved) if saved else M.MotionState()
+
+    def take(self, state: M.MotionState, pdf: pd.DataFrame) -> list[dict]:
+        rows = pdf.sort_values(["frame_idx", "cand_id"], ignore_index=True)
+        return [e for frame in M.candidates_by_frame(rows) for e in state.step(*frame, self.settings)[0]]
 
 
 class ThrottleProcessor(StatefulProcessor):
@@ -111,14 +130,14 @@ class PoseProcessor(StatefulProcessor):
         pass
 
 
-def track_detections(rows: DataFrame, settings: T.TrackSettings = T.TrackSettings()) -> DataFrame:
-    """Streaming twin of the batch tracker; rows as from tracker_input. A micro-batch must hold whole frames."""
-    return rows.groupBy("video_id").transformWithStateInPandas(TrackProcessor(settings), T.EVENT_SCHEMA, "Append", "None")
+def track_detections(rows: DataFrame, settings: T.TrackSettings = T.TrackSettings(), hold_last: bool = False) -> DataFrame:
+    """Streaming twin of the batch tracker; rows as from tracker_input. hold_last: see FrameProcessor."""
+    return rows.groupBy("video_id").transformWithStateInPandas(TrackProcessor(settings, hold_last), T.EVENT_SCHEMA, "Append", "None")
 
 
-def track_candidates(rows: DataFrame, settings: M.MotionSettings = M.MotionSettings()) -> DataFrame:
-    """Streaming twin of the batch motion tracker. A micro-batch must hold whole frames."""
-    return rows.groupBy("video_id").transformWithStateInPandas(MotionProcessor(settings), M.EVENT, "Append", "None")
+def track_candidates(rows: DataFrame, settings: M.MotionSettings = M.MotionSettings(), hold_last: bool = False) -> DataFrame:
+    """Streaming twin of the batch motion tracker. hold_last: see FrameProcessor."""
+    return rows.groupBy("video_id").transformWithStateInPandas(MotionProcessor(settings, hold_last), M.EVENT, "Append", "None")
 
 
 def throttle(rows: DataFrame, key: str, clock: str, gap: float) -> DataFrame:

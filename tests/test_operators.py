@@ -169,6 +169,19 @@ def test_tracker_batch_equals_stream(spark, tmp_path):
     assert sorted(map(tuple, _drain(P.track_detections(stream), str(tmp_path), "t").collect())) == batch
 
 
+def test_frames_split_over_batches(spark, tmp_path):
+    """With hold_last, a frame whose detections come in two micro-batches is taken whole, once a later one is there."""
+    df = spark.createDataFrame(_detections(), SCHEMA)
+    batch = sorted(map(tuple, tracking.track_detections(df.filter("frame_idx < 199")).collect()))
+    parts = df.withColumn("part", F.when(F.col("frame_idx") < 84, 0).when((F.col("frame_idx") == 84) & (F.col("det_idx") == 0), 0).when(F.col("frame_idx") < 120, 1).otherwise(2))
+    for k in range(3):
+        parts.filter(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{tmp_path}/src/{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/src/*")
+    got = _drain(P.track_detections(stream, hold_last=True), str(tmp_path), "h").collect()
+    assert sorted(map(tuple, got)) == batch
+    assert df.filter("frame_idx = 84").count() > parts.filter("frame_idx = 84 AND part = 0").count() > 0
+
+
 def test_throttle_batch_equals_stream(spark, tmp_path):
     df = spark.createDataFrame([(v, f) for v in (0, 1) for f in range(0, 120, 7)], "video_id int, frame_idx int")
     batch = sorted(map(tuple, tracking.throttle(df, "video_id", "frame_idx", 30).collect()))
