@@ -66,11 +66,11 @@ QUIET = "captures WHERE NOT (camera_id = 2 AND day(ts) > 20)"
 
 
 @query("i10_camera_outages_stream", f"""WITH c AS (SELECT camera_id, epoch_us(ts) AS us FROM {QUIET}), g AS (SELECT camera_id, us, lead(us) OVER (PARTITION BY camera_id ORDER BY us) AS later, max(us) OVER () AS newest FROM c)
-SELECT camera_id, CAST(us AS BIGINT) AS last_us, CAST(us + 14400000000 AS BIGINT) AS outage_us FROM g WHERE later - us >= 14400000000 OR (later IS NULL AND ceil((us + 14400000000) / 1000) <= floor(newest / 1000) - 3600000)""")
+SELECT camera_id, CAST(us AS BIGINT) AS last_us, CAST(us + 3600000000 AS BIGINT) AS outage_us FROM g WHERE later - us >= 3600000000 OR (later IS NULL AND ceil((us + 3600000000) / 1000) <= floor(newest / 1000) - 3600000)""")
 def i10(t):
-    """One camera of three dies on the 20th; a frame is awaited for four hours."""
+    """One camera of three dies on the 20th; a frame is awaited for an hour."""
     rows = t("captures").filter("NOT (camera_id = 2 AND day(ts) > 20)").select("camera_id", F.col("ts").cast("timestamp").alias("ts"), F.floor((F.day("ts") - 1) / 8).cast("int").alias("slice"))
-    out = Feed(rows).all(lambda s: L.camera_outages(s, 14400.0, "1 hour"), "camera_id int, last_frame_at timestamp, outage_at timestamp, silent boolean")
+    out = Feed(rows).all(lambda s: L.camera_outages(s, 3600.0, "1 hour"), "camera_id int, last_frame_at timestamp, outage_at timestamp, silent boolean")
     return out.select("camera_id", F.unix_micros("last_frame_at").alias("last_us"), F.unix_micros("outage_at").alias("outage_us"))
 
 
@@ -87,20 +87,20 @@ def _beats(t, **how):
 
 def _closed(size: int, starts: str) -> str:
     return f"""WITH {MARKED}, k AS (SELECT DISTINCT camera_id, camera_frame_id, us, detector_ms FROM a WHERE NOT late), s AS (SELECT *, {starts} AS slot FROM k)
-SELECT camera_id, CAST(slot AS BIGINT) AS started_us, count(*) AS frames, round(avg(detector_ms), 5) AS mean_ms, greatest(max(camera_frame_id) - min(camera_frame_id) + 1 - count(*), 0) AS skipped FROM s
+SELECT camera_id, CAST(slot AS BIGINT) AS started_us, count(*) AS frames, round(avg(detector_ms) + 1e-7, 5) AS mean_ms, greatest(max(camera_frame_id) - min(camera_frame_id) + 1 - count(*), 0) AS skipped FROM s
 WHERE slot + {size} <= (SELECT max(floor(epoch_us(ts) / 1000)) * 1000 - 3600000000 FROM arrivals) GROUP BY camera_id, slot"""
 
 
 @query("i09_heartbeat_stream", _closed(7200 * US, f"floor(us / {7200 * US}) * {7200 * US}"))
 def i09(t):
     """Windows of two hours that are closed; replayed frames count once, late ones not at all."""
-    return _beats(t, window="2 hours")[1].select("camera_id", F.unix_micros("started").alias("started_us"), "frames", F.round("mean_ms", 5).alias("mean_ms"), "skipped")
+    return _beats(t, window="2 hours")[1].select("camera_id", F.unix_micros("started").alias("started_us"), "frames", F.round(F.col("mean_ms") + 1e-7, 5).alias("mean_ms"), "skipped")
 
 
 @query("i09_sliding_heartbeat_stream", _closed(21600 * US, f"unnest([floor(us / {7200 * US}) * {7200 * US}, floor(us / {7200 * US}) * {7200 * US} - {7200 * US}, floor(us / {7200 * US}) * {7200 * US} - {14400 * US}])"))
 def i09_sliding(t):
     """Windows of six hours, every two hours."""
-    return _beats(t, window="6 hours", slide="2 hours")[1].select("camera_id", F.unix_micros("started").alias("started_us"), "frames", F.round("mean_ms", 5).alias("mean_ms"), "skipped")
+    return _beats(t, window="6 hours", slide="2 hours")[1].select("camera_id", F.unix_micros("started").alias("started_us"), "frames", F.round(F.col("mean_ms") + 1e-7, 5).alias("mean_ms"), "skipped")
 
 
 @query("i09_late_drops", f"WITH {MARKED} SELECT CAST(slice AS BIGINT) AS slice, count(*) AS frames, count(*) FILTER (late) AS late FROM a GROUP BY slice")
