@@ -114,6 +114,8 @@ def appended(docs: DataFrame, source: str, new: str, make: Callable, carry: Sequ
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # workers are used again, also by tasks of other stages: what Arrow's pool only keeps goes back
+        pa.default_memory_pool().release_unused()
         columns_of = make()
         for batch in batches:
             values = batch.column(n_kept)
@@ -121,5 +123,6 @@ def appended(docs: DataFrame, source: str, new: str, make: Callable, carry: Sequ
                 columns = columns_of(values.slice(a, b - a).to_pylist())
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(n_kept)] + arrays, names=[f.name for f in kept] + names)
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(work, T.StructType([*kept, *added]))
