@@ -2,8 +2,9 @@
 
 A candidate is weighed by what it adds to the compressed size of the text around it. The compressor is primed with a
 dictionary of common code and identifiers, so names that recur or are ordinary cost little; a string that stays nearly
-incompressible is reported. Candidates are the values next to a sensitive word, the values of assignments without one, and
-the values of the base patterns, whose spans stay whatever their novelty.
+incompressible is reported. Every candidate is weighed: the values next to a sensitive word, the values of assignments without
+one, and the values of the base patterns, whose spans stay whatever their novelty. A value whose letter pairs are those of
+the dictionary and the text around reads as a name, and must add more.
 """
 
 from __future__ import annotations
@@ -34,15 +35,16 @@ _between = re.compile(
     r"""["'`)\]]*+(?:\s*+:\s*+[A-Za-z_][\w.\[\], |]*+(?==))?+(?:[\s:=<>(\[{,|"'`]|->|is\s|[bru]{1,2}(?=["'`]))++""",
     re.ASCII | re.IGNORECASE,
 )
-_value = re.compile(r"[A-Za-z0-9+/_=~-]{16,}+")
-_piece = re.compile(r"[A-Za-z0-9+/_~-]{16,}+=*+")  # a value behind an inner =
-_quoted = re.compile(r"""[^\s"'`<>]{12,}+(?=["'`])""")  # a value between quotes may hold other marks
+_value = re.compile(r"[A-Za-z0-9+/_=~-]{7,}+")
+_piece = re.compile(r"[A-Za-z0-9+/_~-]{7,}+=*+")  # a value behind an inner =
+_quoted = re.compile(r"""[^\s"'`<>]{7,}+(?=["'`])""")  # a value between quotes may hold other marks
 _assigned = re.compile(r"""[:=]\s?["'`]?([A-Za-z0-9+/_=~-]{20,}+)""")  # of any name
 _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_consonants = re.compile(r"[bcdfghj-np-tvwxz]{5}", re.IGNORECASE)
+_letters = re.compile(r"[a-z]{2,}")
+_filler = re.compile(r"abcdefghijklmnopqrstuvwxyz|([a-z])\1{3,}")
 _hints = ("key", "secret", "token", "passw", "passphrase", "pwd", "auth", "bearer", "credential", "private", "signature", "session", "cookie", "login")
 
-#: Ordinary code that primes the compressor.
+#: Ordinary code and words that prime the compressor; their letter pairs are those of names.
 IDENTIFIERS = """import export const function return class public private static void string number boolean undefined null true false
 self.config settings.environment os.environ.get("API_KEY") getenv("SECRET_TOKEN") process.env.ACCESS_TOKEN access_token refresh_token
 token_type token_count max_tokens tokenizer api_key_name secret_name secret_manager password_field password_hash password_reset
@@ -50,18 +52,25 @@ change_me_please your_api_key_here your_secret_here example_value placeholder XX
 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef https://www.example.com/index.html http://localhost:8080/api/v1/users Authorization: Bearer
 Content-Type: application/json user_name user_id session_id request_id client_id client_secret private_key public_key BEGIN END
 def __init__(self, *args, **kwargs): for item in items: if value is not None: raise ValueError print(result) SELECT FROM WHERE
-January February March April May June July August September October November December 2020-01-01T00:00:00Z 127.0.0.1"""
+January February March April May June July August September October November December 2020-01-01T00:00:00Z 127.0.0.1
+performance management available knowledge through between different important information following together government development
+question company problem service business community university education environment technology organization relationship everything
+background keyboard workflow framework application authentication validation middleware handler request response exception timeout
+directory temporary recursive synchronous callback dictionary parameter optional required supported maximum minimum average frequency
+language product quick judge jump object subject expected experience example complex exactly equal quality query queue high right light enough
+although voyage cycle physics symbol system analysis hypothesis rhythm hardware software network gateway whitelist upgrade downgrade checkpoint"""
 
 
 @dataclass(frozen=True)
 class NoveltyRules:
-    """around: characters of surrounding text on each side; least: share of a candidate's own bytes that it must add to count, least_plain: the same for a value without a sensitive word; digits, word: a candidate of fewer digits whose words have so many letters on average (one more in mixed case) may be a name."""
+    """around: characters of surrounding text on each side; least: share of a candidate's own bytes that it must add to count, least_plain: the same for a value without a sensitive word, least_name: for one that reads as a name; pairs, words: a name has that share of ordinary letter pairs and that share of its letters and digits in words of three letters or more."""
 
     around: int = 512
-    least: float = 0.72
-    least_plain: float = 0.8
-    digits: int = 3
-    word: int = 3
+    least: float = 0.45
+    least_plain: float = 0.6
+    least_name: float = 1.4
+    pairs: float = 0.75
+    words: float = 0.6
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, int]]:
@@ -75,12 +84,18 @@ def base_spans(text: str) -> list[tuple[int, str, int, int]]:
     return found + [(m.start(), "hex", m.end(), m.start()) for m in _hex.finditer(text)]
 
 
+def letter_pairs(text: str) -> set[str]:
+    """Neighbouring letters within the words of text, in lower case; runs of one letter and of the alphabet are no words."""
+    return {w[i : i + 2] for w in set(_letters.findall(_filler.sub(" ", text.lower()))) for i in range(len(w) - 1)}
+
+
 class Novelty:
-    """Marginal compressed size under the primed dictionary."""
+    """Marginal compressed size under the primed dictionary, and what reads as a name beside it."""
 
     def __init__(self, identifiers: str = IDENTIFIERS):
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False)
+        self.pairs = letter_pairs(identifiers)
 
     def share(self, before: str, candidate: str, after: str) -> float:
         """Bytes that the candidate adds to the compressed surroundings, over its own bytes."""
@@ -88,14 +103,17 @@ class Novelty:
         whole = (before + after + candidate).encode()
         return (len(self.compressor.compress(whole)) - len(self.compressor.compress(around))) / len(candidate.encode())
 
-
-def is_name(s: str, rules: NoveltyRules) -> bool:
-    """Ordinary words: few digits, words (also in camel case) of some length, nowhere five consonants in a row."""
-    if sum(c.isdigit() for c in s) >= rules.digits:
-        return False
-    words = _words.findall(s)
-    least = rules.word + (not s.islower() and not s.isupper())  # letters of both cases fall into short words by chance
-    return sum(map(len, words)) >= least * len(words) > 0 and not any(map(_consonants.search, words))
+    def is_name(self, before: str, candidate: str, after: str, rules: NoveltyRules) -> bool:
+        """Words (also in camel case) of three letters or more fill the candidate, by letter pairs of the dictionary or the surroundings."""
+        words = [w.lower() for w in _words.findall(candidate) if len(w) > 2]
+        if sum(map(len, words)) < rules.words * sum(map(str.isalnum, candidate)):
+            return False
+        own = [w[i : i + 2] for w in words for i in range(len(w) - 1)]
+        strange = [p for p in own if p not in self.pairs]
+        if len(strange) > (1 - rules.pairs) * len(own):
+            near = letter_pairs(before + " " + after)
+            strange = [p for p in strange if p not in near]
+        return len(strange) <= (1 - rules.pairs) * len(own)
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
@@ -127,13 +145,13 @@ def novel_spans(text: str, base: list[tuple[int, str, int, int]], novelty: Novel
     out: list[tuple[int, str, int, float]] = []
     reached = -1
     for start, end in sorted(found + [x for x in plain if x[0] not in near]):
-        s = text[start:end]
-        if start < reached or is_name(s, rules) or any(a <= start and end <= b for a, _, b, _ in base):
+        if start < reached or any(a <= start and end <= b for a, _, b, _ in base):
             continue
+        s, before, after = text[start:end], text[max(0, start - rules.around) : start], text[end : end + rules.around]
+        share = novelty.share(before, s, after)
         least = rules.least if start in near else rules.least_plain
-        if start not in near and (s.isalpha() or s.startswith("/") or not any(map(str.isdigit, s))):
-            continue  # a path or a long word is no secret where nothing says so
-        share = novelty.share(text[max(0, start - rules.around) : start], s, text[end : end + rules.around])
+        if share >= least and novelty.is_name(before, s, after, rules):
+            least = rules.least_name
         if share >= least:
             out.append((start, "novel", end, share))
             reached = end

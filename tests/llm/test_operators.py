@@ -571,6 +571,7 @@ def test_secret_scan_by_novelty():
     alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
     drawn = ["".join(draw.choice(alphabet, 16)) for _ in range(500)]
     assert sum(found(f'encryption_key = "{v}"') == [v] for v in drawn) >= 490
+    assert [found(f) for f in ("auth = kjHg7_2", "login cookie: 8f2k9d0s1a")] == [["kjHg7_2"], ["8f2k9d0s1a"]]
     for name in ("internationalization_of_things", "handleAuthenticationRequest", "DEFAULT_CONNECTION_TIMEOUT", "base64_encoded_values", "/usr/local/share/tables"):
         assert found(f"the key is {name} and more") == []
     import time
@@ -581,6 +582,32 @@ def test_secret_scan_by_novelty():
     assert time.monotonic() - start < 30
 
 
+def test_secret_scan_weighs_every_form_of_value(docs):
+    """Random values of ten characters or more are found whatever their letters, and ordinary words of the same lengths are not."""
+    import pydoc_data.topics
+    import string
+
+    novelty, rules, rng = secret_scan.Novelty(), secret_scan.NoveltyRules(), np.random.default_rng(3)
+    texts = [t.text for t in docs.select("text").collect() if t.text and len(t.text) < 5000 and _base(t.text) == ""]
+
+    def reported(form, value):
+        text = str(rng.choice(texts))
+        cut = int(rng.integers(len(text) + 1))
+        text = f"{text[:cut]}\n{form.format(value)}\n{text[cut:]}"
+        spans = [text[a:b] for a, _, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), novelty, rules)]
+        assert spans in ([], [value])
+        return bool(spans)
+
+    forms = ("signing_key = {}", 'auth = "{}"', "login cookie: {}")
+    alphabets = (string.ascii_lowercase, string.ascii_uppercase, string.ascii_uppercase + string.digits, string.ascii_letters, string.ascii_letters + string.digits)
+    for alphabet in alphabets:
+        values = ["".join(rng.choice(list(alphabet), int(rng.integers(10, 17)))) for _ in range(300)]
+        assert sum(reported(forms[k % 3], v) for k, v in enumerate(values)) >= 0.95 * 300, alphabet
+    words = sorted({w for topic in pydoc_data.topics.topics.values() for w in re.findall(r"\b[a-z]{8,}\b", topic)})
+    assert sum(reported(forms[k % 3], w) for k, w in enumerate(words)) <= 0.03 * len(words)
+    assert sum(reported("handler = {}", w) for w in ("_".join(map(str, rng.choice(words, 3))) for _ in range(200))) <= 0.03 * 200
+
+
 def test_pipeline_stages(spark, library):
     import corpus_pipeline as P
 
