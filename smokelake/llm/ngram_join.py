@@ -279,14 +279,16 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, s: JaccardSettings) -> DataFr
 def open_tiles(keys: DataFrame, labels: DataFrame, classes: DataFrame, s: JaccardSettings) -> DataFrame:
     """Pairs (a, b), materialized, that share a key, lie in different components, fit in size and pass the bitmaps.
 
-    A key is open while its classes lie in two components or more; its first component is the major one. The classes
+    A key is open while its classes lie in two components or more; the one with most of its classes is the major one, so
+    keys of one group of near copies agree on it and their classes meet in one tile, not in one for each key's choice. The classes
     of all open keys with one major component make the tiles of that component, one for each size band; each class is there once. Those
     outside the major component are probes: they meet the tiles of their band and of its neighbours. Both the rows of a
     tile and its probes are dealt into blocks, and a task gets one block of each at a time.
     """
     rows = keys.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
     rows = settled(rows.select("key", "sid", "n", F.coalesce("label", "sid").alias("label")))
-    open_keys = rows.groupBy("key").agg(F.min("label").alias("major"), F.max("label").alias("other")).filter("major <> other").select("key", "major")
+    held = rows.groupBy("key", "label").agg(F.count("*").alias("held")).groupBy("key").agg(F.max(F.struct("held", "label")).alias("most"), F.count("*").alias("labels"))
+    open_keys = held.filter("labels > 1").select("key", F.col("most.label").alias("major"))
     members = rows.join(open_keys, "key").select("major", "sid", "n", "label").distinct().withColumn("band", s.band("n"))
     members = settled(members)
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("tile")
