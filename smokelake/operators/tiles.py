@@ -45,7 +45,8 @@ def _near_pairs(points: DataFrame, tiles: DataFrame, size: float = CELL) -> Data
     """Points (with an envelope w, s, e, n) and the tiles whose bounds meet it.
 
     Both sides are spread over grid cells and meet by an equi-join; a pair counts in one cell only, the first that both
-    share, so nothing is deduplicated by a shuffle. Tiles of very many cells do the same on a coarser grid.
+    share, so nothing is deduplicated by a shuffle. Tiles of very many cells do the same on a coarser grid. Neither side is
+    broadcast: Spark estimates it by the rows before they are spread.
     """
     spread = lawful(tiles).withColumn("_many", _cells("west", "south", "east", "north", size)[2] > MANY_CELLS)
     meet = (F.col("east") >= F.col("w")) & (F.col("west") <= F.col("e")) & (F.col("north") >= F.col("s")) & (F.col("south") <= F.col("n"))
@@ -56,23 +57,30 @@ def _near_pairs(points: DataFrame, tiles: DataFrame, size: float = CELL) -> Data
         px, py, _ = _cells("w", "s", "e", "n", cell)
         seekers = points.withColumn("cx", F.explode(px)).withColumn("cy", F.explode(py))
         first = lambda a, b, c=cell: F.greatest(F.floor(F.col(a) / c), F.floor(F.col(b) / c))
-        pairs = seekers.join(cells, ["cx", "cy"]).filter(meet & (F.col("cx") == first("w", "west")) & (F.col("cy") == first("s", "south"))).drop("cx", "cy", "_many")
+        pairs = seekers.join(cells.hint("merge"), ["cx", "cy"]).filter(meet & (F.col("cx") == first("w", "west")) & (F.col("cy") == first("s", "south"))).drop("cx", "cy", "_many")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
 def tiles_near(points: DataFrame, tiles: DataFrame, radius: float, k: int, submap: str | None = None) -> DataFrame:
-    """For each point the k tiles within the radius, by distance to their bounds, then path; distance and rank added."""
+    """For each point the k tiles within the radius, by distance to their bounds, then path; distance and rank added.
+
+    Points at one place are looked up once, and of tiles with the same bounds only the first k by path can be among the k.
+    """
     tiles = tiles if submap is None else tiles.filter(F.col("region") == submap)
+    tiles = lawful(tiles.select("tile_id", "region", "path", "west", "south", "east", "north"))
+    alike = Window.partitionBy("west", "south", "east", "north").orderBy("path")
+    tiles = tiles.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= k).drop("_n")
     env = G.gps_envelope("lon", "lat", F.lit(float(radius)))
-    seekers = points.withColumn("_e", env).filter("_e.reason IS NULL")
-    seekers = seekers.select(*points.columns, F.col("_e.west").alias("w"), F.col("_e.south").alias("s"), F.col("_e.east").alias("e"), F.col("_e.north").alias("n"))
-    pairs = _near_pairs(seekers, tiles.select("tile_id", "region", "path", "west", "south", "east", "north"))
+    places = points.select("lon", "lat").distinct().withColumn("_e", env).filter("_e.reason IS NULL")
+    places = places.select("lon", "lat", F.col("_e.west").alias("w"), F.col("_e.south").alias("s"), F.col("_e.east").alias("e"), F.col("_e.north").alias("n"))
     near_lon = F.least(F.greatest("lon", "west"), F.col("east"))
     near_lat = F.least(F.greatest("lat", "south"), F.col("north"))
-    rows = pairs.withColumn("distance", G.geo_distance("lon", "lat", near_lon, near_lat)).filter(F.col("distance") <= radius)
-    order = Window.partitionBy("point_id").orderBy("distance", "path")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("w", "s", "e", "n")
+    rows = _near_pairs(places, tiles).withColumn("distance", G.geo_distance("lon", "lat", near_lon, near_lat)).filter(F.col("distance") <= radius)
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "path"))
+    found = rows.withColumn("rank", first("lon", "lat")).filter(F.col("rank") <= k).drop("w", "s", "e", "n", "rank")
+    rows = points.join(found.hint("merge"), ["lon", "lat"]).withColumn("rank", first("point_id")).filter(F.col("rank") <= k)
+    return rows.select(*points.columns, *tiles.columns, "distance", "rank")
 
 
 def region_bounds(tiles: DataFrame) -> DataFrame:
@@ -155,13 +163,18 @@ def view_points(photos: DataFrame, reach: float = 1800.0) -> DataFrame:
 
 
 def select_regions(photos: DataFrame, tiles: DataFrame, key: str = "photo_id") -> DataFrame:
-    """Regions whose tiles contain the photo's place or the centre of its view, with a status; photos without any keep all regions."""
+    """Regions whose tiles contain the photo's place or the centre of its view, with a status; photos without any keep all regions.
+
+    Photos whose place or view is the same spot are looked up once, with the regions of tiles of different bounds.
+    """
     rows = view_points(photos)
     spots = rows.select(key, F.lit("gps").alias("kind"), "lon", "lat").unionByName(rows.filter("view_lon IS NOT NULL").select(key, F.lit("view").alias("kind"), F.col("view_lon").alias("lon"), F.col("view_lat").alias("lat")))
-    spots = spots.withColumns({"w": F.col("lon"), "e": F.col("lon"), "s": F.col("lat"), "n": F.col("lat")})
-    hits = _near_pairs(spots, tiles.select("region", "west", "south", "east", "north"))
-    hits = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "gps", F.col("region")))).alias("g"), F.array_sort(F.collect_set(F.when(F.col("kind") == "view", F.col("region")))).alias("v"))
-    out = photos.select(key).join(hits, key, "left").withColumn("regions", F.array_sort(F.array_union("g", "v")))
+    places = spots.select("lon", "lat").distinct().withColumns({"w": F.col("lon"), "e": F.col("lon"), "s": F.col("lat"), "n": F.col("lat")})
+    met = _near_pairs(places, tiles.select("region", "west", "south", "east", "north").distinct()).groupBy("lon", "lat").agg(F.collect_set("region").alias("at"))
+    hits = spots.join(met.hint("merge"), ["lon", "lat"])
+    of = lambda kind: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("at"))))))
+    hits = hits.groupBy(key).agg(of("gps").alias("g"), of("view").alias("v"))
+    out = photos.select(key).join(hits.hint("merge"), key, "left").withColumn("regions", F.array_sort(F.array_union("g", "v")))
     status = (
         F.when(F.col("regions").isNull() | (F.size("regions") == 0), "unresolved_keep_all").when(F.size("regions") > 1, "multiple_candidates")
         .when((F.size("g") > 0) & (F.size("v") > 0), "gps_and_view_candidate").when(F.size("g") > 0, "gps_bounds_candidate").otherwise("estimated_view_candidate")
