@@ -76,7 +76,7 @@ box AS (SELECT *, greatest(alon - {AX}, lon - {BX}) AS w, greatest(alat - {AY},
 px AS (SELECT *, greatest(floor((w - west) / ((east - west) / 256)), 0) AS x0, least(ceil((e - west) / ((east - west) / 256)), 256) AS x1, greatest(floor((north - n) / ((north - south) / 256)), 0) AS y0, least(ceil((north - s) / ((north - south) / 256)), 256) AS y1 FROM box)
 SELECT point_id, tile_id, CAST(x0 AS BIGINT) AS col, CAST(y0 AS BIGINT) AS "row", CAST(x1 - x0 AS BIGINT) AS cols, CAST(y1 - y0 AS BIGINT) AS "rows" FROM px WHERE w < e AND s < n AND x1 > x0 AND y1 > y0""")
 def c11(t):
-    near = O.tiles_near(t("points"), t("tiles"), 5000, 9).join(t("tiles").select("tile_id", "width", "height"), "tile_id")
+    near = O.tiles_near(t("points"), t("tiles"), 5000, 9).join(t("tiles").select("tile_id", "width", "height").hint("merge"), "tile_id")
     rows = O.roi_window(near, 5000, 5000).filter("col IS NOT NULL")
     return rows.select("point_id", "tile_id", *[F.col(c).cast("long").alias(c) for c in ("col", "row", "cols", "rows")])
 
