@@ -6,6 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from smokelake.operators import tiles
+from smokelake.plans import QUERIES
+
+from .conftest import DATA
 
 
 def _metres(lon1, lat1, lon2, lat2):
@@ -61,3 +64,46 @@ def test_far_points_touch_few_cells(spark):
         levels.append(tiles.cell_extremes(t, size).agg(F.max("tiles")).first()[0])
         size /= 4
     assert len(levels) > 3  # no level holds all tiles in one cell to the end
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_tiles_meet_without_broadcast(spark):
+    """Many tiles of equal bounds and points at one place: the same tiles as by brute force, and no side is sent whole to the driver."""
+    draw = random.Random(3)
+    t = [(k, f"r{k % 5}", f"r{k % 5}/{k:03d}", x, y, x + 0.02 * (1 + k % 3), y + 0.02) for k in range(300) for x, y in [(121 + draw.randrange(8) / 100, 24 + draw.randrange(4) / 100)]]
+    p = [(k, 121 + k % 7 / 60, 24 + k % 3 / 50) for k in range(60)] + [(7, 121.3, 24.1), (100, None, 24.0)]
+    tile_rows = spark.createDataFrame(t, "tile_id int, region string, path string, west double, south double, east double, north double")
+    point_rows = spark.createDataFrame(p, "point_id int, lon double, lat double")
+    found = tiles.tiles_near(point_rows, tile_rows, 3000, 4)
+    got = sorted((r.point_id, r["rank"], r.path) for r in found.collect())
+    want = []
+    for i in sorted({i for i, *_ in p}):
+        near = sorted((_metres(lon, lat, min(max(lon, w), e), min(max(lat, s), n)), path) for j, lon, lat in p if j == i and lon is not None for _, _, path, w, s, e, n in t)
+        want += [(i, k + 1, path) for k, (d, path) in enumerate(x for x in near if x[0] <= 3000) if k < 4]
+    assert got == sorted(want)
+    assert "Broadcast" not in _physical(found)
+
+
+def test_regions_of_equal_places_without_broadcast(spark):
+    t = [(f"r{k % 3}", 121 + k % 4 / 100, 24.0, 121.02 + k % 4 / 100, 24.02) for k in range(200)]
+    p = [(k, 121 + k % 8 / 100 + 0.001, 24.01, 100.0, 0.0, -89.0, 0.0) for k in range(40)]
+    found = tiles.select_regions(spark.createDataFrame(p, "photo_id int, lon double, lat double, alt double, yaw double, pitch double, roll double"), spark.createDataFrame(t, "region string, west double, south double, east double, north double"))
+    for r in found.collect():
+        lon = p[r.photo_id][1]
+        want = sorted({region for region, w, _, e, _ in t if w <= lon <= e})
+        assert r.regions == ",".join(want or ["r0", "r1", "r2"]) and (r.status == "unresolved_keep_all") == (not want)
+    assert "BroadcastHashJoin" not in _physical(found)
+
+
+def test_windows_without_broadcast(spark):
+    assert "BroadcastHashJoin" not in _physical(QUERIES["c11_roi_window"](spark, DATA))
+
+
+def test_mask_is_made_once(spark):
+    """No row of tiles makes the mask of 65,536 cells anew."""
+    plan = QUERIES["b23_match_pixel_to_geo"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan
+    assert all(line.lstrip(" +-").startswith(":") for line in plan.splitlines() if "lambdafunction" in line)  # in the subquery alone
