@@ -126,12 +126,13 @@ def b13(t):
     return t("detections").select("event_id", X.event_status(F.expr("CASE cls_name WHEN 'click' THEN 'Boom' WHEN 'view' THEN ' smoke' ELSE cls_name END")).alias("status"), X.event_label(F.col("event_id") % 150).alias("label"))
 
 
-TWD = """g AS (SELECT *, 1 - power(6356752.3142451e0, 2) / power(6378137e0, 2) AS e FROM {src}),
+#: Easting and northing, longitudes brought to -180 up to 180 first; terms in the order of G.wgs84_to_twd97, since far from the meridian the last digit of a sum shows.
+TWD = """g AS (SELECT *, 1 - power(6356752.3142451e0 / 6378137e0, 2) AS e FROM {src}),
 g1 AS (SELECT *, e / (1 - e) AS e2, radians({lat}) AS phi FROM g),
-g2 AS (SELECT *, power(tan(phi), 2) AS tt, e2 * power(cos(phi), 2) AS cc, cos(phi) * radians({lon} - 121e0) AS aa, 6378137e0 / sqrt(1 - e * power(sin(phi), 2)) AS nu,
- 6378137e0 * ((1 - e/4 - 3*e*e/64 - 5*e*e*e/256) * phi - (3*e/8 + 3*e*e/32 + 45*e*e*e/1024) * sin(2*phi) + (15*e*e/256 + 45*e*e*e/1024) * sin(4*phi) - (35*e*e*e/3072) * sin(6*phi)) AS arc FROM g1),
-g3 AS (SELECT *, 250000e0 + 0.9999e0 * nu * (aa + (1 - tt + cc) * power(aa, 3) / 6 + (5 - 18*tt + tt*tt + 72*cc - 58*e2) * power(aa, 5) / 120) AS easting,
- 0.9999e0 * (arc + nu * tan(phi) * (aa*aa/2 + (5 - tt + 9*cc + 4*cc*cc) * power(aa, 4) / 24 + (61 - 58*tt + tt*tt + 600*cc - 330*e2) * power(aa, 6) / 720)) AS northing FROM g2)"""
+g2 AS (SELECT *, tan(phi) * tan(phi) AS tt, e2 * cos(phi) * cos(phi) AS cc, (radians({lon} - 360 * floor(({lon} + 180) / 360)) - radians(121e0)) * cos(phi) AS aa, 6378137e0 / sqrt(1 - e * sin(phi) * sin(phi)) AS nu,
+ 6378137e0 * ((1 - e/4 - 3*power(e, 2)/64 - 5*power(e, 3)/256) * phi - (3*e/8 + 3*power(e, 2)/32 + 45*power(e, 3)/1024) * sin(2*phi) + (15*power(e, 2)/256 + 45*power(e, 3)/1024) * sin(4*phi) - (35*power(e, 3)/3072) * sin(6*phi)) AS arc FROM g1),
+g3 AS (SELECT *, 250000e0 + 0.9999e0 * nu * ((((5 - 18*tt + tt*tt + 72*cc - 58*e2) / 120 * aa * aa + (1 - tt + cc) / 6) * aa * aa + 1) * aa) AS easting,
+ 0.9999e0 * (arc + nu * tan(phi) * ((((61 - 58*tt + tt*tt + 600*cc - 330*e2) / 720 * aa * aa + (5 - tt + 9*cc + 4*cc*cc) / 24) * aa * aa + 0.5e0) * aa * aa)) AS northing FROM g2)"""
 
 
 @query("b14_wgs84_to_twd97", "WITH " + TWD.format(src="points", lon="lon", lat="lat") + " SELECT point_id, round(easting, 4) AS easting, round(northing, 4) AS northing FROM g3")
@@ -147,14 +148,19 @@ def b15(t):
     return back.select("point_id", R("q.lon").alias("lon"), R("q.lat").alias("lat"))
 
 
+def half_up(x: str, digits: int = 2) -> str:
+    """SQL of Spark's round: half up on the shortest decimal text of the double. Other engines multiply first, which moves ties of large numbers."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 9)), {digits}) AS DOUBLE)"
+
+
 RAY = """v AS (SELECT *, radians(yaw) AS yy, radians(pitch) AS pp, radians(roll) AS rr, (frame_idx % 1280) * 2840e0 / 1280 - 1420 AS u, 1420 - (frame_idx % 720) * 2840e0 / 720 AS w FROM poses),
-d AS (SELECT *, tan(CASE WHEN u = 0 AND w = 0 THEN 1e-6 ELSE sqrt(u*u + w*w) END / (4.5e0 / 0.00274e0)) / CASE WHEN u = 0 AND w = 0 THEN 1e-6 ELSE sqrt(u*u + w*w) END * 4.5e0 AS k FROM v),
-m AS (SELECT *, (sin(yy)*sin(pp)*sin(rr) + cos(yy)*cos(rr))*u*k + sin(yy)*cos(pp)*w*k - 4.5e0*(-(sin(yy)*sin(pp)*cos(rr) - cos(yy)*sin(rr))) AS rx,
- (cos(yy)*sin(pp)*sin(rr) - sin(yy)*cos(rr))*u*k + cos(yy)*cos(pp)*w*k - 4.5e0*(-(cos(yy)*sin(pp)*cos(rr) + sin(yy)*sin(rr))) AS ry,
- -cos(pp)*sin(rr)*u*k + sin(pp)*w*k - 4.5e0*cos(pp)*cos(rr) AS rz FROM d)"""
+d AS (SELECT *, tan(CASE WHEN u = 0 AND w = 0 THEN 1e-6 ELSE sqrt(u*u + w*w) END / (4.5e0 / 0.00274e0)) / CASE WHEN u = 0 AND w = 0 THEN 1e-6 ELSE sqrt(u*u + w*w) END AS k FROM v),
+m AS (SELECT *, (cos(yy)*cos(rr) + sin(yy)*sin(pp)*sin(rr))*u*k + sin(yy)*cos(pp)*w*k + (sin(yy)*sin(pp)*cos(rr) - cos(yy)*sin(rr)) AS rx,
+ (-sin(yy)*cos(rr) + cos(yy)*sin(pp)*sin(rr))*u*k + cos(yy)*cos(pp)*w*k + (cos(yy)*sin(pp)*cos(rr) + sin(yy)*sin(rr)) AS ry,
+ -cos(pp)*sin(rr)*u*k + sin(pp)*w*k - cos(pp)*cos(rr) AS rz FROM d)"""
 
 
-@query("b16_pixel_to_ground", "WITH " + RAY + ", " + TWD.format(src="m", lon="lon", lat="lat") + " SELECT video_id, frame_idx, CASE WHEN abs(rz) > 0.1 THEN round(easting - alt * rx / rz, 2) END AS easting, CASE WHEN abs(rz) > 0.1 THEN round(northing - alt * ry / rz, 2) END AS northing, CASE WHEN abs(rz) <= 0.1 THEN 'near_horizon' WHEN rz > 0 THEN 'above_horizon' ELSE 'ground' END AS status FROM g3")
+@query("b16_pixel_to_ground", "WITH " + RAY + ", " + TWD.format(src="m", lon="lon", lat="lat") + " SELECT video_id, frame_idx, CASE WHEN abs(rz * 4.5e0) > 0.1 THEN " + half_up("(easting - alt / rz * rx)") + " END AS easting, CASE WHEN abs(rz * 4.5e0) > 0.1 THEN " + half_up("(northing - alt / rz * ry)") + " END AS northing, CASE WHEN abs(rz * 4.5e0) <= 0.1 THEN 'near_horizon' WHEN rz > 0 THEN 'above_horizon' ELSE 'ground' END AS status FROM g3")
 def b16(t):
     """All rays, each with what becomes of it. Of those that nearly follow the horizon a last digit of the depth moves the place by kilometres, so their places are left out."""
     p = G.pixel_to_ground("lon", "lat", "alt", "yaw", "pitch", "roll", F.col("frame_idx") % 1280, F.col("frame_idx") % 720, F.lit(1280), F.lit(720))

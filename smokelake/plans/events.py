@@ -9,7 +9,7 @@ from ..functions import boxes as X
 from ..functions import geo as G
 from ..operators import events as O
 from ..operators import frames as FR
-from .boxes import RAY, TWD
+from .boxes import RAY, TWD, half_up
 from .registry import query
 
 R = lambda c, k=6: F.round(c, k)
@@ -59,8 +59,8 @@ def c06_static(t):
     return rows.select("video_id", "event_id", "coordinate_status", R("easting", 2).alias("easting"))
 
 
-@query("b17_static_position", f"WITH {RAY}, " + TWD.format(src="m", lon="lon", lat="lat") + """, k AS (SELECT *, frame_idx % 9 = 0 AS none, frame_idx % 9 = 1 AS part, abs(rz) > 0.5 AS clear FROM g3)
-SELECT video_id, frame_idx, CASE WHEN clear AND NOT none AND NOT part THEN round(easting - alt * rx / rz, 2) END AS easting, CASE WHEN clear AND NOT none AND NOT part THEN round(northing - alt * ry / rz, 2) END AS northing, CASE WHEN clear AND NOT none AND NOT part THEN rz >= 0 END AS above_horizon, CASE WHEN part THEN 'partial_pose' END AS problem, none AS no_pose FROM k""")
+@query("b17_static_position", f"WITH {RAY}, " + TWD.format(src="m", lon="lon", lat="lat") + """, k AS (SELECT *, frame_idx % 9 = 0 AS none, frame_idx % 9 = 1 AS part, abs(rz * 4.5e0) > 0.5 AS clear FROM g3)
+SELECT video_id, frame_idx, CASE WHEN clear AND NOT none AND NOT part THEN """ + half_up("(easting - alt / rz * rx)") + """ END AS easting, CASE WHEN clear AND NOT none AND NOT part THEN """ + half_up("(northing - alt / rz * ry)") + """ END AS northing, CASE WHEN clear AND NOT none AND NOT part THEN rz >= 0 END AS above_horizon, CASE WHEN part THEN 'partial_pose' END AS problem, none AS no_pose FROM k""")
 def b17(t):
     """All rays; the places of those near the horizon are left out, since they hang on the last digits."""
     gone = lambda c, k: F.when(~F.pmod("frame_idx", F.lit(9)).isin(*k), F.col(c))

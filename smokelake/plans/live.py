@@ -12,7 +12,7 @@ from ..operators import events as E
 from ..operators.shared import shared_folder
 from ..streaming import live as L
 from ..streaming import pipelines as P
-from .boxes import TWD
+from .boxes import TWD, half_up
 from .events import CUT, LIVE, _live, _text
 from .registry import query
 
@@ -115,7 +115,7 @@ STATIC = """pose AS (SELECT video_id, 121e0 + video_id / 1e2 AS lon, CASE WHEN v
 
 @query("i07_localize_stream", f"WITH {STATIC}, ev AS (SELECT d.video_id, d.event_id, d.frame_idx % 60 / 30e0 AS delay, (d.x + d.w / 2e0) * 2840e0 / 1280 - 1420 AS u, 1420 - (d.y + d.h / 2e0) * 2840e0 / 720 AS v, p.lon, p.lat, coalesce(p.lat, 24e0) AS lat0, p.alt, p.video_id IS NOT NULL AND p.lat IS NULL AS part FROM detections d LEFT JOIN pose p ON d.video_id = p.video_id WHERE conf >= 0.8), "
        + "ds AS (SELECT *, tan(sqrt(u*u + v*v) / (4.5e0 / 0.00274e0)) / sqrt(u*u + v*v) AS k FROM ev), " + TWD.format(src="ds", lon="lon", lat="lat0")
-       + " SELECT video_id, event_id, CASE WHEN lat IS NOT NULL THEN round(easting + alt * u * k, 2) END AS easting, CASE WHEN lat IS NOT NULL THEN round(northing + alt * v * k, 2) END AS northing, CASE WHEN lat IS NULL THEN 'unavailable' ELSE 'static_pose_estimate' END AS coordinate_status, CASE WHEN part THEN 'partial_pose' END AS problem, round(delay, 6) AS delay FROM g3")
+       + " SELECT video_id, event_id, CASE WHEN lat IS NOT NULL THEN " + half_up("(easting + alt * u * k)") + " END AS easting, CASE WHEN lat IS NOT NULL THEN " + half_up("(northing + alt * v * k)") + " END AS northing, CASE WHEN lat IS NULL THEN 'unavailable' ELSE 'static_pose_estimate' END AS coordinate_status, CASE WHEN part THEN 'partial_pose' END AS problem, round(delay, 6) AS delay FROM g3")
 def i07(t):
     """Events of cameras that look straight down, each with a pose of its own in a table; a fifth have none, a fifth a pose without a latitude."""
     v = F.col("video_id")

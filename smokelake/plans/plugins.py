@@ -29,7 +29,7 @@ def j03(t):
 
 
 @query("j03_geodesic_functions", "WITH " + TWD.format(src="points", lon="lon", lat="lat") + """ SELECT point_id, round(easting, 4) AS easting, round(northing, 4) AS northing, round(lon, 6) AS lon, round(lat, 6) AS lat, round(radians(lon - 121e0) * 6378137e0 * cos(radians(24e0)), 4) AS east, round(radians(lat - 24e0) * 6378137e0, 4) AS north,
- round(CAST((point_id * 7) % 360 AS DOUBLE), 4) AS heading, lat - 0.5e0 < 23 AS low FROM g3""")
+ round(CAST((point_id * 7) % 360 AS DOUBLE), 4) AS heading, lat - 55566.477e0 / 111132.954e0 * 1.000001e0 < 23 AS low FROM g3""")
 def j03_geodesic(t):
     """Functions within functions, all in SQL."""
     O.register_functions(t.spark, ["wgs84_to_twd97", "twd97_to_wgs84", "to_en", "camera_rotation", "camera_heading", "gps_envelope"])
