@@ -47,9 +47,11 @@ def parse_labels(lines: DataFrame, n_classes: int, key: str = "image_id") -> Dat
     and a box must have width and height.
     """
     tokens = F.filter(F.split("line", rf"{_BLANK}+"), lambda x: x != "")
-    rows = lines.select(key, "line_no", tokens.alias("t")).filter(F.size("t") > 0)
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a filter on the result is not carried below it, with a copy of the work for each use
+    rows = lines.select(key, "line_no", once(tokens).alias("t")).filter(F.size("t") > 0)
     n = F.size("t")
-    rows = rows.select(key, "line_no", n.alias("n"), F.get("t", F.lit(0)).try_cast("int").alias("class_id"), F.transform(F.slice("t", 2, F.greatest(n - 1, F.lit(0))), lambda x: F.when(x.rlike(f"^(?:{_NUMBER})$"), x.try_cast("double"))).alias("coords"))
+    coords = F.transform(F.slice("t", 2, F.greatest(n - 1, F.lit(0))), lambda x: F.when(x.rlike(f"^(?:{_NUMBER})$"), x.try_cast("double")))
+    rows = rows.select(key, "line_no", n.alias("n"), F.get("t", F.lit(0)).try_cast("int").alias("class_id"), once(coords).alias("coords"))
     known = F.coalesce((F.col("class_id") >= 0) & (F.col("class_id") < n_classes), F.lit(False))
     finite = F.forall("coords", lambda v: F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     inside = F.forall("coords", lambda v: F.coalesce((v >= -0.001) & (v <= 1.001), F.lit(False)))

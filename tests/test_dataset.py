@@ -131,3 +131,12 @@ def test_order_within_a_hot_stratum(spark):
     units = _units(spark, [(1, "0:1")] * 3000)
     got = dataset.split_groups(units, "x").withColumn("key", F.sha2(F.concat(F.lit("x"), "content_hash"), 256)).orderBy("key").collect()
     assert [r.split for r in got] == ["train"] * 2100 + ["val"] * 900
+
+
+def test_labels_are_split_once(spark):
+    """A filter on the reason brings no further copies of the splitting and reading of a line."""
+    lines = spark.createDataFrame([(1, 1, "0 0.5 0.5 0.1 0.1"), (1, 2, "9 0.5 0.5 0.1 0.1"), (1, 3, "  "), (1, 4, "0 0.5 x 0.1 0.1")], "image_id int, line_no int, line string")
+    for wanted, left in (("reason IS NULL", [1]), ("reason IS NOT NULL", [2, 4])):
+        found = dataset.parse_labels(lines, 3).filter(wanted)
+        assert sorted(r.line_no for r in found.collect()) == left
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
