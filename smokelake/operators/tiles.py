@@ -116,9 +116,10 @@ def nearest_submap(points: DataFrame, tiles: DataFrame, key: str = "point_id") -
     Tiles lie in a hierarchy of cells by their centres, each cell with the extremes of its tiles. A point begins at the widest cells
     (276 at most) and goes down only into those whose least possible distance is no more than the greatest possible distance of another
     cell; only in the last ones it meets tiles. So a point far from all tiles touches few cells, as does a near one. Levels end
-    where no cell holds more than FEW_TILES tiles. Tiles without lawful bounds take no part.
+    where no cell holds more than FEW_TILES tiles. Tiles without lawful bounds take no part. Points at one place are looked up once, and
+    tiles of one region with the same bounds count once.
     """
-    slim = materialize(lawful(tiles).select("region", "west", "south", "east", "north"))
+    slim = materialize(lawful(tiles).select("region", "west", "south", "east", "north").distinct())
     bounds = ["west", "south", "east", "north"]
     levels, size = [], WIDE_CELL
     while True:
@@ -126,29 +127,29 @@ def nearest_submap(points: DataFrame, tiles: DataFrame, key: str = "point_id") -
         if len(levels) == LEVELS or (levels[-1].agg(F.max("tiles")).first()[0] or 0) <= FEW_TILES:
             break
         size /= 4
-    placed = points.filter(F.coalesce((F.abs("lon") <= 180) & (F.abs("lat") <= 90), F.lit(False))).select(key, "lon", "lat")  # not a number is above all
+    placed = points.filter(F.coalesce((F.abs("lon") <= 180) & (F.abs("lat") <= 90), F.lit(False))).select("lon", "lat").distinct()  # not a number is above all
     bound = lambda c: distance_bounds(F.col("lon"), F.col("lat"), *[c[b] for b in bounds])
 
     # the widest cells are few: each point sees them as one array, and only those that it keeps become rows
     roots = levels[0].agg(F.collect_list(F.struct("cx", "cy", *bounds))).scalar()
     rows = placed.withColumn("_all", roots).withColumn("_far", F.array_min(F.transform("_all", lambda c: bound(c)[1])))
-    rows = rows.withColumn("c", F.explode(F.filter("_all", lambda c: bound(c)[0] <= F.col("_far")))).select(key, "lon", "lat", "_far", "c.cx", "c.cy")
+    rows = rows.withColumn("c", F.explode(F.filter("_all", lambda c: bound(c)[0] <= F.col("_far")))).select("lon", "lat", "_far", "c.cx", "c.cy")
     for cells in levels[1:]:
         up = lambda c: F.floor(F.col(c) / 4).cast("int").alias(f"_{c}")
         below = cells.select(F.col("cx").alias("_x"), F.col("cy").alias("_y"), up("cx"), up("cy"), *bounds)
         found = rows.join(below, (rows["cx"] == below["_cx"]) & (rows["cy"] == below["_cy"])).drop("cx", "cy", "_cx", "_cy").withColumnsRenamed({"_x": "cx", "_y": "cy"})
         near, far = distance_bounds(F.col("lon"), F.col("lat"), *[F.col(b) for b in bounds])
         found = found.withColumns({"_near": near, "_far": F.least("_far", far)})
-        found = found.withColumn("_far", F.min("_far").over(Window.partitionBy(key))).filter(F.col("_near") <= F.col("_far"))
-        rows = found.select(key, "lon", "lat", "_far", "cx", "cy")
+        found = found.withColumn("_far", F.min("_far").over(Window.partitionBy("lon", "lat"))).filter(F.col("_near") <= F.col("_far"))
+        rows = found.select("lon", "lat", "_far", "cx", "cy")
     at = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / size).cast("int")
     own = slim.withColumns({"cx": at("west", "east"), "cy": at("south", "north")})
     pairs = rows.join(own, ["cx", "cy"])
     near_lon, near_lat = F.least(F.greatest("lon", "west"), F.col("east")), F.least(F.greatest("lat", "south"), F.col("north"))
     edge = G.geo_distance("lon", "lat", near_lon, near_lat)
     centre = G.geo_distance("lon", "lat", (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2)
-    best = pairs.groupBy(key).agg(F.min(F.struct(edge.alias("edge"), centre.alias("centre"), "region")).alias("b"))
-    return points.select(key).join(best, key, "left").select(key, "b.region", F.col("b.edge").alias("distance"))
+    best = pairs.groupBy("lon", "lat").agg(F.min(F.struct(edge.alias("edge"), centre.alias("centre"), "region")).alias("b"))
+    return points.select(key, "lon", "lat").join(best.hint("merge"), ["lon", "lat"], "left").select(key, "b.region", F.col("b.edge").alias("distance"))
 
 
 def view_points(photos: DataFrame, reach: float = 1800.0) -> DataFrame:
@@ -200,9 +201,12 @@ def roi_window(pairs: DataFrame, size: float, radius: float) -> DataFrame:
 
 
 def mosaic(cells: DataFrame) -> DataFrame:
-    """One value for each target cell: of the last tile that is valid there; covered tells whether any is."""
+    """One value for each target cell: of the last tile that is valid there; covered tells whether any is.
+
+    The largest struct is found by sorting, so cells are spread first: else a task sorts all cells of the tiles that it reads.
+    """
     valid = F.when(F.col("valid"), F.struct("tile_seq", "value"))
-    return cells.groupBy("tx", "ty").agg(F.max(valid)["value"].alias("value"), F.max("valid").alias("covered"))
+    return cells.repartition("tx", "ty").groupBy("tx", "ty").agg(F.max(valid)["value"].alias("value"), F.max("valid").alias("covered"))
 
 
 def percentile_stretch(cells: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:

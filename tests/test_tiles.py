@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -107,3 +108,19 @@ def test_mask_is_made_once(spark):
     plan = QUERIES["b23_match_pixel_to_geo"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "scalar-subquery" in plan
     assert all(line.lstrip(" +-").startswith(":") for line in plan.splitlines() if "lambdafunction" in line)  # in the subquery alone
+
+
+def test_points_of_one_place_are_looked_up_once(spark):
+    p = spark.createDataFrame([(k, 121.0 + k % 2, 24.0) for k in range(20)] + [(99, None, 24.0)], "point_id int, lon double, lat double")
+    t = spark.createDataFrame([("b", 121.0, 23.0, 121.1, 23.1), ("a", 122.0, 24.0, 122.1, 24.1), ("a", 122.0, 24.0, 122.1, 24.1)], "region string, west double, south double, east double, north double")
+    found = tiles.nearest_submap(p, t)
+    assert {r.point_id: r.region for r in found.collect()} == {**{k: "ba"[k % 2] for k in range(20)}, 99: None}
+    assert re.search(r"Aggregate \[lon#\w+, lat#\w+\], \[lon#\w+, lat#\w+", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_mosaic_sorts_spread_cells(spark):
+    rows = [(k % 3, 0, k, float(100 - k), k % 5 != 4) for k in range(30)] + [(7, 7, 1, 2.0, False), (8, 8, 1, None, True), (9, 9, 1, 3.0, True), (9, 9, 1, 4.0, True)]
+    found = tiles.mosaic(spark.createDataFrame(rows, "tx int, ty int, tile_seq int, value double, valid boolean"))
+    assert {(r.tx, r.ty): (r.value, r.covered) for r in found.collect()} == {(0, 0): (73.0, True), (1, 0): (72.0, True), (2, 0): (74.0, True), (7, 7): (None, False), (8, 8): (None, True), (9, 9): (4.0, True)}
+    plan = _physical(found).split("== Initial Plan ==")[-1]
+    assert plan.rindex("SortAggregate") < plan.index("Exchange")  # no sort below the exchange
