@@ -166,15 +166,16 @@ def order_sources(images: DataFrame, rank: Column) -> DataFrame:
     """Global sequence number from 1: by rank (previous version first), source, path.
 
     Numbers come from sums over ranges of the sorted rows, so no task holds all of them: range partitions are counted, and
-    each row adds the rows of the partitions before its own.
+    each row adds the rows of the partitions before its own. A row's number within its partition is the lower part of Spark's
+    increasing id, so rows are shuffled once.
     """
-    rows = images.withColumn("_rank", rank).repartitionByRange("_rank", "source", "rel_path").sortWithinPartitions("_rank", "source", "rel_path")
-    rows = materialize(rows.withColumn("_part", F.spark_partition_id()))  # both uses must see one partitioning
+    rows = images.withColumn("_rank", rank).repartitionByRange("_rank", "source", "rel_path").sortWithinPartitions("_rank", "source", "rel_path").drop("_rank")
+    rows = materialize(rows.withColumn("_at", F.monotonically_increasing_id()))  # both uses must see one partitioning
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_within": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
     counts = rows.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     counts = counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_rank", "source", "rel_path"))
-    return rows.join(F.broadcast(counts), "_part").withColumn("seq", (F.col("_before") + within).cast("long")).drop("_part", "_rank", "_before")
+    return rows.join(F.broadcast(counts), "_part").withColumn("seq", (F.col("_before") + F.col("_within")).cast("long")).drop("_part", "_at", "_within", "_before")
 
 
 def merge_sources(previous: DataFrame, new: DataFrame, ending: str = "jpg") -> DataFrame:
@@ -224,8 +225,14 @@ def split_groups(units: DataFrame, seed: str, strict: bool = False, pool: int =
     boxes. With strict, a split that is not within rounding raises.
 
     Within a stratum the order is a seeded hash. Groups are counted by slots of the hash, and ranked one by one within a slot alone, so a
-    stratum of a third of all groups spreads over 65,536 of them.
+    stratum of a third of all groups spreads over 65,536 of them. The groups are made once and read from a checkpoint. content_hash
+    may be text or its bytes (content_units with packed), which halves what is shuffled; the order is that of the text.
     """
+    return _split(materialize(units), seed, strict, pool)
+
+
+def _split(units: DataFrame, seed: str, strict: bool, pool: int = 20_000) -> DataFrame:
+    """split_groups of a table that is cheap to read again."""
     strata = units.groupBy("size", "vector").agg(F.count("*").alias("n"))
     up = F.pmod(F.xxhash64(F.lit(seed), "size", "vector"), F.lit(10)) < F.col("n") * 7 % 10
     strata = materialize(strata.withColumn("base", F.floor(F.col("n") * 7 / 10).cast("long") + up.cast("long")))
@@ -237,12 +244,14 @@ def split_groups(units: DataFrame, seed: str, strict: bool = False, pool: int =
     sizes = {f.name: f.dataType.simpleString() for f in units.schema}
     changed = units.sparkSession.createDataFrame(changes, f"size {sizes['size']}, vector string, change long")
     quotas = strata.join(F.broadcast(changed), ["size", "vector"], "left").select("size", "vector", (F.col("base") + F.coalesce("change", F.lit(0))).alias("_quota"))
-    keyed = units.withColumn("_key", F.sha2(F.concat(F.lit(seed), F.col("content_hash")), 256)).withColumn("_slot", F.substring("_key", 1, 4))
+    text = F.lower(F.hex("content_hash")) if units.schema["content_hash"].dataType.simpleString() == "binary" else F.col("content_hash")
+    order = F.sha2(F.concat(F.lit(seed), text), 256)
+    keyed = units.withColumn("_slot", F.substring(order, 1, 4))
     slots = keyed.groupBy("size", "vector", "_slot").agg(F.count("*").alias("_held"))
     before = F.sum("_held").over(Window.partitionBy("size", "vector").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
     slots = slots.withColumn("_before", F.coalesce(before, F.lit(0))).join(quotas, ["size", "vector"]).drop("_held")
+    rows = keyed.join(slots, ["size", "vector", "_slot"]).withColumn("_key", F.unhex(order))  # made behind the shuffle, not carried through it
     place = F.col("_before") + F.row_number().over(Window.partitionBy("size", "vector", "_slot").orderBy("_key", "content_hash"))
-    rows = keyed.join(slots, ["size", "vector", "_slot"])
     return rows.withColumn("split", F.when(place <= F.col("_quota"), "train").otherwise("val")).select(*units.columns, "split")
 
 
@@ -260,7 +269,7 @@ def split_report(assigned: DataFrame, strict: bool = False) -> DataFrame:
 
 def split_leakage(images: DataFrame) -> DataFrame:
     """Content hashes that occur in both splits."""
-    return images.groupBy("content_hash").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
+    return images.groupBy("content_hash").agg(F.size(F.collect_set("split")).cast("long").alias("splits")).filter("splits > 1")
 
 
 def strip_split_prefix(path) -> Column:
@@ -285,12 +294,23 @@ def validate_output(written: DataFrame, expected: DataFrame, key: str) -> DataFr
     return lost.unionByName(written.join(expected, key, "left_anti").select(key, F.lit("unexpected").alias("problem")))
 
 
-def content_units(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Groups of equal content with size and vector (`class:boxes`, by class, comma-joined; empty for background), for split_groups; a content's vector is that of its first image."""
+def packed_hash(content: str) -> Column:
+    """The 32 bytes of a content's hash, for shuffles: half of its text, and random digits don't compress."""
+    return F.unhex(F.sha2(F.col(content).cast("binary"), 256))
+
+
+def _grouped(rows: DataFrame, *more: Column) -> DataFrame:
+    """Groups of one content_hash with size and the vector of the first image."""
+    return rows.groupBy("content_hash").agg(F.count("*").alias("size"), F.min(F.struct("image_id", "vector"))["vector"].alias("vector"), *more)
+
+
+def content_units(images: DataFrame, boxes: DataFrame, packed: bool = False) -> DataFrame:
+    """Groups of equal content with size and vector (`class:boxes`, by class, comma-joined; empty for background), for split_groups; a content's vector is that of its first image. With packed, content_hash is bytes, not text."""
     counts = boxes.groupBy("image_id", "class_id").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("class_id", "n"))).alias("counts"))
     vector = F.array_join(F.transform("counts", lambda x: F.concat_ws(":", x["class_id"].cast("string"), x["n"].cast("string"))), ",")
-    rows = images.select("image_id", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")).join(counts, "image_id", "left").withColumn("vector", F.coalesce(vector, F.lit("")))
-    return rows.groupBy("content_hash").agg(F.count("*").alias("size"), F.min(F.struct("image_id", "vector"))["vector"].alias("vector"))
+    rows = images.select("image_id", packed_hash("content").alias("content_hash")).join(counts, "image_id", "left").withColumn("vector", F.coalesce(vector, F.lit("")))
+    units = _grouped(rows)
+    return units if packed else units.withColumn("content_hash", F.lower(F.hex("content_hash")))
 
 
 def new_only(previous: DataFrame, new: DataFrame, content: str = "content") -> DataFrame:
@@ -300,13 +320,22 @@ def new_only(previous: DataFrame, new: DataFrame, content: str = "content") -> D
 
 
 def build_dataset(previous: DataFrame, new: DataFrame, boxes: DataFrame, path: str, seed: str, strict: bool = False) -> DataFrame:
-    """Merge, refuse conflicting annotations, split without leaks and write by split; returns the assignment that was written. The folder must not exist yet."""
-    merged = merge_sources(previous, new)
-    text = boxes.groupBy("image_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("class_id", "cx", "cy", "bw", "bh")))).alias("annotation"))
-    labelled = merged.join(text, "image_id", "left")
-    if not conflicting(labelled, "content", F.coalesce("annotation", F.lit(""))).isEmpty():
+    """Merge, refuse conflicting annotations, split without leaks and write by split; returns the assignment that was written. The folder must not exist yet.
+
+    The boxes of an image are gathered once, for its vector and its annotation, whose SHA-256 (16 bytes of it) travels in place of its text.
+    """
+    merged = merge_sources(previous, new).withColumn("content_hash", packed_hash("content"))
+    own = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("class_id", "cx", "cy", "bw", "bh"))).alias("own"))
+    boxes_of = lambda c: F.size(F.filter("own", lambda x: x["class_id"].eqNullSafe(c))).cast("string")
+    vector = F.transform(F.array_distinct(F.transform("own", lambda x: x["class_id"])), lambda c: F.concat_ws(":", c.cast("string"), boxes_of(c)))
+    own = own.select("image_id", F.array_join(vector, ",").alias("vector"), F.to_json("own").alias("annotation"))
+    digest = F.substring(F.unhex(F.sha2(F.col("annotation").cast("binary"), 256)), 1, 16)
+    labelled = merged.select("image_id", "content_hash").join(own.select("image_id", "vector", digest.alias("digest")), "image_id", "left")
+    labelled = labelled.select("image_id", "content_hash", F.coalesce("vector", F.lit("")).alias("vector"), F.coalesce("digest", F.lit(b"")).alias("digest"))
+    units = materialize(_grouped(labelled, (F.min("digest") != F.max("digest")).alias("conflict")))
+    if not units.filter("conflict").isEmpty():
         raise ValueError("equal images carry different annotations")
-    assigned = split_groups(content_units(merged, boxes), seed, strict)
-    rows = merged.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256)).join(assigned.select("content_hash", "split"), "content_hash")
+    assigned = _split(units.drop("conflict"), seed, strict)
+    rows = merged.join(assigned.select("content_hash", "split"), "content_hash").withColumn("content_hash", F.lower(F.hex("content_hash")))
     rows.write.partitionBy("split").mode("errorifexists").parquet(path)
     return previous.sparkSession.read.parquet(path)

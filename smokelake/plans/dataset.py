@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import dataset as O
-from ..operators.shared import shared_folder
+from ..operators.shared import materialize, shared_folder
 from .registry import query
 
 
@@ -148,19 +148,25 @@ UNITS = """lab AS (SELECT i.image_id, sha256(i.content) AS content_hash, coalesc
 units AS (SELECT content_hash, count(*) AS size, arg_min(vector, image_id) AS vector FROM lab GROUP BY content_hash)"""
 
 
+def _hash():
+    """The text of packed hashes."""
+    return F.lower(F.hex("content_hash")).alias("content_hash")
+
+
 def _assigned(t):
-    return O.split_groups(O.content_units(t("images"), t("boxes")), "s1", strict=True)
+    """The content hashes are bytes."""
+    return O.split_groups(O.content_units(t("images"), t("boxes"), packed=True), "s1", strict=True)
 
 
 @query("h01_stratified_group_split", None)
 def h01(t):
     """The search for quotas is no SQL; the tests hold the split against its rules, and the report's twin tells what each metric must reach."""
-    return _assigned(t).select("content_hash", "size", "vector", "split")
+    return _assigned(t).select(_hash(), "size", "vector", "split")
 
 
 @query("h01_content_units", f"WITH {UNITS} SELECT content_hash, size, vector FROM units")
 def h01_units(t):
-    return _assigned(t).select("content_hash", "size", "vector")
+    return _assigned(t).select(_hash(), "size", "vector")
 
 
 @query("h02_split_report", f"""WITH {UNITS}, p AS (SELECT size, string_split(x, ':') AS kc FROM (SELECT size, unnest(string_split(vector, ',')) AS x FROM units WHERE vector <> '') y),
@@ -175,10 +181,11 @@ def h02(t):
 @query("h03_split_leakage", "WITH s AS (SELECT DISTINCT sha256(content) AS content_hash, source = 'src1' AS val FROM images) SELECT content_hash, count(*) AS splits FROM s GROUP BY content_hash HAVING count(*) > 1")
 def h03(t):
     """The split itself must leak nothing. One source put into val and all others into train leaks the contents that they share."""
-    images = t("images").select("source", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
-    own = images.join(_assigned(t).select("content_hash", "split"), "content_hash")
+    images = t("images").select("source", O.packed_hash("content").alias("content_hash"))
+    own = images.select("content_hash").join(_assigned(t).select("content_hash", "split"), "content_hash")
     by_source = images.withColumn("split", F.when(F.col("source") == "src1", "val").otherwise("train"))
-    return O.split_leakage(own.select("content_hash", "split")).unionByName(O.split_leakage(by_source))
+    leaks = O.split_leakage(own).unionByName(O.split_leakage(by_source))
+    return leaks.select(_hash(), "splits")
 
 
 @query("h07_build_dataset", """SELECT image_id, source, printf('image_%08d.jpg', row_number() OVER (ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, source, rel_path)) AS file, false AS leaked FROM images""")
@@ -187,8 +194,9 @@ def h07(t):
     images = t("images")
     folder = f"{shared_folder(t.spark)}/dataset-{uuid.uuid4().hex}"
     out = O.build_dataset(images.filter("source = 'src0'"), images.filter("source <> 'src0'"), t("boxes"), folder, "s1", strict=True)
-    leaks = O.split_leakage(out).select("content_hash", F.lit(True).alias("leaked"))
-    return out.join(leaks, "content_hash", "left").select("image_id", "source", "file", F.coalesce("leaked", F.lit(False)).alias("leaked"))
+    leaks = materialize(O.split_leakage(out.withColumn("content_hash", F.unhex("content_hash"))))
+    few = leaks.select(_hash(), F.lit(True).alias("leaked"))
+    return out.join(F.broadcast(few) if leaks.count() <= 100_000 else few, "content_hash", "left").select("image_id", "source", "file", F.coalesce("leaked", F.lit(False)).alias("leaked"))
 
 
 @query("h04_strip_split_prefix", "SELECT p AS path, count(*) AS images FROM (SELECT regexp_replace(CASE WHEN image_id % 3 = 0 THEN 'val/' ELSE '' END || 'train/a/img_' || (image_id // 2) || '.jpg', '^((train|val|valid|test)/)+', '') AS p FROM images) x GROUP BY p HAVING count(*) > 1")

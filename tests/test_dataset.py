@@ -140,3 +140,44 @@ def test_labels_are_split_once(spark):
         found = dataset.parse_labels(lines, 3).filter(wanted)
         assert sorted(r.line_no for r in found.collect()) == left
         assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def _counted(spark, column):
+    """The column through a function that counts its calls, and the counter."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(v):
+        calls.add(1)
+        return v
+
+    return F.udf(same, "long")(column), calls
+
+
+def test_groups_of_a_split_are_made_once(spark):
+    units = _units(spark, [(1, "0:1")] * 50 + [(2, "")] * 30)
+    size, calls = _counted(spark, "size")
+    got = dataset.split_groups(units.withColumn("size", size), "s").collect()
+    assert len(got) == 80 and calls.value == 80
+    text = units.withColumn("content_hash", F.sha2("content_hash", 256))
+    packed = dataset.split_groups(text.withColumn("content_hash", F.unhex("content_hash")), "s")  # the same order by the bytes
+    assert sorted(map(tuple, packed.withColumn("content_hash", F.lower(F.hex("content_hash"))).collect())) == sorted(map(tuple, dataset.split_groups(text, "s").collect()))
+
+
+def test_a_build_reads_boxes_once(spark, tmp_path):
+    """Images without boxes and copies: the groups are those of content_units, the written hash is the text."""
+    images = spark.createDataFrame([(i, f"s{i % 2}", f"{i:03d}.jpg", str(i // 2)) for i in range(60)], "image_id long, source string, rel_path string, content string")
+    rows = [(i, c, 0.5, 0.25, 0.1, 0.1) for i in range(60) for c in ([], [0], [2, 0, 2], [1, 1])[i // 2 % 4]]
+    boxes = spark.createDataFrame(rows, "image_id long, class_id int, cx double, cy double, bw double, bh double")
+    kind, calls = _counted(spark, F.col("class_id").cast("long"))
+    out = dataset.build_dataset(images.filter("source = 's0'"), images.filter("source <> 's0'"), boxes.withColumn("class_id", kind), str(tmp_path / "v"), "s")
+    assert calls.value == len(rows)
+    want = {r.content_hash: r.split for r in dataset.split_groups(dataset.content_units(images, boxes), "s").collect()}
+    got = out.collect()
+    assert len(got) == 60 and {r.content_hash: r.split for r in got} == want and sorted(r.seq for r in got) == list(range(1, 61))
+
+
+def test_numbering_shuffles_rows_once(spark):
+    images = spark.createDataFrame([(i, f"s{i % 3}", f"{i * 7 % 50:03d}.jpg") for i in range(50)], "image_id long, source string, rel_path string")
+    got = dataset.order_sources(images.repartition(5), F.lit(0))
+    assert [r.seq for r in got.orderBy("source", "rel_path").collect()] == list(range(1, 51))
+    assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()
