@@ -24,6 +24,8 @@ from .common import checked, forget, settled, slices, unused
 from .words import Powers, hashed_words, mixed
 
 _VALUES = np.arange(1, 257, dtype=np.uint64)
+#: Numbers of blocks that a band of sizes may have.
+_BAND = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -153,15 +155,24 @@ def lines_of(docs: DataFrame, levels, s: LineSettings) -> DataFrame:
 
 
 def dealt_keys(lines: DataFrame, s: LineSettings) -> tuple[DataFrame, list[DataFrame]]:
-    """(rows, tables that they read). One row for each prefix word, and for each pair of blocks (p <= q) that the line's block is in. A rare word has one block; how many another one needs is counted."""
+    """(rows, tables that they read). One row for each prefix word, and for each pair of blocks (p <= q) that the line's block is in. A rare word has one block; how many another one needs is counted. Where it needs more than three, each band of sizes has its own, and meets its own band and the next ones alone."""
     place = F.col("t").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("pos").cast("long")).alias("place")
     rows = lines.filter("keys IS NOT NULL").select("id", place, "sid", "n", "m0", "m1", "cold", "skip", F.posexplode("keys").alias("k", "key")).withColumn("i", F.col("k") + F.col("skip"))
     columns = ["key", "n", "i", "sid", "id", "place", "m0", "m1"]
     hot = settled(rows.filter("k >= cold").select(*columns))
     made = [hot]
-    blocks = settled(hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("blocks")))
-    hot = hot.join(checked(blocks, s.broadcast), "key").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # sizes of a pair differ by the threshold at most, so they lie in one band or in two next to each other; the base is a little larger, against rounding
+    band = F.floor(F.log("n") / F.lit(np.log(max(10 / s.tenths, 1.25)) * (1 + 1e-9))).cast("int")
+    held = hot.groupBy("key", band.alias("band")).agg(F.count("*").alias("held")).groupBy("key")
+    size = lambda n: F.ceil(n / F.lit(s.block)).cast("int")
+    blocks = settled(held.agg(size(F.sum("held")).alias("blocks"), F.collect_list(F.struct("band", size(F.col("held")).alias("blocks"))).alias("bands")))
+    hot = hot.join(checked(blocks, s.broadcast), "key").withColumn("band", F.when(F.col("blocks") > 3, band).otherwise(0))
+    bands = F.when(F.col("blocks") > 3, F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1)).otherwise(F.array(F.struct(F.lit(0).alias("band"), F.col("blocks").alias("blocks"))))
+    hot = hot.withColumn("bands", bands)
+    own = F.filter("bands", lambda b: b["band"] == F.col("band"))[0]["blocks"]
+    first = lambda b: b * F.lit(_BAND)
+    hot = hot.withColumn("mine", (first(F.col("band")) + F.pmod(F.xxhash64("sid"), own)).cast("int"))
+    hot = hot.withColumn("other", F.explode(F.flatten(F.transform("bands", lambda b: F.sequence(first(b["band"]), first(b["band"]) + b["blocks"] - 1)))))
     hot = hot.select(*columns, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine")
     zero = F.lit(0)
     return rows.filter("k < cold").select(*columns, zero.alias("p"), zero.alias("q"), zero.alias("mine")).unionByName(hot), [*made, blocks]

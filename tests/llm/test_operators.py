@@ -672,3 +672,19 @@ def test_rows_without_or_with_repeated_ids(spark):
     stay = [(r.doc_id, r.text) for r in P.near_duplicate_stage(spark, df, DATA).collect()]
     assert len([x for x in stay if x in rows[:2]]) == 1 and len(stay) == 8
     assert {(None, words[1]), (7, near(2)), (8, words[3]), (8, words[4]), (None, words[5]), (None, None), (None, " ")} <= {*stay}
+
+
+def test_lines_of_a_frequent_word_meet_by_size(spark):
+    """Rows of one frequent word: with lines of many sizes each meets the blocks of its band and the next ones, not all; every pair whose sizes fit shares a tile, once."""
+    s = line_dedup.LineSettings(block=4)
+    sizes = [5 * 2 ** (k % 6) + k % 3 for k in range(240)] + [4, 5] * 3
+    rows = [(k, 0, 0, n, k * 7919, [1], 0, 0, 0, 0) for k, n in enumerate(sizes)]
+    lines = spark.createDataFrame(rows, "id long, t long, pos int, n int, sid long, keys array<int>, skip int, cold int, m0 long, m1 long")
+    keys = line_dedup.dealt_keys(lines, s)[0].collect()
+    tiles = collections.defaultdict(list)
+    for r in keys:
+        tiles[r.p, r.q].append(r)
+    met = collections.Counter((a.id, b.id) for (p, q), held in tiles.items() for a in held for b in held if a.id < b.id and (p == q or a.mine != b.mine))
+    fit = {(a, b) for a in range(len(sizes)) for b in range(a + 1, len(sizes)) if 10 * min(sizes[a], sizes[b]) >= 8 * max(sizes[a], sizes[b])}
+    assert fit <= met.keys() and set(met.values()) == {1}
+    assert len(keys) < len(sizes) * len(sizes) / s.block / 2
