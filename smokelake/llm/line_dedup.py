@@ -1,39 +1,36 @@
 """Operator 6, line dedup by an exact set-similarity join.
 
-A line is the set of its distinct words in lower case. Words are ordered by rarity (their count over the whole corpus, then
-hash); two sets that reach the threshold share a word of their prefixes in that order. Equal sets are one class, kept at
-its first place. Sets that share a prefix word pass length and positional filters and a bound by bit signatures; what is left
-is verified on the sets themselves. A line goes if a line before it, by document (its id, then the hash of its text) and
-place, reaches the threshold.
-
-The rarity order needs a count for each word. A form in DataFrame functions alone could not hold it within the limits
-(README), so words are ranked and candidates are filtered by numpy in tasks; Spark deals, sorts and joins them.
+A line is the set of its distinct words in lower case. Words are ordered by length, which stands for rarity, the longest
+first, then by hash. A set's tokens are the pairs of words that follow each other in that order; two sets that reach the threshold share
+a token of their prefixes (see lines_of). Equal sets are one class, kept at its first place. Sets that share a token pass length filters and a bound
+by bit signatures; what is left is verified on the sets themselves. A line goes if a line before it, by document (its id,
+then the hash of its text) and place, reaches the threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, forget, settled, slices, unused
-from .words import Powers, hashed_words, mixed
+from .common import checked, forget, settled, unused
 
-_VALUES = np.arange(1, 257, dtype=np.uint64)
 #: Numbers of blocks that a band of sizes may have.
 _BAND = 1 << 20
+#: Between words.
+_SPACE = r"[\x20\x09-\x0D]+"
+#: The bit signature of a set, 64 bits in each column.
+_MASKS = ["m0", "m1"]
 
 
 @dataclass(frozen=True)
 class LineSettings:
-    """tenths: the Jaccard threshold in tenths; buckets_log2: hash buckets in which words are counted; few: candidates that a line of a word tries at first.
+    """tenths: the Jaccard threshold in tenths, 7 to 10; few: candidates that a line of a token tries at first.
 
-    cold: a word of at most so many occurrences has one group of lines; block: lines of a block of the other words' groups;
-    broadcast: most rows of a table that is broadcast.
+    cold: a token of at most so many lines has one group of lines; block: lines of a block of the other tokens' groups;
+    broadcast: most rows of a table that is broadcast. buckets_log2 has no effect: words are no longer counted.
     """
 
     tenths: int = 8
@@ -44,121 +41,72 @@ class LineSettings:
     broadcast: int = 200_000
 
 
-def _level(count: np.ndarray | int) -> np.ndarray:
-    """A count's place in the order of rarity, below 256: six steps for each doubling."""
-    return np.minimum(np.floor(6 * np.log2(1.0 + count)), 255).astype(np.uint8)
-
-
-def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts in lower case, one line break between two, and the number of the first line of each."""
-    data = [(t or "").lower().encode() for t in texts]
-    first = np.cumsum([0, *(d.count(b"\n") + 1 for d in data)])
-    return np.frombuffer(b"\n".join(data), dtype=np.uint8), first
-
-
-def rarity(docs: DataFrame, s: LineSettings) -> np.ndarray:
-    """The level of each bucket of words. A task sends one count for each bucket that it meets; the driver gets five bytes for each of 2 ** buckets_log2 at most."""
-    n = 1 << s.buckets_log2
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, total, waiting, held = Powers(), np.zeros(n, np.int64), [], 0
-        for batch in batches:
-            for lo, hi in slices(batch.column(0), 1 << 20):
-                data, _ = _joined(batch.column(0).slice(lo, hi - lo).to_pylist())
-                waiting.append(hashed_words(data, _VALUES, powers)[1] & np.uint64(n - 1))
-                held += len(waiting[-1])
-                if held > 1 << 21:
-                    total += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=n)
-                    waiting, held = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [batch.column(0).to_numpy().tobytes(), _level(batch.column(1).to_numpy()).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], names=["buckets", "levels"])
-
-    counts = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    levels = np.zeros(n, np.uint8)
-    for row in counts.mapInArrow(pack, "buckets binary, levels binary").collect():
-        levels[np.frombuffer(row["buckets"], dtype=np.int32)] = np.frombuffer(row["levels"], dtype=np.uint8)
-    return levels
-
-
-def ranked_lines(texts: list[str | None], levels: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the line, rank of the word) of each distinct word of a line, rarest first in each line; and the number of the first line of each text."""
-    data, first = _joined(texts)
-    starts, h = hashed_words(data, _VALUES, powers)
-    line = np.searchsorted(np.flatnonzero(data == 10), starts)
-    rank = levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
-    order = np.lexsort((rank, line))
-    line, rank = line[order], rank[order]
-    new = np.ones(len(line), dtype=bool)
-    new[1:] = (line[1:] != line[:-1]) | (rank[1:] != rank[:-1])
-    return line[new], rank[new], first
-
-
-def _edges(line: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(line)])) if len(line) else np.zeros(1, np.int64)
-
-
-def _set_ids(rank: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Equal for lines of equal sets; two different sets meet with the chance of 64-bit hashes."""
-    return mixed(np.add.reduceat(mixed(rank), edges[:-1]) + np.diff(edges).astype(np.uint64)).view(np.int64)
-
-
-def lines_of(docs: DataFrame, levels, s: LineSettings) -> DataFrame:
-    """Every line with a word: id, t, pos (its place), n (distinct words), sid. Of equal lines of a task the first one has keys (the prefix, rarest first, behind skip words that occur once in the corpus and so in no other line), cold (how many of them are rare) and the bit signature m0, m1."""
-    names = ["id", "t", "pos", "n", "sid", "keys", "skip", "cold", "m0", "m1"]
-    once, most_cold = int(_level(1)), int(_level(s.cold))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), set()
-        for batch in batches:
-            for lo, hi in slices(batch.column(2), 1 << 20):
-                line, rank, first = ranked_lines(batch.column(2).slice(lo, hi - lo).to_pylist(), levels.value, powers)
-                edges = _edges(line)
-                at = edges[:-1]
-                if not len(at):
-                    continue
-                n, sid = np.diff(edges), _set_ids(rank, edges)
-                doc = np.searchsorted(first, line[at], side="right") - 1
-                _, fresh = np.unique(sid, return_index=True)
-                fresh = fresh[(10 * n[fresh] >= s.tenths * (n[fresh] + 1))]  # smaller sets link with equal ones alone
-                fresh = np.sort([k for k in fresh.tolist() if sid[k] not in seen]).astype(np.int64)
-                seen = seen if len(seen) < 1 << 19 else set()
-                seen.update(sid[fresh].tolist())
-                length = n - -(-s.tenths * n // 10) + 1
-                keyed = np.zeros(len(n), dtype=bool)
-                keyed[fresh] = True
-                of = np.repeat(np.arange(len(n)), n)
-                inside = np.arange(len(rank)) - at[of]
-                prefix = keyed[of] & (inside < length[of])
-                alone = prefix & ((rank >> np.uint64(56)) <= once)
-                skip = np.add.reduceat(alone, at)
-                prefix &= ~alone
-                per_line = np.add.reduceat(prefix, at)
-                bit = rank & np.uint64(127)
-                one = np.uint64(1) << (bit & np.uint64(63))
-                m0 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), at).view(np.int64)
-                m1 = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), at).view(np.int64)
-                is_cold = prefix & ((rank >> np.uint64(56)) <= most_cold)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(per_line))).astype(np.int32), mask=np.append(~keyed, False))
-                keys = pa.ListArray.from_arrays(offsets, pa.array((rank[prefix] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-                ids, ts = (batch.column(c).slice(lo, hi - lo).take(pa.array(doc)) for c in (0, 1))
-                arrays = [ids, ts, pa.array((line[at] - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sid), keys, pa.array(skip.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.add.reduceat(is_cold, at).astype(np.int32)), pa.array(m0), pa.array(m1)], names=names)
-
-    return docs.select("id", "t", "text").mapInArrow(measure, "id long, t long, pos int, n int, sid long, keys array<int>, skip int, cold int, m0 long, m1 long")
+    def __post_init__(self):
+        if not 7 <= self.tenths <= 10:
+            raise ValueError("tenths must be 7 to 10: below, linked sets need not share a token")
+
+
+def _code(word: Column) -> Column:
+    """A number for a word, smaller for longer ones: 7 bits of its length and 56 of a hash."""
+    length = F.least(F.octet_length(word), F.lit(127)).cast("long")
+    return F.shiftleft(F.lit(127).cast("long") - length, 56).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 56) - 1)))
+
+
+def worded(docs: DataFrame, wanted: str | None = None) -> DataFrame:
+    """docs: id, t, text. Every line with a word: id, t, pos (its place) and w (the numbers of its distinct words, in order). wanted names a column with the places asked for.
+
+    Outer generators keep Spark from computing their input twice, once for a filter on its size.
+    """
+    lines = docs.select("id", "t", *([wanted] if wanted else []), F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    if wanted:
+        lines = lines.filter(F.array_contains(wanted, F.col("pos")))
+    w = F.sort_array(F.array_except(F.transform(F.split("line", _SPACE), _code), F.array(_code(F.lit("")))))
+    return lines.select("id", "t", "pos", F.explode_outer(F.array(F.struct(w.alias("w")))).alias("x")).select("id", "t", "pos", F.col("x.w").alias("w")).filter("size(w) > 0")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Every line with a word: id, t, pos, n (distinct words), sid (equal for equal sets; two different ones meet with the chance of 64-bit hashes) and the bit signature."""
+
+    def mask(high: int) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("w", F.lit(0).cast("long"), lambda m, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * high, m.bitwiseOR(bit(x))).otherwise(m))
+
+    return worded(docs).select("id", "t", "pos", F.size("w").alias("n"), F.xxhash64("w").alias("sid"), *[mask(k).alias(m) for k, m in enumerate(_MASKS)])
+
+
+def prefix_length(n: Column, tenths: int) -> Column:
+    """Tokens of a set of n words, of which a linked set has one among its own first ones.
+
+    Let a words be in x alone and b in y alone. Of the n - 1 pairs of neighbours in x, each word of the first kind breaks two at most and each
+    of the second kind one, so n - 1 - 2a - b are shared, and of as many of y: 2a + b + 1 of x, in the order of their first words, hold a shared one if the
+    prefix of y is as long as it needs. With m words in y, a shared part of tenths * (n + m) / (10 + tenths) or more
+    leaves 2n + m - 3 * tenths * (n + m) / (10 + tenths) for 2a + b, most for the smallest m.
+    """
+    m = F.ceil(tenths * n / F.lit(10))
+    return F.floor(((10 + tenths) * (2 * n + m) - 3 * tenths * (n + m)) / F.lit(10 + tenths)).cast("int") + 1
+
+
+def tokens_of(docs: DataFrame, s: LineSettings) -> DataFrame:
+    """(key, sid): the tokens of every line's prefix. Smaller sets than those that can have a linked one have none: they link with equal ones alone."""
+    n = F.size("w")
+    lines = worded(docs).select(F.xxhash64("w").alias("sid"), "w", F.when(10 * n >= s.tenths * (n + 1), F.least(prefix_length(n, s.tenths), n - 1)).alias("first"))
+    pairs = F.arrays_zip(F.call_function("slice", F.col("w"), F.lit(1), F.col("first")), F.call_function("slice", F.col("w"), F.lit(2), F.col("first")))
+    return lines.select("sid", F.explode_outer(pairs).alias("z")).filter("z IS NOT NULL").select(F.xxhash64("z").alias("key"), "sid")
+
+
+def shared_tokens(docs: DataFrame, s: LineSettings) -> DataFrame:
+    """tokens_of(), less the tokens of one class alone: each row that has a neighbour of another class."""
+    of = Window.partitionBy("key").orderBy("sid")
+    rows = tokens_of(docs, s).withColumns({"before": F.lag("sid").over(of), "after": F.lead("sid").over(of)})
+    return rows.filter("before <> sid OR after <> sid").select("key", "sid").distinct()
 
 
 def dealt_keys(lines: DataFrame, s: LineSettings) -> tuple[DataFrame, list[DataFrame]]:
-    """(rows, tables that they read). One row for each prefix word, and for each pair of blocks (p <= q) that the line's block is in. A rare word has one block; how many another one needs is counted. Where it needs more than three, each band of sizes has its own, and meets its own band and the next ones alone."""
+    """(rows, tables that they read). One row for each of a line's keys, and for each pair of blocks (p <= q) that the line's block is in. A key that is rare (the first `cold` ones of a line are) has one block; how many another one needs is counted. Where it needs more than three, each band of sizes has its own, and meets its own band and the next ones alone."""
+    carried = [c for c in lines.columns if c not in ("id", "t", "pos", "n", "sid", "keys", "skip", "cold")]
     place = F.col("t").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("pos").cast("long")).alias("place")
-    rows = lines.filter("keys IS NOT NULL").select("id", place, "sid", "n", "m0", "m1", "cold", "skip", F.posexplode("keys").alias("k", "key")).withColumn("i", F.col("k") + F.col("skip"))
-    columns = ["key", "n", "i", "sid", "id", "place", "m0", "m1"]
+    rows = lines.filter("keys IS NOT NULL").select("id", place, "sid", "n", "cold", "skip", *carried, F.posexplode("keys").alias("k", "key")).withColumn("i", F.col("k") + F.col("skip"))
+    columns = ["key", "n", "i", "sid", "id", "place", *carried]
     hot = settled(rows.filter("k >= cold").select(*columns))
     made = [hot]
     # sizes of a pair differ by the threshold at most, so they lie in one band or in two next to each other; the base is a little larger, against rounding
@@ -178,151 +126,77 @@ def dealt_keys(lines: DataFrame, s: LineSettings) -> tuple[DataFrame, list[DataF
     return rows.filter("k < cold").select(*columns, zero.alias("p"), zero.alias("q"), zero.alias("mine")).unionByName(hot), [*made, blocks]
 
 
-def candidates(keys: DataFrame, s: LineSettings, few: int | None) -> DataFrame:
-    """Pairs (a, b): b is a line, a one before it that passes all filters. With few, a line gets so many for a word; a = b says that there are more.
+def _fits(s: LineSettings, a, b) -> Column:
+    """Whether the sizes and bit signatures of two classes (structs, or columns by name) leave room for the threshold."""
+    only = lambda x, y: sum((F.bit_count(x[m].bitwiseAND(F.bitwise_not(y[m]))) for m in _MASKS), F.lit(0))
+    both = F.least(a["n"] - only(a, b), b["n"] - only(b, a))
+    return (10 + s.tenths) * both >= s.tenths * (a["n"] + b["n"])
 
-    A column `asks`, if there, tells which lines get pairs.
-    """
-    by = ["key", "p", "q"]
-    names = [*by, "n", "i", "sid", "id", "place", "m0", "m1", "mine", *(["asks"] if "asks" in keys.columns else [])]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups come one after the other; the last one of a batch may go on in the next."""
-        kept = None
-        for batch in batches:
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            if kept is not None:
-                rows = {c: np.concatenate([kept[c], rows[c]]) for c in names}
-            edges = np.flatnonzero(np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in by])) + 1
-            cut = edges[-1] if len(edges) else 0
-            kept = {c: v[cut:] for c, v in rows.items()}
-            if cut:
-                yield pairs({c: v[:cut] for c, v in rows.items()}, edges[:-1])
-        if kept is not None and len(kept["n"]):
-            yield pairs(kept, np.empty(0, np.int64))
-
-    def pairs(r: dict[str, np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
-        size = len(r["n"])
-        group = np.zeros(size, dtype=np.int64)
-        group[edges] = 1
-        group = np.cumsum(group) << 32
-        n, i, sid, m = r["n"].astype(np.int64), r["i"].astype(np.int64), r["sid"], (r["m0"].view(np.uint64), r["m1"].view(np.uint64))
-        # rows of a group are in order of size: those of a fitting size that come before a row follow each other
-        low = np.searchsorted(group | n, group | -(-s.tenths * n // 10))
-        count = np.arange(size) - low
-        ends = np.cumsum(count)
-        taken, out_a, out_b = np.zeros(size, dtype=np.int64), [], []
-        begin = 0
-        while begin < size:
-            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20))))
-            x = np.repeat(np.arange(begin, end), count[begin:end])
-            y = np.arange(len(x)) - np.repeat(ends[begin:end] - count[begin:end] - (ends[begin - 1] if begin else 0), count[begin:end]) + low[x]
-            begin = end
-            least = -(-s.tenths * (n[x] + n[y]) // (10 + s.tenths))
-            ok = (np.minimum(n[x] - i[x], n[y] - i[y]) >= least) & (sid[x] != sid[y]) & ((r["p"][x] == r["q"][x]) | (r["mine"][x] != r["mine"][y]))
-            x, y, least = x[ok], y[ok], least[ok]
-            only_x, only_y = (sum(np.bitwise_count(a & ~b).astype(np.int64) for a, b in ((k[u], k[v]) for k in m)) for u, v in ((x, y), (y, x)))
-            ok = np.minimum(n[x] - only_x, n[y] - only_y) >= least
-            x, y = x[ok], y[ok]
-            before = (r["id"][y] < r["id"][x]) | ((r["id"][y] == r["id"][x]) & (r["place"][y] < r["place"][x]))
-            same = (r["id"][y] == r["id"][x]) & (r["place"][y] == r["place"][x])
-            a, b = np.where(before, y, x)[~same], np.where(before, x, y)[~same]
-            if "asks" in r:
-                a, b = a[r["asks"][b]], b[r["asks"][b]]
-            if few is not None and len(b):
-                order = np.argsort(b, kind="stable")
-                a, b = a[order], b[order]
-                starts = np.concatenate(([0], np.flatnonzero(b[1:] != b[:-1]) + 1))
-                nth = np.arange(len(b)) - np.repeat(starts, np.diff([*starts, len(b)])) + taken[b]
-                np.add.at(taken, b, 1)
-                more = np.unique(b[nth >= few])
-                a, b = np.concatenate([a[nth < few], more]), np.concatenate([b[nth < few], more])
-            out_a.append(sid[a])
-            out_b.append(sid[b])
-        both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    return keys.select(*names).repartition(*by).sortWithinPartitions(*by, "n").mapInArrow(search, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, ends: DataFrame, levels, s: LineSettings) -> tuple[DataFrame, list[DataFrame]]:
-    """(pairs, tables that they read). Pairs (a, b) whose sets reach the threshold, read from the texts of their first places; ends has these by class."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            for lo, hi in slices(batch.column(0), 1 << 20):
-                part = batch.slice(lo, hi - lo)
-                line, rank, first = ranked_lines(part.column(0).to_pylist(), levels.value, powers)
-                edges = _edges(line)
-                at, sid = line[edges[:-1]], _set_ids(rank, edges) if len(edges) > 1 else np.empty(0, np.int64)
-                out = []
-                for k, places in enumerate(part.column(1).to_pylist()):
-                    for j in np.searchsorted(at, first[k] + np.array(places)).tolist():
-                        out.append((int(sid[j]), rank[edges[j] : edges[j + 1]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["sid", "words"])
-
-    def reaches(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 10 * both >= s.tenths * (len(x) + len(y) - both)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                ok = [reaches(x, y) for x, y in zip(part.column("wa").to_pylist(), part.column("wb").to_pylist(), strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: LineSettings) -> DataFrame:
+    """The classes b of pairs (a, b) whose sets reach the threshold, read from the texts of their first places. Materialized, and what it took is deleted."""
+    sids = settled(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+    ends = classes.select("sid", "f").join(checked(sids, s.broadcast), "sid")
     wanted = settled(ends.groupBy(F.col("f.id").alias("id"), F.col("f.t").alias("t")).agg(F.collect_set("f.pos").alias("places")))
-    found = docs.join(checked(wanted, s.broadcast), ["id", "t"]).select("text", "places")
-    words = settled(found.mapInArrow(read, "sid long, words binary").dropDuplicates(["sid"]))
-    left, right = words.toDF("a", "wa"), words.toDF("b", "wb")
-    forget(wanted)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long"), [words]
+    found = worded(docs.join(checked(wanted, s.broadcast), ["id", "t"]), "places").select(F.xxhash64("w").alias("sid"), "w")
+    words = settled(found.dropDuplicates(["sid"]))
+    both = F.size(F.array_intersect("wa", "wb"))
+    reached = (10 + s.tenths) * both >= s.tenths * (F.size("wa") + F.size("wb"))
+    good = settled(pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").filter(reached).select(F.col("b").alias("sid")).distinct())
+    forget(sids, wanted, words)
+    return good
 
 
 def removed_lines(docs: DataFrame, settings: LineSettings = LineSettings()) -> DataFrame:
     """docs: id and t (long; the order of documents) and text. Returns id, t and gone, the places of the lines that go.
 
-    A line needs one line before it that reaches the threshold. For each prefix word it tries a few at first; only lines that
+    A line needs one line before it that reaches the threshold. Of each token's lines it tries the first one and the ones just before it, a few at first; only lines that
     have more candidates and still stay meet all of them. So many variants of one line cost pairs in proportion to their number.
     """
     s = settings
-    levels = docs.sparkSession.sparkContext.broadcast(rarity(docs, s))
-    lines = settled(lines_of(docs, levels, s))
+    shared = settled(shared_tokens(docs, s))
+    lines = settled(lines_of(docs))
     # the order of places: id, the upper half of t, the line's number
     first = F.min(F.struct("id", F.shiftright("t", 32).alias("u"), "pos", "t"))
-    classes = settled(lines.groupBy("sid").agg(first.alias("f"), F.count("*").alias("lines")))
-    keys, made = dealt_keys(lines, s)
-
-    def later(pairs: DataFrame, *more: DataFrame) -> DataFrame:
-        """Of each pair that reaches the threshold, the class whose first place comes later; and the rows of more. Materialized, and what it took is deleted."""
-        sids = settled(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
-        ends = settled(classes.select("sid", "f").join(checked(sids, s.broadcast), "sid"))
-        at = ends.select("sid", F.struct("f.id", "f.u", "f.pos").alias("f"))
-        good, words = verified(pairs, docs, ends, levels, s)
-        rows = good.join(at.toDF("a", "fa"), "a").join(at.toDF("b", "fb"), "b").filter("fa <> fb")
-        rows = rows.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sid"))
-        for table in more:
-            rows = rows.union(table)
-        found = settled(rows.distinct())
-        forget(sids, ends, *words, *more)
-        return found
-
-    some = settled(candidates(keys, s, s.few))
-    gone = later(some.filter("a <> b"))
-    still = settled(some.filter("a = b").select(F.col("a").alias("sid")).join(gone, "sid", "left_anti"))
+    classes = settled(lines.groupBy("sid").agg(first.alias("f"), F.count("*").alias("lines"), *[F.min(c).alias(c) for c in ("n", *_MASKS)]))
+    places = ["f.id", "f.u", "f.pos"]
+    rows = shared.join(classes.select("sid", "n", *_MASKS, *places), "sid")
+    of = Window.partitionBy("key")
+    by_place = of.orderBy("id", "u", "pos", "sid")
+    one, at = F.struct("sid", "n", *_MASKS, F.struct("id", "u", "pos").alias("at")), F.struct("id", "u", "pos")
+    tries = F.array(F.first(one).over(by_place), *[F.lag(one, k).over(by_place) for k in range(1, s.few)])
+    rows = rows.select("key", "sid", "n", *_MASKS, at.alias("at"), F.row_number().over(by_place).alias("nth"), F.count("*").over(of).alias("held"), tries.alias("tries"))
+    # one row for a token's line: what it tries, and whether its group has more than each line tries
+    own = {c: F.col(c) for c in ("n", *_MASKS)}
+    fit = F.array_distinct(F.transform(F.filter("tries", lambda a: (a["sid"] != F.col("sid")) & (a["at"] < F.col("at")) & _fits(s, a, own)), lambda a: a["sid"]))
+    rows = rows.select("key", "sid", (F.col("nth") > s.few + 1).alias("more"), "held", F.explode_outer(F.array(fit)).alias("a"))
+    rows = settled(rows.filter((F.size("a") > 0) | (F.col("held") > s.few + 1)))
+    forget(shared)
+    some = settled(rows.select(F.explode("a").alias("a"), F.col("sid").alias("b")).distinct())
+    gone = verified(some, docs, classes, s)
     forget(some)
+    still = settled(rows.filter("more").select("sid").distinct().join(gone, "sid", "left_anti"))
     if not still.isEmpty():
-        # only groups that hold such a line are dealt once more
-        by, asking = ["key", "p", "q"], checked(still, s.broadcast)
-        touched = settled(keys.join(asking, "sid", "left_semi").select(*by).distinct())
-        rows = keys.join(checked(touched, s.broadcast), by, "left_semi").join(asking.withColumn("asks", F.lit(True)), "sid", "left")
-        rest = settled(candidates(rows.withColumn("asks", F.coalesce("asks", F.lit(False))), s, None))
-        forget(touched, *made)
-        gone = later(rest, gone)
-        forget(rest)
+        keyed = F.sort_array(F.collect_list(F.struct((F.col("held") > s.cold).alias("hot"), "key")))
+        group = rows.filter(F.col("held") > s.few + 1).groupBy("sid").agg(keyed.alias("keyed")).join(classes.select("sid", "n", *_MASKS, *places), "sid")
+        group = group.select("id", F.shiftleft("u", 32).alias("t"), "pos", "n", "sid", F.col("keyed.key").alias("keys"), F.lit(0).alias("skip"), F.size(F.filter("keyed", lambda x: ~x["hot"])).alias("cold"), F.col("keyed.key").alias("among"), *_MASKS)
+        group = settled(group)
+        forget(rows)
+        keys, made = dealt_keys(group, s)
+        a, b = keys.alias("a"), keys.join(checked(still, s.broadcast), "sid").alias("b")
+        tile = (F.col("a.key") == F.col("b.key")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q"))
+        before = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") == F.col("b.id")) & (F.col("a.place") < F.col("b.place")))
+        once = (F.col("a.p") == F.col("a.q")) | (F.col("a.mine") != F.col("b.mine"))
+        side = lambda x: {c: F.col(f"{x}.{c}") for c in ("n", *_MASKS)}
+        # a pair that shares several tokens is taken at the smallest one alone
+        least = F.col("a.key") == F.array_min(F.array_intersect("a.among", "b.among"))
+        rest = settled(a.join(b, tile & before & once & _fits(s, side("a"), side("b")) & least).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct())
+        forget(group, *made)
+        more = verified(rest, docs, classes, s)
+        gone, old = settled(gone.union(more)), gone
+        forget(rest, more, old)
+    else:
+        forget(rows)
     forget(still)
 
     decided = classes.join(checked(gone, s.broadcast).withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1").select("sid", "f", "all")

@@ -688,3 +688,29 @@ def test_lines_of_a_frequent_word_meet_by_size(spark):
     fit = {(a, b) for a in range(len(sizes)) for b in range(a + 1, len(sizes)) if 10 * min(sizes[a], sizes[b]) >= 8 * max(sizes[a], sizes[b])}
     assert fit <= met.keys() and set(met.values()) == {1}
     assert len(keys) < len(sizes) * len(sizes) / s.block / 2
+
+
+def test_linked_lines_share_a_token_of_their_prefixes(spark):
+    """Sets at and above the threshold share a pair of neighbouring words among the first ones of both; words and tokens are made without Python on the executors."""
+    rng = np.random.default_rng(5)
+    rows, sets = [], {}
+    for k in range(400):
+        n = int(rng.integers(4, 60))
+        x = [f"{'w' * int(rng.integers(1, 9))}{j}" for j in rng.permutation(400)[:n]]
+        out = int(rng.integers(0, n // 5 + 1))
+        y = x[out:] + [f"new{j}" for j in range(int(rng.integers(0, n // 5 + 1)))]
+        for i, w in ((2 * k, x), (2 * k + 1, y)):
+            sets[i] = {*w}
+            rows.append((i, 0, " ".join(rng.permutation(w))))
+    df = spark.createDataFrame(rows, "id long, t long, text string")
+    s = line_dedup.LineSettings()
+    sid = {r.id: r.sid for r in line_dedup.lines_of(df).collect()}
+    tokens = collections.defaultdict(set)
+    for r in line_dedup.tokens_of(df, s).collect():
+        tokens[r.sid].add(r.key)
+    linked = [k for k in range(400) if sets[2 * k] != sets[2 * k + 1] and 10 * len(sets[2 * k] & sets[2 * k + 1]) >= 8 * len(sets[2 * k] | sets[2 * k + 1])]
+    assert len(linked) > 100 and all(tokens[sid[2 * k]] & tokens[sid[2 * k + 1]] for k in linked)
+    plan = line_dedup.tokens_of(df, s)._jdf.queryExecution().executedPlan().toString() + line_dedup.lines_of(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+    with pytest.raises(ValueError):
+        line_dedup.LineSettings(tenths=5)
